@@ -1,5 +1,5 @@
 """Named queries over the test tables, each with its SQL counterpart."""
 from auditframe.plans.registry import ORACLES, QUERIES
-from auditframe.plans import strategy  # noqa: F401  registers its queries
+from auditframe.plans import rules, strategy  # noqa: F401  registers their queries
 
 __all__ = ["ORACLES", "QUERIES"]
