@@ -155,31 +155,46 @@ INPUTS = (
 )
 
 
-def case_measures(cases: DataFrame, records: DataFrame, facts: DataFrame) -> DataFrame:
-    """Per case: the value by the rule of its family, and the sums paid, quantity, amount.
+def case_inputs(cases: DataFrame, policies: DataFrame, records: DataFrame, controls: DataFrame) -> DataFrame:
+    """One row per case with everything its answer depends on but the facts.
+
+    cases: case_id, family, cutoff_minute; policies: case_id, policy_id, approval_limit,
+    escalation_owner; records: case_id, record_id, risk_amount and family inputs;
+    controls: case_id, control_id, supporting_evidence_verified.
+    """
+    record = [c for c in INPUTS if c != "cutoff_minute"]
+    return (
+        cases.select("case_id", "family", "cutoff_minute")
+        .join(policies.select("case_id", "policy_id", "approval_limit", "escalation_owner"), "case_id")
+        .join(records.select("case_id", "record_id", "risk_amount", *record), "case_id")
+        .join(controls.select("case_id", "control_id", "supporting_evidence_verified"), "case_id")
+    )
+
+
+def case_measures(inputs: DataFrame, facts: DataFrame) -> DataFrame:
+    """Inputs with the value by the rule of the family and the sums paid, quantity, amount.
 
     Every family but temporal is decided by one aggregation over the facts; temporal
     needs the gap search and runs it on its own cases only.
     """
-    basis = cases.select("case_id", "family").join(records.select("case_id", *INPUTS), "case_id")
     in_force = F.col("effective_minute") <= F.col("cutoff_minute")
     good = F.col("valid") & F.array_contains("approved_issuers", F.col("issuer"))
     latest_first = F.struct(-F.col("effective_minute"), -F.col("revision"), F.col("first_pos"))
     sums = (
-        facts.join(basis.select("case_id", "cutoff_minute", "approved_issuers"), "case_id")
+        facts.join(inputs.select("case_id", "cutoff_minute", "approved_issuers"), "case_id")
         .groupBy("case_id")
         .agg(
-            F.sum(F.when(F.col("completed"), F.col("amount"))).alias("paid"),
-            F.sum("quantity").alias("quantity"),
-            F.sum("amount").alias("amount"),
+            F.sum(F.when(F.col("completed"), F.col("amount"))).alias("_paid"),
+            F.sum("quantity").alias("_quantity"),
+            F.sum("amount").alias("_amount"),
             F.min_by("notional", F.when(in_force, latest_first)).alias("_notional"),
             F.count_distinct(F.when(good, F.col("issuer"))).alias("_issuers"),
         )
     )
-    temporal = basis.where(F.col("family") == "temporal")
-    reached = temporal_value(temporal, facts.join(temporal.select("case_id"), "case_id", "left_semi"))
+    temporal = inputs.where(F.col("family") == "temporal").select("case_id", "opening_sequence")
+    reached = temporal_value(temporal, facts)
     zero = F.lit(0).cast("long")
-    paid, quantity, amount = (F.coalesce(c, zero) for c in ("paid", "quantity", "amount"))
+    paid, quantity, amount = (F.coalesce(c, zero) for c in ("_paid", "_quantity", "_amount"))
     family = F.col("family")
     value = (
         F.when(family == "settlement", F.col("instruction_total") - paid)
@@ -192,16 +207,14 @@ def case_measures(cases: DataFrame, records: DataFrame, facts: DataFrame) -> Dat
         .when(family == "temporal", F.col("_reached"))
     )
     return (
-        basis.join(sums, "case_id", "left")
+        inputs.join(sums, "case_id", "left")
         .join(reached.withColumnRenamed("value", "_reached"), "case_id", "left")
-        .select("case_id", "family", value.alias("value"), paid.alias("paid"), quantity.alias("quantity"), amount.alias("amount"))
+        .select(
+            inputs["*"], value.alias("value"), paid.alias("paid"), quantity.alias("quantity"), amount.alias("amount")
+        )
     )
 
 
-def case_targets(cases: DataFrame, records: DataFrame, facts: DataFrame) -> DataFrame:
-    return case_measures(cases, records, facts).select("case_id", "value")
-
-
 def route_of(verified: Column, risk: Column, limit: Column) -> Column:
     return F.when(~verified, "escalate").when(risk > limit, "approve").otherwise("execute")
 
@@ -215,45 +228,26 @@ def operation_of(family: Column) -> Column:
     return F.create_map(*pairs)[family]
 
 
-def resolve_cases(
-    cases: DataFrame, policies: DataFrame, records: DataFrame, controls: DataFrame, facts: DataFrame
-) -> DataFrame:
-    """Expected answer per case.
-
-    policies: case_id, policy_id, approval_limit, escalation_owner; records: case_id,
-    record_id, risk_amount and family inputs; controls: case_id, control_id,
-    supporting_evidence_verified.  Facts must already be one row per event.
-    """
+def resolve_cases(inputs: DataFrame, facts: DataFrame) -> DataFrame:
+    """Expected answer per case; facts must already be one row per event."""
     verified, risk, limit = (
         F.col("supporting_evidence_verified"), F.col("risk_amount"), F.col("approval_limit"),
     )
-    targets = case_targets(cases, records, facts).withColumnRenamed("value", "target")
-    return (
-        cases.select("case_id", "family")
-        .join(policies.select("case_id", "policy_id", "approval_limit", "escalation_owner"), "case_id")
-        .join(records.select("case_id", "record_id", "risk_amount"), "case_id")
-        .join(controls.select("case_id", "control_id", "supporting_evidence_verified"), "case_id")
-        .join(targets, "case_id")
-        .select(
-            "case_id",
-            "family",
-            "target",
-            diagnosis_of(verified, risk, limit).alias("diagnosis"),
-            route_of(verified, risk, limit).alias("route"),
-            operation_of(F.col("family")).alias("operation"),
-            F.array("policy_id", "record_id", "control_id").alias("evidence"),
-            F.col("policy_id").alias("policy"),
-            F.col("escalation_owner").alias("owner"),
-        )
+    return case_measures(inputs, facts).select(
+        "case_id",
+        "family",
+        F.col("value").alias("target"),
+        diagnosis_of(verified, risk, limit).alias("diagnosis"),
+        route_of(verified, risk, limit).alias("route"),
+        operation_of(F.col("family")).alias("operation"),
+        F.array("policy_id", "record_id", "control_id").alias("evidence"),
+        F.col("policy_id").alias("policy"),
+        F.col("escalation_owner").alias("owner"),
     )
 
 
-def business_objects(measures: DataFrame, records: DataFrame) -> DataFrame:
-    """Objects that exist after the value has been executed; columns of other families are NULL.
-
-    measures: case_id, family, value, paid, quantity, amount.
-    """
-    d = measures.join(records.select("case_id", *INPUTS), "case_id")
+def business_objects(measures: DataFrame) -> DataFrame:
+    """Objects that exist after the value has been executed; columns of other families are NULL."""
     value = F.col("value")
     paid = F.col("paid") + value
     allocated = F.col("quantity") + value
@@ -262,7 +256,7 @@ def business_objects(measures: DataFrame, records: DataFrame) -> DataFrame:
     def only(family: str, column: Column) -> Column:
         return F.when(F.col("family") == family, column)
 
-    return d.select(
+    return measures.select(
         "case_id",
         "family",
         only("settlement", paid).alias("paid"),

@@ -228,8 +228,7 @@ sql_view(
 
 
 def gold(spark, sf):
-    c = case_rows(spark, sf)
-    return R.resolve_cases(c, c, c, c, facts(spark, sf))
+    return R.resolve_cases(case_rows(spark, sf), facts(spark, sf))
 
 
 @query("gold_cases", "SELECT * FROM v_gold")
@@ -254,8 +253,7 @@ FROM (SELECT c.*, t.value AS v, coalesce(s.paid, 0) AS paid, coalesce(s.qty, 0)
     sum(quantity) AS qty, sum(amount) AS amt FROM v_facts GROUP BY case_id) s USING (case_id))""",
 )
 def business_objects(spark, sf):
-    c, f = case_rows(spark, sf), facts(spark, sf)
-    return R.business_objects(R.case_measures(c, c, f), c)
+    return R.business_objects(R.case_measures(case_rows(spark, sf), facts(spark, sf)))
 
 
 @query(

@@ -44,6 +44,8 @@ def rows_of(columns, rows):
     return sorted((tuple(_plain(r[i]) for i in order) for r in rows), key=repr)
 
 
+SPARK_SECONDS: dict[str, float] = {}
+
 FAMILY = {
     "BIGINT": "int", "INTEGER": "int", "HUGEINT": "huge", "VARCHAR": "str", "BOOLEAN": "bool", "DOUBLE": "float",
     "bigint": "int", "int": "int", "string": "str", "boolean": "bool", "double": "float",
@@ -52,8 +54,10 @@ FAMILY = {
 
 def compare(spark, con, name, fn, sql, sf_dir) -> str | None:
     """None when equal, else what differs."""
+    start = time.time()
     df = fn(spark, sf_dir)
     got = rows_of(df.columns, df.collect())
+    SPARK_SECONDS[name] = time.time() - start
     if sql is None:
         return None if got else "no rows"
     result = con.execute(sql)
@@ -94,7 +98,7 @@ def main(argv):
             problem = f"{type(error).__name__}: {str(error)[:1500]}"
         bad += problem is not None
         mark = "ok " if problem is None else "BAD"
-        print(f"{mark} {name} {time.time() - start:.1f}s {'' if name in entry.oracle_sql() else '(rows only) '}{problem or ''}", flush=True)
+        print(f"{mark} {name} {SPARK_SECONDS.get(name, 0):.1f}s of {time.time() - start:.1f}s {'' if name in entry.oracle_sql() else '(rows only) '}{problem or ''}", flush=True)
     print("bad:", bad)
     return bad
 
