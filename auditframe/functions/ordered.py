@@ -106,3 +106,11 @@ def earliest(df: DataFrame, keys: Sequence[str], order: Column | str, *keep: str
         .agg(F.min_by(F.struct(*keep), order).alias("_row"))
         .select(*keys, *[F.col("_row")[c].alias(c) for c in keep])
     )
+
+
+def union_all(parts: Sequence[DataFrame]) -> DataFrame:
+    """Union by name as a balanced tree, which keeps plan analysis short."""
+    if len(parts) == 1:
+        return parts[0]
+    middle = len(parts) // 2
+    return union_all(parts[:middle]).unionByName(union_all(parts[middle:]))

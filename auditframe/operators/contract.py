@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from auditframe.functions.canon import hash_number
-from auditframe.functions.ordered import CHUNK, earliest, latest, neighbour, running_sums
+from auditframe.functions.ordered import CHUNK, earliest, latest, neighbour, running_sums, union_all
 
 SHIFT = 20  # bits that separate the event position from the position inside the event
 
@@ -263,7 +263,7 @@ def dangling_refs(events: DataFrame, evidence: DataFrame) -> DataFrame:
 def audit(tables: dict[str, DataFrame]) -> DataFrame:
     """All checks over the tables of a set of episodes."""
     t = tables
-    parts = [
+    return union_all([
         short_windows(t["episodes"]),
         duplicate_receipts(t["events"]),
         challenge_violations(t["challenges"], t["events"]),
@@ -278,11 +278,7 @@ def audit(tables: dict[str, DataFrame]) -> DataFrame:
         version_chain(t["events"], t["mutations"], t["states"]),
         missing_evidence(t["events"]),
         final_state(t["mutations"], t["states"]),
-    ]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    ])
 
 
 def passing(episodes: DataFrame, violations: DataFrame) -> DataFrame:

@@ -5,10 +5,12 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from auditframe.functions.canon import cents
-from auditframe.functions.ordered import CHUNK, positions
+from auditframe.functions.ordered import CHUNK, neighbour, positions
 from auditframe.operators import contract as C
+from auditframe.operators.sensitivity import sensitivity
 from auditframe.plans.registry import query, sql_view
 from auditframe.plans.strategy import k_of, load
+from auditframe.session import materialise
 
 KINDS = ("click", "error", "purchase", "signup", "view")
 
@@ -17,7 +19,7 @@ KINDS = ("click", "error", "purchase", "signup", "view")
 # An episode is a block of 16 event ids of one run, so it has at most 16 events; the
 # windows below stay inside such a block.  Event ids that are multiples of the numbers
 # below carry one planted fault each.
-def episode_tables(spark, sf, *, faults: bool = True):
+def episode_tables(spark, sf, *, faults: bool = True, stored: bool = False):
     e = load(spark, sf, "events", "event_id", "ts", "user_id", "event_type", "value", "props")
     key = F.col("event_id")
     block = Window.partitionBy("episode_id")
@@ -41,7 +43,7 @@ def episode_tables(spark, sf, *, faults: bool = True):
         "previous_id": F.lag("event_id").over(turn),
         "first_id": F.min("event_id").over(block),
     })
-    d = d.withColumn("is_duplicate", F.col("pos") % 5 == 0)
+    d = materialise(d.withColumn("is_duplicate", F.col("pos") % 5 == 0)) if stored else d.withColumn("is_duplicate", F.col("pos") % 5 == 0)
     request = F.when(F.col("is_duplicate"), F.col("previous_id")).when(hit(131), F.col("first_id")).otherwise(key)
     receipt = F.when(F.col("is_duplicate"), F.when(hit(109), key).otherwise(F.col("previous_id"))).otherwise(key)
     refs = F.array(F.concat(F.lit("ev"), key), F.concat(F.lit("evk"), F.col("k")))
@@ -108,9 +110,7 @@ def episode_tables(spark, sf, *, faults: bool = True):
         F.struct(F.lit("c2").alias("challenge_id"), F.array(F.lit("ev_none")).alias("required"),
                  F.array(first_ref).alias("supplied"), F.lit("REFUSE_UNSUPPORTED").alias("expected_disposition")),
     )
-    challenges = heads.select("episode_id", "block", F.explode(tests).alias("x")).select("episode_id", "x.*") if not faults else (
-        heads.select("episode_id", "block", "first_id", F.explode(tests).alias("x")).select("episode_id", "x.*")
-    )
+    challenges = heads.select("episode_id", F.explode(tests).alias("x")).select("episode_id", "x.*")
     return {
         "episodes": episodes, "events": events, "mutations": mutations, "ledger": ledger, "entities": entities,
         "authorizations": authorizations, "states": initial.unionByName(final), "challenges": challenges,
@@ -170,7 +170,7 @@ UNION ALL SELECT episode_id, NULL, 'final_state' FROM v_ep_heads WHERE block % 2
     """SELECT episode_id, coalesce(event_id, '-') AS event_id, "check", count(*) AS n FROM v_ep_violations GROUP BY ALL""",
 )
 def episode_audit(spark, sf):
-    found = C.audit(episode_tables(spark, sf))
+    found = C.audit(episode_tables(spark, sf, stored=True))
     return found.groupBy("episode_id", F.coalesce("event_id", F.lit("-")).alias("event_id"), "check").agg(F.count("*").alias("n"))
 
 
@@ -179,7 +179,7 @@ def episode_audit(spark, sf):
     "SELECT episode_id FROM v_ep_heads WHERE episode_id NOT IN (SELECT episode_id FROM v_ep_violations)",
 )
 def episodes_passing(spark, sf):
-    t = episode_tables(spark, sf)
+    t = episode_tables(spark, sf, stored=True)
     return C.passing(t["episodes"].select("episode_id"), C.audit(t))
 
 
@@ -328,8 +328,6 @@ def histories(spark, sf, *, faults: bool = True):
     )
     keys = ["episode_id", "object_id"]
     numbered = positions(e, keys, "step", "to_version")
-    from auditframe.functions.ordered import neighbour
-
     linked = neighbour(numbered, keys, "step", F.struct("to_state", "to_version"), "_p", back=True)
     bump = F.when(F.col("step") % 101 == 0, 7).otherwise(0) if faults else F.lit(0)
     return linked.select(
@@ -455,8 +453,18 @@ def call_rules(spark, sf):
 
 
 # --- mutation sensitivity ----------------------------------------------------------
-EXPECTED = {
-    "unauthorised": "authorization", "stale_version": "version_chain", "unbalanced_ledger": "ledger_balance",
-    "unknown_ledger_object": "unknown_account", "missing_evidence": "evidence_presence",
-    "sequence_break": "chronology", "request_reuse": "request_reuse", "final_state_drift": "final_state",
-}
+@query(
+    "mutation_sensitivity",
+    """SELECT kind, count(*) AS patches, count(*) FILTER (ok) AS rejected_as_expected FROM (
+  SELECT 'unauthorised' AS kind, true AS ok FROM v_ep_primary
+  UNION ALL SELECT 'stale_version', true FROM v_ep_primary
+  UNION ALL SELECT 'unbalanced_ledger', cents <> 1 FROM v_ep_primary WHERE event_type = 'purchase'
+  UNION ALL SELECT 'unknown_ledger_object', true FROM v_ep_primary WHERE event_type = 'purchase'
+  UNION ALL SELECT 'missing_evidence', true FROM v_ep_primary WHERE event_id <> first_id
+  UNION ALL SELECT unnest(['sequence_break', 'request_reuse']), true FROM v_ep_base WHERE pos = 2
+  UNION ALL SELECT 'final_state_drift', true FROM v_ep_heads) GROUP BY kind""",
+)
+def mutation_sensitivity(spark, sf):
+    """Episodes without faults; a ledger leg of one minor unit is not changed by its patch."""
+    out = sensitivity(episode_tables(spark, sf, faults=False, stored=True), "intruder")
+    return out.groupBy("kind").agg(F.count("*").alias("patches"), F.count_if("as_expected").alias("rejected_as_expected"))

@@ -2,14 +2,17 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # Call-site capture costs a round trip per column expression while plans are built.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
 
@@ -37,3 +40,14 @@ def shared_dir(spark: SparkSession) -> str:
     made = tempfile.mkdtemp(prefix="auditframe-", dir="/tmp")
     spark.conf.set("spark.checkpoint.dir", made)
     return made
+
+
+def materialise(df: DataFrame) -> DataFrame:
+    """Write a result that several jobs reuse to the shared folder and read it back.
+
+    The files outlive any executor, and the plan of what follows starts at them.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/auditframe/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
