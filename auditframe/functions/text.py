@@ -39,6 +39,17 @@ def shingle_rows(
     )
 
 
+def is_json(text: Column) -> Column:
+    """True when the whole text is one JSON value.
+
+    The parser stops after the first complete value, so the text is tried inside an
+    array and inside an object: what follows a value spoils at least one of the two.
+    """
+    in_array, in_object = F.concat(F.lit("["), text, F.lit("]")), F.concat(F.lit('{"a":'), text, F.lit("}"))
+    whole = F.try_parse_json(in_array).isNotNull() & F.try_parse_json(in_object).isNotNull()
+    return F.coalesce(whole & (F.json_array_length(in_array) == 1), F.lit(False))
+
+
 def parse_reply(body: Column, finish: Column) -> Column:
     """A model reply as a struct(json, reason): one enclosing Markdown fence is removed.
 
@@ -53,6 +64,6 @@ def parse_reply(body: Column, finish: Column) -> Column:
     reason = (
         F.when(finish == "length", "response_token_limit")
         .when(body.isNull(), "invalid_response")
-        .when((inner == "") | F.try_parse_json(inner).isNull(), "invalid_json")
+        .when(~is_json(inner), "invalid_json")
     )
     return F.struct(F.when(reason.isNull(), inner).alias("json"), reason.alias("reason"))

@@ -150,13 +150,11 @@ def pattern_hits(texts: DataFrame, key: str, text: str, patterns: Mapping[str, s
 
 def pattern_matches(texts: DataFrame, key: str, text: str, patterns: Mapping[str, str]) -> DataFrame:
     """(key, pattern, match) for every distinct match."""
-    per_pattern = F.flatten(F.array(*[
-        F.transform(
-            F.array_distinct(F.regexp_extract_all(text, F.lit(f"({p})"), F.lit(1))),
-            lambda m, name=name: F.struct(F.lit(name).alias("pattern"), m.alias("match")),
-        )
-        for name, p in patterns.items()
-    ]))
+    def matches(name: str, pattern: str) -> Column:
+        found = F.array_distinct(F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1)))
+        return F.transform(found, lambda m: F.struct(F.lit(name).alias("pattern"), m.alias("match")))
+
+    per_pattern = F.flatten(F.array(*[matches(name, p) for name, p in patterns.items()]))
     return texts.select(key, F.explode(per_pattern).alias("x")).select(key, "x.*")
 
 
