@@ -1,5 +1,5 @@
 """Named queries over the test tables, each with its SQL counterpart."""
 from auditframe.plans.registry import ORACLES, QUERIES
-from auditframe.plans import claims, contract, experiment, leak, panel, rules, strategy  # noqa: F401  registers their queries
+from auditframe.plans import claims, contract, evidence, experiment, leak, panel, rules, strategy  # noqa: F401  registers their queries
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -3,12 +3,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from auditframe.functions.canon import digest, hash_number
 from auditframe.operators import allocation as A
 from auditframe.operators import cost as Co
 from auditframe.operators import evidence as E
 from auditframe.operators import leak as L
 from auditframe.operators import stats as St
+from auditframe.operators.contract import challenge_verdicts
 from auditframe.plans.contract import episode_tables
 from auditframe.plans.leak import docs
 from auditframe.plans.registry import query, sql_view
@@ -251,7 +251,7 @@ def hash_pick(spark, sf):
 # --- gates and verdicts --------------------------------------------------------------------
 @query(
     "experiment_gates",
-    """SELECT gate, violations, CASE WHEN violations = 0 THEN 'PASS' ELSE 'FAIL' END AS status FROM (
+    """SELECT gate, CAST(violations AS BIGINT) AS violations, CASE WHEN violations = 0 THEN 'PASS' ELSE 'FAIL' END AS status FROM (
   SELECT 'allocation' AS gate, count(*) AS violations FROM v_jobs WHERE mark % 89 = 1 OR mark % 97 = 3
   UNION ALL SELECT 'common_commitments', 1 UNION ALL SELECT 'matched_pair_parity', 4 UNION ALL SELECT 'lineage_disjoint', count(*) FROM (SELECT DISTINCT lang FROM documents)
   UNION ALL SELECT g, n FROM (SELECT """
@@ -284,8 +284,6 @@ def verdicts(spark, sf):
         (F.col("run_id") == 0).alias("is_baseline"), "completion_rate", "forbidden_output_keys", "canary_echoes",
         F.col("rejected_requests").alias("unauthorized_rejections"), F.lit(0).alias("schema_or_malformed_rejections"), "state_changes_outside_contract",
     )
-    from auditframe.operators.contract import challenge_verdicts
-
     tested = challenge_verdicts(episode_tables(spark, sf)["challenges"].where("challenge_id = 'c1'")).select(F.col("sufficient").alias("as_expected"))
     return St.verdicts(runs, tested)
 
