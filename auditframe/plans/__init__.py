@@ -1,5 +1,7 @@
 """Named queries over the test tables, each with its SQL counterpart."""
 from auditframe.plans.registry import ORACLES, QUERIES
-from auditframe.plans import claims, contract, evidence, experiment, leak, panel, replay, rules, strategy  # noqa: F401  registers their queries
+from auditframe.plans import (  # noqa: F401  registers their queries
+    claims, contract, evidence, experiment, leak, panel, replay, rules, strategy, streams,
+)
 
 __all__ = ["ORACLES", "QUERIES"]
