@@ -2,11 +2,12 @@
 
 A plain window keeps every row of a key in one task.  Here each key is cut into
 chunks of its integer order column; the window runs inside a chunk, and what has
-to cross a chunk border travels through a table with one row per chunk, which is
-thousands of times smaller than the data.  Both sides of the join back are hashed
-on (keys, chunk), so the data itself is shuffled once.
+to cross a chunk border travels through a table with one row per chunk, which is up to
+a million times smaller than a large key.  Both sides of the join back are hashed on
+(keys, chunk), so the data itself is shuffled once.
 
-Keys must be non-null and the order column an integer, unique within its key.
+Keys must be non-null and the order column an integer, unique within its key.  ``size``
+is the width of a chunk in order values; pass a larger one for sparse order values.
 """
 from __future__ import annotations
 
@@ -15,7 +16,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-CHUNK = 4096
+# Width of a chunk in order values: at most about a million rows, which one task sorts easily.
+CHUNK = 1 << 20
 
 
 def _chunked(df: DataFrame, keys: Sequence[str], order: str, size: int):

@@ -57,6 +57,16 @@ def selection_error_code(message: Column) -> Column:
     return chain.otherwise("VALIDATION_REJECTED")
 
 
+def stable_turns(turns: DataFrame, pos: str) -> DataFrame:
+    """Turns ordered by turn number (a missing one counts 0) and then by position.
+
+    The new ``turn`` holds both, so equal turn numbers keep their order; positions take
+    the lower 40 bits.
+    """
+    turn = F.coalesce(F.col("turn"), F.lit(0)).cast("long")
+    return turns.withColumn("turn", F.shiftleft(turn, 40) + F.col(pos))
+
+
 def classify_rejections(turns: DataFrame) -> DataFrame:
     """Add ``bucket``: the response to each rejected turn, NULL on other turns."""
     approach = F.when(F.col("request_is_object"), F.struct("surface", "action"))

@@ -147,7 +147,7 @@ def job_allocation(spark, sf):
 
 def marked_jobs(spark, sf):
     region = load(spark, sf, "region", "r_regionkey", F.col("r_name").alias("arm_id"))
-    return jobs(spark, sf).join(F.broadcast(region), "arm_id").withColumn(
+    return jobs(spark, sf).join(region, "arm_id").withColumn(
         "mark", F.col("episode_id") * 15 + F.col("evaluation_seed") * 5 + F.col("r_regionkey")
     )
 
