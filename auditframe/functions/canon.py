@@ -90,14 +90,19 @@ def url_host(url: Column) -> Column:
     return F.when(host != "", F.lower(host))
 
 
+# Forms of episode ids, asset paths and template names.
+EPISODE_ID = r"^episode_(.+)_v1$"
+ASSET_PATH = r"([^/]+)\.v1\.json$"
+
+
 def id_to_path(episode_id: Column) -> Column:
     """Asset path of an id of the form episode_<stem>_v1; NULL for any other."""
-    stem = F.regexp_extract(episode_id, r"^episode_(.+)_v1$", 1)
+    stem = F.regexp_extract(episode_id, EPISODE_ID, 1)
     return F.when(stem != "", F.concat(F.lit("episodes_v2/"), stem, F.lit(".v1.json")))
 
 
 def path_to_id(path: Column) -> Column:
-    stem = F.regexp_extract(path, r"([^/]+)\.v1\.json$", 1)
+    stem = F.regexp_extract(path, ASSET_PATH, 1)
     return F.when(stem != "", F.concat(F.lit("episode_"), stem, F.lit("_v1")))
 
 

@@ -52,12 +52,13 @@ def authoritative_violations(documents: DataFrame, cases: DataFrame) -> DataFram
     )
 
 
-def last_facts(facts: DataFrame) -> DataFrame:
-    """One row per case and event: the last by ``pos``.
+def last_facts(facts: DataFrame, *fields: str) -> DataFrame:
+    """One row per case and event: the last by ``pos``, with the named fields or all.
 
-    ``first_pos`` keeps where the event first appeared, which decides ties later.
+    ``first_pos`` keeps where the event first appeared, which decides ties later.  Name
+    the fields that are needed: only they are read and shuffled.
     """
-    rest = [c for c in facts.columns if c not in ("case_id", "event_id", "pos")]
+    rest = list(fields) or [c for c in facts.columns if c not in ("case_id", "event_id", "pos")]
     return (
         facts.groupBy("case_id", "event_id")
         .agg(F.max_by(F.struct(*rest), "pos").alias("_last"), F.min("pos").alias("first_pos"))
@@ -174,14 +175,16 @@ def case_inputs(cases: DataFrame, policies: DataFrame, records: DataFrame, contr
 def case_measures(inputs: DataFrame, facts: DataFrame) -> DataFrame:
     """Inputs with the value by the rule of the family and the sums paid, quantity, amount.
 
-    Every family but temporal is decided by one aggregation over the facts; temporal
-    needs the gap search and runs it on its own cases only.
+    ``facts`` are all fact rows; the last row of an event counts.  Every family but
+    temporal is decided by one aggregation over them; temporal needs the gap search and
+    runs it on the facts of its own cases only.
     """
     in_force = F.col("effective_minute") <= F.col("cutoff_minute")
     good = F.col("valid") & F.array_contains("approved_issuers", F.col("issuer"))
     latest_first = F.struct(-F.col("effective_minute"), -F.col("revision"), F.col("first_pos"))
+    last = last_facts(facts, "amount", "completed", "quantity", "effective_minute", "revision", "notional", "issuer", "valid")
     sums = (
-        facts.join(inputs.select("case_id", "cutoff_minute", "approved_issuers"), "case_id")
+        last.join(inputs.select("case_id", "cutoff_minute", "approved_issuers"), "case_id")
         .groupBy("case_id")
         .agg(
             F.sum(F.when(F.col("completed"), F.col("amount"))).alias("_paid"),
@@ -192,7 +195,8 @@ def case_measures(inputs: DataFrame, facts: DataFrame) -> DataFrame:
         )
     )
     temporal = inputs.where(F.col("family") == "temporal").select("case_id", "opening_sequence")
-    reached = temporal_value(temporal, facts)
+    own = facts.join(temporal.select("case_id"), "case_id", "left_semi")
+    reached = temporal_value(temporal, last_facts(own, "sequence", "acknowledged"))
     zero = F.lit(0).cast("long")
     paid, quantity, amount = (F.coalesce(c, zero) for c in ("_paid", "_quantity", "_amount"))
     family = F.col("family")
@@ -229,7 +233,7 @@ def operation_of(family: Column) -> Column:
 
 
 def resolve_cases(inputs: DataFrame, facts: DataFrame) -> DataFrame:
-    """Expected answer per case; facts must already be one row per event."""
+    """Expected answer per case from all its fact rows."""
     verified, risk, limit = (
         F.col("supporting_evidence_verified"), F.col("risk_amount"), F.col("approval_limit"),
     )

@@ -15,7 +15,7 @@ from auditframe.plans.contract import episode_tables
 from auditframe.plans.leak import docs, files
 from auditframe.plans.registry import query, sql_view
 from auditframe.plans.strategy import load, outcomes, telemetry, turns
-from auditframe.session import shared_dir
+from auditframe.session import materialise, shared_dir
 from auditframe.sources import files as S
 from auditframe.sources import manifests as M
 
@@ -364,7 +364,7 @@ def split_disjoint(spark, sf):
 )
 def release_audit(spark, sf):
     b = load(spark, sf, "benchmark", F.col("item_id").alias("corpus_id"), "text")
-    gates = L.release_gates(files(spark, sf), b, b.select(F.col("text").alias("record")), M.manifest_problems(listed(spark, sf), assets(spark, sf)))
+    gates = materialise(L.release_gates(files(spark, sf), b, b.select(F.col("text").alias("record")), M.manifest_problems(listed(spark, sf), assets(spark, sf))))
     return gates.crossJoin(F.broadcast(L.terminal_state(gates)))
 
 

@@ -12,7 +12,7 @@ from auditframe.operators.contract import challenge_verdicts
 from auditframe.plans.contract import episode_tables
 from auditframe.plans.leak import docs
 from auditframe.plans.registry import query, sql_view
-from auditframe.plans.strategy import k_of, load, outcomes, run_rows
+from auditframe.plans.strategy import k_of, load, run_rows
 
 ARMS = ("base", "base-rl", "domain", "domain-rl", "control")
 

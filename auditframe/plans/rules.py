@@ -119,8 +119,8 @@ def fact_rows(spark, sf):
     )
 
 
-def facts(spark, sf):
-    return R.last_facts(fact_rows(spark, sf))
+def facts(spark, sf, *fields):
+    return R.last_facts(fact_rows(spark, sf), *fields)
 
 
 sql_view(
@@ -152,7 +152,7 @@ sql_view(
 
 @query("facts_dedup_last", "SELECT case_id, event_id, amount, quantity, completed, issuer FROM v_facts")
 def facts_dedup_last(spark, sf):
-    return facts(spark, sf).select("case_id", "event_id", "amount", "quantity", "completed", "issuer")
+    return facts(spark, sf, "amount", "quantity", "completed", "issuer").drop("first_pos")
 
 
 VALUE_SQL = {
@@ -173,17 +173,17 @@ for _family, _expr in VALUE_SQL.items():
 
 @query("value_settlement", "SELECT * FROM v_value_settlement")
 def value_settlement(spark, sf):
-    return R.settlement_value(case_rows(spark, sf), facts(spark, sf))
+    return R.settlement_value(case_rows(spark, sf), facts(spark, sf, "amount", "completed"))
 
 
 @query("value_allocations", "SELECT * FROM v_value_allocations")
 def value_allocations(spark, sf):
-    return R.allocation_value(case_rows(spark, sf), facts(spark, sf))
+    return R.allocation_value(case_rows(spark, sf), facts(spark, sf, "quantity"))
 
 
 @query("value_reconciliation", "SELECT * FROM v_value_reconciliation")
 def value_reconciliation(spark, sf):
-    return R.reconciliation_value(case_rows(spark, sf), facts(spark, sf))
+    return R.reconciliation_value(case_rows(spark, sf), facts(spark, sf, "amount"))
 
 
 @query("value_margin", "SELECT * FROM v_value_margin")
@@ -198,17 +198,17 @@ def value_permissions(spark, sf):
 
 @query("value_lifecycle", "SELECT * FROM v_value_lifecycle")
 def value_lifecycle(spark, sf):
-    return R.lifecycle_value(case_rows(spark, sf), facts(spark, sf))
+    return R.lifecycle_value(case_rows(spark, sf), facts(spark, sf, "effective_minute", "revision", "notional"))
 
 
 @query("value_evidence", "SELECT * FROM v_value_evidence")
 def value_evidence(spark, sf):
-    return R.evidence_value(case_rows(spark, sf), facts(spark, sf))
+    return R.evidence_value(case_rows(spark, sf), facts(spark, sf, "issuer", "valid"))
 
 
 @query("value_temporal", "SELECT * FROM v_value_temporal")
 def value_temporal(spark, sf):
-    return R.temporal_value(case_rows(spark, sf), facts(spark, sf))
+    return R.temporal_value(case_rows(spark, sf), facts(spark, sf, "sequence", "acknowledged"))
 
 
 _values = " UNION ALL ".join(
@@ -227,7 +227,7 @@ sql_view(
 
 
 def gold(spark, sf):
-    return R.resolve_cases(case_rows(spark, sf), facts(spark, sf))
+    return R.resolve_cases(case_rows(spark, sf), fact_rows(spark, sf))
 
 
 @query("gold_cases", "SELECT * FROM v_gold")
@@ -252,7 +252,7 @@ FROM (SELECT c.*, t.value AS v, coalesce(s.paid, 0) AS paid, coalesce(s.qty, 0)
     sum(quantity) AS qty, sum(amount) AS amt FROM v_facts GROUP BY case_id) s USING (case_id))""",
 )
 def business_objects(spark, sf):
-    return R.business_objects(R.case_measures(case_rows(spark, sf), facts(spark, sf)))
+    return R.business_objects(R.case_measures(case_rows(spark, sf), fact_rows(spark, sf)))
 
 
 @query(
@@ -262,7 +262,7 @@ FROM v_cases WHERE family IN ('settlement', 'reconciliation')""",
 )
 def journal_balance(spark, sf):
     """Two legs per executed case; every 97th case has a leg that is off by one."""
-    c, f = case_rows(spark, sf), facts(spark, sf)
+    c, f = case_rows(spark, sf), facts(spark, sf, "amount", "completed")
     kept = c.where(F.col("family").isin("settlement", "reconciliation"))
     values = R.settlement_value(kept.where(F.col("family") == "settlement"), f).unionByName(
         R.reconciliation_value(kept.where(F.col("family") == "reconciliation"), f)

@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -46,10 +46,8 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
         F.monotonically_increasing_id().alias("_id"),
     )
     splits = lines.groupBy("file", "_block").agg(F.min("_id").alias("_start"), F.count("*").alias("_lines"))
-    earlier = splits.alias("a").join(splits.alias("b"), (F.col("a.file") == F.col("b.file")) & (F.col("b._block") < F.col("a._block")), "left")
-    offsets = earlier.groupBy("a.file", "a._block").agg(
-        F.any_value("a._start").alias("_start"), F.coalesce(F.sum("b._lines"), F.lit(0)).alias("_before")
-    )
+    before = Window.partitionBy("file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = splits.select("file", "_block", "_start", F.coalesce(F.sum("_lines").over(before), F.lit(0)).alias("_before"))
     return lines.join(offsets, ["file", "_block"]).select(
         "file", (F.col("_id") - F.col("_start") + F.col("_before") + 1).alias("line"), "value"
     )

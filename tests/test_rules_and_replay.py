@@ -38,7 +38,7 @@ def fact(case_id, event_id, pos, amount=0, completed=True, quantity=0, minute=0,
 
 
 def targets(make, cases, facts):
-    got = R.case_measures(make(DDL, *cases), R.last_facts(make(FACTS, *facts)))
+    got = R.case_measures(make(DDL, *cases), make(FACTS, *facts))
     return dict(rows(got, "case_id", "value"))
 
 
@@ -71,7 +71,7 @@ def test_hand_computed_values(make):
 def test_conservation_after_execution(make):
     cases = [case(1, "settlement"), case(2, "allocations"), case(3, "reconciliation")]
     facts = [fact(1, "a", 0, amount=300), fact(2, "a", 0, quantity=10), fact(3, "a", 0, amount=5)]
-    objects = R.business_objects(R.case_measures(make(DDL, *cases), R.last_facts(make(FACTS, *facts))))
+    objects = R.business_objects(R.case_measures(make(DDL, *cases), make(FACTS, *facts)))
     assert rows(objects, "case_id", "remaining", "residual") == [(1, 0, None), (2, 0, None), (3, None, 0)]
 
 
@@ -97,7 +97,7 @@ def matrix(spark):
         if duplicate:
             facts.append(fact(n, "a", 2, 300, quantity=30, minute=10, notional=3, issuer=1, sequence=6))
     inputs = spark.createDataFrame(cases, DDL)
-    gold = R.resolve_cases(inputs, R.last_facts(spark.createDataFrame(facts, FACTS)))
+    gold = R.resolve_cases(inputs, spark.createDataFrame(facts, FACTS))
     documents = F.transform("evidence", lambda e: F.struct(e.alias("id"), F.sha2(e, 256).alias("sha256")))
     return gold.withColumns({"documents": documents, "initial_value": F.lit(0).cast("long")}).cache()
 
