@@ -314,3 +314,36 @@ def run_comparison(spark, sf):
         "longest_repeat_streak", "mean_rejections_before_first_revision", "provider_calls",
         shown(F.col("cached_tokens")).alias("cached_tokens"),
     )
+
+
+@query(
+    "stable_turn_order",
+    """SELECT run_id, bucket, count(*) AS n FROM (SELECT run_id, CASE WHEN outcome <> 'REJECTED' THEN NULL WHEN n_outcome IS NULL OR n_outcome IN ('STOP', 'POLICY_ERROR') THEN 'abandon'
+   WHEN is_object AND n_object AND n_action = action AND n_versions = versions THEN 'repeat' WHEN is_object AND n_object AND n_action = action THEN 'local_adjustment' ELSE 'revision' END AS bucket
+ FROM (SELECT *, lead(outcome) OVER w AS n_outcome, lead(is_object) OVER w AS n_object, lead(action) OVER w AS n_action, lead(versions) OVER w AS n_versions
+       FROM (SELECT *, CASE WHEN turn % 11 = 0 THEN 0 ELSE turn // 300 END AS t FROM v_turns) WINDOW w AS (PARTITION BY run_id, episode_id ORDER BY t, turn)))
+WHERE bucket IS NOT NULL GROUP BY run_id, bucket""",
+)
+def stable_turn_order(spark, sf):
+    """Turn numbers are shared by many rows or missing; position decides among equal ones."""
+    t = turns(spark, sf).withColumn("pos", F.col("turn"))
+    t = t.withColumn("turn", F.when(F.col("pos") % 11 != 0, F.expr("pos div 300")))
+    d = S.classify_rejections(S.stable_turns(t, "pos"))
+    return d.where(F.col("bucket").isNotNull()).groupBy("run_id", "bucket").agg(F.count("*").alias("n"))
+
+
+SELECTION_ERRORS = (
+    "claim 4 cites evidence OUTSIDE supplied set: e9", "Refusal lacks cited evidence coverage", "claim 2 is unsupported by its cited evidence",
+    "schema validation failed at claims/0", "duplicate claim id: c1",
+)
+
+
+@query(
+    "selection_errors",
+    """SELECT user_id % 3 AS run_id, (['EVIDENCE_OUTSIDE_SET', 'REFUSAL_REJECTED', 'UNSUPPORTED_ADDITION', 'SCHEMA_INVALID', 'VALIDATION_REJECTED'])[k % 5 + 1] AS error_code, count(*) AS n
+FROM v_ev WHERE event_type = 'error' GROUP BY ALL""",
+)
+def selection_errors(spark, sf):
+    e = load(spark, sf, "events", "user_id", "event_type", "props").where("event_type = 'error'")
+    message = F.array(*[F.lit(m) for m in SELECTION_ERRORS])[k_of(F.col("props")) % 5]
+    return e.groupBy((F.col("user_id") % 3).alias("run_id"), S.selection_error_code(message).alias("error_code")).agg(F.count("*").alias("n"))
