@@ -20,14 +20,26 @@ from pyspark.sql import functions as F
 CHUNK = 1 << 20
 
 
+def with_chunks(df: DataFrame, order: str, size: int = CHUNK) -> DataFrame:
+    """Add the chunk column, which the functions below then use and keep.
+
+    Steps over the same keys and order that share it also share one shuffle.
+    """
+    return df.withColumn("_chunk", F.expr(f"`{order}` div {int(size)}"))
+
+
 def _chunked(df: DataFrame, keys: Sequence[str], order: str, size: int):
-    with_chunk = df.withColumn("_chunk", F.expr(f"`{order}` div {int(size)}"))
+    with_chunk = df if "_chunk" in df.columns else with_chunks(df, order, size)
     chunk_keys = [*keys, "_chunk"]
     inside = Window.partitionBy(*chunk_keys).orderBy(order)
     across = Window.partitionBy(*keys).orderBy("_chunk")
     return with_chunk, chunk_keys, inside, across
 
 
+def _added(df: DataFrame) -> list[str]:
+    return [] if "_chunk" in df.columns else ["_chunk"]
+
+
 def neighbour(
     df: DataFrame,
     keys: Sequence[str],
@@ -52,7 +64,7 @@ def neighbour(
         data.withColumn("_near", shift("_own").over(inside))
         .join(edges, chunk_keys, "left")
         .withColumn(name, F.coalesce("_near", "_far").getField("v"))
-        .drop("_chunk", "_own", "_near", "_far")
+        .drop("_own", "_near", "_far", *_added(df))
     )
 
 
@@ -82,7 +94,7 @@ def running_sums(
         data = data.withColumn(
             name, F.coalesce(f"_r_{name}", F.lit(0)) + F.coalesce(f"_b_{name}", F.lit(0))
         )
-    return data.drop("_chunk", *[f"_{p}_{n}" for n in names for p in ("x", "r", "b")])
+    return data.drop(*_added(df), *[f"_{p}_{n}" for n in names for p in ("x", "r", "b")])
 
 
 def positions(

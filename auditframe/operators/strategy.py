@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from auditframe.functions.canon import half_even, map_key, ratio
-from auditframe.functions.ordered import neighbour, running_sums
+from auditframe.functions.ordered import neighbour, running_sums, with_chunks
 
 EPISODE = ["run_id", "episode_id"]
 
@@ -67,8 +67,12 @@ def stable_turns(turns: DataFrame, pos: str) -> DataFrame:
     return turns.withColumn("turn", F.shiftleft(turn, 40) + F.col(pos))
 
 
-def classify_rejections(turns: DataFrame) -> DataFrame:
-    """Add ``bucket``: the response to each rejected turn, NULL on other turns."""
+def classify_rejections(turns: DataFrame, *, keep_chunks: bool = False) -> DataFrame:
+    """Add ``bucket``: the response to each rejected turn, NULL on other turns.
+
+    With ``keep_chunks`` the chunk column stays, so that ``episode_strategy`` goes on
+    with the same shuffle.
+    """
     approach = F.when(F.col("request_is_object"), F.struct("surface", "action"))
     signature = F.when(
         F.col("request_is_object"),
@@ -76,7 +80,7 @@ def classify_rejections(turns: DataFrame) -> DataFrame:
     )
     prepared = turns.withColumns({"_approach": approach, "_signature": signature})
     coming = F.struct("outcome", "_approach", "_signature")
-    data = neighbour(prepared, EPISODE, "turn", coming, "_next")
+    data = neighbour(with_chunks(prepared, "turn"), EPISODE, "turn", coming, "_next")
     after = F.col("_next")
 
     def same(field: str) -> Column:
@@ -89,7 +93,7 @@ def classify_rejections(turns: DataFrame) -> DataFrame:
         .when(same("_approach"), "local_adjustment")
         .otherwise("revision")
     )
-    return data.withColumn("bucket", bucket).drop("_next", "_approach", "_signature")
+    return data.withColumn("bucket", bucket).drop("_next", "_approach", "_signature", *([] if keep_chunks else ["_chunk"]))
 
 
 def episode_strategy(classified: DataFrame) -> DataFrame:
@@ -97,7 +101,7 @@ def episode_strategy(classified: DataFrame) -> DataFrame:
     the first revision (NULL when there is none)."""
     is_repeat = F.col("bucket").eqNullSafe("repeat")
     run = running_sums(
-        classified.select(*EPISODE, "turn", "outcome", "bucket"),
+        classified.select(*EPISODE, "turn", "outcome", "bucket", *[c for c in classified.columns if c == "_chunk"]),
         EPISODE,
         "turn",
         {

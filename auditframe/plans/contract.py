@@ -5,7 +5,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from auditframe.functions.canon import cents
-from auditframe.functions.ordered import CHUNK, neighbour, positions
+from auditframe.functions.ordered import CHUNK, neighbour, positions, with_chunks
 from auditframe.operators import contract as C
 from auditframe.operators.sensitivity import sensitivity
 from auditframe.plans.registry import query, sql_view
@@ -327,11 +327,12 @@ def histories(spark, sf, *, faults: bool = True):
         F.col("event_type").alias("to_state"),
     )
     keys = ["episode_id", "object_id"]
-    numbered = positions(e, keys, "step", "to_version")
+    numbered = positions(with_chunks(e, "step"), keys, "step", "to_version")
     linked = neighbour(numbered, keys, "step", F.struct("to_state", "to_version"), "_p", back=True)
     bump = F.when(F.col("step") % 101 == 0, 7).otherwise(0) if faults else F.lit(0)
+    # The chunk column stays for checks over the same keys; those over other keys drop it.
     return linked.select(
-        *keys, "step", F.col("_p.to_state").alias("from_state"), (F.col("_p.to_version") + bump).alias("from_version"), "to_state", "to_version"
+        *keys, "step", "_chunk", F.col("_p.to_state").alias("from_state"), (F.col("_p.to_version") + bump).alias("from_version"), "to_state", "to_version"
     )
 
 
@@ -385,7 +386,7 @@ def state_drift(spark, sf):
   FROM v_hist)""",
 )
 def state_after_step(spark, sf):
-    out = C.state_after_step(histories(spark, sf, faults=False), ["episode_id"], "step")
+    out = C.state_after_step(histories(spark, sf, faults=False).drop("_chunk"), ["episode_id"], "step")
     return out.select("episode_id", "step", F.col("state_digest").cast("string").alias("state_digest"))
 
 

@@ -109,7 +109,7 @@ def strategy_buckets(spark, sf):
 
 
 def per_episode(spark, sf):
-    return S.episode_strategy(S.classify_rejections(turns(spark, sf)))
+    return S.episode_strategy(S.classify_rejections(turns(spark, sf), keep_chunks=True))
 
 
 @query(

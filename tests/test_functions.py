@@ -11,7 +11,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from auditframe.functions import canon, quantiles, text
-from auditframe.functions.ordered import latest, neighbour, positions, running_sums
+from auditframe.functions.ordered import latest, neighbour, positions, running_sums, with_chunks
 from tests.conftest import rows
 
 
@@ -49,6 +49,14 @@ def test_results_do_not_depend_on_partitioning(sample):
     assert rows(once, "key", "o", "n") == rows(again, "key", "o", "n")
 
 
+def test_shared_chunks_give_the_same_and_save_a_shuffle(sample):
+    def chained(df):
+        return running_sums(neighbour(df, ["key"], "o", F.col("v"), "n", size=50), ["key"], "o", {"s": F.col("n")}, size=50)
+
+    shared = chained(with_chunks(sample, "o", 50))
+    assert rows(shared, "key", "o", "n", "s") == rows(chained(sample), "key", "o", "n", "s")
+
+
 def test_latest_keeps_the_last_row(make):
     d = make("k INT, o INT, v STRING", (1, 1, "a"), (1, 3, "c"), (1, 2, "b"), (2, 1, None))
     assert rows(latest(d, ["k"], "o", "v")) == [(1, "c"), (2, None)]
