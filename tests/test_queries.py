@@ -9,13 +9,14 @@ import os
 import pytest
 
 import __spark_entry__ as entry
+from auditframe.plans import ORACLES, QUERIES
 from tests.oracle import DATA, compare, connect
 
 SOME = (
     "strategy_run", "usage_nullsafe", "authoritative_docs", "gold_cases", "ledger_conservation", "version_chain", "panel_grouping_sets", "panel_medians",
     "claim_errors", "citation_markers", "contamination", "paired_bootstrap", "cost_cards", "readiness", "manifest_diff", "requirement_status", "jsonl_scan", "dedup_stream",
 )
-NAMES = list(entry.queries()) if os.environ.get("AUDITFRAME_ALL") else SOME
+NAMES = list(QUERIES) if os.environ.get("AUDITFRAME_ALL") else SOME
 
 
 @pytest.fixture(scope="module")
@@ -25,12 +26,13 @@ def con():
 
 @pytest.mark.parametrize("name", NAMES)
 def test_query_equals_sql(spark, con, name):
-    problem = compare(spark, con, name, entry.queries()[name], entry.oracle_sql()[name], DATA.format("0.001"))
+    problem = compare(spark, con, name, QUERIES[name], ORACLES[name], DATA.format("0.001"))
     assert problem in (None, "no rows")
 
 
 def test_every_query_has_sql():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(QUERIES) == set(ORACLES)
+    assert set(QUERIES) <= set(entry.queries())
 
 
 def test_entry_has_rows(spark):
