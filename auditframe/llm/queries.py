@@ -1,5 +1,7 @@
 """Imports every operator, so that its query is registered."""
-from auditframe.llm import exact_dedup  # noqa: F401
+from auditframe.llm import (  # noqa: F401
+    decontaminate, exact_dedup,
+)
 from auditframe.llm.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
