@@ -1,6 +1,6 @@
 """Imports every operator, so that its query is registered."""
 from auditframe.llm import (  # noqa: F401
-    decontaminate, exact_dedup,
+    chat, decontaminate, exact_dedup,
 )
 from auditframe.llm.registry import ORACLES, QUERIES
 
