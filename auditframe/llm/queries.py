@@ -1,6 +1,6 @@
 """Imports every operator, so that its query is registered."""
 from auditframe.llm import (  # noqa: F401
-    chat, decontaminate, exact_dedup, pii, toxicity,
+    chat, decontaminate, exact_dedup, pii, quality, toxicity,
 )
 from auditframe.llm.registry import ORACLES, QUERIES
 
