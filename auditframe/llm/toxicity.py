@@ -6,7 +6,7 @@ itself and its beginnings, hashed into BUCKETS); a document is toxic unless all
 the sentences to blame are found without ever having been marked.
 
 The model is fitted on the driver from at most SAMPLE labelled documents of each label, the first by a hash of
-their id; each label is weighted by its share among all labelled rows. Scoring covers every sentence of every
+their id; each label is weighted by the root of its share among all labelled rows. Scoring covers every sentence of every
 whole text in Arrow batches; a task holds one batch and a bounded table of word weights.
 
 A NULL or empty text has no sentence: its score is 0 and it has no offending sentences. A text without words
@@ -17,6 +17,7 @@ NULL ids are not used. Other columns are not read.
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 from zlib import crc32
 
@@ -30,7 +31,7 @@ from auditframe.llm.registry import query
 
 BUCKETS = 1 << 18
 BEGINNINGS = (3, 4, 5, 6)
-SAMPLE = 3000
+SAMPLE = 2500
 STEPS = 250
 #: Features of fewer sampled documents get no weight: they could only be learnt by heart.
 LEAST_BAGS = 4
@@ -60,40 +61,45 @@ def sentences(text: str | None) -> list[tuple[int, int]]:
     return found
 
 
-def fit_weights(texts: list[str], y: np.ndarray, weight: np.ndarray, steps: int = STEPS, rate: float = 0.15, shrink: float = 0.03) -> tuple[float, np.ndarray]:
+def fit_weights(texts: list[str], y: np.ndarray, weight: np.ndarray, steps: int = STEPS, rate: float = 0.15, shrink: float = 0.01) -> tuple[float, np.ndarray]:
     """(bias, weights): full-batch Adam on the noisy-or likelihood of the bags.
 
     With s = -log(1 - p_document) = sum of softplus(z) over the sentences, the gradient of the
     log-likelihood of a toxic bag by z is logistic(z) * exp(-s) / (1 - exp(-s)), of a clean one -logistic(z).
     """
-    ids: dict[str, np.ndarray] = {}
-    entries, of_sentence, of_bag = [], [], []
+    ids: dict[str, int] = {}
+    words_of, ends, bags = array("i"), [], []
     for bag, text in enumerate(texts):
         for start, end in sentences(text):
-            for word in WORDS.findall(text[start:end].lower()):
-                if word not in ids:
-                    ids[word] = np.array(word_features(word), np.int32)
-                entries.append(ids[word])
-            of_sentence.append(len(entries))
-            of_bag.append(bag)
-    lengths = np.array([len(e) for e in entries], np.int64)
-    flat = np.concatenate(entries) if entries else np.zeros(0, np.int32)
-    ends = np.concatenate([[0], np.cumsum(lengths)])[np.array(of_sentence, np.int64)] if of_sentence else np.zeros(0, np.int64)
-    begins = np.concatenate([[0], ends[:-1]]) if len(ends) else ends
-    row = np.repeat(np.arange(len(ends)), ends - begins).astype(np.int32)
-    bags = np.array(of_bag, np.int64)
-    pairs = np.unique(bags[row] * BUCKETS + flat)
-    common = np.bincount(pairs % BUCKETS, minlength=BUCKETS) >= LEAST_BAGS
-    flat, row = flat[common[flat]], row[common[flat]]
+            words_of.extend([ids.setdefault(word, len(ids)) for word in WORDS.findall(text[start:end].lower())])
+            ends.append(len(words_of))
+            bags.append(bag)
+    # Occurrences of words with their sentences, and the features of each word: a sentence is never expanded into features.
+    word, bags = np.array(words_of, np.int64), np.array(bags, np.int64)
+    sizes = np.diff(np.array([0, *ends], np.int64))
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    marks = [word_features(w) for w in ids]
+    lengths = np.array([len(m) for m in marks], np.int64)
+    flat = np.array([f for m in marks for f in m], np.int64)
+    owner = np.repeat(np.arange(len(marks)), lengths)
+    # In how many documents each feature stands.
+    pairs = np.unique(bags[row] * max(1, len(ids)) + word)
+    first = np.concatenate([[0], np.cumsum(lengths)[:-1]]) if len(lengths) else np.zeros(0, np.int64)
+    of = pairs % max(1, len(ids))
+    inner = np.arange(lengths[of].sum()) - np.repeat(np.cumsum(lengths[of]) - lengths[of], lengths[of])
+    seen = np.unique(np.repeat(pairs // max(1, len(ids)), lengths[of]) * BUCKETS + flat[np.repeat(first[of], lengths[of]) + inner])
+    common = np.bincount(seen % BUCKETS, minlength=BUCKETS) >= LEAST_BAGS
+    del pairs, of, inner, seen
+    flat, owner = flat[common[flat]], owner[common[flat]]
     w, bias = np.zeros(BUCKETS), -4.0
     m, v, mb, vb = np.zeros(BUCKETS), np.zeros(BUCKETS), 0.0, 0.0
     for step in range(1, steps + 1):
-        z = bias + np.bincount(row, w[flat], len(ends))
+        z = bias + np.bincount(row, np.bincount(owner, w[flat], len(marks))[word], len(sizes))
         p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
         s = np.bincount(bags, np.logaddexp(0, z), len(texts))
         up = np.exp(-s) / np.maximum(1 - np.exp(-s), 1e-9)
         dz = p * np.where(y > 0, np.minimum(up, 1e3), -1.0)[bags] * weight[bags]
-        g = np.bincount(flat, dz[row], BUCKETS) / len(texts)
+        g = np.bincount(flat, np.bincount(word, dz[row], len(marks))[owner], BUCKETS) / len(texts)
         gb = dz.sum() / len(texts)
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         mb, vb = 0.9 * mb + 0.1 * gb, 0.99 * vb + 0.01 * gb * gb
@@ -124,7 +130,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict:
     y = np.array([r["label"] for r in rows], float)
     if not 0 < y.sum() < len(y):
         return {"share": share}
-    ratio = {1: share / y.mean(), 0: (1 - share) / (1 - y.mean())}
+    # Halfway between equal labels and their shares: a missed toxic document weighs more than a false alarm.
+    ratio = {1: (share / y.mean()) ** 0.5, 0: ((1 - share) / (1 - y.mean())) ** 0.5}
     bias, weights = fit_weights([r["text"] or "" for r in rows], y, np.array([ratio[int(v)] for v in y]))
     return {"share": share, "bias": bias, "weights": weights}
 
