@@ -1,6 +1,6 @@
 """Imports every operator, so that its query is registered."""
 from auditframe.llm import (  # noqa: F401
-    bpe, chat, decontaminate, exact_dedup, pii, quality, toxicity,
+    bpe, chat, decontaminate, exact_dedup, ngram_join, pii, quality, toxicity,
 )
 from auditframe.llm.registry import ORACLES, QUERIES
 
