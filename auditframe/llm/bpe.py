@@ -30,7 +30,7 @@ from auditframe.llm.base import table
 from auditframe.llm.registry import query
 
 #: Entries of a worker's tables of states, pieces and neighbours, beyond which a table starts anew.
-STATES, PIECES, PAIRS = 1 << 17, 1 << 18, 1 << 20
+STATES, PIECES, PAIRS = 1 << 18, 1 << 20, 1 << 20
 BYTES = [bytes((b,)) for b in range(256)]
 #: Tokens decoded at a time.
 BLOCK = 4096
@@ -54,7 +54,7 @@ class Transducer:
 
     def _restart(self) -> None:
         start = ((b"", (), -1),)
-        self.states, self.hypotheses, self.moves, self.last = {start: 0}, [start], [{}], [()]
+        self.states, self.hypotheses, self.moves, self.last = {start: 0}, [start], {}, [()]
 
     def trace(self, token: bytes) -> tuple[bool, list[tuple[bytes, int, int]], list[tuple[bytes, int, int]]]:
         """Whether the merges give the token itself, and the parts that ever stood at its left and at its right end.
@@ -131,9 +131,8 @@ class Transducer:
         if found is None:
             found = self.states[key] = len(self.hypotheses)
             self.hypotheses.append(key)
-            self.moves.append({})
             self.last.append(key[-1][1])
-        made = self.moves[state][byte] = (found, first[:shared])
+        made = self.moves[state << 8 | byte] = (found, first[:shared])
         return made
 
     def encode(self, piece: bytes) -> tuple[int, ...]:
@@ -145,7 +144,7 @@ class Transducer:
         out: list[int] = []
         state, moves = 0, self.moves
         for byte in piece:
-            move = moves[state].get(byte)
+            move = moves.get(state << 8 | byte)
             if move is None:
                 move = self._move(state, byte)
             state, sent = move
