@@ -1,7 +1,11 @@
 """What the operators of this package share: tables, written intermediate results, words."""
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,6 +48,36 @@ def ascii_lower(text: Column) -> Column:
     return F.when(plain, F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name like ``name`` that ``df`` does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
+def map_texts(docs: DataFrame, id_column: str, text_column: str, columns: dict[str, tuple[str, pa.DataType]], make: Callable) -> DataFrame:
+    """doc_id and ``columns`` (name: Spark type, Arrow type) made from texts in Arrow batches.
+
+    ``make()`` is called once per task and gives a function from a list of texts (NULL is None) to a DataFrame with a
+    row per text, or with a column ``at`` that names the text of each row. Ids pass as they are, NULLs included.
+    """
+    kind = docs.schema[id_column].dataType.simpleString()
+    schema = ", ".join([f"doc_id {kind}", *[f"{name} {spark_type}" for name, (spark_type, _) in columns.items()]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        work = make()
+        for batch in batches:
+            ids, made = batch.column(0), work(batch.column(1).to_pylist())
+            if "at" in made:
+                ids = ids.take(pa.array(made["at"], pa.int64()))
+            arrays = [pa.array(made[name], type=arrow, from_pandas=True) for name, (_, arrow) in columns.items()]
+            yield pa.RecordBatch.from_arrays([ids, *arrays], ["doc_id", *columns])
+
+    picked = docs.select(F.col(f"`{id_column}`").alias("doc_id"), F.col(f"`{text_column}`").cast("string").alias("text"))
+    return picked.mapInArrow(run, schema)
+
+
 def crc_mod(number: Column, modulus: int) -> Column:
     """crc32 of the number's decimal text, modulo ``modulus``; NULL counts as the empty text."""
     return F.crc32(F.coalesce(number.cast("string"), F.lit("")).cast("binary")) % modulus

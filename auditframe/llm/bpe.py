@@ -23,10 +23,11 @@ from itertools import chain
 import numpy as np
 import pandas as pd
 import public_tokenizers
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from auditframe.llm.base import table
+from auditframe.llm.base import map_texts, table
 from auditframe.llm.registry import query
 
 #: Entries of a worker's tables of states, pieces and neighbours, beyond which a table starts anew.
@@ -231,14 +232,12 @@ def rank_file(path: str) -> bytes:
 def encode_rows(docs: DataFrame, raw: bytes, id_column: str = "doc_id", text_column: str = "text", pattern: str = public_tokenizers.PATTERN) -> DataFrame:
     """doc_id, ids array<int> of every whole text. The rank file travels once per executor (its size is its bound)."""
     shared = docs.sparkSession.sparkContext.broadcast(raw)
-    kind = docs.schema[id_column].dataType.simpleString()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def make():
         codec = codec_of(shared.value, pattern)
-        for batch in batches:
-            yield pd.DataFrame({"doc_id": batch["_id"], "ids": [np.array(codec.encode(t), np.int32) for t in batch["_text"]]})
+        return lambda texts: pd.DataFrame({"ids": [np.array(codec.encode(t), np.int32) for t in texts]})
 
-    return docs.selectExpr(f"`{id_column}` AS _id", f"`{text_column}` AS _text").mapInPandas(run, f"doc_id {kind}, ids array<int>")
+    return map_texts(docs, id_column, text_column, {"ids": ("array<int>", pa.list_(pa.int32()))}, make)
 
 
 def decode_rows(tokens: DataFrame, raw: bytes, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
@@ -246,37 +245,38 @@ def decode_rows(tokens: DataFrame, raw: bytes, pattern: str = public_tokenizers.
     shared = tokens.sparkSession.sparkContext.broadcast(raw)
     kind = tokens.schema["doc_id"].dataType.simpleString()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = codec_of(shared.value, pattern)
         for batch in batches:
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "text": [codec.decode([] if ids is None else ids.tolist()) for ids in batch["ids"]]})
+            texts = pa.array([codec.decode(ids or []) for ids in batch.column(1).to_pylist()], pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column(0), texts], ["doc_id", "text"])
 
-    return tokens.select("doc_id", "ids").mapInPandas(run, f"doc_id {kind}, text string")
+    return tokens.select("doc_id", "ids").mapInArrow(run, f"doc_id {kind}, text string")
 
 
 def digest_rows(docs: DataFrame, raw: bytes, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256, n_chars: encoded, then decoded from the ids, in one pass."""
     shared = docs.sparkSession.sparkContext.broadcast(raw)
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string, n_chars long"
+    columns = {"n_tokens": ("long", pa.int64()), "ids_sha256": ("string", pa.string()), "decoded_sha256": ("string", pa.string()), "n_chars": ("long", pa.int64())}
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def make():
         codec = codec_of(shared.value, pattern)
         names = {rank: str(rank) for rank in codec.token_bytes}
-        for batch in batches:
+
+        def work(texts: list[str | None]) -> pd.DataFrame:
             rows = []
-            for text in batch["text"]:
+            for text in texts:
                 ids = codec.encode(text)
                 digest, chars = hashlib.sha256(), 0
                 for chunk, part in codec.stream(ids):
                     digest.update(chunk)
                     chars += len(part)
                 rows.append((len(ids), hashlib.sha256(",".join(map(names.__getitem__, ids)).encode()).hexdigest(), digest.hexdigest(), chars))
-            made = pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256", "n_chars"])
-            made.insert(0, "doc_id", batch["doc_id"].to_numpy())
-            yield made
+            return pd.DataFrame(rows, columns=list(columns))
+
+        return work
 
-    return docs.select("doc_id", "text").mapInPandas(run, schema)
+    return map_texts(docs, "doc_id", "text", columns, make)
 
 
 @query("op6_byte_bpe")

@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditframe.llm.base import ascii_lower, small_side, stored, table, text_of
+from auditframe.llm.base import ascii_lower, fresh, small_side, stored, table, text_of
 from auditframe.llm.registry import query
 
 WIDTH = 10
@@ -139,8 +139,9 @@ def contamination(docs: DataFrame, items: DataFrame, width: int = WIDTH) -> Data
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, width: int = WIDTH) -> DataFrame:
     """The documents without any hit, columns unchanged; rows with a NULL id stay."""
-    bad = stored(contamination(docs, items, width).where("n_hit > 0").select(F.col("doc_id").alias("_id")).distinct())
-    return docs.join(small_side(bad), F.col("doc_id") == F.col("_id"), "left_anti")
+    key = fresh(docs, "_id")
+    bad = stored(contamination(docs, items, width).where("n_hit > 0").select(F.col("doc_id").alias(key)).distinct())
+    return docs.join(small_side(bad), F.col("doc_id") == F.col(key), "left_anti")
 
 
 @query("op4_benchmark_decontamination", r"""

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditframe.llm.base import small_side, stored, table, text_of
+from auditframe.llm.base import fresh, small_side, stored, table, text_of
 from auditframe.llm.registry import query
 
 FAN_IN = 64
@@ -79,15 +79,16 @@ def drop_copies(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     groups = stored(exact_groups(docs, id_column, text_column).where("group_size > 1"))
     found = groups.groupBy("doc_id", *IDENTITY).agg(F.max("kept").alias("any_kept"), F.count("*").alias("rows"))
     # Rows that go, and rows that stay but stand there several times under one id.
-    touched = stored(found.where("not any_kept or rows > 1").select(F.col("doc_id").alias("_id"), *[F.col(c).alias(f"_{c}") for c in IDENTITY], "any_kept"))
-    dropped, repeated = touched.where("not any_kept"), touched.where("any_kept")
-    keyed = docs.withColumn("_identity", identity(normal(text_of(text_column))))
-    match = F.col(id_column).eqNullSafe(F.col("_id"))
+    own, other = fresh(docs, "_identity"), fresh(docs, "_touched")
+    touched = stored(found.where("not any_kept or rows > 1").select(F.struct("doc_id", *IDENTITY).alias(other), "any_kept"))
+    dropped, repeated = touched.where("not any_kept").select(other), touched.where("any_kept").select(other)
+    keyed = docs.withColumn(own, identity(normal(text_of(text_column))))
+    match = F.col(id_column).eqNullSafe(F.col(f"{other}.doc_id"))
     for c in IDENTITY:
-        match = match & (F.col(f"_identity.{c}") == F.col(f"_{c}"))
+        match = match & (F.col(f"{own}.{c}") == F.col(f"{other}.{c}"))
     kept = keyed.join(small_side(dropped), match, "left_anti")
     if not repeated.isEmpty():
-        once = kept.join(repeated, match, "left_semi").dropDuplicates([id_column, "_identity"])
+        once = kept.join(repeated, match, "left_semi").dropDuplicates([id_column, own])
         kept = kept.join(repeated, match, "left_anti").unionByName(once)
     return kept.select(*docs.columns)
 

@@ -23,10 +23,11 @@ from zlib import crc32
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditframe.llm.base import stored, table
+from auditframe.llm.base import map_texts, stored, table
 from auditframe.llm.registry import query
 
 #: Vocabulary, classes, places for other words, neighbours on a side, and the width of the hidden layer.
@@ -180,7 +181,7 @@ def train(docs: DataFrame, known: dict[str, int], rounds: int = ROUNDS, text_col
                     learn(own, sums, tokens[at : at + STEP], near[at : at + STEP])
 
             for batch in batches:
-                for text in batch[text_column]:
+                for text in batch["text"]:
                     held.append(encode(text))
                     size += len(held[-1])
                     if size >= 8 * STEP:
@@ -209,7 +210,7 @@ def train(docs: DataFrame, known: dict[str, int], rounds: int = ROUNDS, text_col
             if at is not None:
                 yield pd.DataFrame({"block": [at], "values": [(total / weight).astype(np.float32).tobytes()]})
 
-        copies = stored(docs.select(text_column).mapInPandas(run, "block long, tokens long, values binary"))
+        copies = stored(docs.select(F.col(text_column).alias("text")).mapInPandas(run, "block long, tokens long, values binary"))
         averaged = copies.repartition("block").sortWithinPartitions("block", "tokens", "values").mapInPandas(mean, "block long, values binary")
         rows = sorted(averaged.collect())  # as many as the network has blocks
         if rows:
@@ -220,24 +221,25 @@ def train(docs: DataFrame, known: dict[str, int], rounds: int = ROUNDS, text_col
 def score(docs: DataFrame, known: dict[str, int], model: dict[str, np.ndarray], id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """doc_id, n_tokens, log_likelihood (the sum), mean (per token)."""
     shared = docs.sparkSession.sparkContext.broadcast((known, model))
-    kind = docs.schema[id_column].dataType.simpleString()
+    columns = {"n_tokens": ("long", pa.int64()), "log_likelihood": ("double", pa.float64()), "mean": ("double", pa.float64())}
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def make():
         known, m = shared.value
         encode = Encoder(known)
-        for batch in batches:
-            out = []
-            for at in range(0, len(batch), 64):
-                texts = [encode(t) for t in batch["_text"][at : at + 64]]
-                sizes = np.array([len(t) for t in texts])
-                p = log_probability(m, *contexts(texts))
+
+        def work(texts: list[str | None]) -> pd.DataFrame:
+            out = [(np.zeros(0, np.int64), np.zeros(0))]
+            for at in range(0, len(texts), 64):
+                coded = [encode(t) for t in texts[at : at + 64]]
+                sizes = np.array([len(t) for t in coded])
+                p = log_probability(m, *contexts(coded))
                 out.append((sizes, np.add.reduceat(np.append(p, 0.0), np.minimum(np.cumsum(sizes) - sizes, len(p))) * (sizes > 0)))
-            n, total = (np.concatenate([o[k] for o in out]) if out else np.zeros(0) for k in (0, 1))
-            mean = pd.Series(np.where(n > 0, total / np.maximum(n, 1), np.nan)).astype("Float64")
-            mean[n == 0] = pd.NA
-            yield pd.DataFrame({"doc_id": batch["_id"].to_numpy(), "n_tokens": n.astype(np.int64), "log_likelihood": total, "mean": mean})
+            n, total = (np.concatenate([o[k] for o in out]) for k in (0, 1))
+            return pd.DataFrame({"n_tokens": n, "log_likelihood": total, "mean": np.where(n > 0, total / np.maximum(n, 1), np.nan)})
+
+        return work
 
-    return docs.selectExpr(f"`{id_column}` AS _id", f"`{text_column}` AS _text").mapInPandas(run, f"doc_id {kind}, n_tokens long, log_likelihood double, mean double")
+    return map_texts(docs, id_column, text_column, columns, make)
 
 
 @query("op7_lm_scoring")

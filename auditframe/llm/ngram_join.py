@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from auditframe.llm.base import mix, small_side, stored, table
+from auditframe.llm.base import fresh, map_texts, mix, small_side, stored, table
 from auditframe.llm.components import components
 from auditframe.llm.registry import query
 
@@ -101,7 +101,7 @@ def prefix_size(n):
 
 
 def set_id(shingles: np.ndarray) -> int:
-    return np.int64(np.uint64(xxh3_64_intdigest(shingles.tobytes())))
+    return int(np.uint64(xxh3_64_intdigest(shingles.tobytes())).astype(np.int64))
 
 
 def counts_of(shingles: np.ndarray) -> np.ndarray:
@@ -144,14 +144,17 @@ def common_shingles(docs: DataFrame, text_column: str) -> np.ndarray:
 def features(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
     """Stored: row, doc_id, n, set_id, counts, sketches and prefix of every row of ``docs``."""
     common = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, text_column))
-    kind = docs.schema[id_column].dataType.simpleString()
+    columns = {
+        "n": ("long", pa.int64()), "set_id": ("long", pa.int64()), "counts": ("binary", pa.binary()), "sketches": ("array<long>", pa.list_(pa.int64())), "prefix": ("binary", pa.binary()),
+    }
     seeds = mix(np.arange(1, SKETCHES + 1, dtype=np.uint64) * SALT)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def make():
         hot = common.value
-        for batch in batches:
+
+        def work(texts: list[str | None]) -> dict[str, list]:
             out = []
-            for one in shingle_sets(batch["_text"].tolist()):
+            for one in shingle_sets(texts):
                 if not len(one):
                     out.append((0, None, None, None, None))
                     continue
@@ -162,14 +165,11 @@ def features(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
                     ordered = one
                 least = [mix(one ^ seed).min() for seed in seeds]
                 out.append((len(one), set_id(one), counts_of(one).tobytes(), np.array(least, np.uint64).view(np.int64).tolist(), ordered[: prefix_size(len(one))].tobytes()))
-            made = pd.DataFrame(out, columns=["n", "set_id", "counts", "sketches", "prefix"])
-            made["set_id"] = made["set_id"].astype("Int64")
-            made.insert(0, "doc_id", batch["_id"].to_numpy())
-            yield made
+            return {name: [o[k] for o in out] for k, name in enumerate(columns)}
 
-    rows = docs.selectExpr(f"`{id_column}` AS _id", f"`{text_column}` AS _text").mapInPandas(
-        run, f"doc_id {kind}, n long, set_id long, counts binary, sketches array<long>, prefix binary"
-    )
+        return work
+
+    rows = map_texts(docs, id_column, text_column, columns, make)
     return stored(rows.select(F.monotonically_increasing_id().alias("row"), "*"))
 
 
@@ -304,19 +304,19 @@ def tree_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame({"a": made[:, 0], "b": made[:, 1]})
 
 
-def verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, id_column: str, text_column: str) -> DataFrame:
+def verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     """Stored: the pairs (a, b) whose sets have similarity 3/4 or more; only texts in pairs are read into sets again."""
     wanted = pairs.select(F.col("a").alias("set_id")).union(pairs.select("b")).distinct()
     ids = stored(nodes.join(wanted, "set_id", "left_semi").select(F.col("doc_id").alias("_want"), "set_id"))
-    kept = docs.join(small_side(ids.select("_want").distinct()), F.col(id_column).eqNullSafe(F.col("_want")), "left_semi")
+    kept = docs.join(small_side(ids.select("_want").distinct()), F.col("doc_id").eqNullSafe(F.col("_want")), "left_semi")
 
     def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            sets = list(shingle_sets(batch[text_column].tolist()))
+            sets = list(shingle_sets(batch["text"].tolist()))
             yield pd.DataFrame([(set_id(s), s.tobytes()) for s in sets if len(s)], columns=["set_id", "shingles"])
 
     # Copies of one set and texts of a shared id are met here; one of each set is needed.
-    sets = kept.select(text_column).mapInPandas(make, "set_id long, shingles binary")
+    sets = kept.select("text").mapInPandas(make, "set_id long, shingles binary")
     sets = stored(sets.join(small_side(ids.select("set_id")), "set_id", "left_semi").groupBy("set_id").agg(F.first("shingles").alias("shingles")))
     side = lambda name, other: sets.select(F.col("set_id").alias(name), F.col("shingles").alias(other))
     joined = pairs.join(side("a", "sa"), "a").join(side("b", "sb"), "b")
@@ -335,7 +335,8 @@ def verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, id_column: str
 
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest id of the documents that links reach), one row per row of ``docs``."""
-    rows = features(docs, id_column, text_column)
+    docs = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).cast("string").alias("text"))
+    rows = features(docs, "doc_id", "text")
     filled = rows.where("set_id is not null")
     firsts = stored(filled.groupBy("set_id").agg(F.min("row").alias("row"), F.count("*").alias("size")))
     # Rows that repeat a set drop out; their number decides whether the list of them travels or the rows do.
@@ -356,7 +357,7 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
                 yield batch.loc[bounded(va, vb, batch["na"].to_numpy(), batch["nb"].to_numpy()), ["a", "b"]]
 
     likely = stored(stored(stars).join(pa_, "a").join(pb_, "b").where("4 * least(na, nb) >= 3 * greatest(na, nb)").mapInPandas(bound, "a long, b long"))
-    folded = verified(docs, nodes, likely, id_column, text_column)
+    folded = verified(docs, nodes, likely)
     labels = components(folded)
 
     # 2. The forest: a tree per shingle of the prefixes, for nodes of different components.
@@ -383,7 +384,7 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     ).select("token", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "comp", "set_id", "n", "counts")
     forest = usual.unionByName(split).repartition("token", "i", "j").sortWithinPartitions("token", "i", "j")
     candidates = stored(forest.mapInPandas(tree_rows, "a long, b long").distinct())
-    linked = verified(docs, nodes, candidates, id_column, text_column)
+    linked = verified(docs, nodes, candidates)
 
     # 3. Components of all links, and their smallest ids.
     found = components(folded.unionByName(linked))
@@ -397,8 +398,9 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
 
 def drop_near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """The document with the smallest id of each component stays, columns unchanged; rows with a NULL id stay."""
-    gone = near_duplicates(docs, id_column, text_column).where("component_id <> doc_id").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(small_side(stored(gone)), F.col(id_column) == F.col("_id"), "left_anti")
+    key = fresh(docs, "_id")
+    gone = near_duplicates(docs, id_column, text_column).where("component_id <> doc_id").select(F.col("doc_id").alias(key)).distinct()
+    return docs.join(small_side(stored(gone)), F.col(id_column) == F.col(key), "left_anti")
 
 
 @query("op1_ngram_jaccard_join", r"""

@@ -104,7 +104,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict:
     usable = labels.where("doc_id is not null and label in (0, 1)").select(F.col("doc_id").alias("_id"), "label")
     chosen = stored(usable.orderBy(F.xxhash64(F.col("_id").cast("string")), "_id").limit(sample))
     # At most ``sample`` ids: a bounded broadcast.
-    taught = docs.join(F.broadcast(chosen), F.col("doc_id") == F.col("_id"))
+    taught = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id"))
     rows = statistics(taught.select("doc_id", "text"))
     rows = rows.join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select("doc_id", "label", *STATISTICS).collect()
     rows.sort(key=tuple)
@@ -134,6 +134,7 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
 
 def keep_good(docs: DataFrame, model: dict, least: float = 0.3) -> DataFrame:
     """The documents that score at least ``least``, columns unchanged; one pass without a shuffle."""
+    # The whole row travels in the place of the id.
     row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc_id"), "text")
     kept = score(row, model).where(F.col("score") >= least)
     return kept.select(*[F.col("doc_id").getField(c).alias(c) for c in docs.columns])

@@ -20,11 +20,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from auditframe.llm import trees
-from auditframe.llm.base import stored, table
+from auditframe.llm.base import map_texts, stored, table
 from auditframe.llm.lm import vocabulary
 from auditframe.llm.registry import query
 
@@ -74,23 +75,19 @@ def describe(text: str, start: int, end: int, known: set[str]) -> list[float]:
 def findings(docs: DataFrame, known: dict[str, int], id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Stored: doc_id, start, end, assigned, form, features of every candidate."""
     shared = docs.sparkSession.sparkContext.broadcast({w for w in known if len(w) >= SHORTEST})
-    kind = docs.schema[id_column].dataType.simpleString()
+    columns = {
+        "start": ("int", pa.int32()), "end": ("int", pa.int32()), "assigned": ("boolean", pa.bool_()), "form": ("string", pa.string()), "features": ("array<double>", pa.list_(pa.float64())),
+    }
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for doc, text in zip(batch["_id"], batch["_text"]):
-                for m in CANDIDATE.finditer(text or ""):
-                    form = next((name for name, p in FORMS if p.match(m.group())), "other")
-                    rows.append((doc, m.start(), m.end(), bool(ASSIGNED.search(text[max(0, m.start() - BEFORE) : m.start()])), form, describe(text, m.start(), m.end(), shared.value)))
-                    if len(rows) >= 4096:
-                        yield pd.DataFrame(rows, columns=["doc_id", "start", "end", "assigned", "form", "features"])
-                        rows = []
-            yield pd.DataFrame(rows, columns=["doc_id", "start", "end", "assigned", "form", "features"])
+    def work(texts: list[str | None]) -> pd.DataFrame:
+        rows = []
+        for at, text in enumerate(texts):
+            for m in CANDIDATE.finditer(text or ""):
+                form = next((name for name, p in FORMS if p.match(m.group())), "other")
+                rows.append((at, m.start(), m.end(), bool(ASSIGNED.search(text[max(0, m.start() - BEFORE) : m.start()])), form, describe(text, m.start(), m.end(), shared.value)))
+        return pd.DataFrame(rows, columns=["at", *columns])
 
-    return stored(docs.selectExpr(f"`{id_column}` AS _id", f"`{text_column}` AS _text").mapInPandas(
-        run, f"doc_id {kind}, start int, end int, assigned boolean, form string, features array<double>"
-    ))
+    return stored(map_texts(docs, id_column, text_column, columns, lambda: work))
 
 
 def form_labels(found: DataFrame) -> DataFrame:
@@ -109,15 +106,15 @@ def fit(labelled: DataFrame, sample: int = SAMPLE) -> list[dict] | None:
 
 def score(found: DataFrame, forest: list[dict] | None) -> DataFrame:
     """doc_id, start, end, form, score, secret."""
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if len(batch):
-                x = np.stack(batch["features"].to_list())
-                p = np.mean([trees.predict(t, x) for t in forest], axis=0) if forest else np.ones(len(x))
-                yield pd.DataFrame({"doc_id": batch["doc_id"], "start": batch["start"], "end": batch["end"], "form": batch["form"], "score": p, "secret": p >= ACCEPT})
+            x = np.array(batch.column("features").to_pylist(), float).reshape(batch.num_rows, len(FEATURES))
+            p = np.mean([trees.predict(t, x) for t in forest], axis=0) if forest else np.ones(len(x))
+            kept = [batch.column(c) for c in ("doc_id", "start", "end", "form")]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(p), pa.array(p >= ACCEPT)], ["doc_id", "start", "end", "form", "score", "secret"])
 
     kind = found.schema["doc_id"].dataType.simpleString()
-    return found.select("doc_id", "start", "end", "form", "features").mapInPandas(run, f"doc_id {kind}, start int, end int, form string, score double, secret boolean")
+    return found.select("doc_id", "start", "end", "form", "features").mapInArrow(run, f"doc_id {kind}, start int, end int, form string, score double, secret boolean")
 
 
 @query("op2_secret_scan")

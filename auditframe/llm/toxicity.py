@@ -18,15 +18,15 @@ from __future__ import annotations
 
 import re
 from array import array
-from collections.abc import Iterator
 from zlib import crc32
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditframe.llm.base import crc_mod, stored, table
+from auditframe.llm.base import crc_mod, map_texts, stored, table
 from auditframe.llm.registry import query
 
 BUCKETS = 1 << 18
@@ -138,9 +138,10 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict:
 
 def score(docs: DataFrame, model: dict, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """doc_id, score, n_sentences, offending array<struct<start, end, score>> (code points)."""
-    schema = f"doc_id {docs.schema[id_column].dataType.simpleString()}, score double, n_sentences int, offending array<struct<start:int,end:int,score:double>>"
+    span = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())])
+    columns = {"score": ("double", pa.float64()), "n_sentences": ("int", pa.int32()), "offending": ("array<struct<start:int,end:int,score:double>>", pa.list_(span))}
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def make():
         known: dict[str, float] = {}
         weights = model.get("weights")
 
@@ -148,11 +149,11 @@ def score(docs: DataFrame, model: dict, id_column: str = "doc_id", text_column:
             value = known[word] = float(weights[word_features(word)].sum())
             return value
 
-        for batch in batches:
+        def work(texts: list[str | None]) -> pd.DataFrame:
             out = []
             if len(known) > TABLE:
                 known.clear()
-            for text in batch["_text"]:
+            for text in texts:
                 spans = sentences(text)
                 if weights is None:
                     out.append((model["share"] if spans else 0.0, len(spans), []))
@@ -166,11 +167,11 @@ def score(docs: DataFrame, model: dict, id_column: str = "doc_id", text_column:
                 p = 1 / (1 + np.exp(-z))
                 bad = [{"start": spans[k][0], "end": spans[k][1], "score": float(p[k])} for k in np.flatnonzero(p >= OFFENDING)]
                 out.append((float(1 - np.exp(-np.logaddexp(0, z).sum())), len(spans), bad))
-            yield pd.DataFrame({
-                "doc_id": batch["_id"], "score": [o[0] for o in out], "n_sentences": np.array([o[1] for o in out], np.int32), "offending": [o[2] for o in out],
-            })
+            return pd.DataFrame(out, columns=list(columns))
 
-    return docs.select(F.col(id_column).alias("_id"), F.col(text_column).alias("_text")).mapInPandas(run, schema)
+        return work
+
+    return map_texts(docs, id_column, text_column, columns, make)
 
 
 @query("op9_toxicity")
