@@ -42,9 +42,13 @@ WIDTH = 5
 #: The similarity is at least SHARE[0] / SHARE[1].
 SHARE = (3, 4)
 GROUPS = 64
+#: The largest count a coordinate can hold; points that reach it are not bounded by it.
+FULL = 65_535
 SKETCHES = 4
 #: Nodes of a tree from which it is split into blocks, and of a block.
 LARGE, BLOCK = 4096, 1024
+#: Nodes of a label whose sets meet in one place.
+TEAM = 256
 #: Points of a leaf.
 LEAF = 16
 #: Characters whose words are handled at a time.
@@ -106,7 +110,7 @@ def set_id(shingles: np.ndarray) -> int:
 
 def counts_of(shingles: np.ndarray) -> np.ndarray:
     """The point of a set: its hashes counted by group."""
-    return np.bincount((shingles >> np.uint64(20)).astype(np.int64) % GROUPS, minlength=GROUPS).astype(np.int32)
+    return np.bincount((shingles >> np.uint64(20)).astype(np.int64) % GROUPS, minlength=GROUPS).clip(max=FULL).astype(np.uint16)
 
 
 def common_shingles(docs: DataFrame, text_column: str) -> np.ndarray:
@@ -175,7 +179,8 @@ def features(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
 
 def bounded(va: np.ndarray, vb: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np.ndarray:
     """Whether the summed coordinate minima leave room for similarity 3/4: overlap >= 3/7 of both sizes."""
-    return 7 * np.minimum(va, vb).sum(axis=1) >= 3 * (na + nb)
+    least = np.minimum(va, vb)
+    return (7 * least.sum(axis=1, dtype=np.int64) >= 3 * (na + nb)) | (least.max(axis=1, initial=0) == FULL)
 
 
 def tree_pairs(points: np.ndarray, n: np.ndarray, mine: np.ndarray | None = None) -> np.ndarray:
@@ -185,6 +190,7 @@ def tree_pairs(points: np.ndarray, n: np.ndarray, mine: np.ndarray | None = None
     their corners and sizes leave room. ``mine`` marks the points of a first block: then pairs are between blocks.
     """
     spread = np.argsort(-points.var(axis=0))[:2]
+    n = n.astype(np.int64)
     order = np.lexsort((points[:, spread[1]], points[:, spread[0]], n))
     starts = np.arange(0, len(order), LEAF)
     corner = np.maximum.reduceat(points[order], starts, axis=0)
@@ -193,7 +199,7 @@ def tree_pairs(points: np.ndarray, n: np.ndarray, mine: np.ndarray | None = None
     for k in range(len(starts)):
         last = np.searchsorted(3 * low, 4 * high[k], side="right")  # leaves are in order of size
         near = np.arange(k, last)
-        near = near[7 * np.minimum(corner[near], corner[k]).sum(axis=1) >= 3 * (low[near] + low[k])]
+        near = near[bounded(corner[near], corner[k][None], low[near], low[k])]
         if not len(near):
             continue
         left = order[starts[k] : starts[k] + LEAF]
@@ -277,7 +283,7 @@ def tree_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Of rows (token, i, j, comp, set_id, n, counts) sorted by (token, i, j): pairs a < b of different components that pass the bounds."""
     for rows, _ in grouped(batches, ["token", "i", "j"], 1 << 60):
         comp, ids, n = rows["comp"].to_numpy(), rows["set_id"].to_numpy(), rows["n"].to_numpy()
-        points = np.frombuffer(b"".join(rows["counts"]), np.int32).reshape(len(rows), GROUPS)
+        points = np.frombuffer(b"".join(rows["counts"]), np.uint16).reshape(len(rows), GROUPS)
         codes = rows[["token", "i", "j"]].to_numpy()
         starts = np.flatnonzero(np.concatenate([[True], (codes[1:] != codes[:-1]).any(axis=1)]))
         sizes = np.diff(np.concatenate([starts, [len(rows)]]))
@@ -304,33 +310,48 @@ def tree_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame({"a": made[:, 0], "b": made[:, 1]})
 
 
+def checked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Of rows sorted by (label, i, j, pair) - sets before the pairs that need them - the pairs that link."""
+    held, key = {}, None
+    for batch in batches:
+        ok = np.zeros(len(batch), bool)
+        for k, (label, i, j, a, b, raw) in enumerate(zip(batch["label"], batch["i"], batch["j"], batch["a"], batch["b"], batch["shingles"])):
+            if key != (label, i, j):
+                held, key = {}, (label, i, j)
+            if raw is not None:
+                held[a] = np.frombuffer(raw, np.uint64)
+                continue
+            x, y = held[a], held[b]
+            both = len(np.intersect1d(x, y, assume_unique=True))
+            ok[k] = SHARE[1] * both >= SHARE[0] * (len(x) + len(y) - both)
+        yield batch.loc[ok, ["a", "b"]]
+
+
 def verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Stored: the pairs (a, b) whose sets have similarity 3/4 or more; only texts in pairs are read into sets again."""
-    wanted = pairs.select(F.col("a").alias("set_id")).union(pairs.select("b")).distinct()
-    ids = stored(nodes.join(wanted, "set_id", "left_semi").select(F.col("doc_id").alias("_want"), "set_id"))
-    kept = docs.join(small_side(ids.select("_want").distinct()), F.col("doc_id").eqNullSafe(F.col("_want")), "left_semi")
+    """Stored: the pairs (a, b) of (label, a, b) whose sets have similarity 3/4 or more.
+
+    Only texts in pairs are made into sets again. A set travels once to all pairs of its label, not once per pair; a
+    label of more than TEAM nodes is split into blocks, and pairs meet by their two blocks.
+    """
+    members = pairs.select("label", F.col("a").alias("node")).union(pairs.select("label", "b")).distinct()
+    blocks = stored(members.groupBy("label").agg(F.ceil(F.count("*") / TEAM).alias("blocks")))
+    place = lambda c: F.pmod(F.xxhash64(c), F.col("blocks"))
+    placed = stored(pairs.join(blocks, "label").select("label", place("a").alias("i"), place("b").alias("j"), "a", "b"))
+    needs = stored(placed.select("label", "i", "j", F.col("a").alias("need")).union(placed.select("label", "i", "j", "b")).distinct())
+    ids = stored(nodes.join(small_side(needs.select(F.col("need").alias("set_id")).distinct()), "set_id", "left_semi").select(F.col("doc_id").alias("_want")).distinct())
+    kept = docs.join(small_side(ids), F.col("doc_id").eqNullSafe(F.col("_want")), "left_semi")
 
     def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            sets = list(shingle_sets(batch["text"].tolist()))
-            yield pd.DataFrame([(set_id(s), s.tobytes()) for s in sets if len(s)], columns=["set_id", "shingles"])
+            for at in range(0, len(batch), 512):
+                sets = list(shingle_sets(batch["text"][at : at + 512].tolist()))
+                yield pd.DataFrame([(set_id(s), s.tobytes()) for s in sets if len(s)], columns=["set_id", "shingles"])
 
-    # Copies of one set and texts of a shared id are met here; one of each set is needed.
     sets = kept.select("text").mapInPandas(make, "set_id long, shingles binary")
-    sets = stored(sets.join(small_side(ids.select("set_id")), "set_id", "left_semi").groupBy("set_id").agg(F.first("shingles").alias("shingles")))
-    side = lambda name, other: sets.select(F.col("set_id").alias(name), F.col("shingles").alias(other))
-    joined = pairs.join(side("a", "sa"), "a").join(side("b", "sb"), "b")
-
-    def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            ok = np.zeros(len(batch), bool)
-            for k, (x, y) in enumerate(zip(batch["sa"], batch["sb"])):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                ok[k] = SHARE[1] * both >= SHARE[0] * (len(x) + len(y) - both)
-            yield batch.loc[ok, ["a", "b"]]
-
-    return stored(joined.select("a", "b", "sa", "sb").mapInPandas(check, "a long, b long"))
+    sent = sets.join(small_side(needs), F.col("set_id") == F.col("need")).select("label", "i", "j", F.col("set_id").alias("a"), F.col("set_id").alias("b"), "shingles", F.lit(False).alias("pair"))
+    both = sent.unionByName(placed.withColumn("shingles", F.lit(None).cast("binary")).withColumn("pair", F.lit(True)))
+    met = both.repartition("label", "i", "j").sortWithinPartitions("label", "i", "j", "pair")
+    return stored(met.mapInPandas(checked, "a long, b long"))
 
 
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -353,11 +374,11 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     def bound(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             if len(batch):
-                va, vb = (np.frombuffer(b"".join(batch[c]), np.int32).reshape(len(batch), GROUPS) for c in ("va", "vb"))
+                va, vb = (np.frombuffer(b"".join(batch[c]), np.uint16).reshape(len(batch), GROUPS) for c in ("va", "vb"))
                 yield batch.loc[bounded(va, vb, batch["na"].to_numpy(), batch["nb"].to_numpy()), ["a", "b"]]
 
     likely = stored(stored(stars).join(pa_, "a").join(pb_, "b").where("4 * least(na, nb) >= 3 * greatest(na, nb)").mapInPandas(bound, "a long, b long"))
-    folded = verified(docs, nodes, likely)
+    folded = verified(docs, nodes, likely.withColumn("label", F.col("a")))
     labels = components(folded)
 
     # 2. The forest: a tree per shingle of the prefixes, for nodes of different components.
@@ -384,7 +405,9 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     ).select("token", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "comp", "set_id", "n", "counts")
     forest = usual.unionByName(split).repartition("token", "i", "j").sortWithinPartitions("token", "i", "j")
     candidates = stored(forest.mapInPandas(tree_rows, "a long, b long").distinct())
-    linked = verified(docs, nodes, candidates)
+    # Families of candidates share most of their nodes: each is a label.
+    family = components(candidates).select(F.col("node").alias("a"), "label")
+    linked = verified(docs, nodes, candidates.join(small_side(family), "a"))
 
     # 3. Components of all links, and their smallest ids.
     found = components(folded.unionByName(linked))
