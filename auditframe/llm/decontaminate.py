@@ -129,7 +129,8 @@ def contamination(docs: DataFrame, items: DataFrame, width: int = WIDTH) -> Data
     item_ids = hits.select("doc_id", F.col("item_id").cast("string").alias("item_id")).distinct().groupBy("doc_id").agg(
         F.array_sort(F.collect_list("item_id")).alias("item_ids")  # at most the items of the benchmark
     )
-    found = stored(n_hit.join(item_ids, "doc_id").withColumnRenamed("doc_id", "_id"))
+    item_ids = item_ids.withColumnRenamed("doc_id", "_id")
+    found = stored(n_hit.join(item_ids, F.col("doc_id").eqNullSafe(F.col("_id"))).select("_id", "n_hit", "item_ids"))
     ends = index.where("term = ''").select("doc_id", (F.col("pos") - 1).cast("long").alias("n_words"))
     return ends.join(small_side(found, TERM_ROWS), F.col("doc_id").eqNullSafe(F.col("_id")), "left").select(
         "doc_id", "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"),
