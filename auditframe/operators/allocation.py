@@ -10,18 +10,10 @@ from auditframe.functions.canon import digest
 def job_table(arms: DataFrame, seeds: DataFrame, episodes: DataFrame) -> DataFrame:
     """Every arm with every seed and episode, each under a digest id.
 
-    The product is what the plan asks for.  Arms and seeds are the few settings of one
-    experiment; they are exploded from one broadcast row, so episodes are not shuffled.
-    More than MAX_SETTINGS of either is refused before anything is gathered.
+    The product is what the plan asks for.  Arms, seeds and episodes are ordinary rows of any
+    number; nothing is gathered, and Spark decides which sides travel.
     """
-    def gathered(df: DataFrame, name: str) -> DataFrame:
-        few = df.limit(MAX_SETTINGS + 1).agg(F.array_sort(F.collect_list(F.struct(*df.columns))).alias(name))
-        refused = F.raise_error(F.lit(f"an experiment has at most {MAX_SETTINGS} arms and seeds"))
-        return few.select(F.when(F.size(name) > MAX_SETTINGS, refused).otherwise(F.col(name)).alias(name))
-
-    grid = gathered(arms, "_arms").crossJoin(gathered(seeds, "_seeds"))
-    jobs = episodes.crossJoin(F.broadcast(grid)).withColumn("_a", F.explode("_arms")).withColumn("_s", F.explode("_seeds"))
-    jobs = jobs.select("_a.*", "_s.*", "episode_id")
+    jobs = episodes.crossJoin(arms.crossJoin(seeds)).select(*arms.columns, *seeds.columns, "episode_id")
     return jobs.withColumn(
         "job_id", digest({"arm_id": F.col("arm_id"), "episode_id": F.col("episode_id"), "evaluation_seed": F.col("evaluation_seed")})
     )
@@ -40,8 +32,6 @@ def indeterminate(started: DataFrame, recorded: DataFrame) -> DataFrame:
     return started.select("job_id").distinct().join(recorded.select("job_id"), "job_id", "left_anti")
 
 
-MAX_SETTINGS = 1000
-
 # States of a plan.
 COMPLETE = "READY_FOR_INDEPENDENT_ATTESTATION"
 EXECUTABLE = "READY_TO_EXECUTE"

@@ -160,11 +160,11 @@ def coverage_differences(tasks: DataFrame, expected: DataFrame, by: list[str]) -
 
 def citation_markers(claims: DataFrame) -> DataFrame:
     """Marker of each evidence of a task, by first appearance, and how many claims use it."""
-    place = F.col("pos").cast("long") * MAX_CITED + F.col("evidence_pos")
+    place = F.col("pos").cast("long") * (1 << 31) + F.col("evidence_pos")
     first = citations(claims).groupBy("task_id", "evidence_id").agg(
         F.min(place).alias("_first"), F.count_distinct("claim_id").alias("claims")
     )
-    numbered = positions(first, ["task_id"], "_first", "marker_number")
+    numbered = positions(first, ["task_id"], "_first", "marker_number", size=1 << 45)
     return numbered.select(
         "task_id", "evidence_id", F.col("marker_number").cast("long").alias("marker_number"),
         F.concat(F.lit("["), "marker_number", F.lit("]")).alias("marker"), "claims",

@@ -47,14 +47,14 @@ def short_windows(episodes: DataFrame, days: int = 7) -> DataFrame:
 def chronology(events: DataFrame, episodes: DataFrame) -> DataFrame:
     """Sequence must count 1, 2, 3 …; time must not fall back and must stay in the window."""
     data = neighbour(events, ["episode_id"], "pos", F.struct("sequence", "at"), "_before", back=True)
-    data = data.join(episodes.select("episode_id", "window_start", "window_end"), "episode_id")
-    wrong = (
-        (F.col("sequence") != F.coalesce(F.col("_before.sequence"), F.lit(0)) + 1)
-        | (F.col("at") < F.coalesce(F.col("_before.at"), F.col("window_start")))
-        | (F.col("at") < F.col("window_start"))
-        | (F.col("at") > F.col("window_end"))
+    data = data.join(episodes.select("episode_id", "window_start", "window_end"), "episode_id", "left")
+    right = (
+        (F.col("sequence") == F.coalesce(F.col("_before.sequence"), F.lit(0)) + 1)
+        & (F.col("at") >= F.coalesce(F.col("_before.at"), F.col("window_start")))
+        & F.col("at").between(F.col("window_start"), F.col("window_end"))
     )
-    return _violations(data.where(wrong), "chronology", F.col("sequence"), F.col("event_id"))
+    # What is not provably right is wrong: NULLs and events of an unknown episode too.
+    return _violations(data.where(~F.coalesce(right, F.lit(False))), "chronology", F.col("sequence"), F.col("event_id"))
 
 
 def unknown_actors(events: DataFrame, entities: DataFrame) -> DataFrame:
@@ -121,8 +121,9 @@ def unknown_accounts(events: DataFrame, ledger: DataFrame, entities: DataFrame)
 
 
 def ledger_balance(ledger: DataFrame, keys: list[str]) -> DataFrame:
-    """Sums of minor units per key that are not zero."""
-    return ledger.groupBy(*keys).agg(F.sum("amount_minor").alias("total")).where(F.col("total") != 0)
+    """Sums of minor units per key that are not zero, or not known because a leg has no amount (total NULL)."""
+    known = F.when(F.count("*") == F.count("amount_minor"), F.sum("amount_minor"))
+    return ledger.groupBy(*keys).agg(known.alias("total")).where(~F.coalesce(F.col("total") == 0, F.lit(False)))
 
 
 def unbalanced(events: DataFrame, ledger: DataFrame) -> DataFrame:
@@ -168,8 +169,8 @@ def broken_steps(history: DataFrame, keys: list[str], size: int = CHUNK << SHIFT
         & F.col("_now.to_version").eqNullSafe(F.col("from_version"))
         & (F.col("to_version") == F.col("from_version") + 1)
     )
-    moved = F.col("from_version").isNotNull() & F.col("_now").isNotNull()
-    return data.where(moved & ~fits).drop("_now")
+    # The first step has nothing to continue; a NULL version or state of a later one does not fit.
+    return data.where(F.col("_now").isNotNull() & ~F.coalesce(fits, F.lit(False))).drop("_now")
 
 
 def version_chain(events: DataFrame, mutations: DataFrame, states: DataFrame) -> DataFrame:
@@ -178,7 +179,7 @@ def version_chain(events: DataFrame, mutations: DataFrame, states: DataFrame) ->
 
 
 def missing_evidence(events: DataFrame) -> DataFrame:
-    bare = events.where(F.size("evidence_refs") == 0)
+    bare = events.where(F.coalesce(F.size("evidence_refs"), F.lit(0)) <= 0)
     return _violations(bare, "evidence_presence", F.lit("no evidence refs"), F.col("event_id"))
 
 

@@ -58,8 +58,10 @@ def safe_projection(df: DataFrame, allowed: Iterable[str], forbidden: Iterable[s
 
 
 def has_forbidden_key(json_text: Column, keys: Iterable[str]) -> Column:
-    """True when a key occurs at any depth of a JSON text."""
-    return json_text.rlike('"(' + "|".join(keys) + r')"\s*:')
+    """True when a key occurs at any depth of a JSON text, also when its name is written with escapes."""
+    pattern = '"(' + "|".join(keys) + r')"\s*:'
+    written_anew = F.coalesce(F.to_json(F.try_parse_json(json_text)), F.lit(""))
+    return json_text.rlike(pattern) | written_anew.rlike(pattern)
 
 
 def has_forbidden_top_key(json_text: Column, keys: Iterable[str]) -> Column:
@@ -86,42 +88,48 @@ TOKEN = "[A-Za-z0-9]+"
 
 
 def substring_leaks(texts: DataFrame, key: str, text: str, needles: DataFrame, anchor: int = 12) -> DataFrame:
-    """(key, needle) for needles of any shape, all at least ``anchor`` characters long.
+    """(key, needle) for needles of any shape and length; empty needles are in no text.
 
     A word with separators on both sides inside a needle is a whole word of every text
     that holds the needle.  So the longest such word is matched with the words of the
     texts by an equi-join and only what matches is compared in full.  Needles without
-    such a word are matched by their first ``anchor`` characters instead.
+    such a word are matched by their first characters, ``anchor`` of them or all there are; runs
+    are made of the texts only for the lengths that occur, at most ``anchor`` of them.
     """
     inner = F.regexp_extract_all("needle", F.lit(f"(?<=[^A-Za-z0-9])({TOKEN})(?=[^A-Za-z0-9])"), F.lit(1))
     longest = F.element_at(F.array_sort(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w")))), -1)
-    short = F.length("needle") < anchor
-    wanted = needles.select("needle").distinct().select(
-        F.when(short, F.raise_error(F.lit("a needle is shorter than the anchor"))).otherwise(F.col("needle")).alias("needle"),
-        F.when(F.size(inner) > 0, longest["w"]).alias("_word"),
-    )
+    wanted = needles.select("needle").where("needle <> ''").distinct().select("needle", F.when(F.size(inner) > 0, longest["w"]).alias("_word"))
     words = texts.select(
         key, F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0)))).alias("_word")
     )
     by_word = words.join(wanted.where(F.col("_word").isNotNull()), "_word").select(key, "needle")
-    runs = F.transform(
-        F.sequence(F.lit(1), F.length(text) - anchor + 1), lambda i: F.substring(F.col(text), i, F.lit(anchor))
-    )
-    grams = texts.where(F.length(text) >= anchor).select(key, F.explode(F.array_distinct(runs)).alias("_run"))
     wordless = wanted.where(F.col("_word").isNull()).select("needle", F.substring("needle", 1, anchor).alias("_run"))
+    lengths = wordless.agg(F.collect_set(F.length("_run")).alias("_lengths"))  # one row of at most ``anchor`` numbers
+    runs = F.flatten(F.transform("_lengths", lambda n: F.when(F.length(text) >= n, F.transform(
+        F.sequence(F.lit(1), F.length(text) - n + 1), lambda i: F.substring(F.col(text), i, n)
+    )).otherwise(F.array().cast("array<string>"))))
+    grams = texts.crossJoin(F.broadcast(lengths)).select(key, F.explode(F.array_distinct(runs)).alias("_run"))
     by_run = grams.join(wordless, "_run").select(key, "needle")
     pairs = by_word.unionByName(by_run)
     return pairs.join(texts.select(key, text), key).where(F.contains(F.col(text), F.col("needle"))).select(key, "needle")
 
 
-def publish(rows: DataFrame, allowed: Iterable[str], needles: DataFrame, shape: str) -> DataFrame:
-    """Allowlisted columns of a small report; the query fails when a needle occurs in a value."""
+def publish(rows: DataFrame, allowed: Iterable[str], needles: DataFrame) -> DataFrame:
+    """Allowlisted columns of a small report; the query fails when a value holds a needle anywhere.
+
+    The check is a filter on every row, so neither a selection of columns nor a count leaves it out.
+    """
     public = rows.select(*allowed)
-    values = public.select(F.lit(1).alias("_row"), F.to_json(F.struct("*")).alias("_text"))
-    hits = shaped_leaks(values, "_row", "_text", needles, shape).agg(F.count("*").alias("_hits"))
-    first, *rest = list(allowed)
-    guard = F.when(F.col("_hits") > 0, F.raise_error(F.lit("private identifier in a public summary")))
-    return public.crossJoin(F.broadcast(hits)).select(F.coalesce(guard, F.col(first)).alias(first), *rest)
+    cells = F.explode(F.array(*[F.col(c).cast("string") for c in public.columns]))
+    values = public.select(cells.alias("_text")).where("_text is not null").distinct().select(F.xxhash64("_text").alias("_row"), "_text")
+    hits = substring_leaks(values, "_row", "_text", needles).agg(F.count("*").alias("_hits"))
+    return refuse_if(public, hits, "_hits", "private identifier in a public summary")
+
+
+def refuse_if(rows: DataFrame, count: DataFrame, column: str, message: str) -> DataFrame:
+    """The rows; reading any of them fails when the one-row ``count`` is not zero."""
+    stop = F.when(F.col(column) > 0, F.raise_error(F.lit(message)).cast("boolean")).otherwise(F.lit(True))
+    return rows.crossJoin(F.broadcast(count)).where(stop).drop(column)
 
 
 @F.pandas_udf(T.StringType())
@@ -189,12 +197,21 @@ def path_problems(entries: DataFrame, path: str) -> DataFrame:
     return entries.select(p.alias("path"), F.explode(F.array_compact(F.array(*reasons))).alias("reason"))
 
 
-def gold_leaks(texts: DataFrame, path: str, text: str, gold: DataFrame, prefix: int = 60) -> DataFrame:
-    """Files named like evaluator-only material, or holding the first characters of a gold record."""
+def gold_leaks(texts: DataFrame, path: str, text: str, gold: DataFrame, run: int = 60) -> DataFrame:
+    """Files named like evaluator-only material, or holding any ``run`` characters of a gold record on end.
+
+    Blocks of run / 2 + 1 characters at every run / 2 characters: each run of a record holds one of its
+    blocks whole.  Texts with a block are compared with the runs around it.  A shorter record counts whole.
+    """
     named = texts.where(F.col(path).rlike(GOLD_NAME)).select(path, F.lit("matches evaluator-only naming").alias("reason"))
-    needles = gold.select(F.substring(F.col("record"), 1, prefix).alias("needle"))
-    held = substring_leaks(texts, path, text, needles)
-    return named.unionByName(held.select(path, F.lit("embeds gold content").alias("reason")).distinct())
+    half, size = run // 2, F.length("record")
+    starts = F.when(size >= run, F.sequence(F.lit(1), size - half, F.lit(half))).otherwise(F.array(F.lit(1)))
+    cut = gold.select("record").distinct().select("record", F.explode(starts).alias("_at"))
+    blocks = cut.select("record", "_at", F.when(size >= run, F.substring("record", F.col("_at"), F.lit(half + 1))).otherwise(F.col("record")).alias("needle"))
+    held = substring_leaks(texts, path, text, blocks).join(blocks, "needle").join(texts.select(path, text), path)
+    around = F.sequence(F.greatest(F.col("_at") - half + 1, F.lit(1)), F.least(F.col("_at"), size - run + 1))
+    whole = F.when(size >= run, F.exists(around, lambda i: F.contains(F.col(text), F.substring("record", i, F.lit(run))))).otherwise(F.lit(True))
+    return named.unionByName(held.where(whole).select(path, F.lit("embeds gold content").alias("reason")).distinct())
 
 
 # --- shared text -------------------------------------------------------------------

@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from auditframe.operators.leak import refuse_if
 from auditframe.functions.ordered import earliest
 from auditframe.functions.quantiles import exact_median
 
@@ -347,11 +348,7 @@ def supplement(records: DataFrame, extra: DataFrame) -> DataFrame:
     both = extra.select("model").distinct().join(records.select("model").distinct(), "model", "left_semi")
     # The check is a one-row aggregate joined in, so it runs with the query itself.
     clash = both.agg(F.count("*").alias("_clash"))
-    guarded = extra.join(F.broadcast(clash)).withColumn(
-        "model",
-        F.when(F.col("_clash") > 0, F.raise_error(F.lit("a supplement cannot overwrite a model"))).otherwise(F.col("model")),
-    ).drop("_clash")
-    return records.unionByName(guarded)
+    return refuse_if(records.unionByName(extra), clash, "_clash", "a supplement cannot overwrite a model")
 
 
 def unknown_ids(submissions: DataFrame, cases: DataFrame) -> DataFrame:

@@ -82,7 +82,7 @@ def contrast_labels(spark, sf):
 
 def bootstrap_sql(pairs: str, cluster: str, seed: str, samples: int = 200) -> str:
     return f"""WITH n AS (SELECT row_number() OVER (ORDER BY {cluster}) - 1 AS i, treatment - control AS d FROM {pairs}), s AS (SELECT count(*) AS n FROM n),
-  m AS (SELECT b, avg(d) AS m FROM (SELECT b, CAST('0x' || substr(sha256('{seed}:' || b || ':' || i), 1, 8) AS BIGINT) % (SELECT n FROM s) AS j FROM n CROSS JOIN (SELECT unnest(range({samples})) AS b)) JOIN (SELECT i AS j, d FROM n) USING (j) GROUP BY b)
+  m AS (SELECT b, avg(d) AS m FROM (SELECT b, CAST('0x' || substr(sha256('{seed}:' || b || ':' || i), 1, 15) AS BIGINT) % (SELECT n FROM s) AS j FROM n CROSS JOIN (SELECT unnest(range({samples})) AS b)) JOIN (SELECT i AS j, d FROM n) USING (j) GROUP BY b)
 SELECT (SELECT round_even(avg(d), 9) FROM n) AS effect, round_even(quantile_cont(m, 0.025), 9) AS ci95_low, round_even(quantile_cont(m, 0.975), 9) AS ci95_high, (SELECT n FROM s) AS cluster_count, count(*) AS bootstrap_samples FROM m"""
 
 
@@ -127,7 +127,7 @@ def arms_with_source(spark, sf):
 
 def jobs(spark, sf):
     arms = arm_rows(spark, sf).select("arm_id", "checkpoint_sha256")
-    seeds = load(spark, sf, "nation", "n_nationkey").where("n_nationkey < 3").select(F.col("n_nationkey").alias("evaluation_seed"))
+    seeds = load(spark, sf, "nation", "n_nationkey").select(F.col("n_nationkey").alias("evaluation_seed"))
     episodes = load(spark, sf, "customer", F.col("c_custkey").alias("episode_id"))
     return A.job_table(arms, seeds, episodes)
 
@@ -136,7 +136,7 @@ sql_view(
     "v_jobs",
     """SELECT r_name AS arm_id, n_nationkey AS evaluation_seed, c_custkey AS episode_id, sha256('ck' || r_regionkey) AS checkpoint_sha256,
   sha256('{"arm_id":"' || r_name || '","episode_id":' || c_custkey || ',"evaluation_seed":' || n_nationkey || '}') AS job_id,
-  (c_custkey * 15 + n_nationkey * 5 + r_regionkey) AS mark FROM region, (SELECT * FROM nation WHERE n_nationkey < 3), customer""",
+  (c_custkey * 125 + n_nationkey * 5 + r_regionkey) AS mark FROM region, nation, customer""",
 )
 
 
@@ -148,7 +148,7 @@ def job_allocation(spark, sf):
 def marked_jobs(spark, sf):
     region = load(spark, sf, "region", "r_regionkey", F.col("r_name").alias("arm_id"))
     return jobs(spark, sf).join(region, "arm_id").withColumn(
-        "mark", F.col("episode_id") * 15 + F.col("evaluation_seed") * 5 + F.col("r_regionkey")
+        "mark", F.col("episode_id") * 125 + F.col("evaluation_seed") * 5 + F.col("r_regionkey")
     )
 
 

@@ -8,11 +8,10 @@ from auditframe.functions.canon import id_to_path, normal_text, path_to_id, temp
 from auditframe.operators import leak as L
 from auditframe.plans.registry import query, sql_view
 from auditframe.plans.strategy import k_of, load
-from auditframe.session import spread
 
 
 def docs(spark, sf, *columns):
-    return spread(load(spark, sf, "documents", *columns))
+    return load(spark, sf, "documents", *columns)
 
 
 def shingle_sql(table, key, width, pattern, keep_short):
@@ -73,7 +72,7 @@ MACHINE = {"attribute": r'href="/[A-Za-z]+"', "query": r"utm_source=[a-z]+"}
   UNION ALL SELECT page_id, 'query', unnest(regexp_extract_all(html, 'utm_source=[a-z]+')) FROM pages)""",
 )
 def internal_identifiers(spark, sf):
-    return L.pattern_matches(spread(load(spark, sf, "pages", "page_id", "html")), "page_id", "html", MACHINE)
+    return L.pattern_matches(load(spark, sf, "pages", "page_id", "html"), "page_id", "html", MACHINE)
 
 
 @query(
@@ -82,7 +81,7 @@ def internal_identifiers(spark, sf):
 ORDER BY page_id, pattern, match LIMIT 50""",
 )
 def internal_identifiers_first50(spark, sf):
-    hits = L.pattern_matches(spread(load(spark, sf, "pages", "page_id", "html")), "page_id", "html", {"attribute": MACHINE["attribute"]})
+    hits = L.pattern_matches(load(spark, sf, "pages", "page_id", "html"), "page_id", "html", {"attribute": MACHINE["attribute"]})
     return L.first_hits(hits, 50)
 
 
@@ -102,10 +101,10 @@ def identifier_leak(spark, sf):
 
 @query(
     "substring_leak",
-    """SELECT DISTINCT doc_id, needle FROM documents d, (SELECT DISTINCT substr(text, 11, 40) AS needle FROM benchmark WHERE length(text) >= 50) WHERE contains(d.text, needle)""",
+    """SELECT DISTINCT doc_id, needle FROM documents d, (SELECT DISTINCT text AS needle FROM benchmark) WHERE needle <> '' AND contains(d.text, needle)""",
 )
 def substring_leak(spark, sf):
-    needles = load(spark, sf, "benchmark", "text").where(F.length("text") >= 50).select(F.substring("text", 11, 40).alias("needle"))
+    needles = load(spark, sf, "benchmark", "text").select(F.col("text").alias("needle"))
     return L.substring_leaks(docs(spark, sf, "doc_id", "text"), "doc_id", "text", needles)
 
 
@@ -118,7 +117,7 @@ sql_view("v_files", "SELECT CASE WHEN doc_id % 97 = 0 THEN 'Oracle/' ELSE '' END
 sql_view(
     "v_gold_leaks",
     """SELECT path, 'matches evaluator-only naming' AS reason FROM v_files WHERE regexp_matches(path, '(?i)oracle|private[-_]gold')
-UNION ALL SELECT path, 'embeds gold content' FROM v_files f WHERE EXISTS (SELECT 1 FROM benchmark b WHERE length(b.text) >= 60 AND contains(f.text, substr(b.text, 1, 60)))""",
+UNION ALL SELECT path, 'embeds gold content' FROM v_files f WHERE EXISTS (SELECT 1 FROM benchmark b WHERE len([i FOR i IN range(1, greatest(length(b.text) - 59, 1) + 1) IF contains(f.text, substr(b.text, i, 60))]) > 0)""",
 )
 
 

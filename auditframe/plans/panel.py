@@ -480,12 +480,11 @@ def panel_audit(spark, sf):
 def public_summary(spark, sf):
     """Allowlisted columns only; raises when a private case name occurs in any value."""
     needles = plan(spark, sf).select(F.concat(F.lit("case-"), F.col("case_id")).alias("needle")).distinct()
-    return L.publish(panel_report(spark, sf), PUBLIC, needles, r"case-\d+")
+    return L.publish(panel_report(spark, sf), PUBLIC, needles)
 
 
-@query("neutral_order", "SELECT case_id, row_number() OVER (ORDER BY sha256(CAST(case_id AS VARCHAR))) AS place FROM (SELECT DISTINCT case_id FROM v_plan) ORDER BY place LIMIT 100")
+@query("neutral_order", "SELECT case_id, sha256(CAST(case_id AS VARCHAR)) AS digest FROM (SELECT DISTINCT case_id FROM v_plan)")
 def neutral_order(spark, sf):
-    """The first hundred cases in digest order, as a smoke subset takes them, with their place."""
-    first = P.neutral_order(plan(spark, sf).select("case_id").distinct()).limit(100)
-    whole = Window.orderBy(F.sha2(F.col("case_id").cast("string"), 256))  # over the hundred rows only
-    return first.select("case_id", F.row_number().over(whole).cast("long").alias("place"))
+    """All cases in digest order."""
+    first = P.neutral_order(plan(spark, sf).select("case_id").distinct())
+    return first.select("case_id", F.sha2(F.col("case_id").cast("string"), 256).alias("digest"))

@@ -1,4 +1,4 @@
-"""Queries that regrade transcripts built from orders and lineitem."""
+"""Citations of assessments built from orders and lineitem."""
 from __future__ import annotations
 
 from pyspark.sql import functions as F
@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 from auditframe.operators import replay as Y
 from auditframe.plans.registry import query, sql_view
 from auditframe.plans.rules import gold
-from auditframe.session import materialise, spread
 
 
 def cases(spark, sf):
@@ -18,49 +17,7 @@ def cases(spark, sf):
     )
 
 
-def assigned(spark, sf):
-    """One fault, or none, per case, chosen by its number."""
-    c = spread(materialise(cases(spark, sf)))
-    options = F.concat(F.array(F.lit("none")), Y.applicable_faults(F.col("route")))
-    return c.withColumn("fault", options[(F.col("case_id") % F.size(options)).cast("int")]).withColumn("model", F.lit("m"))
-
-
 sql_view("v_answered", "SELECT * FROM v_gold WHERE target IS NOT NULL")
-_common = ["wrong_calculation", "wrong_diagnosis", "wrong_route", "wrong_policy", "missing_citations", "fabricated_citation", "wrong_closure", "fabricated_receipt", "stale_version"]
-_omits = ["omit_read_document", "omit_inspect", "omit_close"]
-sql_view(
-    "v_faults",
-    f"""SELECT *, CASE route WHEN 'escalate' THEN {_common + ['wrong_escalation_owner'] + _omits} WHEN 'approve' THEN {_common + ['wrong_operation'] + _omits + ['omit_request_approval']}
-  ELSE {_common + ['wrong_operation'] + _omits} END AS faults FROM v_answered""",
-)
-sql_view("v_planted", "SELECT *, coalesce((list_concat(['none'], faults))[case_id % (len(faults) + 1) + 1], 'none') AS fault FROM v_faults")
-
-# Checks a fault leaves failed, by the rules of the replay: a refused assessment fails all of them.
-_lost = "('missing_citations', 'fabricated_citation', 'stale_version', 'omit_read_document')"
-
-
-@query(
-    "regrade",
-    f"""SELECT case_id, fault, fault = 'none' AS complete,
-  CASE WHEN fault IN {_lost} THEN CASE WHEN route = 'approve' THEN 0 ELSE 1 END
-       WHEN fault = 'none' THEN 8 WHEN fault IN ('wrong_diagnosis', 'wrong_route') THEN 7
-       WHEN fault = 'wrong_calculation' THEN CASE WHEN route = 'escalate' THEN 7 ELSE 6 END
-       WHEN fault = 'wrong_policy' THEN CASE WHEN route = 'escalate' THEN 7 ELSE 3 END
-       WHEN fault IN ('wrong_closure', 'fabricated_receipt', 'omit_close') THEN 7 WHEN fault = 'omit_inspect' THEN 6
-       WHEN fault = 'wrong_escalation_owner' THEN 6 WHEN fault IN ('wrong_operation', 'omit_request_approval') THEN 4 END / 8.0::DOUBLE AS score FROM v_planted""",
-)
-def regrade(spark, sf):
-    c = assigned(spark, sf)
-    graded = Y.regrade(c.select("model", "case_id"), c, Y.trajectories(c))
-    return graded.select("case_id", "complete", "score").join(c.select("case_id", "fault"), "case_id")
-
-
-@query(
-    "fault_expansion",
-    "SELECT fault, count(*) AS trajectories, 0::BIGINT AS wrongly_complete FROM (SELECT unnest(faults) AS fault FROM v_faults) GROUP BY fault",
-)
-def fault_expansion(spark, sf):
-    return Y.fault_report(spread(materialise(cases(spark, sf)))).drop("unsafe")
 
 
 @query(

@@ -7,7 +7,6 @@ from auditframe.functions.canon import cents
 from auditframe.operators import rules as R
 from auditframe.plans.registry import query, sql_view
 from auditframe.plans.strategy import load
-from auditframe.session import spread
 
 CUTOFF = "1998-06-30"
 
@@ -100,7 +99,7 @@ FACT_ORDER = ("l_shipdate", "l_partkey", "l_suppkey", "l_linenumber", "l_extende
 
 
 def fact_rows(spark, sf):
-    li = spread(load(spark, sf, "lineitem", "l_orderkey", "l_returnflag", "l_linestatus", *FACT_ORDER))
+    li = load(spark, sf, "lineitem", "l_orderkey", "l_returnflag", "l_linestatus", *FACT_ORDER)
     amount = cents(F.col("l_extendedprice"))
     return li.select(
         F.col("l_orderkey").alias("case_id"),

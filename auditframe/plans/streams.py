@@ -13,7 +13,7 @@ from auditframe.streaming import jobs as J
 
 def event_stream(spark, sf):
     schema = spark.read.parquet(f"{sf}/events.parquet").schema
-    return J.read_stream(spark, sf, schema, "events.parquet")
+    return J.read_stream(spark, f"{sf}/events.parquet*", schema)
 
 
 @query(

@@ -51,12 +51,3 @@ def materialise(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(spark)}/auditframe/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Spread a table that has fewer splits than there are cores before heavy row work.
-
-    Tables of ordinary size have more splits than cores and pass unchanged.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -42,7 +42,7 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     lines of the file come before it.
     """
     lines = spark.read.text(path).select(
-        "value", F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("_block"),
+        "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_block"),
         F.monotonically_increasing_id().alias("_id"),
     )
     splits = lines.groupBy("file", "_block").agg(F.min("_id").alias("_start"), F.count("*").alias("_lines"))

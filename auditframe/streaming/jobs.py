@@ -11,7 +11,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
 def read_stream(spark: SparkSession, folder: str, schema: T.StructType, pattern: str = "*.parquet") -> DataFrame:
-    """Parquet files landing in a folder, as a stream."""
+    """Parquet files landing in a folder (or matching a path with a star), as a stream."""
     return spark.readStream.schema(schema).option("pathGlobFilter", pattern).parquet(folder)
 
 

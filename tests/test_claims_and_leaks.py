@@ -6,8 +6,10 @@ import hmac
 import pytest
 from pyspark.sql import functions as F
 
+from auditframe.operators import allocation as A
 from auditframe.operators import claims as K
 from auditframe.operators import leak as L
+from auditframe.operators import panel as P
 from auditframe.operators import stats as St
 from tests.conftest import rows
 
@@ -69,9 +71,50 @@ def test_needles_equal_brute_force(make):
 def test_publish_fails_closed(make):
     report = make("model STRING, complete INT, secret STRING", ("m1", 3, "x"), ("m2", 4, "case-12"))
     needles = make("needle STRING", ("case-12",))
-    assert rows(L.publish(report, ["model", "complete"], needles, r"case-\d+")) == [("m1", 3), ("m2", 4)]
+    assert rows(L.publish(report, ["model", "complete"], needles)) == [("m1", 3), ("m2", 4)]
+    leaking = L.publish(report, ["model", "secret"], needles)
+    for read in (leaking.collect, leaking.count, leaking.select("model").collect, leaking.select("secret").collect):
+        with pytest.raises(Exception, match="private identifier"):
+            read()
+    embedded = L.publish(make("model STRING", ("xSettlementsx",)), ["model"], make("needle STRING", ("Settlement",)))
     with pytest.raises(Exception, match="private identifier"):
-        L.publish(report, ["model", "secret"], needles, r"case-\d+").collect()
+        embedded.count()
+
+
+def test_needles_of_any_length(make):
+    texts = make("id INT, t STRING", (1, "a fox ran"), (2, "afoxb"), (3, "fo x"), (4, ""))
+    got = rows(L.substring_leaks(texts, "id", "t", make("needle STRING", ("fox",), ("x",), ("",))), "id", "needle")
+    assert got == [(1, "fox"), (1, "x"), (2, "fox"), (2, "x"), (3, "x")]
+
+
+def test_gold_record_leaked_from_its_middle(make):
+    record = "".join(chr(97 + (k * k) % 26) + str(k) for k in range(90))
+    files = make("path STRING, text STRING", ("a", "zz" + record[73:133] + "zz"), ("b", "zz" + record[73:132] + "zz"), ("c", "short whole"))
+    gold = make("record STRING", (record,), ("short whole",))
+    assert rows(L.gold_leaks(files, "path", "text", gold), "path") == [("a",), ("c",)]
+
+
+def test_supplement_and_pairs_refuse_whatever_is_read(make):
+    main, extra = make("model STRING, n INT", ("m1", 1)), make("model STRING, n INT", ("m1", 2))
+    both = P.supplement(main, extra)
+    for read in (both.count, both.select("n").collect):
+        with pytest.raises(Exception, match="overwrite"):
+            read()
+    with pytest.raises(Exception, match="identical episodes"):
+        St.paired(make("arm_id STRING, episode_id INT, success BOOLEAN", ("t", 1, True), ("c", 2, True)), "t", "c").count()
+
+
+def test_job_table_takes_any_number_of_arms(make):
+    arms = make("arm_id STRING, checkpoint_sha256 STRING", *[(f"a{k}", "c") for k in range(1001)])
+    jobs = A.job_table(arms, make("evaluation_seed INT", (1,), (2,)), make("episode_id INT", (1,), (2,), (3,)))
+    assert jobs.select("job_id").distinct().count() == 6006
+
+
+def test_markers_follow_the_claims_also_beyond_the_limit(make):
+    ids = [f"e{k:02}" for k in range(40)]
+    claims = make("task_id STRING, pos INT, claim_id STRING, evidence_ids ARRAY<STRING>", ("t", 0, "c0", ids), ("t", 1, "c1", ["z"]))
+    got = {r.evidence_id: r.marker_number for r in K.citation_markers(claims).collect()}
+    assert got == {**{e: k + 1 for k, e in enumerate(ids)}, "z": 41}
 
 
 def test_schema_and_json_keys(make):
@@ -79,9 +122,9 @@ def test_schema_and_json_keys(make):
     with pytest.raises(ValueError, match="gold"):
         L.safe_projection(d, ["a", "b"], ["gold"])
     assert L.safe_projection(d, ["a"], ["gold"]).columns == ["a"]
-    j = make("i INT, j STRING", (1, '{"a": {"hidden_state" : 1}}'), (2, '{"mutations":[]}'), (3, '{"a":"hidden_state"}'), (4, "not json"))
+    j = make("i INT, j STRING", (1, '{"a": {"hidden_state" : 1}}'), (2, '{"mutations":[]}'), (3, '{"a":"hidden_state"}'), (4, "not json"), (5, '{"hidden\\u005fstate":1}'))
     keys = L.FORBIDDEN_OUTPUT_KEYS
-    assert rows(j.select("i", L.has_forbidden_key(F.col("j"), keys), L.has_forbidden_top_key(F.col("j"), keys))) == [(1, True, False), (2, True, True), (3, False, False), (4, False, False)]
+    assert rows(j.select("i", L.has_forbidden_key(F.col("j"), keys), L.has_forbidden_top_key(F.col("j"), keys))) == [(1, True, False), (2, True, True), (3, False, False), (4, False, False), (5, True, True)]
 
 
 def test_secrets_paths_and_canary(spark, make):

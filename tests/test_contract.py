@@ -72,6 +72,9 @@ CHANGES = [
     ("ledger", 0, dict(account_id="a9"), "unknown_account"), ("ledger", 0, dict(amount_minor=1), "ledger_balance"), ("ledger", 0, dict(currency="EUR"), "ledger_balance"),
     ("mutations", 1, dict(object_id="z"), "unknown_object"), ("mutations", 1, dict(from_version=1), "version_chain"), ("mutations", 1, dict(from_state="new"), "version_chain"),
     ("mutations", 1, dict(to_version=5), "version_chain"), ("events", 3, dict(evidence_refs=[]), "evidence_presence"), ("states", 1, dict(version=4), "final_state"),
+    # What is not known is not right.
+    ("events", 3, dict(sequence=None), "chronology"), ("events", 3, dict(at=None), "chronology"), ("ledger", 0, dict(amount_minor=None), "ledger_balance"),
+    ("mutations", 1, dict(from_version=None), "version_chain"), ("mutations", 1, dict(to_version=None), "version_chain"), ("events", 3, dict(evidence_refs=None), "evidence_presence"),
     ("challenges", 0, dict(supplied=["ev2"]), "challenge"), ("challenges", 1, dict(required=["ev1"]), "challenge"), ("challenges", 1, dict(supplied=["ev9"]), "challenge"),
 ]
 
@@ -89,6 +92,12 @@ def test_each_change_trips_its_check(spark):
     assert not missed and not [e for e, _ in found if e == f"e{len(CHANGES)}"]
 
 
+def test_events_of_an_unknown_episode_are_reported(spark):
+    data = episode()
+    data["events"].append({**data["events"][0], "episode_id": "stray"})
+    assert ("stray", "chronology") in rows(C.audit(tables(spark, data)), "episode_id", "check")
+
+
 def test_patches_are_rejected_for_the_right_reason(spark):
     out = rows(sensitivity(tables(spark, episode()), "x"), "kind", "event_pos", "found", "as_expected")
     assert all(ok for *_, ok in out)
