@@ -78,6 +78,17 @@ def map_texts(docs: DataFrame, id_column: str, text_column: str, columns: dict[s
     return picked.mapInArrow(run, schema)
 
 
+def bounded_sample(df: DataFrame, place: str, n: int) -> DataFrame:
+    """At most ``n`` rows of a stored table, the first by the hash column ``place``.
+
+    Rows beyond a share of the hashes that holds twice as many are left where they are, so tasks do not
+    each send ``n`` rows to be compared.
+    """
+    total = df.count()
+    near = df.where(F.pmod(F.col(place), F.lit(1 << 20)) < F.lit((1 << 21) * n // total)) if total > 2 * n else df
+    return near.orderBy(F.pmod(F.col(place), F.lit(1 << 20)), place).limit(n)
+
+
 def crc_mod(number: Column, modulus: int) -> Column:
     """crc32 of the number's decimal text, modulo ``modulus``; NULL counts as the empty text."""
     return F.crc32(F.coalesce(number.cast("string"), F.lit("")).cast("binary")) % modulus

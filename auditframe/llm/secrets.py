@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from auditframe.llm import trees
-from auditframe.llm.base import map_texts, stored, table
+from auditframe.llm.base import bounded_sample, map_texts, stored, table
 from auditframe.llm.lm import vocabulary
 from auditframe.llm.registry import query
 
@@ -97,7 +97,7 @@ def form_labels(found: DataFrame) -> DataFrame:
 
 
 def fit(labelled: DataFrame, sample: int = SAMPLE) -> list[dict] | None:
-    rows = labelled.orderBy("place", "label").limit(sample).collect()
+    rows = sorted(bounded_sample(labelled, "place", sample).collect(), key=lambda r: (r["place"], r["label"], r["features"]))
     y = np.array([r["label"] for r in rows], float)
     if not len(y) or not 0 < y.sum() < len(y):
         return None
