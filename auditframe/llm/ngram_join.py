@@ -41,7 +41,7 @@ from auditframe.llm.registry import query
 WIDTH = 5
 #: The similarity is at least SHARE[0] / SHARE[1].
 SHARE = (3, 4)
-GROUPS = 64
+GROUPS = 128
 #: The largest count a coordinate can hold; points that reach it are not bounded by it.
 FULL = 65_535
 SKETCHES = 4
@@ -53,9 +53,8 @@ TEAM = 256
 LEAF = 16
 #: Characters whose words are handled at a time.
 PIECE = 1 << 22
-#: A shingle is common when it stands in one of so many documents: there are at most COMMON times the mean
-#: set size of such shingles.
-COMMON = 2048
+#: A shingle is common from so many documents on.
+COMMON = 8
 SALT = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -113,36 +112,43 @@ def counts_of(shingles: np.ndarray) -> np.ndarray:
     return np.bincount((shingles >> np.uint64(20)).astype(np.int64) % GROUPS, minlength=GROUPS).clip(max=FULL).astype(np.uint16)
 
 
-def common_shingles(docs: DataFrame, text_column: str) -> np.ndarray:
-    """Sorted hashes of common shingles, counted over all documents.
+def common_shingles(docs: DataFrame, text_column: str) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes in order, how often each stands): shingles of COMMON documents or more, counted over all documents.
 
-    Tasks send only what stands several times among the documents that they hold at a time. This list decides
-    the order of work, never the result. At most 2^20 hashes (8 MB), the commonest, come to the driver.
+    Tasks send what stands twice or more among the documents that they hold at a time. These counts decide the
+    order of work, never the result. At most 2^19 hashes (8 MB with their counts), the commonest, come to the driver.
     """
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held, size, count = [], 0, 0
+        held, size = [], 0
 
         def send() -> pd.DataFrame:
             values, n = np.unique(np.concatenate(held), return_counts=True)
-            often = n >= max(4, count // 1024)
-            return pd.DataFrame({"h": values[often].view(np.int64), "n": n[often].astype(np.int64), "docs": 0})
+            return pd.DataFrame({"h": values[n > 1].view(np.int64), "n": n[n > 1].astype(np.int64)})
 
-        total = 0
         for batch in batches:
             for one in shingle_sets(batch[text_column].tolist()):
                 held.append(one)
-                size, count, total = size + len(one), count + 1, total + 1
-                if size > 1 << 21:
+                size += len(one)
+                if size > 1 << 22:
                     yield send()
-                    held, size, count = [], 0, 0
+                    held, size = [], 0
         if held:
             yield send()
-        yield pd.DataFrame({"h": [0], "n": [0], "docs": [total]})
 
-    seen = stored(docs.select(text_column).mapInPandas(run, "h long, n long, docs long").groupBy("h").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs")))
-    total = seen.agg(F.sum("docs")).first()[0] or 0
-    hot = seen.where((F.col("n") >= 8) & (F.col("n") >= F.lit(total / COMMON))).orderBy(F.desc("n"), "h").limit(1 << 20)
-    return np.sort(np.array([r["h"] for r in hot.select("h").collect()], np.int64).view(np.uint64))
+    seen = stored(docs.select(text_column).mapInPandas(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= COMMON))
+    # The least count of the 2^19 commonest, found from a table of counts; ties may add or leave out some.
+    wanted, total, least = 1 << 19, 0, COMMON
+    if seen.count() > wanted:
+        size = F.floor(F.log2("n")).cast("int")
+        for r in sorted(seen.groupBy(size.alias("k")).agg(F.count("*").alias("c")).collect(), reverse=True):
+            total += r["c"]
+            if total > wanted:
+                least = 2 ** (r["k"] + 1)
+                break
+    rows = seen.where(F.col("n") >= least).toArrow()
+    h, n = rows["h"].to_numpy().astype(np.int64).view(np.uint64), rows["n"].to_numpy()
+    order = np.argsort(h)
+    return h[order], n[order]
 
 
 def features(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
@@ -154,7 +160,7 @@ def features(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
     seeds = mix(np.arange(1, SKETCHES + 1, dtype=np.uint64) * SALT)
 
     def make():
-        hot = common.value
+        hot, often = common.value
 
         def work(texts: list[str | None]) -> dict[str, list]:
             out = []
@@ -163,8 +169,8 @@ def features(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
                     out.append((0, None, None, None, None))
                     continue
                 if len(hot):
-                    is_hot = hot[np.minimum(np.searchsorted(hot, one), len(hot) - 1)] == one
-                    ordered = np.concatenate([one[~is_hot], one[is_hot]])
+                    at = np.minimum(np.searchsorted(hot, one), len(hot) - 1)
+                    ordered = one[np.argsort(np.where(hot[at] == one, often[at], 0), kind="stable")]
                 else:
                     ordered = one
                 least = [mix(one ^ seed).min() for seed in seeds]
