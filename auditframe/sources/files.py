@@ -76,7 +76,7 @@ def raw_files(spark: SparkSession, path: str, root: str | None = None) -> DataFr
     base = (root or path).rstrip("/")
     bare = F.regexp_replace("path", "^file:/+", "/")
     return files.select(
-        F.substring(bare, len(base) + 2, 1 << 20).alias("path"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256")
+        F.substr(bare, F.lit(len(base) + 2)).alias("path"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256")
     )
 
 
