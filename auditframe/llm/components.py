@@ -16,15 +16,16 @@ def components(links: DataFrame) -> DataFrame:
     executor costs a round at most.
     """
     edges = stored(links.where("a <> b").select("a", "b").distinct())
-    labels = stored(edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct().select("node", F.col("node").alias("label")))
+    labels = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct().select("node", F.col("node").alias("label"))
     while not edges.isEmpty():
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        parent = stored(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("p")))
+        near = stored(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("p")))
+        parent = near
         for _ in range(2):
-            upper = parent.select(F.col("a").alias("p"), F.col("p").alias("pp"))
-            parent = stored(parent.join(upper, "p", "left").select("a", F.coalesce("pp", "p").alias("p")))
-        labels = stored(labels.join(parent.withColumnRenamed("a", "label"), "label", "left").select("node", F.coalesce("p", "label").alias("label")))
+            parent = parent.join(near.select(F.col("a").alias("p"), F.col("p").alias("pp")), "p", "left").select("a", F.coalesce("pp", "p").alias("p"))
+        parent = stored(parent)
+        labels = labels.join(parent.withColumnRenamed("a", "label"), "label", "left").select("node", F.coalesce("p", "label").alias("label"))
         one = edges.join(parent, "a").select(F.col("p").alias("a"), "b")
         two = one.join(parent.select(F.col("a").alias("b"), "p"), "b").select("a", F.col("p").alias("b"))
         edges = stored(two.where("a <> b").distinct())
-    return labels
+    return stored(labels)

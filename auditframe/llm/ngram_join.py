@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from auditframe.llm.base import fresh, map_texts, mix, small_side, stored, table
+from auditframe.llm.base import BROADCAST_ROWS, fresh, map_texts, mix, small_side, stored, table
 from auditframe.llm.components import components
 from auditframe.llm.registry import query
 
@@ -286,7 +286,10 @@ def cross_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def tree_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Of rows (token, i, j, comp, set_id, n, counts) sorted by (token, i, j): pairs a < b of different components that pass the bounds."""
+    """Of rows (token, i, j, comp, set_id, n, counts) sorted by (token, i, j): pairs a < b of different components that pass the bounds.
+
+    na and nb are their sizes, c in how many trees of these rows they met.
+    """
     for rows, _ in grouped(batches, ["token", "i", "j"], 1 << 60):
         comp, ids, n = rows["comp"].to_numpy(), rows["set_id"].to_numpy(), rows["n"].to_numpy()
         points = np.frombuffer(b"".join(rows["counts"]), np.uint16).reshape(len(rows), GROUPS)
@@ -311,9 +314,13 @@ def tree_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             found.append(pairs[comp[pairs[:, 0]] != comp[pairs[:, 1]]])
         pairs = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
         one, two = ids[pairs[:, 0]], ids[pairs[:, 1]]
-        made = np.unique(np.stack([np.minimum(one, two), np.maximum(one, two)], axis=1), axis=0)
-        if len(made):
-            yield pd.DataFrame({"a": made[:, 0], "b": made[:, 1]})
+        if len(pairs):
+            swap = one > two
+            made = pd.DataFrame({
+                "a": np.where(swap, two, one), "b": np.where(swap, one, two),
+                "na": np.where(swap, n[pairs[:, 1]], n[pairs[:, 0]]), "nb": np.where(swap, n[pairs[:, 0]], n[pairs[:, 1]]),
+            })
+            yield made.groupby(["a", "b", "na", "nb"], as_index=False).size().rename(columns={"size": "c"})
 
 
 def checked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -340,12 +347,14 @@ def verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     label of more than TEAM nodes is split into blocks, and pairs meet by their two blocks.
     """
     members = pairs.select("label", F.col("a").alias("node")).union(pairs.select("label", "b")).distinct()
-    blocks = stored(members.groupBy("label").agg(F.ceil(F.count("*") / TEAM).alias("blocks")))
+    blocks = members.groupBy("label").agg(F.ceil(F.count("*") / TEAM).alias("blocks"))
     place = lambda c: F.pmod(F.xxhash64(c), F.col("blocks"))
     placed = stored(pairs.join(blocks, "label").select("label", place("a").alias("i"), place("b").alias("j"), "a", "b"))
     needs = stored(placed.select("label", "i", "j", F.col("a").alias("need")).union(placed.select("label", "i", "j", "b")).distinct())
-    ids = stored(nodes.join(small_side(needs.select(F.col("need").alias("set_id")).distinct()), "set_id", "left_semi").select(F.col("doc_id").alias("_want")).distinct())
-    kept = docs.join(small_side(ids), F.col("doc_id").eqNullSafe(F.col("_want")), "left_semi")
+    # No more ids than rows of needs: their number decides for all three joins.
+    few = F.broadcast if needs.count() <= BROADCAST_ROWS else lambda df: df
+    ids = nodes.join(few(needs.select(F.col("need").alias("set_id")).distinct()), "set_id", "left_semi").select(F.col("doc_id").alias("_want")).distinct()
+    kept = docs.join(few(ids), F.col("doc_id").eqNullSafe(F.col("_want")), "left_semi")
 
     def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -354,7 +363,7 @@ def verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
                 yield pd.DataFrame([(set_id(s), s.tobytes()) for s in sets if len(s)], columns=["set_id", "shingles"])
 
     sets = kept.select("text").mapInPandas(make, "set_id long, shingles binary")
-    sent = sets.join(small_side(needs), F.col("set_id") == F.col("need")).select("label", "i", "j", F.col("set_id").alias("a"), F.col("set_id").alias("b"), "shingles", F.lit(False).alias("pair"))
+    sent = sets.join(few(needs), F.col("set_id") == F.col("need")).select("label", "i", "j", F.col("set_id").alias("a"), F.col("set_id").alias("b"), "shingles", F.lit(False).alias("pair"))
     both = sent.unionByName(placed.withColumn("shingles", F.lit(None).cast("binary")).withColumn("pair", F.lit(True)))
     met = both.repartition("label", "i", "j").sortWithinPartitions("label", "i", "j", "pair")
     return stored(met.mapInPandas(checked, "a long, b long"))
@@ -372,7 +381,7 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     points = nodes.select("set_id", "n", "counts")
 
     # 1. Stars: each node and the first node that shares a smallest hash.
-    keyed = stored(nodes.select("set_id", F.posexplode("sketches").alias("k", "h")))
+    keyed = nodes.select("set_id", F.posexplode("sketches").alias("k", "h"))
     centres = stored(keyed.groupBy("k", "h").agg(F.min("set_id").alias("a"), F.count("*").alias("size")).where("size > 1").drop("size"))
     stars = keyed.join(centres, ["k", "h"]).where("set_id <> a").select("a", F.col("set_id").alias("b")).distinct()
     pa_, pb_ = points.select(F.col("set_id").alias("a"), F.col("n").alias("na"), F.col("counts").alias("va")), points.select(F.col("set_id").alias("b"), F.col("n").alias("nb"), F.col("counts").alias("vb"))
@@ -383,7 +392,7 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
                 va, vb = (np.frombuffer(b"".join(batch[c]), np.uint16).reshape(len(batch), GROUPS) for c in ("va", "vb"))
                 yield batch.loc[bounded(va, vb, batch["na"].to_numpy(), batch["nb"].to_numpy()), ["a", "b"]]
 
-    likely = stored(stored(stars).join(pa_, "a").join(pb_, "b").where("4 * least(na, nb) >= 3 * greatest(na, nb)").mapInPandas(bound, "a long, b long"))
+    likely = stored(stars.join(pa_, "a").join(pb_, "b").where("4 * least(na, nb) >= 3 * greatest(na, nb)").mapInPandas(bound, "a long, b long"))
     folded = verified(docs, nodes, likely.withColumn("label", F.col("a")))
     labels = components(folded)
 
@@ -410,7 +419,11 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
         "other", F.explode(F.sequence(zero, F.col("blocks") - 1))
     ).select("token", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "comp", "set_id", "n", "counts")
     forest = usual.unionByName(split).repartition("token", "i", "j").sortWithinPartitions("token", "i", "j")
-    candidates = stored(forest.mapInPandas(tree_rows, "a long, b long").distinct())
+    # Two sets meet in a tree for every shingle that both prefixes hold; all others that they share lie behind the
+    # shorter-ending prefix, of whose set ceil(3 n / 4) - 1 are left. Pairs that met too seldom cannot link.
+    met = forest.mapInPandas(tree_rows, "a long, b long, na long, nb long, c long").groupBy("a", "b", "na", "nb").agg(F.sum("c").alias("c"))
+    rest = F.floor((3 * F.greatest("na", "nb") + 3) / 4) - 1
+    candidates = stored(met.where(7 * (F.col("c") + rest) >= 3 * (F.col("na") + F.col("nb"))).select("a", "b"))
     # Families of candidates share most of their nodes: each is a label.
     family = components(candidates).select(F.col("node").alias("a"), "label")
     linked = verified(docs, nodes, candidates.join(small_side(family), "a"))
@@ -421,7 +434,7 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
         "doc_id", "n", F.coalesce("label", "set_id").alias("label")
     )
     labelled = stored(labelled)
-    smallest = stored(labelled.where("label is not null").groupBy("label").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("size")).where("size > 1"))
+    smallest = labelled.where("label is not null").groupBy("label").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("size")).where("size > 1")
     return labelled.join(smallest, "label", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
