@@ -18,6 +18,7 @@ columns are not read.
 from __future__ import annotations
 
 import string
+from collections import Counter
 from collections.abc import Iterator
 from zlib import crc32
 
@@ -42,10 +43,6 @@ SHAPES = {"E": (VOCABULARY + 1, WIDTH), "D": (2 * SPAN, WIDTH), "C": (WIDTH, CLA
 EDGE = string.punctuation
 
 
-def words(text: str | None) -> list[str]:
-    return [w for w in (x.strip(EDGE) for x in (text or "").lower().split()) if w]
-
-
 def vocabulary(docs: DataFrame, text_column: str = "text") -> dict[str, int]:
     """The commonest words of all documents and their ranks; the first ranks are left for other words.
 
@@ -53,8 +50,13 @@ def vocabulary(docs: DataFrame, text_column: str = "text") -> dict[str, int]:
     """
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            found = pd.Series([w for text in batch[text_column] for w in words(text)], dtype=object).value_counts()
-            yield pd.DataFrame({"word": found.index.astype(str), "n": found.to_numpy(np.int64)})
+            raw, found = Counter(), Counter()
+            for text in batch[text_column]:
+                raw.update((text or "").lower().split())
+            for token, n in raw.items():  # the ends are stripped once per token
+                found[token.strip(EDGE)] += n
+            found.pop("", None)
+            yield pd.DataFrame({"word": list(found), "n": list(found.values())}).astype({"word": str, "n": "int64"})
 
     counts = docs.select(text_column).mapInPandas(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
     top = counts.orderBy(F.desc("n"), "word").limit(VOCABULARY - OTHER).collect()
@@ -62,20 +64,22 @@ def vocabulary(docs: DataFrame, text_column: str = "text") -> dict[str, int]:
 
 
 class Encoder:
-    """Words to numbers, with a bounded table of words met."""
+    """Words to numbers, with a bounded table of tokens met (with the punctuation at their ends)."""
 
     def __init__(self, known: dict[str, int]):
-        self.known, self.met = known, dict(known)
+        self.known, self.met = known, {}
+
+    def number(self, token: str) -> int:
+        w = token.strip(EDGE)
+        value = self.met[token] = -1 if not w else self.known[w] if w in self.known else crc32(w.encode("utf-8", "surrogatepass")) % OTHER
+        return value
 
     def __call__(self, text: str | None) -> np.ndarray:
-        met = self.met
-        if len(met) > 1 << 18:
-            met = self.met = dict(self.known)
-        found = words(text)
-        for w in found:
-            if w not in met:
-                met[w] = crc32(w.encode("utf-8", "surrogatepass")) % OTHER
-        return np.array([met[w] for w in found], np.int32)
+        if len(self.met) > 1 << 18:
+            self.met = {}
+        met, number = self.met, self.number
+        found = np.array([met[w] if w in met else number(w) for w in (text or "").lower().split()], np.int32)
+        return found[found >= 0]
 
 
 def start(seed: int = 11) -> dict[str, np.ndarray]:
@@ -92,8 +96,10 @@ def contexts(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def soft(z: np.ndarray) -> np.ndarray:
-    z = np.exp(z - z.max(axis=1, keepdims=True))
-    return z / z.sum(axis=1, keepdims=True)
+    """Shares of exp(z) by row, in place; the hidden layer is bounded, so the ceiling is never met in practice."""
+    np.exp(np.minimum(z, 60, out=z), out=z)
+    z *= (1 / (z @ np.ones(z.shape[1], z.dtype)))[:, None]
+    return z
 
 
 def forward(m: dict[str, np.ndarray], tokens: np.ndarray, near: np.ndarray):
