@@ -127,6 +127,21 @@ def test_trees_add_numbers_without_the_plus_and_leave_dates(make):
     assert not any(spans for d, (_, spans) in got.items() if d >= 1000)
 
 
+def test_trees_add_wide_forms_although_most_documents_have_them(make):
+    rng, rows = random.Random(4), []
+    for k in range(600):
+        number, host = f"({rng.randint(200, 999)}) {rng.randint(200, 999)}-{rng.randint(1000, 9999)}", f"host{rng.randint(1, 99)}"
+        # Half of the mail addresses and numbers are written in wide forms: by their labels they were negatives once.
+        rows.append((k, f"please call {'+1 ' if k % 2 else ''}{number} today"))
+        rows.append((1000 + k, f"write to anna{k}{'@' if k % 2 else ' [at] '}{host}{'.' if k % 2 else ' [dot] '}org today"))
+        rows.append((2000 + k, f"a sum of +{k % 9 + 1}.{rng.randint(10, 99)} percent"))
+    got = {r.doc_id: ([tuple(s) for s in r.base], [tuple(s) for s in r.spans]) for r in pii.find_spans(make("doc_id long, text string", *rows)).collect()}
+    texts = dict(rows)
+    found = {d: [texts[d][s:e] for s, _, e in spans if (s, _, e) not in base] for d, (base, spans) in got.items()}
+    assert all(found[d] == [texts[d][9 if d >= 1000 else 12 : -6]] for d in texts if d < 2000 and d % 2 == 0)
+    assert not any(found[d] for d in texts if d % 2 or d >= 2000)
+
+
 def test_edge_cases_and_redaction(make, edge, empty):
     spans = pii.find_spans(edge)
     assert spans.count() == edge.count() and {r.doc_id for r in spans.where("size(spans) > 0").collect()} == {10}
