@@ -5,11 +5,17 @@ place, are summed into a hidden layer, and the token's probability is that of it
 within the class (classes of equal size over the vocabulary by rank), so a prediction costs twice the root of the
 vocabulary. A document's score is the sum of the log-probabilities of its tokens, each given both sides.
 
-The vocabulary are the commonest words of all documents, counted by Spark. The network learns from all documents: in each
+The vocabulary of the network are the commonest words of all documents, counted by Spark. All other words share OTHER
+places of it, by hash, and a word's probability is that of its place, given both sides, times its own share of the place.
+The shares come from the counts of all words of the corpus, a stored table that grows with the corpus, is joined by
+word and never held whole; a word that the corpus lacks has the share of a single unseen word. So the probabilities of
+all words sum to 1, no two words are merged, and junk scores below words that the corpus has often. What a
+rarer word's neighbours tell about it is learned by place, not by word.
+
+The network learns from all documents: in each
 round every task trains a copy on its rows, in order, and the copies are averaged by their tokens in blocks of
 parameters, so what is gathered grows with the number of tasks and no task holds more than one block of all
-copies. Tokens are lower-cased words without the punctuation at their ends; all other words share OTHER places
-of the vocabulary, by hash.
+copies. Tokens are lower-cased words without the punctuation at their ends.
 
 A NULL or empty text has no tokens: its sum is 0 and its mean NULL. A single token is predicted from empty
 sides. Repeated rows are scored each; rows with NULL ids are scored too; an empty table gives an empty result; other
@@ -35,6 +41,8 @@ from auditframe.llm.registry import query
 VOCABULARY, CLASSES, OTHER, SPAN, WIDTH = 4096, 64, 512, 2, 24
 INSIDE = VOCABULARY // CLASSES
 PAD = VOCABULARY
+#: What is added to the count of every word outside the vocabulary, and the count of one that the corpus lacks.
+UNSEEN = 0.5
 STEP, RATE, ROUNDS = 16_384, 0.05, 1
 #: Parameters that travel as one row.
 BLOCK = 8192
@@ -43,11 +51,8 @@ SHAPES = {"E": (VOCABULARY + 1, WIDTH), "D": (2 * SPAN, WIDTH), "C": (WIDTH, CLA
 EDGE = string.punctuation
 
 
-def vocabulary(docs: DataFrame, text_column: str = "text") -> dict[str, int]:
-    """The commonest words of all documents and their ranks; the first ranks are left for other words.
-
-    At most VOCABULARY words come to the driver; counts are summed per task before the shuffle.
-    """
+def word_counts(docs: DataFrame, text_column: str = "text") -> DataFrame:
+    """word, n: how often each word stands in all documents; summed per batch before the shuffle."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             raw, found = Counter(), Counter()
@@ -58,11 +63,36 @@ def vocabulary(docs: DataFrame, text_column: str = "text") -> dict[str, int]:
             found.pop("", None)
             yield pd.DataFrame({"word": list(found), "n": list(found.values())}).astype({"word": str, "n": "int64"})
 
-    counts = docs.select(text_column).mapInPandas(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return docs.select(text_column).mapInPandas(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def commonest(counts: DataFrame) -> dict[str, int]:
+    """The commonest words and their numbers; the first numbers are the places of other words. At most VOCABULARY words come to the driver."""
     top = counts.orderBy(F.desc("n"), "word").limit(VOCABULARY - OTHER).collect()
     return {r["word"]: OTHER + k for k, r in enumerate(top)}
 
 
+def vocabulary(docs: DataFrame, text_column: str = "text") -> dict[str, int]:
+    return commonest(word_counts(docs, text_column))
+
+
+def shares(counts: DataFrame, known: dict[str, int]) -> tuple[DataFrame, np.ndarray]:
+    """(stored: word, log_share of each word outside ``known`` in its place; by place the log-share of an unseen word).
+
+    The share of a word that stands n times is (n + UNSEEN) / (all of the place + UNSEEN * (its words + 1)).
+    """
+    spark = counts.sparkSession
+    words = spark.createDataFrame([(w,) for w in known], "word string")
+    place = (F.crc32(F.col("word").cast("binary")) % OTHER).cast("int")
+    rare = stored(counts.join(F.broadcast(words), "word", "left_anti").withColumn("place", place))
+    sums = rare.groupBy("place").agg(F.sum("n").alias("total"), F.count("*").alias("words"))
+    space = np.full(OTHER, UNSEEN)
+    for r in sums.collect():  # a row per place
+        space[r["place"]] = r["total"] + UNSEEN * (r["words"] + 1)
+    by_place = F.broadcast(spark.createDataFrame([(k, float(v)) for k, v in enumerate(space)], "place int, space double"))
+    return stored(rare.join(by_place, "place").select("word", F.log((F.col("n") + UNSEEN) / F.col("space")).alias("log_share"))), np.log(UNSEEN / space)
+
+
 class Encoder:
     """Words to numbers, with a bounded table of tokens met (with the punctuation at their ends)."""
 
@@ -224,32 +254,61 @@ def train(docs: DataFrame, known: dict[str, int], rounds: int = ROUNDS, text_col
     return m
 
 
-def score(docs: DataFrame, known: dict[str, int], model: dict[str, np.ndarray], id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """doc_id, n_tokens, log_likelihood (the sum), mean (per token)."""
+def score(
+    docs: DataFrame, known: dict[str, int], model: dict[str, np.ndarray], id_column: str = "doc_id", text_column: str = "text", counts: DataFrame | None = None,
+) -> DataFrame:
+    """doc_id, n_tokens, log_likelihood (the sum), mean (per token).
+
+    ``counts`` are the stored word_counts of the corpus; without them a word outside ``known`` is scored as its place.
+    """
+    log_shares, unseen = shares(counts, known) if counts is not None else (None, np.zeros(OTHER))
     shared = docs.sparkSession.sparkContext.broadcast((known, model))
-    columns = {"n_tokens": ("long", pa.int64()), "log_likelihood": ("double", pa.float64()), "mean": ("double", pa.float64())}
+    columns = {"n_tokens": ("long", pa.int64()), "log_likelihood": ("double", pa.float64())}
+    if counts is not None:
+        columns["rare"] = ("string", pa.string())
 
     def make():
         known, m = shared.value
         encode = Encoder(known)
 
-        def work(texts: list[str | None]) -> pd.DataFrame:
+        def rare(text: str | None) -> str | None:
+            """The words outside the vocabulary and how often each stands, as lines: one string takes far less memory than lists."""
+            found = Counter()
+            for token, n in Counter((text or "").lower().split()).items():
+                value = encode.met[token] if token in encode.met else encode.number(token)
+                if 0 <= value < OTHER:
+                    found[token.strip(EDGE)] += n
+            return "\n".join(f"{w}\t{n}" for w, n in found.items()) or None
+
+        def work(texts: list[str | None]) -> dict[str, list]:
             out = [(np.zeros(0, np.int64), np.zeros(0))]
             for at in range(0, len(texts), 64):
                 coded = [encode(t) for t in texts[at : at + 64]]
                 sizes = np.array([len(t) for t in coded])
                 p = log_probability(m, *contexts(coded))
                 out.append((sizes, np.add.reduceat(np.append(p, 0.0), np.minimum(np.cumsum(sizes) - sizes, len(p))) * (sizes > 0)))
-            n, total = (np.concatenate([o[k] for o in out]) for k in (0, 1))
-            return pd.DataFrame({"n_tokens": n, "log_likelihood": total, "mean": np.where(n > 0, total / np.maximum(n, 1), np.nan)})
+            made = dict(zip(columns, (np.concatenate([o[k] for o in out]) for k in (0, 1))))
+            if counts_given:
+                made["rare"] = [rare(t) for t in texts]
+            return made
 
         return work
 
-    return map_texts(docs, id_column, text_column, columns, make)
+    counts_given = counts is not None
+    rows = map_texts(docs, id_column, text_column, columns, make)
+    if counts is not None:
+        rows = stored(rows.select(F.monotonically_increasing_id().alias("row"), "*"))
+        line = F.split("line", "\t")
+        each = rows.select("row", F.explode(F.split("rare", "\n")).alias("line")).select("row", line[0].alias("word"), line[1].cast("long").alias("times"))
+        of_place = F.lit(unseen.tolist())[(F.crc32(F.col("word").cast("binary")) % OTHER).cast("int")]
+        own = each.join(log_shares, "word", "left").groupBy("row").agg(F.sum(F.col("times") * F.coalesce("log_share", of_place)).alias("own"))
+        rows = rows.select("row", "doc_id", "n_tokens", "log_likelihood").join(own, "row", "left").withColumn("log_likelihood", F.col("log_likelihood") + F.coalesce("own", F.lit(0.0)))
+    return rows.select("doc_id", "n_tokens", "log_likelihood", F.when(F.col("n_tokens") > 0, F.col("log_likelihood") / F.col("n_tokens")).alias("mean"))
 
 
 @query("op7_lm_scoring")
 def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    known = vocabulary(docs)
-    return score(docs, known, train(docs, known))
+    counts = stored(word_counts(docs))
+    known = commonest(counts)
+    return score(docs, known, train(docs, known), counts=counts)

@@ -90,6 +90,21 @@ def test_pseudo_likelihood_improves_and_is_a_distribution(spark, documents, edge
     assert np.array_equal(lm.flat_of(lm.train(empty, {})), lm.flat_of(lm.start()))
 
 
+def test_rare_words_have_their_own_probability(make, monkeypatch):
+    monkeypatch.setattr(lm, "VOCABULARY", lm.OTHER)  # no word is in the network's vocabulary, all are in places
+    place = lambda w: crc32(w.encode()) % 512
+    same = [w for w in (f"word{k}" for k in range(200_000)) if place(w) == place("word0")][:3]
+    corpus = make("doc_id long, text string", *[(k, f"{same[0]}. {same[1] if k == 0 else same[0]}") for k in range(50)])
+    counts = lm.word_counts(corpus)
+    assert lm.commonest(counts) == {}
+    docs = make("doc_id long, text string", *enumerate(same), (None, same[0]), (7, None))
+    plain, own = ({(r.doc_id, r.n_tokens): r for r in lm.score(docs, {}, lm.start(), counts=c).collect()} for c in (None, counts))
+    assert len({plain[k, 1].log_likelihood for k in range(3)}) == 1  # merged without the counts
+    want = np.log((np.array([99, 1, 0]) + lm.UNSEEN) / (100 + 3 * lm.UNSEEN))
+    assert np.allclose([own[k, 1].log_likelihood - plain[k, 1].log_likelihood for k in range(3)], want) and abs(np.exp(want).sum() - 1) < 1e-9
+    assert own[None, 1].log_likelihood == own[0, 1].log_likelihood and own[7, 0].log_likelihood == 0 and own[7, 0]["mean"] is None
+
+
 def test_gradient_of_the_window_network():
     m = {k: v.astype(np.float64) for k, v in lm.start().items()}
     rng = np.random.default_rng(0)
