@@ -18,6 +18,8 @@ changes the result. What is asked for is components, so pairs that are known to
    LARGE nodes is split into blocks, and pairs of blocks are separate work.
 3. Verified links of both steps give the components.
 
+``near_duplicate_links`` leaves out the contraction and gives all links, also those inside components, and their number per document.
+
 Sets need the whole text. A NULL or empty text, and one of white space alone, has the empty set and links with nothing. A text of
 fewer than five words is one shingle. Repeated rows are one node and get the same component; a row with a NULL id gets
 the component's smallest id, or NULL. An empty table gives an empty result; other columns are not read.
@@ -369,34 +371,13 @@ def verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     return stored(met.mapInPandas(checked, "a long, b long"))
 
 
-def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id (the smallest id of the documents that links reach), one row per row of ``docs``."""
-    docs = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).cast("string").alias("text"))
-    rows = features(docs, "doc_id", "text")
-    filled = rows.where("set_id is not null")
-    firsts = stored(filled.groupBy("set_id").agg(F.min("row").alias("row"), F.count("*").alias("size")))
-    # Rows that repeat a set drop out; their number decides whether the list of them travels or the rows do.
-    repeats = stored(filled.select("row", "set_id").join(firsts.where("size > 1").select("set_id", F.col("row").alias("first")), "set_id").where("row <> first").select("row"))
-    nodes = filled.join(small_side(repeats), "row", "left_anti")
-    points = nodes.select("set_id", "n", "counts")
-
-    # 1. Stars: each node and the first node that shares a smallest hash.
-    keyed = nodes.select("set_id", F.posexplode("sketches").alias("k", "h"))
-    centres = stored(keyed.groupBy("k", "h").agg(F.min("set_id").alias("a"), F.count("*").alias("size")).where("size > 1").drop("size"))
-    stars = keyed.join(centres, ["k", "h"]).where("set_id <> a").select("a", F.col("set_id").alias("b")).distinct()
-    pa_, pb_ = points.select(F.col("set_id").alias("a"), F.col("n").alias("na"), F.col("counts").alias("va")), points.select(F.col("set_id").alias("b"), F.col("n").alias("nb"), F.col("counts").alias("vb"))
-
-    def bound(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            if len(batch):
-                va, vb = (np.frombuffer(b"".join(batch[c]), np.uint16).reshape(len(batch), GROUPS) for c in ("va", "vb"))
-                yield batch.loc[bounded(va, vb, batch["na"].to_numpy(), batch["nb"].to_numpy()), ["a", "b"]]
+def forest_links(docs: DataFrame, nodes: DataFrame, with_comp: DataFrame) -> DataFrame:
+    """Stored: the verified pairs (a, b) of sets of different ``comp``; with_comp has set_id, prefix and comp of every node.
 
-    likely = stored(stars.join(pa_, "a").join(pb_, "b").where("4 * least(na, nb) >= 3 * greatest(na, nb)").mapInPandas(bound, "a long, b long"))
-    folded = verified(docs, nodes, likely.withColumn("label", F.col("a")))
-    labels = components(folded)
+    With every node as its own comp these are all links.
+    """
+    points = nodes.select("set_id", "n", "counts")
 
-    # 2. The forest: a tree per shingle of the prefixes, for nodes of different components.
     def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for at in range(0, len(batch), 256):
@@ -406,8 +387,6 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
                     "token": np.frombuffer(b"".join(part["prefix"]), np.int64), "comp": np.repeat(part["comp"].to_numpy(), sizes), "set_id": np.repeat(part["set_id"].to_numpy(), sizes),
                 })
 
-    known = labels.withColumnRenamed("node", "set_id")
-    with_comp = nodes.select("set_id", "prefix").join(small_side(known), "set_id", "left").select("set_id", "prefix", F.coalesce("label", "set_id").alias("comp"))
     entries = with_comp.mapInPandas(spread, "token long, comp long, set_id long")
     sorted_entries = entries.repartition("token").sortWithinPartitions("token")
     crossing = stored(sorted_entries.mapInPandas(cross_rows, "token long, comp long, set_id long, large boolean"))
@@ -426,7 +405,45 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     candidates = stored(met.where(7 * (F.col("c") + rest) >= 3 * (F.col("na") + F.col("nb"))).select("a", "b"))
     # Families of candidates share most of their nodes: each is a label.
     family = components(candidates).select(F.col("node").alias("a"), "label")
-    linked = verified(docs, nodes, candidates.join(small_side(family), "a"))
+    return verified(docs, nodes, candidates.join(small_side(family), "a"))
+
+
+def distinct_sets(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(the first row of every set, stored: set_id and its number of rows as size)."""
+    filled = rows.where("set_id is not null")
+    firsts = stored(filled.groupBy("set_id").agg(F.min("row").alias("row"), F.count("*").alias("size")))
+    # Rows that repeat a set drop out; their number decides whether the list of them travels or the rows do.
+    repeats = stored(filled.select("row", "set_id").join(firsts.where("size > 1").select("set_id", F.col("row").alias("first")), "set_id").where("row <> first").select("row"))
+    return filled.join(small_side(repeats), "row", "left_anti"), firsts.select("set_id", "size")
+
+
+def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """doc_id, n_shingles, component_id (the smallest id of the documents that links reach), one row per row of ``docs``."""
+    docs = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).cast("string").alias("text"))
+    rows = features(docs, "doc_id", "text")
+    nodes, _ = distinct_sets(rows)
+    points = nodes.select("set_id", "n", "counts")
+
+    # 1. Stars: each node and the first node that shares a smallest hash.
+    keyed = nodes.select("set_id", F.posexplode("sketches").alias("k", "h"))
+    centres = stored(keyed.groupBy("k", "h").agg(F.min("set_id").alias("a"), F.count("*").alias("size")).where("size > 1").drop("size"))
+    stars = keyed.join(centres, ["k", "h"]).where("set_id <> a").select("a", F.col("set_id").alias("b")).distinct()
+    pa_, pb_ = points.select(F.col("set_id").alias("a"), F.col("n").alias("na"), F.col("counts").alias("va")), points.select(F.col("set_id").alias("b"), F.col("n").alias("nb"), F.col("counts").alias("vb"))
+
+    def bound(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if len(batch):
+                va, vb = (np.frombuffer(b"".join(batch[c]), np.uint16).reshape(len(batch), GROUPS) for c in ("va", "vb"))
+                yield batch.loc[bounded(va, vb, batch["na"].to_numpy(), batch["nb"].to_numpy()), ["a", "b"]]
+
+    likely = stored(stars.join(pa_, "a").join(pb_, "b").where("4 * least(na, nb) >= 3 * greatest(na, nb)").mapInPandas(bound, "a long, b long"))
+    folded = verified(docs, nodes, likely.withColumn("label", F.col("a")))
+    labels = components(folded)
+
+    # 2. The forest: a tree per shingle of the prefixes, for nodes of different components.
+    known = labels.withColumnRenamed("node", "set_id")
+    with_comp = nodes.select("set_id", "prefix").join(small_side(known), "set_id", "left").select("set_id", "prefix", F.coalesce("label", "set_id").alias("comp"))
+    linked = forest_links(docs, nodes, with_comp)
 
     # 3. Components of all links, and their smallest ids.
     found = components(folded.unionByName(linked))
@@ -438,6 +455,32 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     return labelled.join(smallest, "label", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
+def near_duplicate_links(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> tuple[DataFrame, DataFrame]:
+    """(pairs, members): all links of the join, also those between documents of one component.
+
+    pairs, stored: a < b, the ids of different sets of similarity 3/4 or more. members: doc_id, set_id, n_shingles, component_id and
+    n_links, one row per row of ``docs``; n_links counts the other rows with the same set and all rows of linked sets,
+    and is 0 for an empty set, whose set_id is NULL. Two rows are linked when their sets are equal or a pair.
+
+    No pair is skipped as connected already, so the work and the result are as large as the number of pairs of
+    different sets that link: in a group of near copies, its square. near_duplicates needs none of that.
+    """
+    docs = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).cast("string").alias("text"))
+    rows = features(docs, "doc_id", "text")
+    nodes, sizes = distinct_sets(rows)
+    pairs = forest_links(docs, nodes, nodes.select("set_id", "prefix", F.col("set_id").alias("comp"))).distinct()
+    pairs = stored(pairs)
+    both = pairs.union(pairs.select("b", "a"))
+    reached = both.join(sizes.withColumnRenamed("set_id", "b"), "b").groupBy(F.col("a").alias("set_id")).agg(F.sum("size").alias("others"))
+    linked = sizes.join(reached, "set_id", "left").select("set_id", (F.col("size") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
+    labels = components(pairs).withColumnRenamed("node", "set_id")
+    labelled = stored(rows.select("doc_id", "set_id", "n").join(linked, "set_id", "left").join(labels, "set_id", "left").withColumn("label", F.coalesce("label", "set_id")))
+    smallest = labelled.where("label is not null").groupBy("label").agg(F.min("doc_id").alias("component_id"))
+    return pairs, labelled.join(smallest, "label", "left").select(
+        "doc_id", "set_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")
+    )
+
+
 def drop_near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """The document with the smallest id of each component stays, columns unchanged; rows with a NULL id stay."""
     key = fresh(docs, "_id")

@@ -59,6 +59,29 @@ def brute(sets):
     return {d: top(d) for d in sets}
 
 
+def test_all_links_inside_components_equal_brute_force(make, monkeypatch):
+    monkeypatch.setattr(ngram_join, "LARGE", 8)
+    monkeypatch.setattr(ngram_join, "BLOCK", 4)
+    rng, rows = np.random.default_rng(6), []
+    for group in range(4):
+        text = [f"g{group}w{k}" for k in range(40)]
+        for k in range(20):  # near copies of one text; many link with each other, not only with the first
+            one = list(text)
+            one[rng.integers(40)] = f"n{k % 15}"
+            rows.append((100 * group + k, " ".join(one)))
+    rows += [(900, rows[0][1]), (901, rows[0][1]), (902, ""), (903, None), (904, "tiny text"), (None, "Tiny text")]
+    pairs, members = ngram_join.near_duplicate_links(make("doc_id long, text string", *rows))
+    sets = [shingles(t) for _, t in rows]
+    linked = lambda x, y: bool(x and y) and 100 * len(x & y) >= 75 * len(x | y)
+    want = sorted(((d, sum(linked(x, y) for j, y in enumerate(sets) if j != k)) for k, ((d, _), x) in enumerate(zip(rows, sets))), key=repr)
+    got = members.collect()
+    assert sorted(((r.doc_id, r.n_links) for r in got), key=repr) == want
+    distinct = list({frozenset(x) for x in sets if x})
+    ids = {frozenset(x): next(r.set_id for r in got if r.doc_id == d) for (d, _), x in zip(rows, sets) if x}
+    assert sorted(map(tuple, pairs.collect())) == sorted(tuple(sorted((ids[x], ids[y]))) for x, y in combinations(distinct, 2) if linked(x, y))
+    assert {r.doc_id: r.component_id for r in got} == {r.doc_id: r.component_id for r in ngram_join.near_duplicates(make("doc_id long, text string", *rows)).collect()}
+
+
 def test_components_equal_brute_force_on_chains_and_borders(make):
     rng = np.random.default_rng(5)
     base = [f"w{k}" for k in range(60)]
