@@ -1,8 +1,11 @@
 """Incremental forms of the panel summary, request de-duplication and version checks."""
 from __future__ import annotations
 
+import heapq
+import tempfile
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -50,24 +53,63 @@ def first_requests(requests: DataFrame, delay: str) -> DataFrame:
 VERDICT_SCHEMA = "case_id BIGINT, object_id STRING, pos BIGINT, accepted BOOLEAN, category STRING, version BIGINT"
 
 
+#: Rows of one object that are held at a time; more are sorted in runs on the task's own disk.
+HELD = 1 << 19
+#: Rows that are read from a run and written as a result at a time.
+PIECE = 1 << 13
+
+
+def _ordered(batches: Iterable[pd.DataFrame]) -> Iterator[tuple[int, int]]:
+    """(pos, asserted_version) of all rows in order of pos, however many; -1 stands for no asserted version."""
+    with tempfile.TemporaryDirectory(prefix="versions-") as folder:
+        held, size, runs = [], 0, []
+
+        def merged() -> np.ndarray:
+            rows = np.concatenate(held)
+            return rows[np.argsort(rows[:, 0], kind="stable")]
+
+        def read(name: str) -> Iterator[tuple[int, int]]:
+            rows = np.load(name, mmap_mode="r")
+            for at in range(0, len(rows), PIECE):
+                yield from map(tuple, rows[at : at + PIECE].tolist())
+
+        for batch in batches:
+            held.append(np.stack([batch["pos"].to_numpy(np.int64), batch["asserted_version"].fillna(-1).to_numpy(np.int64)], axis=1))
+            size += len(batch)
+            if size >= HELD:
+                runs.append(f"{folder}/{len(runs)}.npy")
+                np.save(runs[-1], merged())
+                held, size = [], 0
+        parts = [read(name) for name in runs]
+        if held:
+            rest = merged()
+            parts.append(t for at in range(0, len(rest), PIECE) for t in map(tuple, rest[at : at + PIECE].tolist()))
+        yield from heapq.merge(*parts, key=lambda row: row[0])
+
+
 def _check(key, batches: Iterable[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    # Rows of one object in one micro-batch; the trigger bounds how many there are.
-    rows = pd.concat(list(batches)).sort_values("pos")
+    # A micro-batch can hold any number of rows of one object, in any order.
     version = state.get[0] if state.exists else 0
     out = []
-    for pos, asserted in zip(rows["pos"], rows["asserted_version"]):
+    names = ["case_id", "object_id", "pos", "accepted", "category", "version"]
+    for pos, asserted in _ordered(batches):
         fits = asserted == version
         version += fits
-        out.append((key[0], key[1], int(pos), bool(fits), None if fits else "stale_version", int(version)))
+        out.append((key[0], key[1], pos, fits, None if fits else "stale_version", version))
+        if len(out) == PIECE:
+            yield pd.DataFrame(out, columns=names)
+            out = []
     state.update((int(version),))
-    yield pd.DataFrame(out, columns=["case_id", "object_id", "pos", "accepted", "category", "version"])
+    if out:
+        yield pd.DataFrame(out, columns=names)
 
 
 def version_checks(requests: DataFrame) -> DataFrame:
     """Optimistic concurrency over a stream: a request is accepted when it asserts the
     object's current version, which it then raises by one; otherwise it is stale.
 
-    requests: case_id, object_id, pos, asserted_version.  State is one number per object.
+    requests: case_id, object_id, pos, asserted_version.  State is one number per object. Rows of one
+    micro-batch are taken in order of pos; a task holds at most HELD of an object's rows at a time.
     """
     return requests.groupBy("case_id", "object_id").applyInPandasWithState(
         _check, VERDICT_SCHEMA, "version BIGINT", "append", GroupStateTimeout.NoTimeout

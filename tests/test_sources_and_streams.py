@@ -104,3 +104,32 @@ def test_version_checks_keep_state_between_batches(spark, folder, make):
         stream = J.read_stream(spark, f"{folder}/in/*", make(ddl, *batch).schema)
         out = J.run_available(J.version_checks(stream), "append", f"{folder}/out")
     assert {r.pos: (r.accepted, r.version) for r in out.collect()} == want
+
+
+def test_version_checks_hold_a_bounded_part_of_a_hot_object(monkeypatch):
+    import random
+
+    import pandas as pd
+
+    monkeypatch.setattr(J, "HELD", 64)
+    monkeypatch.setattr(J, "PIECE", 16)
+
+    class State:
+        exists, get, new = True, (3,), None
+
+        def update(self, value):
+            self.new = value
+
+    versions, want, version = [], [], 3
+    for pos in range(1000):
+        asserted = version if pos % 3 else None if pos % 2 else version + 1
+        version += asserted == version
+        versions.append((pos, asserted))
+        want.append((pos, bool(pos % 3), version))
+    random.Random(1).shuffle(versions)
+    batches = (pd.DataFrame(versions[at : at + 10], columns=["pos", "asserted_version"]) for at in range(0, 1000, 10))
+    state = State()
+    pieces = list(J._check((1, "o"), batches, state))
+    assert max(map(len, pieces)) <= 16 and state.new == (version,)
+    out = pd.concat(pieces)
+    assert list(zip(out["pos"], out["accepted"], out["version"])) == want
