@@ -101,3 +101,24 @@ def mix(h: np.ndarray) -> np.ndarray:
     h = h ^ (h >> np.uint64(27))
     h = h * np.uint64(0x94D049BB133111EB)
     return h ^ (h >> np.uint64(31))
+
+
+def bytes_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The UTF-8 bytes of an Arrow array of texts without NULLs, and the place where each text begins, with the end."""
+    width = np.int64 if pa.types.is_large_string(texts.type) else np.int32
+    _, places, data = texts.buffers()
+    if not len(texts):
+        return np.zeros(0, np.uint8), np.zeros(1, np.int64)
+    at = np.frombuffer(places, width)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+    whole = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
+    return whole[at[0] : at[-1]], at - at[0]
+
+
+def runs_of_bytes(texts: pa.Array, limit: int) -> Iterator[tuple[int, int]]:
+    """Ranges of rows whose texts hold at most ``limit`` bytes together; a longer text is a range of its own."""
+    _, at = bytes_of(texts)
+    first = 0
+    while first < len(texts):
+        last = max(first + 1, int(np.searchsorted(at, at[first] + limit, "right")) - 1)
+        yield first, last
+        first = last
