@@ -44,7 +44,8 @@ def copies(docs: DataFrame) -> DataFrame:
     again = known.groupBy("hash", "size").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most")
     again = stored(again.select("hash", "size"))
     rows = stored(known.join(again, ["hash", "size"], "left_semi"))
-    first = rows.groupBy("hash", "text").agg(F.min("doc_id").alias("first")).alias("f")
+    # Stored, so that the join reads two shuffles and Spark can split a text that very many rows hold.
+    first = stored(rows.groupBy("hash", "text").agg(F.min("doc_id").alias("first"))).alias("f")
     r = rows.alias("r")
     smaller = (F.col("r.hash") == F.col("f.hash")) & (F.col("r.text") == F.col("f.text")) & (F.col("f.first") < F.col("r.doc_id"))
     return r.join(first, smaller, "left_semi").select("doc_id", "hash")
