@@ -109,11 +109,3 @@ def path_to_id(path: Column) -> Column:
 def template_to_family(template: Column) -> Column:
     """Family name of a template: without the eval_ prefix and the _r2 suffix."""
     return F.regexp_replace(F.regexp_replace(template, "^eval_", ""), "_r2$", "")
-
-
-def set_digest(text: Column) -> Column:
-    """Aggregate: a digest of a set of texts that does not depend on their order.
-
-    The sum of 60-bit hashes needs one number per task instead of a sorted list of everything.
-    """
-    return F.sum(hash_number(text, 15).cast("decimal(38,0)")).cast("string")

@@ -1,46 +1,33 @@
-"""Exact medians without holding a group in one task."""
+"""Exact medians of any number of columns in one pass, without holding a group in one task."""
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-ACCURACY = 2000
+from auditframe.functions.ordered import ranged, running_sums
 
 
-def exact_median(df: DataFrame, keys: Sequence[str], value: str, name: str) -> DataFrame:
-    """Median per key (mean of the two middle values), exact.
+def exact_medians(df: DataFrame, keys: Sequence[str], columns: Mapping[str, str]) -> DataFrame:
+    """keys and, per name, the median of its column (mean of the two middle values), exact.
 
-    A sketch first brackets the middle; only the values inside the bracket, counted
-    per distinct value before they are shuffled, are ranked.  NULLs are left out.
+    Values are counted per distinct value, the counts are stored in ranges of (key, column, value), and prefix sums over the
+    ranges give every value its ranks; so a group of any size is spread over ranges. NULLs are left out; a key without a value of a column has NULL.
     """
-    by = list(keys) or ["_all"]
-    rows = df if keys else df.withColumn("_all", F.lit(1))
-    rows = rows.select(*by, F.col(value).alias("_v")).where(F.col("_v").isNotNull())
-    slack = 2.0 / ACCURACY
-    bracket = rows.groupBy(*by).agg(
-        F.percentile_approx("_v", F.array(F.lit(0.5 - slack), F.lit(0.5 + slack)), ACCURACY).alias("_b"),
-        F.count("*").alias("_n"),
-    )
-    counted = rows.groupBy(*by, "_v").agg(F.count("*").alias("_c")).join(bracket, by)
-    below = counted.groupBy(*by).agg(
-        F.coalesce(F.sum(F.when(F.col("_v") < F.col("_b")[0], F.col("_c"))), F.lit(0)).alias("_below")
-    )
-    kept = counted.where(F.col("_v").between(F.col("_b")[0], F.col("_b")[1])).join(below, by)
-    order = Window.partitionBy(*by).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = kept.withColumn("_to", F.col("_below") + F.sum("_c").over(order)).withColumn(
-        "_from", F.col("_to") - F.col("_c")
-    )
-    lower, upper = F.expr("(_n - 1) div 2"), F.expr("_n div 2")
-
-    def holds(rank):
-        return (F.col("_from") <= rank) & (rank < F.col("_to"))
-
-    low = F.max(F.when(holds(lower), F.col("_v")))
-    high = F.max(F.when(holds(upper), F.col("_v")))
-    middle = (low.cast("double") + high.cast("double")) / 2
-    found = ranked.groupBy(*by).agg(
-        F.when(middle.isNull(), F.raise_error(F.lit("median fell outside its bracket"))).otherwise(middle).alias(name)
-    )
-    return found if keys else found.drop("_all")
+    by = [*keys, "_what"]
+    cells = F.array(*[F.struct(F.lit(name).alias("_what"), F.col(column).cast("double").alias("_v")) for name, column in columns.items()])
+    values = df.select(*keys, F.explode(cells).alias("_x")).select(*keys, "_x.*")
+    counted = values.groupBy(*by, "_v").agg(F.count("_v").alias("_c"))  # a NULL keeps its key, with the count 0
+    ranked = running_sums(ranged(counted, by, "_v"), by, "_v", {"_to": F.col("_c")}, totals="_n")
+    holds = lambda rank: (F.col("_to") - F.col("_c") <= rank) & (rank < F.col("_to"))
+    found = []
+    for name in columns:
+        ends = [F.max(F.when((F.col("_what") == name) & holds(F.expr(rank)), F.col("_v"))) for rank in ("(_n - 1) div 2", "_n div 2")]
+        found.append(((ends[0] + ends[1]) / 2).alias(name))
+    return ranked.groupBy(*keys).agg(*found)
+
+
+def exact_median(df: DataFrame, keys: Sequence[str], value: str, name: str) -> DataFrame:
+    """Median of one column per key."""
+    return exact_medians(df, keys, {name: value})

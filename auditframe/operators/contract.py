@@ -1,29 +1,19 @@
-"""Event-log contract checks.  Every check returns rows of
+"""Event-log contracts: single checks, histories and states, requests, transitions, row rules.
+
+The checks return rows of
 
     episode_id, event_id, check, detail
 
-and reports all violations.  Tables follow the normalised episode schema; events
-and mutations are ordered by integer positions, never by their own claims.
+and report all violations; ``operators/audit.py`` runs all checks of a set of episodes together.  Tables follow the
+normalised episode schema; events are ordered by integer positions, never by their own claims.
 """
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from auditframe.functions.canon import hash_number
-from auditframe.functions.ordered import CHUNK, earliest, latest, neighbour, running_sums, union_all
-
-SHIFT = 20  # bits that separate the event position from the position inside the event
-
-# Checks in the order in which the first violation of an episode is decided;
-# stage 0 comes before the events, 1 event by event, 2 after the last event.
-CHECK_ORDER = (
-    ("long_horizon", 0), ("duplicate_key", 0), ("duplicate_receipt", 0), ("challenge", 0),
-    ("chronology", 1), ("unknown_actor", 1), ("authorization", 1), ("idempotency", 1), ("request_reuse", 1),
-    ("unknown_account", 1), ("ledger_balance", 1), ("unknown_object", 1), ("version_chain", 1), ("evidence_presence", 1),
-    ("final_state", 2),
-)
-
+from auditframe.functions import digest_tree
+from auditframe.functions.ordered import CHUNK, latest, neighbour
 
 def _violations(df: DataFrame, check: str, detail: Column, event: Column | None = None) -> DataFrame:
     return df.select(
@@ -39,11 +29,6 @@ def duplicate_keys(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") > 1)
 
 
-def short_windows(episodes: DataFrame, days: int = 7) -> DataFrame:
-    span = F.unix_seconds("window_end") - F.unix_seconds("window_start")
-    return _violations(episodes.where(span < days * 86400), "long_horizon", span)
-
-
 def chronology(events: DataFrame, episodes: DataFrame) -> DataFrame:
     """Sequence must count 1, 2, 3 …; time must not fall back and must stay in the window."""
     data = neighbour(events, ["episode_id"], "pos", F.struct("sequence", "at"), "_before", back=True)
@@ -107,61 +92,13 @@ def request_reuse(events: DataFrame) -> DataFrame:
     )
 
 
-def duplicate_receipts(events: DataFrame) -> DataFrame:
-    primary = events.where(F.col("duplicate_of").isNull())
-    return _violations(
-        duplicate_keys(primary, ["episode_id", "expected_receipt"]), "duplicate_receipt", F.col("expected_receipt")
-    )
-
-
-def unknown_accounts(events: DataFrame, ledger: DataFrame, entities: DataFrame) -> DataFrame:
-    known = entities.select("episode_id", F.col("id").alias("account_id"))
-    lost = ledger.join(known, ["episode_id", "account_id"], "left_anti")
-    return _named(_at(lost), events, "unknown_account", F.col("account_id"))
-
-
 def ledger_balance(ledger: DataFrame, keys: list[str]) -> DataFrame:
     """Sums of minor units per key that are not zero, or not known because a leg has no amount (total NULL)."""
     known = F.when(F.count("*") == F.count("amount_minor"), F.sum("amount_minor"))
     return ledger.groupBy(*keys).agg(known.alias("total")).where(~F.coalesce(F.col("total") == 0, F.lit(False)))
 
 
-def unbalanced(events: DataFrame, ledger: DataFrame) -> DataFrame:
-    off = ledger_balance(ledger, ["episode_id", "event_pos", "currency"])
-    return _named(_at(off), events, "ledger_balance", F.concat_ws(":", "currency", "total"))
-
-
-def unknown_objects(events: DataFrame, mutations: DataFrame, states: DataFrame) -> DataFrame:
-    known = states.where(F.col("which") == "initial").select("episode_id", "object_id")
-    lost = mutations.join(known, ["episode_id", "object_id"], "left_anti")
-    return _named(_at(lost), events, "unknown_object", F.col("object_id"))
-
-
-def _at(df: DataFrame) -> DataFrame:
-    return df.withColumnRenamed("event_pos", "_event_pos")
-
-
-def _named(df: DataFrame, events: DataFrame, check: str, detail: Column) -> DataFrame:
-    names = events.select("episode_id", F.col("pos").alias("_event_pos"), "event_id")
-    return _violations(df.join(names, ["episode_id", "_event_pos"], "left"), check, detail, F.col("event_id"))
-
-
-def object_history(mutations: DataFrame, states: DataFrame) -> DataFrame:
-    """Initial states at order 0 and mutations after them, one row per step of an object."""
-    start = states.where(F.col("which") == "initial").select(
-        "episode_id", "object_id", F.lit(0).cast("long").alias("step"), F.lit(None).cast("long").alias("event_pos"),
-        F.lit(None).cast("string").alias("from_state"), F.lit(None).cast("long").alias("from_version"),
-        F.col("state").alias("to_state"), F.col("version").cast("long").alias("to_version"),
-    )
-    moves = mutations.select(
-        "episode_id", "object_id", (F.shiftleft(F.col("event_pos").cast("long"), SHIFT) + F.col("pos") + 1).alias("step"),
-        F.col("event_pos").cast("long").alias("event_pos"), "from_state", F.col("from_version").cast("long").alias("from_version"),
-        "to_state", F.col("to_version").cast("long").alias("to_version"),
-    )
-    return start.unionByName(moves)
-
-
-def broken_steps(history: DataFrame, keys: list[str], size: int = CHUNK << SHIFT) -> DataFrame:
+def broken_steps(history: DataFrame, keys: list[str], size: int = CHUNK) -> DataFrame:
     """Steps that do not continue the object's state and version or skip a version."""
     data = neighbour(history, keys, "step", F.struct("to_state", "to_version"), "_now", back=True, size=size)
     fits = (
@@ -173,16 +110,6 @@ def broken_steps(history: DataFrame, keys: list[str], size: int = CHUNK << SHIFT
     return data.where(F.col("_now").isNotNull() & ~F.coalesce(fits, F.lit(False))).drop("_now")
 
 
-def version_chain(events: DataFrame, mutations: DataFrame, states: DataFrame) -> DataFrame:
-    broken = broken_steps(object_history(mutations, states), ["episode_id", "object_id"])
-    return _named(_at(broken), events, "version_chain", F.col("object_id"))
-
-
-def missing_evidence(events: DataFrame) -> DataFrame:
-    bare = events.where(F.coalesce(F.size("evidence_refs"), F.lit(0)) <= 0)
-    return _violations(bare, "evidence_presence", F.lit("no evidence refs"), F.col("event_id"))
-
-
 def final_objects(history: DataFrame, keys: list[str]) -> DataFrame:
     """State and version of each object after its last step."""
     return latest(history, keys, "step", "to_state", "to_version").select(
@@ -197,17 +124,6 @@ def state_difference(left: DataFrame, right: DataFrame, keys: list[str], fields:
     return a.join(b, keys, "full_outer").where(~F.col("left").eqNullSafe(F.col("right")))
 
 
-def final_state(mutations: DataFrame, states: DataFrame) -> DataFrame:
-    keys = ["episode_id", "object_id"]
-    reached = final_objects(object_history(mutations, states), keys)
-    declared = states.where(F.col("which") == "final").select(
-        *keys, "state", F.col("version").cast("long").alias("version")
-    )
-    return _violations(
-        state_difference(reached, declared, keys, ["state", "version"]), "final_state", F.col("object_id")
-    )
-
-
 def contracted_state(states: DataFrame, mutations: DataFrame) -> DataFrame:
     """State the applied mutations lead to: per object the greatest to_version wins."""
     keys = ["episode_id", "object_id"]
@@ -219,22 +135,24 @@ def contracted_state(states: DataFrame, mutations: DataFrame) -> DataFrame:
     return best.select(*keys, "_best.state", "_best.version")
 
 
-def state_after_step(history: DataFrame, keys: list[str], order: str, size: int = CHUNK) -> DataFrame:
-    """A digest of the whole state after every step.
+def state_value(state: Column, version: Column) -> Column:
+    """What a state's digest tree holds of an object."""
+    return F.concat_ws("|", digest_tree.framed(state), digest_tree.framed(version))
 
-    The digest of a state is the sum of one 60-bit hash per object over its name, state
-    and version, so a step changes it by (new - old) and a running sum gives every digest
-    without listing all objects at every step.  Equal states have equal digests.
-    """
-    def object_hash(state: Column, version: Column) -> Column:
-        text = F.concat_ws("|", F.col("object_id"), state, version.cast("string"))
-        return hash_number(text, 15).cast("decimal(38,0)")
 
-    new = object_hash(F.col("to_state"), F.col("to_version"))
-    old = F.when(
-        F.col("from_version").isNotNull(), object_hash(F.col("from_state"), F.col("from_version"))
-    ).otherwise(F.lit(0).cast("decimal(38,0)"))
-    return running_sums(history, keys, order, {"state_digest": new - old}, size=size)
+def state_roots(states: DataFrame, keys: list[str], levels: int = 1) -> DataFrame:
+    """keys, leaves, root: the digest tree over the objects of each state."""
+    return digest_tree.roots(states, F.col("object_id"), state_value(F.col("state"), F.col("version")), keys, levels)
+
+
+def state_after_step(history: DataFrame, keys: list[str], order: str, size: int = CHUNK, levels: int = 1) -> DataFrame:
+    """The root of the whole state after every step, as ``state_roots`` gives it for a state at rest.
+
+    A step changes one object, so it renews one path of the tree; what else the state holds is carried along.
+    """
+    value = state_value(F.col("to_state"), F.col("to_version"))
+    rows = digest_tree.roots_after_steps(history, keys, order, "object_id", value, levels=levels, size=size)
+    return rows.withColumnRenamed("root", "state_root")
 
 
 def challenge_verdicts(challenges: DataFrame) -> DataFrame:
@@ -246,58 +164,12 @@ def challenge_verdicts(challenges: DataFrame) -> DataFrame:
     return challenges.withColumns({"sufficient": enough, "fits": fits})
 
 
-def challenge_violations(challenges: DataFrame, events: DataFrame) -> DataFrame:
-    wrong = challenge_verdicts(challenges).where(~F.col("fits"))
-    supplied = challenges.select("episode_id", "challenge_id", F.explode("supplied").alias("ref"))
-    exposed = events.select("episode_id", F.explode("evidence_refs").alias("ref")).distinct()
-    outside = supplied.join(exposed, ["episode_id", "ref"], "left_anti").select("episode_id", "challenge_id").distinct()
-    named = F.col("challenge_id")
-    return _violations(wrong, "challenge", named).unionByName(_violations(outside, "challenge", named)).distinct()
-
-
 def dangling_refs(events: DataFrame, evidence: DataFrame) -> DataFrame:
     """Evidence named by events but absent from the public evidence table."""
     refs = events.select("episode_id", "event_id", F.explode("evidence_refs").alias("evidence_id"))
     return refs.join(evidence.select("evidence_id"), "evidence_id", "left_anti")
 
 
-def audit(tables: dict[str, DataFrame]) -> DataFrame:
-    """All checks over the tables of a set of episodes."""
-    t = tables
-    return union_all([
-        short_windows(t["episodes"]),
-        duplicate_receipts(t["events"]),
-        challenge_violations(t["challenges"], t["events"]),
-        chronology(t["events"], t["episodes"]),
-        unknown_actors(t["events"], t["entities"]),
-        authorization(t["events"], t["entities"], t["authorizations"]),
-        idempotency(t["events"], t["mutations"]),
-        request_reuse(t["events"]),
-        unknown_accounts(t["events"], t["ledger"], t["entities"]),
-        unbalanced(t["events"], t["ledger"]),
-        unknown_objects(t["events"], t["mutations"], t["states"]),
-        version_chain(t["events"], t["mutations"], t["states"]),
-        missing_evidence(t["events"]),
-        final_state(t["mutations"], t["states"]),
-    ])
-
-
-def passing(episodes: DataFrame, violations: DataFrame) -> DataFrame:
-    return episodes.join(violations.select("episode_id").distinct(), "episode_id", "left_anti")
-
-
-def first_violation(violations: DataFrame, events: DataFrame) -> DataFrame:
-    """Per episode the violation decided first: by stage, then event, then check order."""
-    ranks = F.create_map(*[F.lit(x) for i, (name, _) in enumerate(CHECK_ORDER) for x in (name, i)])
-    stages = F.create_map(*[F.lit(x) for name, stage in CHECK_ORDER for x in (name, stage)])
-    places = events.select("episode_id", F.col("event_id").cast("string").alias("event_id"), "pos")
-    placed = violations.join(places, ["episode_id", "event_id"], "left").withColumn(
-        "_order",
-        F.struct(stages[F.col("check")].alias("s"), F.coalesce("pos", F.lit(0)).alias("p"), ranks[F.col("check")].alias("r")),
-    )
-    return earliest(placed, ["episode_id"], "_order", "event_id", "check")
-
-
 # --- requests ----------------------------------------------------------------
 def request_index(events: DataFrame) -> DataFrame:
     """One row per request: receipt, primary event, number of duplicates and their ids.

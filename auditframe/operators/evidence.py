@@ -1,11 +1,15 @@
 """Evidence for control requirements, certificates, corpus lineage and evidence export."""
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from auditframe.functions.canon import half_even, hash_number
-from auditframe.functions.ordered import positions, union_all
+from auditframe.functions import digest_tree
+from auditframe.functions.canon import half_even
+from auditframe.functions.ordered import positions, ranged, union_all
+from auditframe.session import materialise
 
 # Rejection categories that are attempts to leave the permitted scope.
 SCOPE_CATEGORIES = ("unauthorized", "stale_version", "precondition", "unknown_action", "already_applied", "schema", "malformed")
@@ -85,36 +89,98 @@ def certificate_ledger(issued: DataFrame) -> DataFrame:
     return issued.groupBy("status").agg(F.count("*").alias("episodes"), F.sum("missing_arms").alias("missing_results"))
 
 
-def set_variation(episodes: DataFrame, events: DataFrame, entities: DataFrame, authorizations: DataFrame, patches: DataFrame) -> DataFrame:
+def set_variation(episodes: DataFrame, events: DataFrame, entities: DataFrame, authorizations: DataFrame, patches: DataFrame, traps: DataFrame) -> DataFrame:
     """One row: how much a set of episodes varies.
 
-    A block is identified by the sum of hashes of its items, which needs no list per
-    episode; the action graph hashes each step with its predecessor and position.
+    A block of an episode (its authorizations, the kinds of its patches, the detectors of its traps, its steps in
+    order) is identified by the root of its digest tree, so no block is gathered whole; an episode without rows of a block has the
+    empty block, which is one more.
     """
-    def block(df: DataFrame, item: Column, name: str) -> DataFrame:
-        return df.groupBy("episode_id").agg(F.sum(hash_number(item, 15).cast("decimal(38,0)")).alias(name))
+    def block(df: DataFrame, name: Column, value: Column | None, called: str) -> DataFrame:
+        return digest_tree.roots(df, name, value, ["episode_id"], 1).select("episode_id", F.col("root").alias(called))
 
-    steps = F.concat_ws("|", F.col("pos").cast("string"), "surface", "action")
     sizes = events.groupBy("episode_id").agg(F.count("*").alias("n_events"), F.count_distinct("surface").alias("n_surfaces"))
     roles = entities.groupBy("episode_id").agg(F.count_distinct("role").alias("n_roles"))
     d = (
         episodes.select("episode_id")
-        .join(block(authorizations, F.concat_ws("|", "action", "role"), "auth"), "episode_id", "left")
-        .join(block(patches, F.col("kind"), "patch"), "episode_id", "left")
-        .join(block(events, steps, "graph"), "episode_id", "left")
+        .join(block(authorizations.distinct(), F.concat_ws("|", digest_tree.framed(F.col("action")), digest_tree.framed(F.col("role"))), None, "auth"), "episode_id", "left")
+        .join(block(patches, F.col("kind"), None, "patch"), "episode_id", "left")
+        .join(block(traps, F.col("detector"), None, "trap"), "episode_id", "left")
+        .join(block(events, F.col("pos"), F.concat_ws("|", digest_tree.framed(F.col("surface")), digest_tree.framed(F.col("action"))), "graph"), "episode_id", "left")
         .join(sizes, "episode_id", "left").join(roles, "episode_id", "left")
     )
+    distinct = lambda name: F.count_distinct(F.coalesce(name, F.lit("none")))
     return d.agg(
         F.count("*").alias("episode_count"),
-        F.count_distinct("auth").alias("distinct_authorization_maps"),
-        F.count_distinct("patch").alias("distinct_patch_blocks"),
-        F.count_distinct("graph").alias("distinct_action_graphs"),
+        distinct("auth").alias("distinct_authorization_maps"),
+        distinct("patch").alias("distinct_patch_blocks"),
+        distinct("trap").alias("distinct_trap_blocks"),
+        distinct("graph").alias("distinct_action_graphs"),
         F.count_distinct("n_surfaces").alias("surface_counts"),
         F.count_distinct("n_events").alias("event_counts"),
         F.count_distinct("n_roles").alias("role_counts"),
     )
 
 
+# --- evidence packs --------------------------------------------------------------------
+def artifact_roots(files: DataFrame, levels: int = digest_tree.LEVELS) -> DataFrame:
+    """Per run: number of files, bytes, and the root over (path, bytes, sha256)."""
+    value = F.concat_ws("|", F.col("bytes").cast("string"), "sha256")
+    sizes = files.groupBy("run_id").agg(F.count("*").alias("files"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes"))
+    return sizes.join(digest_tree.roots(files, F.col("path"), value, ["run_id"], levels).select("run_id", "root"), "run_id")
+
+
+def set_bindings(runs: DataFrame, episodes: DataFrame, levels: int = digest_tree.LEVELS) -> DataFrame:
+    """Whether every run used the episodes that its set holds now.
+
+    runs: run_id, set_id, recorded_root; episodes: set_id, episode_id. Adds episodes, root and status: bound, differs,
+    not_recorded or unknown_set.
+    """
+    sets = digest_tree.roots(episodes.select("set_id", "episode_id").distinct(), F.col("episode_id"), None, ["set_id"], levels)
+    status = (
+        F.when(F.col("root").isNull(), "unknown_set").when(F.col("recorded_root").isNull(), "not_recorded")
+        .when(F.col("root") == F.col("recorded_root"), "bound").otherwise("differs")
+    )
+    return runs.join(sets.withColumnRenamed("leaves", "episodes"), "set_id", "left").withColumn("status", status)
+
+
+def pack_rows(sections: dict[str, DataFrame], subject: str = "run_id") -> DataFrame:
+    """section, subject, item, value: every column of the sections as text; what was not measured is UNKNOWN, never zero."""
+    def tall(name: str, df: DataFrame) -> DataFrame:
+        cells = F.array(*[F.struct(F.lit(c).alias("item"), F.coalesce(F.col(c).cast("string"), F.lit("UNKNOWN")).alias("value")) for c in df.columns if c != subject])
+        return df.select(F.lit(name).alias("section"), F.col(subject).cast("string").alias("subject"), F.explode(cells).alias("x")).select("section", "subject", "x.*")
+
+    return union_all([tall(name, df) for name, df in sections.items()])
+
+
+def pack_root(pack: DataFrame, levels: int = digest_tree.LEVELS) -> DataFrame:
+    """One row: number of items and the root over them."""
+    name = F.concat_ws("/", "section", digest_tree.framed(F.col("subject")), "item")
+    return digest_tree.roots(pack, name, F.col("value"), levels=levels)
+
+
+def pack_problems(committed: DataFrame, recomputed: DataFrame, moving: Iterable[str] = ()) -> DataFrame:
+    """section, subject, item, problem: where a committed pack and one recomputed from the runs disagree.
+
+    ``moving`` items may differ (what depends on when the pack was made and not on the runs), but not be missing.
+    """
+    keys = ["section", "subject", "item"]
+
+    def side(df: DataFrame, name: str) -> DataFrame:
+        return df.groupBy(*keys).agg(F.count("*").alias(f"{name}_n"), F.min("value").alias(name))
+
+    a, b = side(committed, "_a"), side(recomputed, "_b")
+    match = F.lit(True)
+    for k in keys:
+        match = match & F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}"))
+    both = a.alias("a").join(b.alias("b"), match, "full_outer")
+    problem = (
+        F.when(F.col("_a_n").isNull(), "not_committed").when(F.col("_b_n").isNull(), "not_recomputed").when(F.col("_a_n") != F.col("_b_n"), "repeated")
+        .when(F.col("_a").eqNullSafe(F.col("_b")) | F.coalesce(F.col("a.item").isin(*moving), F.lit(False)), None).otherwise("diverges")
+    )
+    return both.select(*[F.coalesce(f"a.{k}", f"b.{k}").alias(k) for k in keys], problem.alias("problem")).where("problem is not null")
+
+
 # --- lineage ---------------------------------------------------------------------------
 def unique_targets(relations: DataFrame) -> DataFrame:
     """Target of each (source, predicate) that has exactly one."""
@@ -144,31 +210,77 @@ def related_atoms(links: DataFrame, atoms: DataFrame) -> DataFrame:
     return links.join(atoms.withColumnRenamed("subject_id", "entity_id"), "entity_id").select("trade_id", "atom_id").distinct()
 
 
-def assign_spans(consumers: DataFrame, spans: DataFrame) -> DataFrame:
-    """The k-th consumer of a surface takes the k-th span of that surface.
-
-    consumers: surface, consumer (integer order); spans: surface, span (integer order).
-    A consumer beyond the last span gets none.
-    """
-    placed = positions(consumers, ["surface"], "consumer", "_k")
-    offered = positions(spans, ["surface"], "span", "_k")
-    return placed.join(offered.select("surface", "_k", "span"), ["surface", "_k"], "left").drop("_k")
+def assign_spans(consumers: DataFrame, spans: DataFrame, consumer_atoms: DataFrame, span_atoms: DataFrame) -> DataFrame:
+    """What a greedy choice in consumer order gives: every consumer takes the first unused span of its surface that shares an atom
+    with it, else the first unused one, else none.
 
+    consumers: surface, consumer; spans: surface, span (keys of any type that sorts, unique); consumer_atoms: consumer,
+    atom_id; span_atoms: span, atom_id. Returns surface, consumer, span and support_scope (entity_direct or
+    surface_context; NULL without a span).
 
-def mark_direct(assigned: DataFrame, consumer_atoms: DataFrame, span_atoms: DataFrame) -> DataFrame:
-    """Add support_scope: entity_direct when consumer and span share an atom."""
-    shared = (
-        assigned.select("consumer", "span").join(consumer_atoms, "consumer").join(span_atoms, ["span", "atom_id"])
-        .select("consumer", "span").distinct().withColumn("_d", F.lit(True))
-    )
-    return assigned.join(shared, ["consumer", "span"], "left").withColumn(
-        "support_scope", F.when(F.col("_d"), "entity_direct").otherwise("surface_context")
-    ).drop("_d")
+    Choices are made in rounds, all that are certain at once. Of the consumers still waiting, the k-th of a surface can take
+    without an atom only one of the first k spans left. So a span at place k or later goes to the first consumer that shares an
+    atom with it if that one likes it best; where consumers and spans meet in one atom alone, they pair up in order; and consumers
+    without an atom that is left, ahead of all others, take the first spans in order. The first consumer is always
+    certain, so rounds come to an end. A consumer with as many before it as there are spans gets none.
+    """
+    waiting, free, chosen = materialise(consumers.select("surface", "consumer")), materialise(spans.select("surface", "span")), []
+    wants, holds = materialise(consumer_atoms.distinct()), materialise(span_atoms.distinct())
+    surface_atom = ["surface", "atom_id"]
+    while True:
+        left = positions(ranged(free, ["surface"], "span"), ["surface"], "span", "idx").drop("_chunk")
+        room = left.groupBy("surface").agg(F.count("*").alias("_room"))
+        queue = positions(ranged(waiting, ["surface"], "consumer"), ["surface"], "consumer", "k").drop("_chunk")
+        queue = materialise(queue.join(room, "surface").where(F.col("k") <= F.col("_room")).drop("_room"))
+        if queue.isEmpty():
+            break
+        left = materialise(left)
+        wanted, offered = queue.join(wants, "consumer"), left.join(holds, "span")
+        # Per atom that both sides have: the first consumer and the first span.
+        alive = wanted.groupBy(*surface_atom).agg(F.min("k").alias("_early")).join(
+            offered.groupBy(*surface_atom).agg(F.min(F.struct("idx", "span")).alias("_first")), surface_atom
+        )
+        alive = materialise(alive)
+        asks, gives = materialise(wanted.join(alive, surface_atom)), materialise(offered.join(alive, surface_atom))
+        best = asks.groupBy("surface", "consumer", "k").agg(F.min("_first").alias("_best"), F.count("*").alias("_atoms"))
+        early = gives.groupBy("surface", "span").agg(F.min("_early").alias("_early"), F.count("*").alias("_atoms"))
+        liked = best.select("surface", "consumer", "k", "_best.span", "_best.idx").join(early.drop("_atoms"), ["surface", "span"])
+        dominant = liked.where((F.col("_early") == F.col("k")) & (F.col("idx") >= F.col("k"))).select("surface", "consumer", "span")
+        pairs = _pairs_of_one_atom(asks, gives, best, early)
+        # Consumers without a living atom, ahead of the first that has one.
+        first = best.groupBy("surface").agg(F.min("k").alias("_first_k"))
+        plain = queue.join(first, "surface", "left").where(F.col("_first_k").isNull() | (F.col("k") < F.col("_first_k")))
+        plain = plain.join(left.withColumnRenamed("idx", "k"), ["surface", "k"]).select("surface", "consumer", "span", F.lit("surface_context").alias("support_scope"))
+        direct = dominant.unionByName(pairs).distinct().withColumn("support_scope", F.lit("entity_direct"))
+        made = materialise(direct.unionByName(plain))
+        chosen.append(made)
+        waiting = queue.select("surface", "consumer").join(made, ["surface", "consumer"], "left_anti")
+        free = left.select("surface", "span").join(made, ["surface", "span"], "left_anti")
+    keys = consumers.select("surface", "consumer")
+    if not chosen:
+        return keys.join(spans.select("surface", "span").where("false"), "surface", "left").withColumn("support_scope", F.lit(None).cast("string"))
+    return keys.join(union_all(chosen), ["surface", "consumer"], "left")
+
+
+def _pairs_of_one_atom(asks: DataFrame, gives: DataFrame, best: DataFrame, early: DataFrame) -> DataFrame:
+    """The i-th consumer and the i-th span of an atom, up to the first that has another living atom or could lose the span."""
+    keys = ["surface", "atom_id"]
+
+    def numbered(rows: DataFrame, order: str, atoms: DataFrame, by: list[str]) -> DataFrame:
+        alone = rows.join(atoms.select(*by, "_atoms"), by)
+        return positions(ranged(alone, keys, order), keys, order, "_i").drop("_chunk")
+
+    a = numbered(asks.select(*keys, "consumer", "k"), "k", best, ["surface", "consumer"]).withColumnRenamed("_atoms", "_a")
+    b = numbered(gives.select(*keys, "span", "idx"), "idx", early, ["surface", "span"]).withColumnRenamed("_atoms", "_b")
+    met = materialise(a.join(b, [*keys, "_i"]))
+    sure = (F.col("_a") == 1) & (F.col("_b") == 1) & (F.col("idx") >= F.col("k"))
+    stops = met.where(~sure).groupBy(*keys).agg(F.min("_i").alias("_stop"))
+    return met.join(stops, keys, "left").where(F.col("_stop").isNull() | (F.col("_i") < F.col("_stop"))).select("surface", "consumer", "span")
 
 
 def client_sides(clients: DataFrame, order: str) -> DataFrame:
-    """Halve the clients in order: the first n // 2 train, the rest transfer."""
-    ranked = positions(clients, [], order, "_rank")
+    """Halve the clients in order (of any type, unique): the first n // 2 train, the rest transfer."""
+    ranked = positions(ranged(clients, [], order), [], order, "_rank").drop("_chunk")
     size = clients.agg(F.count("*").alias("_n"))
     half = F.expr("_n div 2")
     return ranked.crossJoin(F.broadcast(size)).withColumn(

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from auditframe.functions import digest_tree
 from auditframe.functions.ordered import union_all
 from auditframe.functions.text import WORD_OR_APOSTROPHE, shingle_rows
 
@@ -226,6 +227,10 @@ def gold_leaks(texts: DataFrame, path: str, text: str, gold: DataFrame, run: int
 
 
 # --- shared text -------------------------------------------------------------------
+#: Levels of the digest tree over sealed shingles: 4,096 buckets, so 100 million shingles are 25,000 to a bucket.
+COMMITMENT_LEVELS = 3
+
+
 def contamination(
     candidates: DataFrame, sealed: DataFrame, key: str, text: str, *, width: int = 13, limit: float = 0.0
 ) -> DataFrame:
@@ -233,7 +238,7 @@ def contamination(
 
     Shingles are distinct within a text before the shuffle, and one aggregation over
     both sides gives all counts, so boilerplate repeated everywhere costs one row per
-    map task.  The commitment is a sum of hashes, independent of order.
+    map task.  ``sealed_commitment`` is the root of the digest tree over the sealed shingles' hashes.
     """
     def side(df: DataFrame, name: str) -> DataFrame:
         rows = shingle_rows(df, key, text, width, keep_short=True)
@@ -243,13 +248,15 @@ def contamination(
 
     both = side(candidates, "candidate").unionByName(side(sealed, "sealed"))
     merged = both.groupBy("h").agg(F.bool_or("c").alias("c"), F.bool_or("s").alias("s"))
-    part = F.conv(F.substring(F.hex("h"), 1, 15), 16, 10).cast("long").cast("decimal(38,0)")
     counts = merged.agg(
         F.count_if("s").alias("sealed_shingles"),
         F.count_if("c").alias("candidate_shingles"),
         F.count_if(F.col("s") & F.col("c")).alias("overlap_shingles"),
-        F.sum(F.when(F.col("s"), part)).cast("string").alias("sealed_commitment"),
     )
+    # The sealed side alone, once more: the tree is over a set, so its leaves are distinct before they are counted.
+    leaves = side(sealed, "sealed").select("h").distinct()
+    root = digest_tree.roots(leaves, F.lower(F.hex("h")), levels=COMMITMENT_LEVELS).select(F.col("root").alias("sealed_commitment"))
+    counts = counts.crossJoin(F.broadcast(root))  # one row each
     share = F.col("overlap_shingles") / F.greatest(F.lit(1), F.col("sealed_shingles"))
     return counts.withColumns({
         "overlap_ratio": F.bround(share, 6), "status": F.when(share <= limit, "PASS").otherwise("FAIL"),

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from auditframe.operators.leak import refuse_if
 from auditframe.functions.ordered import earliest
-from auditframe.functions.quantiles import exact_median
+from auditframe.functions.quantiles import exact_medians
 
 # The eight checks of a grade, in order.
 CHECKS = (
@@ -142,11 +142,7 @@ def counts_of(df: DataFrame, flags: tuple[str, ...], *keys: str) -> DataFrame:
 
 
 def medians(records: DataFrame) -> DataFrame:
-    out = None
-    for column, name in (("turns", "median_actions"), ("output_tokens", "median_output_tokens"), ("seconds", "median_seconds")):
-        part = exact_median(records, ["model"], column, name)
-        out = part if out is None else out.join(part, "model")
-    return out
+    return exact_medians(records, ["model"], {"median_actions": "turns", "median_output_tokens": "output_tokens", "median_seconds": "seconds"})
 
 
 def usage_totals(turns: DataFrame) -> DataFrame:

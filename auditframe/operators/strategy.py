@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from auditframe.functions.canon import half_even, map_key, ratio
-from auditframe.functions.ordered import neighbour, running_sums, with_chunks
+from auditframe.functions.ordered import neighbour, ranged, running_sums, with_chunks
 
 EPISODE = ["run_id", "episode_id"]
 
@@ -60,11 +60,10 @@ def selection_error_code(message: Column) -> Column:
 def stable_turns(turns: DataFrame, pos: str) -> DataFrame:
     """Turns ordered by turn number (a missing one counts 0) and then by position.
 
-    The new ``turn`` holds both, so equal turn numbers keep their order; positions take
-    the lower 40 bits.
+    The new ``turn`` is a struct of both, so equal turn numbers keep their order and numbers may be sparse or large.
     """
-    turn = F.coalesce(F.col("turn"), F.lit(0)).cast("long")
-    return turns.withColumn("turn", F.shiftleft(turn, 40) + F.col(pos))
+    turn = F.struct(F.coalesce(F.col("turn").cast("long"), F.lit(0)).alias("turn"), F.col(pos).alias("pos"))
+    return ranged(turns.withColumn("turn", turn), EPISODE, "turn")
 
 
 def classify_rejections(turns: DataFrame, *, keep_chunks: bool = False) -> DataFrame:
@@ -80,7 +79,8 @@ def classify_rejections(turns: DataFrame, *, keep_chunks: bool = False) -> DataF
     )
     prepared = turns.withColumns({"_approach": approach, "_signature": signature})
     coming = F.struct("outcome", "_approach", "_signature")
-    data = neighbour(with_chunks(prepared, "turn"), EPISODE, "turn", coming, "_next")
+    chunked = prepared if "_chunk" in turns.columns else with_chunks(prepared, "turn")
+    data = neighbour(chunked, EPISODE, "turn", coming, "_next")
     after = F.col("_next")
 
     def same(field: str) -> Column:

@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from auditframe.functions.canon import cents
 from auditframe.functions.ordered import CHUNK, neighbour, positions, with_chunks
+from auditframe.operators import audit as A
 from auditframe.operators import contract as C
 from auditframe.operators.sensitivity import sensitivity
-from auditframe.plans.registry import query, sql_view
+from auditframe.plans.registry import query, sql_view, tree_sql
 from auditframe.plans.strategy import k_of, load
 from auditframe.session import materialise
 
@@ -170,7 +171,7 @@ UNION ALL SELECT episode_id, NULL, 'final_state' FROM v_ep_heads WHERE block % 2
     """SELECT episode_id, coalesce(event_id, '-') AS event_id, "check", count(*) AS n FROM v_ep_violations GROUP BY ALL""",
 )
 def episode_audit(spark, sf):
-    found = C.audit(episode_tables(spark, sf, stored=True))
+    found = A.audit(episode_tables(spark, sf, stored=True))
     return found.groupBy("episode_id", F.coalesce("event_id", F.lit("-")).alias("event_id"), "check").agg(F.count("*").alias("n"))
 
 
@@ -180,7 +181,7 @@ def episode_audit(spark, sf):
 )
 def episodes_passing(spark, sf):
     t = episode_tables(spark, sf, stored=True)
-    return C.passing(t["episodes"].select("episode_id"), C.audit(t))
+    return A.passing(t["episodes"].select("episode_id"), A.audit(t))
 
 
 @query(
@@ -380,14 +381,24 @@ def state_drift(spark, sf):
 
 @query(
     "state_after_step",
-    """SELECT episode_id, step, CAST(sum(new - old) OVER (PARTITION BY episode_id ORDER BY step) AS VARCHAR) AS state_digest FROM (
-  SELECT episode_id, step, CAST('0x' || substr(sha256(object_id || '|' || to_state || '|' || to_version), 1, 15) AS BIGINT)::HUGEINT AS new,
-    CASE WHEN from_state IS NULL THEN 0 ELSE CAST('0x' || substr(sha256(object_id || '|' || from_state || '|' || clean_version), 1, 15) AS BIGINT) END::HUGEINT AS old
-  FROM v_hist)""",
+    """WITH l AS (SELECT episode_id, step, object_id, sha256('=' || object_id) AS place, sha256(sha256('=' || object_id) || sha256(coalesce('=' || '=' || to_state || '|=' || to_version, ''))) AS leaf FROM v_hist),
+w AS (SELECT episode_id, step, unnest([
+    """ + ",\n    ".join(f"{{'p': sha256('=o{i}'), 'l': last_value(CASE WHEN object_id = 'o{i}' THEN leaf END IGNORE NULLS) OVER w}}" for i in range(5)) + """]) AS x
+  FROM l WINDOW w AS (PARTITION BY episode_id ORDER BY step)),
+b AS (SELECT episode_id, step, left(x.p, 1) AS digit, sha256('bucket' || string_agg(x.l || ':1', ',' ORDER BY x.p)) AS digest FROM w WHERE x.l IS NOT NULL GROUP BY ALL)
+SELECT episode_id, step, sha256('node' || string_agg(digit || ':' || digest, ',' ORDER BY digit)) AS state_root FROM b GROUP BY ALL""",
 )
 def state_after_step(spark, sf):
-    out = C.state_after_step(histories(spark, sf, faults=False).drop("_chunk"), ["episode_id"], "step")
-    return out.select("episode_id", "step", F.col("state_digest").cast("string").alias("state_digest"))
+    return C.state_after_step(histories(spark, sf, faults=False).drop("_chunk"), ["episode_id"], "step").select("episode_id", "step", "state_root")
+
+
+@query(
+    "state_root",
+    tree_sql("SELECT episode_id, object_id AS name, '=' || arg_max(to_state, step) || '|=' || max(to_version) AS value FROM v_hist GROUP BY ALL", "episode_id", 1),
+)
+def state_root(spark, sf):
+    """The root of each episode's state at its end."""
+    return C.state_roots(C.final_objects(histories(spark, sf), ["episode_id", "object_id"]), ["episode_id"])
 
 
 @query(

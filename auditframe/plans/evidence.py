@@ -6,14 +6,17 @@ import uuid
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from auditframe.functions import digest_tree
 from auditframe.functions.canon import canonical_json, digest, digest_matches, hours_between, iso_text, iso_timestamp, map_key
-from auditframe.operators import contract as C
+from auditframe.functions.ordered import union_all
+from auditframe.operators import audit as A
 from auditframe.operators import evidence as E
 from auditframe.operators import leak as L
 from auditframe.operators.sensitivity import patch_library
+from auditframe.operators.strategy import free_run_metrics, provider_usage
 from auditframe.plans.contract import episode_tables
 from auditframe.plans.leak import docs, files
-from auditframe.plans.registry import query, sql_view
+from auditframe.plans.registry import query, sql_view, tree_sql
 from auditframe.plans.strategy import load, outcomes, telemetry, turns
 from auditframe.session import materialise, shared_dir
 from auditframe.sources import files as S
@@ -53,10 +56,20 @@ def manifest_diff(spark, sf):
     return M.manifest_problems(listed(spark, sf), assets(spark, sf))
 
 
+sql_view("v_assets", "SELECT doc_id, source || '/' || doc_id AS path, octet_length(encode(text)) AS bytes, sha256(text) AS sha256 FROM documents")
+sql_view("v_asset_tree", tree_sql("SELECT path AS name, bytes || '|' || sha256 AS value FROM v_assets"))
+
+
+@query("manifest_proofs", "SELECT path, doc_id % 53 <> 0 AND doc_id % 67 <> 0 AND doc_id % 59 <> 0 AS listed FROM v_assets")
+def manifest_proofs(spark, sf):
+    """Which files the published root of the manifest proves to be listed as they are."""
+    manifest = listed(spark, sf).distinct()
+    return M.listed_assets(assets(spark, sf).drop("doc_id"), manifest).select("path", "listed")
+
+
 @query(
     "manifest_digest",
-    """SELECT count(*) AS files, CAST(sum(b) AS BIGINT) AS bytes, CAST(sum(CAST('0x' || substr(sha256(source || '/' || doc_id || '|' || b || '|' || sha256(text)), 1, 15) AS BIGINT)::HUGEINT) AS VARCHAR) AS list_digest
-FROM (SELECT *, octet_length(encode(text)) AS b FROM documents)""",
+    """SELECT count(*) AS files, CAST(sum(bytes) AS BIGINT) AS bytes, (SELECT root FROM v_asset_tree) AS root FROM v_assets""",
 )
 def manifest_digest(spark, sf):
     return M.manifest_summary(assets(spark, sf))
@@ -259,13 +272,17 @@ def certificate_ledger(spark, sf):
 
 @query(
     "set_variation",
-    """SELECT count(*) AS episode_count, 1::BIGINT AS distinct_authorization_maps, count(DISTINCT patches) AS distinct_patch_blocks, count(DISTINCT graph) AS distinct_action_graphs, count(DISTINCT s) AS surface_counts, count(DISTINCT n) AS event_counts,
+    """SELECT count(*) AS episode_count, 1::BIGINT AS distinct_authorization_maps, count(DISTINCT patches) AS distinct_patch_blocks, count(DISTINCT traps) AS distinct_trap_blocks,
+  count(DISTINCT graph) AS distinct_action_graphs, count(DISTINCT s) AS surface_counts, count(DISTINCT n) AS event_counts,
   count(DISTINCT r + 1) AS role_counts FROM (SELECT b.episode_id, string_agg((k % 3) || '|' || event_type || role, ',' ORDER BY pos) AS graph, count(DISTINCT k % 3) AS s, count(*) AS n, count(DISTINCT role) AS r,
+    coalesce(string_agg(event_type, ',' ORDER BY event_type) FILTER (is_dup), '') AS traps,
     (count(*) FILTER (NOT is_dup), count(*) FILTER (NOT is_dup AND event_type = 'purchase'), count(*) FILTER (NOT is_dup AND event_id <> first_id), count(*) >= 2) AS patches FROM v_ep_base b GROUP BY b.episode_id)""",
 )
 def set_variation(spark, sf):
+    """Every repeated request is a trap; its detector is named after the event's kind."""
     t = episode_tables(spark, sf, faults=False)
-    return E.set_variation(t["episodes"], t["events"], t["entities"], t["authorizations"], patch_library(t))
+    traps = t["events"].where("duplicate_of is not null").select("episode_id", F.split("action", "_")[0].alias("detector"))
+    return E.set_variation(t["episodes"], t["events"], t["entities"], t["authorizations"], patch_library(A.linked(A.lanes(t))), traps)
 
 
 # --- lineage and export ---------------------------------------------------------------------
@@ -329,18 +346,23 @@ def related_atoms(spark, sf):
 
 @query(
     "evidence_select",
-    """SELECT c.surface, c.consumer, s.span, CASE WHEN a.trade_id IS NOT NULL THEN 'entity_direct' ELSE 'surface_context' END AS support_scope FROM (
-  SELECT o_orderkey % 5 AS surface, o_orderkey AS consumer, row_number() OVER (PARTITION BY o_orderkey % 5 ORDER BY o_orderkey) AS k FROM orders) c
-LEFT JOIN (SELECT c_custkey % 5 AS surface, c_custkey AS span, row_number() OVER (PARTITION BY c_custkey % 5 ORDER BY c_custkey) AS k FROM customer) s USING (surface, k)
-LEFT JOIN (SELECT DISTINCT trade_id, atom_id FROM v_atoms) a ON a.trade_id = 't' || c.consumer AND a.atom_id = 'a' || (s.span % 50)""",
+    """WITH RECURSIVE c AS (SELECT o_orderkey AS consumer, o_orderkey % 5 AS surface, row_number() OVER (PARTITION BY o_orderkey % 5 ORDER BY o_orderkey) AS k FROM orders),
+s AS (SELECT c_custkey AS span, c_custkey % 5 AS surface FROM customer),
+d AS (SELECT DISTINCT c.consumer, s.span FROM c JOIN v_atoms a ON a.trade_id = 't' || c.consumer JOIN s ON s.surface = c.surface AND a.atom_id = 'a' || (s.span % 50)),
+r AS (SELECT DISTINCT surface, 0::BIGINT AS k, []::BIGINT[] AS used, NULL::BIGINT AS consumer, NULL::BIGINT AS span, NULL::BOOLEAN AS direct FROM c
+  UNION ALL SELECT surface, k + 1, list_append(used, pick.span), consumer, pick.span, pick.tier = 0 FROM (
+    SELECT r.surface, r.k, r.used, c.consumer, min({'tier': CASE WHEN d.span IS NULL THEN 1 ELSE 0 END, 'span': s.span}) AS pick
+    FROM r JOIN c ON c.surface = r.surface AND c.k = r.k + 1 JOIN s ON s.surface = r.surface AND NOT list_contains(r.used, s.span) LEFT JOIN d ON d.consumer = c.consumer AND d.span = s.span
+    GROUP BY r.surface, r.k, r.used, c.consumer))
+SELECT c.surface, c.consumer, r.span, CASE WHEN r.direct THEN 'entity_direct' WHEN r.span IS NOT NULL THEN 'surface_context' END AS support_scope FROM c LEFT JOIN r USING (surface, consumer)""",
 )
 def evidence_select(spark, sf):
-    """Orders take spans of their surface in turn; span i holds the atom of customer i % 50."""
+    """Orders choose spans of their surface greedily; span i holds the atom of customer i % 50."""
     consumers = load(spark, sf, "orders", F.col("o_orderkey").alias("consumer")).withColumn("surface", F.col("consumer") % 5)
     spans = load(spark, sf, "customer", F.col("c_custkey").alias("span")).withColumn("surface", F.col("span") % 5)
     held = spans.select("span", F.concat(F.lit("a"), F.col("span") % 50).alias("atom_id"))
     wanted = E.related_atoms(links(spark, sf), atoms(spark, sf)).select(F.expr("cast(substring(trade_id, 2) AS bigint)").alias("consumer"), "atom_id")
-    return E.mark_direct(E.assign_spans(consumers, spans), wanted, held)
+    return E.assign_spans(consumers, spans, wanted, held)
 
 
 @query(
@@ -368,21 +390,73 @@ def release_audit(spark, sf):
     return gates.crossJoin(F.broadcast(L.terminal_state(gates)))
 
 
+def registered_runs(spark, sf):
+    """Per run: the set it ran, and the root over its episodes that it recorded; run 2 recorded one without every tenth episode."""
+    ran = turns(spark, sf).select("run_id", "episode_id").distinct()
+    kept = ran.where("run_id <> 2 or episode_id % 10 <> 0")
+    return digest_tree.roots(kept, F.col("episode_id"), None, ["run_id"]).select("run_id", F.concat(F.lit("set"), "run_id").alias("set_id"), F.col("root").alias("recorded_root"))
+
+
+def pack(spark, sf):
+    """What is known of each run, from its files, its episodes, its outcomes and its calls."""
+    ran = turns(spark, sf).select(F.concat(F.lit("set"), "run_id").alias("set_id"), "episode_id")
+    metrics = ("episodes", "completed", "forbidden_output_keys", "canary_echoes", "state_changes_outside_contract", "rejected_requests")
+    calls = ("provider_calls", "retry_events", "malformed_responses", "input_tokens", "output_tokens", "cached_tokens")
+    return E.pack_rows({
+        "artifacts": E.artifact_roots(assets(spark, sf).withColumn("run_id", F.col("doc_id") % 3)),
+        "episode_set": E.set_bindings(registered_runs(spark, sf), ran).select("run_id", "set_id", "episodes", "root", "status"),
+        "metrics": free_run_metrics(outcomes(spark, sf)).select("run_id", *metrics),
+        "usage": provider_usage(telemetry(spark, sf)).select("run_id", *calls),
+    })
+
+
+sql_view("v_pack_files", tree_sql("SELECT doc_id % 3 AS run_id, path AS name, bytes || '|' || sha256 AS value FROM v_assets", "run_id"))
+sql_view("v_pack_sets", tree_sql("SELECT DISTINCT run_id, episode_id AS name FROM v_turns", "run_id", with_value=False))
+sql_view("v_pack_recorded", tree_sql("SELECT DISTINCT run_id, episode_id AS name FROM v_turns WHERE run_id <> 2 OR episode_id % 10 <> 0", "run_id", with_value=False))
+sql_view(
+    "v_pack",
+    "SELECT section, CAST(subject AS VARCHAR) AS subject, item, coalesce(value, 'UNKNOWN') AS value FROM ("
+    + " UNION ALL ".join(
+        f"SELECT '{section}' AS section, run_id AS subject, unnest([{', '.join(repr(c) for c in items)}]) AS item, unnest([{', '.join(f'CAST({x} AS VARCHAR)' for x in items.values())}]) AS value FROM {source}"
+        for section, items, source in (
+            ("artifacts", {"files": "files", "bytes": "bytes", "root": "root"}, "(SELECT doc_id % 3 AS run_id, count(*) AS files, sum(bytes) AS bytes FROM v_assets GROUP BY 1) JOIN v_pack_files USING (run_id)"),
+            ("episode_set", {"set_id": "'set' || run_id", "episodes": "s.leaves", "root": "s.root", "status": "CASE WHEN r.root = s.root THEN 'bound' ELSE 'differs' END"}, "v_pack_sets s JOIN v_pack_recorded r USING (run_id)"),
+            ("metrics", {c: c for c in ("episodes", "completed", "forbidden_output_keys", "canary_echoes", "state_changes_outside_contract", "rejected_requests")}, "v_run_metrics"),
+            ("usage", {c: c for c in ("provider_calls", "retry_events", "malformed_responses", "input_tokens", "output_tokens", "cached_tokens")}, "v_usage"),
+        )
+    ) + ")",
+)
+sql_view("v_pack_root", tree_sql("SELECT section || '/=' || subject || '/' || item AS name, value FROM v_pack"))
+
+
 @query(
     "evidence_pack",
-    """SELECT 'files' AS item, CAST(count(*) AS VARCHAR) AS value FROM documents UNION ALL SELECT 'calls', CAST(count(*) AS VARCHAR) FROM v_telemetry
-UNION ALL SELECT 'manifest_problems', CAST(count(*) AS VARCHAR) FROM v_manifest_problems UNION ALL SELECT 'unsafe_texts', CAST(count(*) AS VARCHAR) FROM documents WHERE contains(lower(text), 'ingerest')""",
+    "SELECT * FROM v_pack UNION ALL SELECT 'pack', '-', 'root', root FROM v_pack_root UNION ALL SELECT 'pack', '-', 'items', CAST(leaves AS VARCHAR) FROM v_pack_root",
 )
 def evidence_pack(spark, sf):
-    def item(name, value):
-        return value.select(F.lit(name).alias("item"), F.col(value.columns[0]).cast("string").alias("value"))
+    """The pack and, in its last rows, the root that commits to it; a value with a forbidden word stops it."""
+    rows = materialise(pack(spark, sf))
+    words = L.forbidden_words(rows.select(F.xxhash64(*rows.columns).alias("_row"), "value"), "_row", "value", ("ingerest",)).agg(F.count("*").alias("_hits"))
+    rows = L.refuse_if(rows, words, "_hits", "forbidden word in an evidence pack")
+    head = E.pack_root(rows).select(F.lit("-").alias("run_id"), "root", F.col("leaves").alias("items"))
+    return rows.unionByName(E.pack_rows({"pack": head}))
 
-    unsafe = L.forbidden_words(docs(spark, sf, "doc_id", "text"), "doc_id", "text", ("Ingerest",))
-    parts = [
-        item("files", M.manifest_summary(assets(spark, sf)).select("files")), item("calls", telemetry(spark, sf).agg(F.count("*"))),
-        item("manifest_problems", M.manifest_problems(listed(spark, sf), assets(spark, sf)).agg(F.count("*"))), item("unsafe_texts", unsafe.agg(F.count("*"))),
-    ]
-    return C.union_all(parts)
+
+@query(
+    "evidence_verify",
+    """SELECT section, subject, item, CASE WHEN section = 'usage' AND subject = '1' THEN 'not_committed' ELSE 'diverges' END AS problem FROM v_pack
+WHERE (section = 'usage' AND subject = '1') OR (section = 'metrics' AND subject = '0' AND item = 'completed') OR (section = 'artifacts' AND subject = '2' AND item = 'root')
+UNION ALL SELECT 'metrics', '9', 'episodes', 'not_recomputed'""",
+)
+def evidence_verify(spark, sf):
+    """A committed pack against the one recomputed: an altered count and root, a section left out, a run that never was."""
+    recomputed = materialise(pack(spark, sf))
+    section, subject, item = F.col("section"), F.col("subject"), F.col("item")
+    altered = ((section == "metrics") & (subject == "0") & (item == "completed")) | ((section == "artifacts") & (subject == "2") & (item == "root"))
+    committed = recomputed.where(~((section == "usage") & (subject == "1")))
+    committed = committed.withColumn("value", F.when(altered | (item == "files"), F.concat("value", F.lit("1"))).otherwise(F.col("value")))
+    stray = recomputed.where("section = 'metrics' and subject = '0' and item = 'episodes'").withColumn("subject", F.lit("9"))
+    return E.pack_problems(committed.unionByName(stray), recomputed, moving=["files"])
 
 
 @query(
@@ -400,9 +474,9 @@ def export_verify(spark, sf):
 
     parts = [
         named("manifest", M.manifest_problems(listed(spark, sf), assets(spark, sf))), named("span_hash", span_hash(spark, sf).where(~F.col("matches"))),
-        C.audit(episode_tables(spark, sf, stored=True)).select("check"), named("lineage", lineage),
+        A.audit(episode_tables(spark, sf, stored=True)).select("check"), named("lineage", lineage),
     ]
-    return C.union_all(parts).groupBy("check").agg(F.count("*").alias("violations"))
+    return union_all(parts).groupBy("check").agg(F.count("*").alias("violations"))
 
 
 # --- scans: each writes rows of a table to a new folder and reads them back -------------------

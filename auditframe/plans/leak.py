@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from auditframe.functions import text as X
 from auditframe.functions.canon import id_to_path, normal_text, path_to_id, template_to_family, url_host
 from auditframe.operators import leak as L
-from auditframe.plans.registry import query, sql_view
+from auditframe.plans.registry import query, sql_view, tree_sql
 from auditframe.plans.strategy import k_of, load
 
 
@@ -29,10 +29,13 @@ for _name, _table, _key in (("docs", "documents", "doc_id"), ("bench", "benchmar
     sql_view(f"v_sh10_{_name}", shingle_sql(_table, _key, 10, X.WORD_OR_APOSTROPHE, False))
 
 
+sql_view("v_sealed_tree", tree_sql("SELECT DISTINCT sha256(shingle) AS name FROM v_sh13_bench", levels=L.COMMITMENT_LEVELS, with_value=False))
+
+
 @query(
     "contamination",
     """SELECT count(*) FILTER (s) AS sealed_shingles, count(*) FILTER (c) AS candidate_shingles, count(*) FILTER (s AND c) AS overlap_shingles,
-  CAST(sum(CAST('0x' || substr(sha256(shingle), 1, 15) AS BIGINT)::HUGEINT) FILTER (s) AS VARCHAR) AS sealed_commitment,
+  (SELECT root FROM v_sealed_tree) AS sealed_commitment,
   round_even(count(*) FILTER (s AND c) / greatest(1, count(*) FILTER (s)), 6) AS overlap_ratio,
   CASE WHEN count(*) FILTER (s AND c) = 0 THEN 'PASS' ELSE 'FAIL' END AS status
 FROM (SELECT shingle, bool_or(c) AS c, bool_or(NOT c) AS s FROM (SELECT shingle, true AS c FROM v_sh13_docs UNION ALL SELECT shingle, false FROM v_sh13_bench) GROUP BY shingle)""",

@@ -64,3 +64,16 @@ def query(name: str, sql: str | None = None):
         return fn
 
     return add
+
+
+def tree_sql(rows: str, keys: str = "", levels: int = 2, with_value: bool = True) -> str:
+    """SQL of the digest trees over ``rows`` (keys, name, value): keys, leaves, root."""
+    k = f"{keys}, " if keys else ""
+    leaf = "sha256(place || sha256(v))" if with_value else "place"
+    value = "coalesce('=' || value, '')" if with_value else "''"
+    text = f"""SELECT {k}left(place, {levels}) AS prefix, sum(n) AS leaves, sha256('bucket' || string_agg(leaf || ':' || n, ',' ORDER BY place, leaf || ':' || n)) AS digest
+  FROM (SELECT {k}place, {leaf} AS leaf, count(*) AS n FROM (SELECT {k}sha256(coalesce('=' || name, '')) AS place, {value} AS v FROM ({rows})) GROUP BY ALL) GROUP BY {k}prefix"""
+    for level in range(levels - 1, -1, -1):
+        text = f"""SELECT {k}left(p, {level}) AS prefix, sum(leaves) AS leaves, sha256('node' || string_agg(right(p, 1) || ':' || digest, ',' ORDER BY p)) AS digest
+  FROM (SELECT * RENAME (prefix AS p) FROM ({text})) GROUP BY ALL"""
+    return f"SELECT {k}CAST(leaves AS BIGINT) AS leaves, digest AS root FROM ({text})"

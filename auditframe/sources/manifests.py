@@ -1,18 +1,38 @@
 """Manifests of files: building, comparing, reproducibility."""
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from auditframe.functions.canon import set_digest
+from auditframe.functions import digest_tree
 
 
-def manifest_summary(assets: DataFrame) -> DataFrame:
-    """One row: number of files, bytes, and a digest of the set of (path, bytes, sha256)."""
-    line = F.concat_ws("|", "path", F.col("bytes").cast("string"), "sha256")
-    return assets.agg(
-        F.count("*").alias("files"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes"), set_digest(line).alias("list_digest")
-    )
+def asset_value() -> Column:
+    """What a manifest says of a path."""
+    return F.concat_ws("|", F.col("bytes").cast("string"), "sha256")
+
+
+def manifest_tree(assets: DataFrame, levels: int = digest_tree.LEVELS) -> list[DataFrame]:
+    """The digest tree over (path, bytes, sha256), for roots, inclusion proofs and comparisons."""
+    return digest_tree.tree(assets, F.col("path"), asset_value(), levels=levels)
+
+
+def manifest_summary(assets: DataFrame, levels: int = digest_tree.LEVELS) -> DataFrame:
+    """One row: number of files, bytes, and the root of their digest tree."""
+    sizes = assets.agg(F.count("*").alias("files"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes"))
+    root = manifest_tree(assets, levels)[0].select(F.col("digest").alias("root"))
+    return sizes.crossJoin(F.broadcast(root))  # one row each
+
+
+def listed_assets(claims: DataFrame, assets: DataFrame, levels: int = digest_tree.LEVELS) -> DataFrame:
+    """Claimed assets (path, bytes, sha256) with whether the manifest's tree proves them."""
+    nodes = manifest_tree(assets, levels)
+    wanted = claims.select(F.col("path").alias("name"), asset_value().alias("value"))
+    checked = digest_tree.verify(digest_tree.proofs(nodes, wanted), levels)
+    published = nodes[0].select(F.col("digest").alias("_published"))
+    fits = checked.crossJoin(F.broadcast(published)).select(F.col("name").alias("path"), F.col("value").alias("_value"), (F.col("holds") & (F.col("root") == F.col("_published"))).alias("_ok"))
+    known = claims.withColumn("_value", asset_value()).join(fits, ["path", "_value"], "left")
+    return known.withColumn("listed", F.coalesce("_ok", F.lit(False))).drop("_value", "_ok")
 
 
 def manifest_problems(manifest: DataFrame, actual: DataFrame) -> DataFrame:
