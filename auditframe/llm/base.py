@@ -89,6 +89,12 @@ def bounded_sample(df: DataFrame, place: str, n: int) -> DataFrame:
     return near.orderBy(F.pmod(F.col(place), F.lit(1 << 20)), place).limit(n)
 
 
+def row_identity(id_column: str, text_column: str) -> Column:
+    """struct(no_id, id, k1, k2): what a row is known by where its id may be NULL or stand on several texts."""
+    own, text = F.col(f"`{id_column}`"), text_of(f"`{text_column}`")
+    return F.struct(own.isNull().alias("no_id"), own.alias("id"), F.xxhash64(text).alias("k1"), F.xxhash64(F.lit(1), text).alias("k2"))
+
+
 def crc_mod(number: Column, modulus: int) -> Column:
     """crc32 of the number's decimal text, modulo ``modulus``; NULL counts as the empty text."""
     return F.crc32(F.coalesce(number.cast("string"), F.lit("")).cast("binary")) % modulus

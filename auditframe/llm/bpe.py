@@ -30,7 +30,8 @@ from pyspark.sql import DataFrame, SparkSession
 from auditframe.llm.base import map_texts, table
 from auditframe.llm.registry import query
 
-#: Entries of a worker's tables of states, pieces and neighbours, beyond which a table starts anew.
+#: Entries of a worker's tables of states, pieces and neighbours, beyond which a table starts anew. Full tables of this size
+#: take some 550 MB; where an executor has less to spare, a share of them is enough (smaller tables are made anew more often).
 STATES, PIECES, PAIRS = 1 << 18, 1 << 20, 1 << 20
 BYTES = [bytes((b,)) for b in range(256)]
 #: Tokens decoded at a time.
@@ -45,8 +46,8 @@ def read_ranks(raw: bytes) -> dict[bytes, int]:
 class Transducer:
     """Encodes one piece at a time; see the module's description."""
 
-    def __init__(self, ranks: dict[bytes, int], states: int = STATES):
-        self.ranks, self.limit = ranks, states
+    def __init__(self, ranks: dict[bytes, int], states: int = STATES, pairs: int = PAIRS):
+        self.ranks, self.limit, self.pair_limit = ranks, states, pairs
         self.open = {token[:k] for token in ranks for k in range(1, len(token))}
         self.own: dict[int, tuple] = {}
         self.pairs: dict[tuple[int, int], bool] = {}
@@ -96,7 +97,7 @@ class Transducer:
         key = (before, token)
         known = self.pairs.get(key)
         if known is None:
-            if len(self.pairs) > PAIRS:
+            if len(self.pairs) > self.pair_limit:
                 self.pairs.clear()
             known = self.pairs[key] = self.spine(token)[0] and not self._joined(self.spine(before)[2], self.spine(token)[1])
         return known
@@ -183,15 +184,16 @@ class Utf8Stream:
 class Codec:
     """Texts to tokens and back."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str = public_tokenizers.PATTERN):
-        self.transducer, self.find = Transducer(ranks), regex.compile(pattern).findall
+    def __init__(self, ranks: dict[bytes, int], pattern: str = public_tokenizers.PATTERN, share: float = 1.0):
+        self.transducer, self.find = Transducer(ranks, int(share * STATES), int(share * PAIRS)), regex.compile(pattern).findall
+        self.limit = int(share * PIECES)
         self.known: dict[str, tuple[int, ...]] = {}
         self.token_bytes = self.transducer.bytes_of
 
     def encode(self, text: str | None) -> list[int]:
         pieces = self.find(text or "")
         known, encode = self.known, self.transducer.encode
-        if len(known) > PIECES:
+        if len(known) > self.limit:
             known.clear()
         for piece in pieces:
             if piece not in known:
@@ -215,12 +217,12 @@ class Codec:
 _CODECS: dict[bytes, Codec] = {}
 
 
-def codec_of(raw: bytes, pattern: str = public_tokenizers.PATTERN) -> Codec:
+def codec_of(raw: bytes, pattern: str = public_tokenizers.PATTERN, share: float = 1.0) -> Codec:
     """The worker's codec of a rank file: one is kept, with its tables."""
-    key = hashlib.sha256(raw + pattern.encode()).digest()
+    key = hashlib.sha256(raw + pattern.encode() + str(share).encode()).digest()
     if key not in _CODECS:
         _CODECS.clear()
-        _CODECS[key] = Codec(read_ranks(raw), pattern)
+        _CODECS[key] = Codec(read_ranks(raw), pattern, share)
     return _CODECS[key]
 
 
@@ -254,13 +256,16 @@ def decode_rows(tokens: DataFrame, raw: bytes, pattern: str = public_tokenizers.
     return tokens.select("doc_id", "ids").mapInArrow(run, f"doc_id {kind}, text string")
 
 
-def digest_rows(docs: DataFrame, raw: bytes, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256, n_chars: encoded, then decoded from the ids, in one pass."""
+def digest_rows(docs: DataFrame, raw: bytes, pattern: str = public_tokenizers.PATTERN, share: float = 1.0) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256, n_chars: encoded, then decoded from the ids, in one pass.
+
+    ``share`` is that of the tables' full size; it changes memory and time, not the result.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(raw)
     columns = {"n_tokens": ("long", pa.int64()), "ids_sha256": ("string", pa.string()), "decoded_sha256": ("string", pa.string()), "n_chars": ("long", pa.int64())}
 
     def make():
-        codec = codec_of(shared.value, pattern)
+        codec = codec_of(shared.value, pattern, share)
         names = {rank: str(rank) for rank in codec.token_bytes}
 
         def work(texts: list[str | None]) -> pd.DataFrame:

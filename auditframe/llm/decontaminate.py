@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditframe.llm.base import ascii_lower, fresh, small_side, stored, table, text_of
+from auditframe.llm.base import ascii_lower, fresh, row_identity, small_side, stored, table, text_of
 from auditframe.llm.registry import query
 
 WIDTH = 10
@@ -139,10 +139,13 @@ def contamination(docs: DataFrame, items: DataFrame, width: int = WIDTH) -> Data
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, width: int = WIDTH) -> DataFrame:
-    """The documents without any hit, columns unchanged; rows with a NULL id stay."""
-    key = fresh(docs, "_id")
-    bad = stored(contamination(docs, items, width).where("n_hit > 0").select(F.col("doc_id").alias(key)).distinct())
-    return docs.join(small_side(bad), F.col("doc_id") == F.col(key), "left_anti")
+    """The documents without any hit, columns unchanged. Rows are known by id and text: NULL ids are judged by their text,
+    and of two texts under one id only the one with a hit goes."""
+    own, key = fresh(docs, "_own"), fresh(docs, "_bad")
+    known = docs.select(row_identity("doc_id", "text").alias("doc_id"), "text")
+    bad = stored(contamination(known, items, width).where("n_hit > 0").select(F.col("doc_id").alias(key)).distinct())
+    kept = docs.withColumn(own, row_identity("doc_id", "text")).join(small_side(bad), F.col(own).eqNullSafe(F.col(key)), "left_anti")
+    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 @query("op4_benchmark_decontamination", r"""

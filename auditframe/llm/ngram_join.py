@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from auditframe.llm.base import BROADCAST_ROWS, fresh, map_texts, mix, small_side, stored, table
+from auditframe.llm.base import BROADCAST_ROWS, fresh, map_texts, mix, row_identity, small_side, stored, table
 from auditframe.llm.components import components
 from auditframe.llm.registry import query
 
@@ -482,10 +482,13 @@ def near_duplicate_links(docs: DataFrame, id_column: str = "doc_id", text_column
 
 
 def drop_near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """The document with the smallest id of each component stays, columns unchanged; rows with a NULL id stay."""
-    key = fresh(docs, "_id")
-    gone = near_duplicates(docs, id_column, text_column).where("component_id <> doc_id").select(F.col("doc_id").alias(key)).distinct()
-    return docs.join(small_side(stored(gone)), F.col(id_column) == F.col(key), "left_anti")
+    """The document with the smallest id of each component stays, columns unchanged. Rows are known by id and text: a NULL id
+    sorts after all others, and of two texts under one id each is judged on its own."""
+    own, key = fresh(docs, "_own"), fresh(docs, "_gone")
+    known = docs.select(row_identity(id_column, text_column).alias("doc_id"), F.col(f"`{text_column}`").alias("text"))
+    gone = near_duplicates(known).where(~F.col("component_id").eqNullSafe(F.col("doc_id"))).select(F.col("doc_id").alias(key)).distinct()
+    kept = docs.withColumn(own, row_identity(id_column, text_column)).join(small_side(stored(gone)), F.col(own).eqNullSafe(F.col(key)), "left_anti")
+    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 @query("op1_ngram_jaccard_join", r"""

@@ -174,3 +174,13 @@ def test_proximity_in_either_order(make):
     index = decontaminate.build_index(docs, make("term string", ("a",), ("b",)))
     got = {tuple(r) for r in decontaminate.proximity_hits(index, "a", "b", 3).collect()}
     assert got == {(1, 1, 4), (1, 10, 9), (2, 2, 1)}
+
+
+def test_rows_go_by_id_and_text(make):
+    """Rows without ids are judged by their texts, and of two texts under one id only the right one goes."""
+    passage = " ".join(f"t{i}" for i in range(20))
+    docs = make("doc_id long, text string", (None, f"x {passage}"), (None, "clean words"), (1, f"y {passage} z"), (1, "other clean words"))
+    bench = make("item_id long, text string", (1, passage))
+    assert sorted(r.text for r in decontaminate.drop_contaminated(docs, bench).collect()) == ["clean words", "other clean words"]
+    near = make("doc_id long, text string", (None, f"{passage} end"), (3, f"{passage} fin"), (3, "quite another text of words"), (None, "no copy of anything here at all"))
+    assert sorted(r.text for r in ngram_join.drop_near_duplicates(near).collect()) == ["no copy of anything here at all", "quite another text of words", f"{passage} fin"]
