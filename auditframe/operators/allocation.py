@@ -5,6 +5,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from auditframe.functions.canon import digest
+from auditframe.functions.ordered import union_all
 
 
 def job_table(arms: DataFrame, seeds: DataFrame, episodes: DataFrame) -> DataFrame:
@@ -52,16 +53,27 @@ def binding_violations(records: DataFrame, jobs: DataFrame) -> DataFrame:
 
 
 def readiness(jobs: DataFrame, started: DataFrame, records: DataFrame) -> DataFrame:
-    """One row of job counts and the status they give; pending means without a record."""
-    invalid = binding_violations(records, jobs).select("job_id", F.lit(True).alias("_bad")).distinct()
-    d = (
-        jobs.select("job_id")
-        .join(records.select("job_id", F.lit(True).alias("_rec")).distinct(), "job_id", "left")
-        .join(started.select("job_id", F.lit(True).alias("_run")).distinct(), "job_id", "left")
-        .join(invalid, "job_id", "left")
-    )
-    rec, run, bad = (F.coalesce(c, F.lit(False)) for c in ("_rec", "_run", "_bad"))
-    counts = d.agg(
+    """One row of job counts and the status they give; pending means without a record.
+
+    Plan, starts and records become rows of one key, and one aggregation per job, combined before the shuffle, says what
+    is known of it. ``jobs`` is read once: a record's fields are compared with its plan inside the group.
+    """
+    none = {c: F.lit(None).cast(jobs.schema[c].dataType) for c in BOUND}
+
+    def rows(df: DataFrame, kind: int, plan: bool = False, told: bool = False) -> DataFrame:
+        fields = F.struct(*[(F.col(c) if plan or told else none[c]).alias(c) for c in BOUND])
+        return df.select("job_id", F.lit(kind).alias("kind"), fields.alias("fields"))
+
+    both = union_all([rows(jobs, 0, plan=True), rows(started, 1), rows(records, 2, told=True)])
+    fields = lambda kind: F.when(F.col("kind") == kind, F.col("fields"))
+    per_job = both.groupBy("job_id").agg(
+        F.bool_or(F.col("kind") == 0).alias("planned"), F.bool_or(F.col("kind") == 1).alias("run"), F.bool_or(F.col("kind") == 2).alias("rec"),
+        F.max(fields(0)).alias("_plan"), F.min(fields(2)).alias("_low"), F.max(fields(2)).alias("_high"),
+    ).where("planned")
+    # All records of a job agree with its plan when the least and the greatest of them do.
+    bad = ~(F.col("_low").eqNullSafe(F.col("_plan")) & F.col("_high").eqNullSafe(F.col("_plan")))
+    rec, run = F.col("rec"), F.col("run")
+    counts = per_job.agg(
         F.count("*").alias("total"),
         F.count_if(rec & ~bad).alias("verified"),
         F.count_if(rec & bad).alias("invalid"),

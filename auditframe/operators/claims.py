@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from auditframe.functions.canon import normal_text, qualifier_key
-from auditframe.functions.ordered import positions
+from auditframe.functions.ordered import positions, ranged
 
 PROPOSITION = ("subject", "relation", "object", "polarity")
 KEY = ["subject", "relation", "object", "polarity", "qualifier_key"]
@@ -158,16 +158,23 @@ def coverage_differences(tasks: DataFrame, expected: DataFrame, by: list[str]) -
     return found.join(wanted, by, "full_outer").where(~F.col("found").eqNullSafe(F.col("expected")))
 
 
+def cited_refusals(refusals: DataFrame) -> DataFrame:
+    """Refusals (task_id, evidence_ids) as what citation_markers numbers: one item per task without a claim."""
+    return refusals.select("task_id", F.lit(None).cast("long").alias("claim_id"), F.lit(0).alias("pos"), "evidence_ids")
+
+
 def citation_markers(claims: DataFrame) -> DataFrame:
-    """Marker of each evidence of a task, by first appearance, and how many claims use it."""
-    place = F.col("pos").cast("long") * (1 << 31) + F.col("evidence_pos")
+    """Marker and citation id of each evidence of a task, by first appearance, and how many claims use it (none, for a refusal)."""
+    place = F.struct(F.col("pos").cast("long").alias("pos"), F.col("evidence_pos").alias("at"))
     first = citations(claims).groupBy("task_id", "evidence_id").agg(
         F.min(place).alias("_first"), F.count_distinct("claim_id").alias("claims")
     )
-    numbered = positions(first, ["task_id"], "_first", "marker_number", size=1 << 45)
+    numbered = positions(ranged(first, ["task_id"], "_first"), ["task_id"], "_first", "marker_number")
+    number = F.col("marker_number").cast("string")
+    three = F.when(F.length(number) < 3, F.lpad(number, 3, "0")).otherwise(number)
     return numbered.select(
         "task_id", "evidence_id", F.col("marker_number").cast("long").alias("marker_number"),
-        F.concat(F.lit("["), "marker_number", F.lit("]")).alias("marker"), "claims",
+        F.concat(F.lit("["), number, F.lit("]")).alias("marker"), F.concat(F.lit("citation-"), three).alias("citation_id"), "claims",
     )
 
 
@@ -201,17 +208,23 @@ def refusal_sentence(subject: Column, relation: Column, object_: Column) -> Colu
     )
 
 
+def _with_markers(items: DataFrame, markers: DataFrame, keys: list[str], sentence: Column) -> DataFrame:
+    """The sentence and the item's markers in the order of its evidence; at most 32 markers are gathered for one."""
+    marked = citations(items).join(markers.select("task_id", "evidence_id", "marker"), ["task_id", "evidence_id"])
+    gathered = marked.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("evidence_pos", "marker"))).alias("_m"))
+    joined = items.join(gathered, keys)
+    return joined.select(*keys, F.concat(sentence, F.lit(" "), F.array_join(F.transform("_m", lambda m: m["marker"]), " ")).alias("sentence"))
+
+
 def rendered_claims(claims: DataFrame, markers: DataFrame) -> DataFrame:
-    """One sentence with its markers per claim; at most 32 markers are gathered for one."""
-    marked = citations(claims).join(markers.select("task_id", "evidence_id", "marker"), ["task_id", "evidence_id"])
-    gathered = marked.groupBy("task_id", "claim_id").agg(
-        F.array_sort(F.collect_list(F.struct("evidence_pos", "marker"))).alias("_m")
-    )
-    sentence = claim_sentence(*(F.col(c) for c in PROPOSITION), F.col("qualifiers"))
-    d = claims.join(gathered, ["task_id", "claim_id"])
-    return d.select(
-        "task_id", "claim_id", F.concat(sentence, F.lit(" "), F.array_join(F.transform("_m", lambda m: m["marker"]), " ")).alias("sentence")
-    )
+    """One sentence with its markers per claim."""
+    return _with_markers(claims, markers, ["task_id", "claim_id"], claim_sentence(*(F.col(c) for c in PROPOSITION), F.col("qualifiers")))
+
+
+def rendered_refusals(refusals: DataFrame, markers: DataFrame) -> DataFrame:
+    """One sentence with its markers per refusal: task_id, subject, relation, object, evidence_ids."""
+    items = refusals.withColumns({"claim_id": F.lit(None).cast("long"), "pos": F.lit(0)})
+    return _with_markers(items, markers, ["task_id"], refusal_sentence(F.col("subject"), F.col("relation"), F.col("object")))
 
 
 def rejected_additions(expected: DataFrame, forbidden: DataFrame, propositions: DataFrame) -> DataFrame:

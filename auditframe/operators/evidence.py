@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from auditframe.functions import digest_tree
 from auditframe.functions.canon import half_even
-from auditframe.functions.ordered import positions, ranged, union_all
+from auditframe.functions.ordered import carried, positions, ranged, running_sums, union_all
 from auditframe.session import materialise
 
 # Rejection categories that are attempts to leave the permitted scope.
@@ -218,15 +218,16 @@ def assign_spans(consumers: DataFrame, spans: DataFrame, consumer_atoms: DataFra
     atom_id; span_atoms: span, atom_id. Returns surface, consumer, span and support_scope (entity_direct or
     surface_context; NULL without a span).
 
-    Choices are made in rounds, all that are certain at once. Of the consumers still waiting, the k-th of a surface can take
-    without an atom only one of the first k spans left. So a span at place k or later goes to the first consumer that shares an
-    atom with it if that one likes it best; where consumers and spans meet in one atom alone, they pair up in order; and consumers
-    without an atom that is left, ahead of all others, take the first spans in order. The first consumer is always
-    certain, so rounds come to an end. A consumer with as many before it as there are spans gets none.
+    Choices are made in rounds, all that are certain at once. Of the consumers still waiting, let the k-th of a surface have m
+    consumers before it that share no atom with a span left. These m take the first spans there are, so the first m are gone
+    when its turn comes; and nobody before it can take a span at place k or later without an atom. So a span at
+    place k or later is certain for the first consumer that shares an atom with it, if that one likes it best; where consumers and spans meet in
+    one atom alone, they pair up in order; and consumers without an atom, ahead of all others, take the first spans
+    in order. The first consumer is always certain, so rounds come to an end. A consumer with as many before it as there are
+    spans gets none.
     """
     waiting, free, chosen = materialise(consumers.select("surface", "consumer")), materialise(spans.select("surface", "span")), []
     wants, holds = materialise(consumer_atoms.distinct()), materialise(span_atoms.distinct())
-    surface_atom = ["surface", "atom_id"]
     while True:
         left = positions(ranged(free, ["surface"], "span"), ["surface"], "span", "idx").drop("_chunk")
         room = left.groupBy("surface").agg(F.count("*").alias("_room"))
@@ -235,18 +236,15 @@ def assign_spans(consumers: DataFrame, spans: DataFrame, consumer_atoms: DataFra
         if queue.isEmpty():
             break
         left = materialise(left)
-        wanted, offered = queue.join(wants, "consumer"), left.join(holds, "span")
-        # Per atom that both sides have: the first consumer and the first span.
-        alive = wanted.groupBy(*surface_atom).agg(F.min("k").alias("_early")).join(
-            offered.groupBy(*surface_atom).agg(F.min(F.struct("idx", "span")).alias("_first")), surface_atom
-        )
-        alive = materialise(alive)
-        asks, gives = materialise(wanted.join(alive, surface_atom)), materialise(offered.join(alive, surface_atom))
-        best = asks.groupBy("surface", "consumer", "k").agg(F.min("_first").alias("_best"), F.count("*").alias("_atoms"))
-        early = gives.groupBy("surface", "span").agg(F.min("_early").alias("_early"), F.count("*").alias("_atoms"))
-        liked = best.select("surface", "consumer", "k", "_best.span", "_best.idx").join(early.drop("_atoms"), ["surface", "span"])
+        offered = left.join(holds, "span")
+        asks = materialise(_first_spans(queue, wants, offered))
+        early = asks.groupBy("surface", "atom_id").agg(F.min(F.struct("k", "m")).alias("_early"))
+        gives = materialise(offered.join(early, ["surface", "atom_id"]).where(F.col("idx") > F.col("_early.m")))
+        best = asks.groupBy("surface", "consumer", "k").agg(F.min("first").alias("_best"), F.count("*").alias("_atoms"))
+        asked = gives.groupBy("surface", "span").agg(F.min("_early.k").alias("_early"), F.count("*").alias("_atoms"))
+        liked = best.select("surface", "consumer", "k", "_best.span", "_best.idx").join(asked.drop("_atoms"), ["surface", "span"])
         dominant = liked.where((F.col("_early") == F.col("k")) & (F.col("idx") >= F.col("k"))).select("surface", "consumer", "span")
-        pairs = _pairs_of_one_atom(asks, gives, best, early)
+        pairs = _pairs_of_one_atom(asks, gives, best, asked)
         # Consumers without a living atom, ahead of the first that has one.
         first = best.groupBy("surface").agg(F.min("k").alias("_first_k"))
         plain = queue.join(first, "surface", "left").where(F.col("_first_k").isNull() | (F.col("k") < F.col("_first_k")))
@@ -262,7 +260,30 @@ def assign_spans(consumers: DataFrame, spans: DataFrame, consumer_atoms: DataFra
     return keys.join(union_all(chosen), ["surface", "consumer"], "left")
 
 
-def _pairs_of_one_atom(asks: DataFrame, gives: DataFrame, best: DataFrame, early: DataFrame) -> DataFrame:
+def _first_spans(queue: DataFrame, wants: DataFrame, offered: DataFrame) -> DataFrame:
+    """surface, atom_id, consumer, k, m, first: per waiting consumer and atom, the first span left beyond place m.
+
+    Consumers and spans of an atom are laid in one sequence, and the latest span is carried to the consumers.
+    """
+    keys = ["surface", "atom_id"]
+    wanted = queue.join(wants, "consumer").join(offered.select(*keys).distinct(), keys, "left_semi")
+    alive = wanted.select("surface", "consumer").distinct().withColumn("_alive", F.lit(1))
+    counted = queue.join(alive, ["surface", "consumer"], "left")
+    counted = running_sums(counted, ["surface"], "k", {"m": F.when(F.col("_alive").isNull(), 1).otherwise(0).cast("long")}).select("surface", "consumer", "m")
+    asking = wanted.join(counted, ["surface", "consumer"])
+    none = F.lit(None)
+    rows = asking.select(
+        *keys, F.struct((-F.col("m")).alias("p"), F.lit(0).alias("kind"), F.col("k").alias("n")).alias("at"), "consumer", "k", "m",
+        none.cast(offered.select(F.struct("idx", "span")).schema[0].dataType).alias("_span"),
+    ).unionByName(offered.select(
+        *keys, F.struct((-F.col("idx")).alias("p"), F.lit(1).alias("kind"), F.col("idx").alias("n")).alias("at"),
+        none.cast(asking.schema["consumer"].dataType).alias("consumer"), none.cast("long").alias("k"), none.cast("long").alias("m"), F.struct("idx", "span").alias("_span"),
+    ))
+    found = carried(ranged(rows, keys, "at"), keys, "at", {"first": F.col("_span")})
+    return found.where("k is not null and first is not null").select(*keys, "consumer", "k", "m", "first")
+
+
+def _pairs_of_one_atom(asks: DataFrame, gives: DataFrame, best: DataFrame, asked: DataFrame) -> DataFrame:
     """The i-th consumer and the i-th span of an atom, up to the first that has another living atom or could lose the span."""
     keys = ["surface", "atom_id"]
 
@@ -271,7 +292,7 @@ def _pairs_of_one_atom(asks: DataFrame, gives: DataFrame, best: DataFrame, early
         return positions(ranged(alone, keys, order), keys, order, "_i").drop("_chunk")
 
     a = numbered(asks.select(*keys, "consumer", "k"), "k", best, ["surface", "consumer"]).withColumnRenamed("_atoms", "_a")
-    b = numbered(gives.select(*keys, "span", "idx"), "idx", early, ["surface", "span"]).withColumnRenamed("_atoms", "_b")
+    b = numbered(gives.select(*keys, "span", "idx"), "idx", asked, ["surface", "span"]).withColumnRenamed("_atoms", "_b")
     met = materialise(a.join(b, [*keys, "_i"]))
     sure = (F.col("_a") == 1) & (F.col("_b") == 1) & (F.col("idx") >= F.col("k"))
     stops = met.where(~sure).groupBy(*keys).agg(F.min("_i").alias("_stop"))

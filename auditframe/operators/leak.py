@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 from auditframe.functions import digest_tree
 from auditframe.functions.ordered import union_all
 from auditframe.functions.text import WORD_OR_APOSTROPHE, shingle_rows
+from auditframe.session import materialise
 
 # Patterns of secrets.
 SECRET_PATTERNS = (
@@ -83,33 +84,56 @@ def shaped_leaks(texts: DataFrame, key: str, text: str, needles: DataFrame, shap
 
 
 TOKEN = "[A-Za-z0-9]+"
+#: Rows of keys up to which a stored, counted list of them is broadcast, so that texts need not move; beyond it Spark decides.
+FEW_KEYS = 1 << 20
+
+
+def words_of(texts: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, word): the distinct words of each text."""
+    return texts.select(key, F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0)))).alias("_word"))
+
+
+def rarest_words(needles: DataFrame, words: DataFrame) -> DataFrame:
+    """(needle, _word, _n): of the words with separators on both sides inside a needle, the one that the fewest texts hold.
+
+    Such a word is a whole word of every text that holds the needle. Needles without one have NULL; a needle with one that
+    no text holds is in no text and drops out.
+    """
+    inner = F.array_distinct(F.regexp_extract_all("needle", F.lit(f"(?<=[^A-Za-z0-9])({TOKEN})(?=[^A-Za-z0-9])"), F.lit(1)))
+    wanted = needles.select("needle").where("needle <> ''").distinct().select("needle", F.explode_outer(inner).alias("_word"))
+    counts = words.join(wanted.select("_word").distinct(), "_word", "left_semi").groupBy("_word").agg(F.count("*").alias("_n"))
+    known = wanted.join(counts, "_word", "left").withColumn("_n", F.when(F.col("_word").isNotNull(), F.coalesce("_n", F.lit(0))))
+    best = known.groupBy("needle").agg(F.min(F.struct("_n", "_word")).alias("_b"))
+    return best.select("needle", "_b._word", "_b._n").where("_n is null or _n > 0")
+
+
+def with_texts(pairs: DataFrame, texts: DataFrame, key: str, text: str) -> DataFrame:
+    """Stored pairs with the texts of their keys; texts without a pair drop out where they are read."""
+    keys = materialise(pairs.select(key).distinct())
+    few = F.broadcast(keys) if keys.count() <= FEW_KEYS else keys
+    return texts.select(key, text).join(few, key, "left_semi").join(pairs, key)
 
 
 def substring_leaks(texts: DataFrame, key: str, text: str, needles: DataFrame, anchor: int = 12) -> DataFrame:
     """(key, needle) for needles of any shape and length; empty needles are in no text.
 
-    A word with separators on both sides inside a needle is a whole word of every text
-    that holds the needle.  So the longest such word is matched with the words of the
-    texts by an equi-join and only what matches is compared in full.  Needles without
-    such a word are matched by their first characters, ``anchor`` of them or all there are; runs
-    are made of the texts only for the lengths that occur, at most ``anchor`` of them.
+    A needle is looked up by its rarest inner word, by the counts of these words over all texts, so that a common word in a needle
+    costs nothing. Needles without such a word are matched by their first characters, ``anchor`` of them or all there are; runs
+    are made of the texts only for the lengths that occur, at most ``anchor`` of them. Keys of candidates
+    are stored first; only the texts of these keys are compared in full.
     """
-    inner = F.regexp_extract_all("needle", F.lit(f"(?<=[^A-Za-z0-9])({TOKEN})(?=[^A-Za-z0-9])"), F.lit(1))
-    longest = F.element_at(F.array_sort(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w")))), -1)
-    wanted = needles.select("needle").where("needle <> ''").distinct().select("needle", F.when(F.size(inner) > 0, longest["w"]).alias("_word"))
-    words = texts.select(
-        key, F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0)))).alias("_word")
-    )
-    by_word = words.join(wanted.where(F.col("_word").isNotNull()), "_word").select(key, "needle")
-    wordless = wanted.where(F.col("_word").isNull()).select("needle", F.substring("needle", 1, anchor).alias("_run"))
+    words = words_of(texts, key, text)
+    anchors = materialise(rarest_words(needles, words))
+    by_word = words.join(anchors.where(F.col("_word").isNotNull()), "_word").select(key, "needle")
+    wordless = anchors.where(F.col("_word").isNull()).select("needle", F.substring("needle", 1, anchor).alias("_run"))
     lengths = wordless.agg(F.collect_set(F.length("_run")).alias("_lengths"))  # one row of at most ``anchor`` numbers
     runs = F.flatten(F.transform("_lengths", lambda n: F.when(F.length(text) >= n, F.transform(
         F.sequence(F.lit(1), F.length(text) - n + 1), lambda i: F.substring(F.col(text), i, n)
     )).otherwise(F.array().cast("array<string>"))))
     grams = texts.crossJoin(F.broadcast(lengths)).select(key, F.explode(F.array_distinct(runs)).alias("_run"))
     by_run = grams.join(wordless, "_run").select(key, "needle")
-    pairs = by_word.unionByName(by_run)
-    return pairs.join(texts.select(key, text), key).where(F.contains(F.col(text), F.col("needle"))).select(key, "needle")
+    pairs = materialise(by_word.unionByName(by_run).distinct())
+    return with_texts(pairs, texts, key, text).where(F.contains(F.col(text), F.col("needle"))).select(key, "needle")
 
 
 def publish(rows: DataFrame, allowed: Iterable[str], needles: DataFrame) -> DataFrame:
@@ -220,7 +244,8 @@ def gold_leaks(texts: DataFrame, path: str, text: str, gold: DataFrame, run: int
     starts = F.when(size >= run, F.sequence(F.lit(1), size - half, F.lit(half))).otherwise(F.array(F.lit(1)))
     cut = gold.select("record").distinct().select("record", F.explode(starts).alias("_at"))
     blocks = cut.select("record", "_at", F.when(size >= run, F.substring("record", F.col("_at"), F.lit(half + 1))).otherwise(F.col("record")).alias("needle"))
-    held = substring_leaks(texts, path, text, blocks).join(blocks, "needle").join(texts.select(path, text), path)
+    blocks = materialise(blocks)
+    held = with_texts(materialise(substring_leaks(texts, path, text, blocks)), texts, path, text).join(blocks, "needle")
     around = F.sequence(F.greatest(F.col("_at") - half + 1, F.lit(1)), F.least(F.col("_at"), size - run + 1))
     whole = F.when(size >= run, F.exists(around, lambda i: F.contains(F.col(text), F.substring("record", i, F.lit(run))))).otherwise(F.lit(True))
     return named.unionByName(held.where(whole).select(path, F.lit("embeds gold content").alias("reason")).distinct())

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from auditframe.operators.leak import refuse_if
-from auditframe.functions.ordered import earliest
+from auditframe.functions.ordered import earliest, union_all
 from auditframe.functions.quantiles import exact_medians
 
 # The eight checks of a grade, in order.
@@ -328,6 +328,25 @@ def response_commitments(entries: DataFrame, turns: DataFrame, keys: list[str])
     return d.select(*keys, problem.alias("problem")).where("problem IS NOT NULL")
 
 
+def audited(report: DataFrame, plan: DataFrame, records: DataFrame, bindings: DataFrame, commitments: DataFrame) -> DataFrame:
+    """The report; reading any of its rows fails when what it rests on is not bound.
+
+    Every planned case must have its answer (``bindings``: what answer_bindings found) and every turn hash to what its
+    record says (``commitments``: what response_commitments found); no record may be of a case or model outside the plan, or there
+    twice. The guard is a filter on every row, so no choice of columns and no count avoids it.
+    """
+    keys = ["model", "case_id"]
+    strangers = records.select(*keys).join(plan.select(*keys), keys, "left_anti").select(F.lit("record outside the plan").alias("reason"))
+    twice = records.groupBy(*keys).count().where("count > 1").select(F.lit("record there twice").alias("reason"))
+    found = union_all([
+        bindings.select(F.lit("answers do not bind the cases").alias("reason")), commitments.select(F.lit("response commitment").alias("reason")), strangers, twice,
+    ])
+    # One row: the number of problems, and the first of their names for the message.
+    problems = found.agg(F.count("*").alias("_n"), F.min("reason").alias("_why"))
+    stop = F.when(F.col("_n") > 0, F.raise_error(F.concat(F.lit("panel audit: "), "_why")).cast("boolean")).otherwise(F.lit(True))
+    return report.crossJoin(F.broadcast(problems)).where(stop).drop("_n", "_why")
+
+
 def protocol_differences(plan: DataFrame, extra: DataFrame, fields: list[str]) -> DataFrame:
     """Fields on which a supplemental plan (one row each) differs from the main one."""
     def tall(df: DataFrame, name: str) -> DataFrame:

@@ -169,7 +169,7 @@ sql_view(
 )
 
 
-@query("citation_markers", "SELECT *, '[' || marker_number || ']' AS marker FROM v_markers")
+@query("citation_markers", "SELECT *, '[' || marker_number || ']' AS marker, 'citation-' || CASE WHEN marker_number < 1000 THEN lpad(CAST(marker_number AS VARCHAR), 3, '0') ELSE CAST(marker_number AS VARCHAR) END AS citation_id FROM v_markers")
 def citation_markers(spark, sf):
     return K.citation_markers(claims(spark, sf))
 
@@ -197,10 +197,20 @@ def rendered_claims(spark, sf):
 @query(
     "refusal_sentences",
     """SELECT c_custkey AS task_id, 'The supplied evidence does not establish that customer ' || c_custkey || ' segment ' ||
-  CASE WHEN c_custkey % 3 = 0 THEN c_mktsegment ELSE 'OTHER' END || '.' AS sentence FROM customer""",
+  CASE WHEN c_custkey % 3 = 0 THEN c_mktsegment ELSE 'OTHER' END || '. [1] ' || CASE WHEN c_nationkey = 24 THEN '[1]' ELSE '[2]' END AS sentence FROM customer""",
 )
 def refusal_sentences(spark, sf):
-    return refusals(spark, sf).select("task_id", K.refusal_sentence(F.col("subject"), F.col("relation"), F.col("object")).alias("sentence"))
+    r = refusals(spark, sf)
+    return K.rendered_refusals(r, K.citation_markers(K.cited_refusals(r)))
+
+
+@query(
+    "refusal_citations",
+    """SELECT c_custkey AS task_id, e AS evidence_id, i AS marker_number, '[' || i || ']' AS marker, 'citation-00' || i AS citation_id, 0::BIGINT AS claims
+FROM (SELECT c_custkey, unnest(list_distinct([c_nationkey])) AS e, 1::BIGINT AS i FROM customer UNION ALL SELECT c_custkey, 24, 2 FROM customer WHERE c_nationkey <> 24)""",
+)
+def refusal_citations(spark, sf):
+    return K.citation_markers(K.cited_refusals(refusals(spark, sf)))
 
 
 @query(

@@ -19,6 +19,7 @@ from auditframe.plans.leak import docs, files
 from auditframe.plans.registry import query, sql_view, tree_sql
 from auditframe.plans.strategy import load, outcomes, telemetry, turns
 from auditframe.session import materialise, shared_dir
+from auditframe.sources import exports as X
 from auditframe.sources import files as S
 from auditframe.sources import manifests as M
 
@@ -207,20 +208,20 @@ def scope_attempts(spark, sf):
 
 
 def logs(spark, sf):
-    """Logs of runs: a run is a conversation, its files are its turns by number."""
+    """Logs of runs: a run is a conversation, its files are its turns; the first five have the names of the logs, the others their number."""
     c = load(spark, sf, "conversations", "conv_id", "turn", "text")
     names = F.array(*[F.lit(n) for n in E.EXPECTED_LOGS])
-    found = c.where("turn < 5").select(
-        F.col("conv_id").alias("run_id"), names[F.col("turn").cast("int")].alias("file"), F.octet_length("text").cast("long").alias("bytes"), F.sha2("text", 256).alias("sha256")
-    )
-    expected = c.select(F.col("conv_id").alias("run_id")).distinct().select("run_id", F.explode(names).alias("file"))
+    name = F.when(F.col("turn") < len(E.EXPECTED_LOGS), names[F.col("turn").cast("int")]).otherwise(F.concat(F.lit("turn-"), F.col("turn"), F.lit(".json")))
+    found = c.select(F.col("conv_id").alias("run_id"), name.alias("file"), F.octet_length("text").cast("long").alias("bytes"), F.sha2("text", 256).alias("sha256"))
+    expected = found.select("run_id").distinct().select("run_id", F.explode(names).alias("file")).unionByName(found.select("run_id", "file")).distinct()
     return E.log_manifest(expected, found)
 
 
 sql_view(
     "v_logs",
     f"""SELECT r.run_id, n.file, octet_length(encode(c.text)) AS bytes, sha256(c.text) AS sha256, CASE WHEN c.text IS NULL THEN 'not_evidenced' ELSE 'evidenced' END AS status
-FROM (SELECT DISTINCT conv_id AS run_id FROM conversations) r CROSS JOIN (SELECT unnest({list(E.EXPECTED_LOGS)}) AS file, unnest(range(5)) AS i) n LEFT JOIN conversations c ON c.conv_id = r.run_id AND c.turn = n.i""",
+FROM (SELECT DISTINCT conv_id AS run_id FROM conversations) r CROSS JOIN (SELECT unnest({list(E.EXPECTED_LOGS)}) AS file, unnest(range(5)) AS i) n LEFT JOIN conversations c ON c.conv_id = r.run_id AND c.turn = n.i
+UNION ALL SELECT conv_id, 'turn-' || turn || '.json', octet_length(encode(text)), sha256(text), CASE WHEN text IS NULL THEN 'not_evidenced' ELSE 'evidenced' END FROM conversations WHERE turn >= 5""",
 )
 
 
@@ -243,9 +244,10 @@ def requirement_status(spark, sf):
 
 
 def arm_results(spark, sf):
-    """Three arms per user; an arm without a decision has a NULL result."""
-    e = load(spark, sf, "events", "user_id", "event_type").where("event_type IN ('click', 'purchase', 'view')")
-    arm = F.when(F.col("event_type") == "click", E.CERTIFICATE_ARMS[0]).when(F.col("event_type") == "purchase", E.CERTIFICATE_ARMS[1]).otherwise(E.CERTIFICATE_ARMS[2])
+    """Five arms per user, three of which a certificate needs; an arm without a decision has a NULL result."""
+    e = load(spark, sf, "events", "user_id", "event_type")
+    kind = F.col("event_type")
+    arm = F.when(kind == "click", E.CERTIFICATE_ARMS[0]).when(kind == "purchase", E.CERTIFICATE_ARMS[1]).when(kind == "view", E.CERTIFICATE_ARMS[2]).otherwise(kind)
     user = F.col("user_id")
     result = F.when((user % 7 == 0) & (F.col("event_type") == "view"), None).otherwise(~((user % 5 == 0) & (F.col("event_type") == "purchase")))
     return e.select(user.alias("episode_id"), arm.alias("arm_id"), result.alias("result")).distinct()
@@ -256,7 +258,7 @@ sql_view(
     """SELECT *, CASE WHEN oracle_passes AND unaided_fails AND naive_retrieval_fails THEN 'ISSUED' ELSE 'NOT_ISSUED' END AS status,
   (oracle_passes IS NULL)::INT + (unaided_fails IS NULL)::INT + (naive_retrieval_fails IS NULL)::INT AS missing_arms FROM (
   SELECT user_id AS episode_id, bool_and(true) FILTER (event_type = 'click') AS oracle_passes, bool_and(user_id % 5 <> 0) FILTER (event_type = 'purchase') AS unaided_fails,
-    bool_and(true) FILTER (event_type = 'view' AND user_id % 7 <> 0) AS naive_retrieval_fails FROM events WHERE event_type IN ('click', 'purchase', 'view') GROUP BY user_id)""",
+    bool_and(true) FILTER (event_type = 'view' AND user_id % 7 <> 0) AS naive_retrieval_fails FROM events GROUP BY user_id)""",
 )
 
 
@@ -376,6 +378,28 @@ def split_disjoint(spark, sf):
     return E.first_per_side(o.join(sides, o.o_custkey == sides.c_custkey).drop("c_custkey"), "o_orderkey")
 
 
+sql_view("v_sides", "SELECT c_custkey AS client, CASE WHEN row_number() OVER (ORDER BY c_custkey) <= count(*) OVER () // 2 THEN 'train' ELSE 'transfer' END AS side FROM customer")
+sql_view("v_export_atoms", tree_sql("""SELECT '{"atom_id":"' || atom_id || '","trade_id":"' || trade_id || '"}' AS name FROM (SELECT DISTINCT trade_id, atom_id FROM v_atoms)""", with_value=False))
+sql_view("v_export_sides", tree_sql("""SELECT '{"client":' || client || ',"side":"' || side || '"}' AS name FROM v_sides""", with_value=False))
+
+
+@query(
+    "evidence_export",
+    """SELECT 'atoms' AS name, leaves AS rows, root, (SELECT count(DISTINCT atom_id) FROM v_atoms) AS read FROM v_export_atoms
+UNION ALL SELECT 'sides', leaves, root, (SELECT count(DISTINCT side) FROM v_sides) FROM v_export_sides""",
+)
+def evidence_export(spark, sf):
+    """Lineage tables written under one commit, its manifest, and what a reader finds behind it."""
+    target = fresh(spark, "export")
+    sides = E.client_sides(load(spark, sf, "customer", F.col("c_custkey").alias("client")), "client")
+    manifest = X.write_export({"atoms": E.related_atoms(links(spark, sf), atoms(spark, sf)), "sides": sides}, target, "first")
+    read = [
+        X.read_export(spark, target, "first", name).agg(F.count_distinct(column).alias("read")).select(F.lit(name).alias("name"), "read")
+        for name, column in (("atoms", "atom_id"), ("sides", "side"))
+    ]
+    return manifest.select("name", "rows", "root").join(union_all(read), "name")
+
+
 # --- audits over files --------------------------------------------------------------------------
 @query(
     "release_audit",
@@ -502,6 +526,21 @@ def case_scan(spark, sf):
     return S.documents_of(S.json_lines(spark, path, rows.schema))
 
 
+@query(
+    "case_packages",
+    """SELECT c_nationkey AS case_id, c.name AS title, c.n AS customers, c_nationkey % 5 AS folder FROM (SELECT c_nationkey, n_name AS name, count(*) AS n FROM customer JOIN nation ON n_nationkey = c_nationkey GROUP BY ALL) c""",
+)
+def case_packages(spark, sf):
+    """One JSON object per file, in folders whose files have equal names."""
+    path = fresh(spark, "packages")
+    c = load(spark, sf, "customer", "c_nationkey").groupBy("c_nationkey").agg(F.count("*").alias("customers"))
+    rows = c.join(load(spark, sf, "nation", "n_nationkey", "n_name"), F.col("n_nationkey") == F.col("c_nationkey"))
+    body = F.to_json(F.struct(F.col("c_nationkey").alias("case_id"), F.struct(F.col("n_name").alias("title"), "customers").alias("data")))
+    rows.select(body.alias("value"), (F.col("c_nationkey") % 5).alias("folder"), F.expr("c_nationkey div 5").alias("place")).write.partitionBy("folder", "place").text(path)
+    found = S.case_packages(spark, path, "case_id BIGINT, data STRUCT<title: STRING, customers: BIGINT>")
+    return found.select("case_id", "data.title", "data.customers", F.regexp_extract("file", "folder=([0-9]+)/", 1).cast("long").alias("folder"))
+
+
 @query("closed_schema", "SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN 'b' ELSE '' END AS missing, CASE WHEN o_orderkey % 11 = 0 THEN 'c' ELSE '' END AS unknown FROM orders WHERE o_orderkey % 7 = 0 OR o_orderkey % 11 = 0")
 def closed_schema(spark, sf):
     o = load(spark, sf, "orders", "o_orderkey", "o_custkey")

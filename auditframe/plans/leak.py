@@ -80,11 +80,11 @@ def internal_identifiers(spark, sf):
 
 @query(
     "internal_identifiers_first50",
-    """SELECT DISTINCT page_id, 'attribute' AS pattern, unnest(regexp_extract_all(html, 'href="/[A-Za-z]+"')) AS match FROM pages
-ORDER BY page_id, pattern, match LIMIT 50""",
+    """SELECT DISTINCT page_id, pattern, match FROM (SELECT page_id, 'attribute' AS pattern, unnest(regexp_extract_all(html, 'href="/[A-Za-z]+"')) AS match FROM pages
+  UNION ALL SELECT page_id, 'query', unnest(regexp_extract_all(html, 'utm_source=[a-z]+')) FROM pages) ORDER BY page_id, pattern, match LIMIT 50""",
 )
 def internal_identifiers_first50(spark, sf):
-    hits = L.pattern_matches(load(spark, sf, "pages", "page_id", "html"), "page_id", "html", {"attribute": MACHINE["attribute"]})
+    hits = L.pattern_matches(load(spark, sf, "pages", "page_id", "html"), "page_id", "html", MACHINE)
     return L.first_hits(hits, 50)
 
 

@@ -10,6 +10,7 @@ from auditframe.operators import panel as P
 from auditframe.plans.registry import query, sql_view
 from auditframe.plans.rules import gold
 from auditframe.plans.strategy import k_of, load
+from auditframe.session import materialise
 
 FAMILY_NAMES = ("settlement", "allocations", "reconciliation", "margin", "permissions", "lifecycle", "evidence", "temporal")
 ROUTES = ("execute", "approve", "escalate")
@@ -471,16 +472,31 @@ def panel_report(spark, sf):
     )
 
 
+def bound_report(spark, sf):
+    """The report behind its gates: each case with its answer, each turn with what its record committed to."""
+    cases = plan(spark, sf).select("case_id", "family", "route").distinct()
+    sealed = cases.select("case_id", digest({"case": F.col("case_id"), "family": F.col("family")}).alias("case_sha256"))
+    bound = answers(spark, sf).join(cases.select("case_id", "family"), "case_id").select("case_id", digest({"case": F.col("case_id"), "family": F.col("family")}).alias("case_sha256"))
+    t = turns(spark, sf)
+    whole, body = digest({c: F.col(c) for c in ("event_id", "attempts", "fingerprint")}), digest({c: F.col(c) for c in ("event_id", "completion_tokens")})
+    entries = t.select("model", "event_id", whole.alias("sha256"), body.alias("response_sha256"))
+    files = t.select("model", "event_id", whole.alias("turn_sha256"), body.alias("body_sha256"), F.lit(False).alias("provider_error"))
+    return P.audited(
+        panel_report(spark, sf), plan(spark, sf), records(spark, sf), P.answer_bindings(sealed, bound), P.response_commitments(entries, files, ["model", "event_id"])
+    )
+
+
 @query("panel_audit", "SELECT * FROM v_panel_audit")
 def panel_audit(spark, sf):
-    return panel_report(spark, sf).select(*PUBLIC)
+    return bound_report(spark, sf).select(*PUBLIC)
 
 
 @query("public_summary", "SELECT * FROM v_panel_audit")
 def public_summary(spark, sf):
     """Allowlisted columns only; raises when a private case name occurs in any value."""
     needles = plan(spark, sf).select(F.concat(F.lit("case-"), F.col("case_id")).alias("needle")).distinct()
-    return L.publish(panel_report(spark, sf), PUBLIC, needles)
+    # Stored once: the guard reads the values and the result the rows.
+    return L.publish(materialise(bound_report(spark, sf).select(*PUBLIC)), PUBLIC, needles)
 
 
 @query("neutral_order", "SELECT case_id, sha256(CAST(case_id AS VARCHAR)) AS digest FROM (SELECT DISTINCT case_id FROM v_plan)")

@@ -33,7 +33,25 @@ def dedup_stream(spark, sf):
     requests = event_stream(spark, sf).select(
         F.col("user_id").alias("case_id"), k_of(F.col("props")).alias("request_id"), F.col("ts").cast("timestamp").alias("at")
     )
-    return J.run_available(J.first_requests(requests, "3650 days"), "append", fresh(spark, "dedup")).select("case_id", "request_id")
+    # The events span a month: within it every repeat is dropped, and what is older is forgotten.
+    return J.run_available(J.first_requests(requests, "31 days"), "append", fresh(spark, "dedup")).select("case_id", "request_id")
+
+
+@query(
+    "request_sessions_stream",
+    """SELECT case_id, request_id, epoch_us(min(ts)) AS first_us, arg_min(event_type, ts) AS payload, count(*) AS uses, count(DISTINCT event_type) > 1 AS conflict FROM (
+  SELECT *, sum(CASE WHEN gap IS NULL OR gap > INTERVAL 12 HOURS THEN 1 ELSE 0 END) OVER (PARTITION BY case_id, request_id ORDER BY ts) AS run FROM (
+    SELECT user_id AS case_id, k % 10 AS request_id, ts, event_type, ts - lag(ts) OVER (PARTITION BY user_id, k % 10 ORDER BY ts) AS gap FROM v_ev))
+GROUP BY case_id, request_id, run HAVING max(ts) + INTERVAL 24 HOURS <= (SELECT max(ts) FROM events)""",
+)
+def request_sessions_stream(spark, sf):
+    """Uses of a request less than twelve hours apart, as far as event time has passed them."""
+    requests = event_stream(spark, sf).select(
+        F.col("user_id").alias("case_id"), (k_of(F.col("props")) % 10).alias("request_id"), F.col("event_id").alias("pos"),
+        F.col("event_type").alias("payload"), F.col("ts").cast("timestamp").alias("at"),
+    )
+    found = J.run_available(J.request_sessions(requests, "12 hours"), "append", fresh(spark, "sessions"))
+    return found.select("case_id", "request_id", F.unix_micros("first_at").alias("first_us"), "payload", "uses", "conflict")
 
 
 @query(
@@ -53,4 +71,4 @@ def version_stream(spark, sf):
     requests = counted.select("case_id", "object_id", "pos", asserted.alias("asserted_version"))
     requests.write.parquet(folder)
     stream = J.read_stream(spark, folder, spark.read.parquet(folder).schema)
-    return J.run_available(J.version_checks(stream), "append", fresh(spark, "versions"))
+    return J.version_checks(stream, fresh(spark, "versions"))

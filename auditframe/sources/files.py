@@ -11,8 +11,9 @@ from auditframe.functions.canon import KEEP_NULLS
 
 
 def case_packages(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
-    """A directory with one JSON object per file, with the name of the file."""
-    return spark.read.schema(schema).option("multiLine", True).json(path).withColumn("file", F.col("_metadata.file_name"))
+    """One JSON object per file, below a directory at any depth, with the file's full path: names may repeat between folders."""
+    files = spark.read.schema(schema).option("multiLine", True).option("recursiveFileLookup", True).json(path)
+    return files.withColumn("file", F.col("_metadata.file_path"))
 
 
 def closed_schema_problems(texts: DataFrame, key: str, text: str, fields: Iterable[str]) -> DataFrame:
@@ -92,10 +93,10 @@ def checksum_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def text_corpus(spark: SparkSession, path: str) -> DataFrame:
-    """One row per text file, with the columns of any name=value folders."""
+    """One row per text file with its full path, with the columns of any name=value folders."""
     texts = spark.read.text(path, wholetext=True)
     folders = [c for c in texts.columns if c != "value"]
-    return texts.select(F.col("_metadata.file_name").alias("file"), *folders, F.col("value").alias("text"))
+    return texts.select(F.col("_metadata.file_path").alias("file"), *folders, F.col("value").alias("text"))
 
 
 def run_directories(

@@ -58,6 +58,16 @@ def test_rendering(make):
     ]
 
 
+def test_refusals_carry_their_markers(make):
+    ddl = "task_id INT, subject STRING, relation STRING, object STRING, evidence_ids ARRAY<STRING>"
+    r = make(ddl, (1, "Ann", "holds", "A", ["e2", "e1", "e2"]), (2, "Bob [y]", "holds", "B", ["e9"]))
+    m = K.citation_markers(K.cited_refusals(r))
+    assert rows(m, "task_id", "evidence_id", "marker", "citation_id", "claims") == [(1, "e1", "[2]", "citation-002", 0), (1, "e2", "[1]", "citation-001", 0), (2, "e9", "[1]", "citation-001", 0)]
+    assert rows(K.rendered_refusals(r, m), "task_id", "sentence") == [
+        (1, "The supplied evidence does not establish that Ann holds A. [1] [2] [1]"), (2, "The supplied evidence does not establish that Bob (y) holds B. [1]"),
+    ]
+
+
 def test_needles_equal_brute_force(make):
     texts = [(1, "see case-12 and case-7."), (2, "case-123"), (3, "xxabcdefghijklmyy"), (4, "the quick brown fox jumps over"), (5, "quick browny fox")]
     needles = ["case-12", "case-7", "case-99"]
@@ -173,8 +183,59 @@ def test_bootstrap_is_reproducible_and_guards_coverage(make):
 
 def test_verdicts_treat_unmeasured_as_unsupported(make):
     ddl = "is_baseline BOOLEAN, completion_rate DOUBLE, forbidden_output_keys INT, canary_echoes INT, unauthorized_rejections INT, schema_or_malformed_rejections INT, state_changes_outside_contract INT"
-    good = make("as_expected BOOLEAN", (True,))
+    good, none = make("as_expected BOOLEAN", (True,)), make("check STRING")
     base = (True, 1.0, 0, 0, 0, 0, 0)
-    assert dict(rows(St.verdicts(make(ddl, base), good))) == {"H0": "SUPPORTED", "H1": "SUPPORTED", "H2": "NOT_RUN", "H3": "NOT_RUN"}
+    assert dict(rows(St.verdicts(make(ddl, base), good, none))) == {"H0": "SUPPORTED", "H1": "SUPPORTED", "H2": "NOT_RUN", "H3": "NOT_RUN"}
     model = (False, 0.4, 0, 0, 9, 0, None)
-    assert dict(rows(St.verdicts(make(ddl, model), good.where("false")))) == {"H0": "FALSIFIED", "H1": "FALSIFIED", "H2": "FALSIFIED", "H3": "FALSIFIED"}
+    assert dict(rows(St.verdicts(make(ddl, model), good.where("false"), none))) == {"H0": "FALSIFIED", "H1": "FALSIFIED", "H2": "FALSIFIED", "H3": "FALSIFIED"}
+
+
+def test_needles_are_anchored_at_their_rarest_word(make):
+    texts = make("id INT, t STRING", *[(i, f"internationalisation is common, item {i} of lot {i // 10}.") for i in range(200)])
+    needles = make("needle STRING", ("common, item 17 of",), (", item 18 of lot 1.",), ("x nowhere y",), ("mmon",))
+    got = {r.needle: (r._word, r._n) for r in L.rarest_words(needles, L.words_of(texts, "id", "t")).collect()}
+    # An item's number stands in its own text and in the ten of the lot of that number; "item", "lot" and "common" in all.
+    assert got == {"common, item 17 of": ("17", 11), ", item 18 of lot 1.": ("1", 11), "mmon": (None, None)}
+    found = rows(L.substring_leaks(texts, "id", "t", needles), "needle", "id")
+    assert found == sorted([("common, item 17 of", 17), (", item 18 of lot 1.", 18), *[("mmon", i) for i in range(200)]], key=repr)
+
+
+def test_panel_report_stops_at_what_is_not_bound(make):
+    report, pair = make("model STRING, score DOUBLE", ("m", 1.0)), "model STRING, case_id STRING"
+    plan, records = make(pair, ("m", "a"), ("m", "b")), make(pair, ("m", "a"))
+    sealed = make("case_id STRING, case_sha256 STRING", ("a", "1"), ("b", "2"))
+    turns = "model STRING, turn INT, turn_sha256 STRING, body_sha256 STRING, provider_error BOOLEAN"
+    entries = make("model STRING, turn INT, sha256 STRING, response_sha256 STRING", ("m", 1, "s", "r"))
+
+    def audit(records=records, answers=sealed, turn=("m", 1, "s", "r", False)):
+        return P.audited(report, plan, records, P.answer_bindings(sealed, answers), P.response_commitments(entries, make(turns, turn), ["model", "turn"]))
+
+    assert rows(audit()) == [("m", 1.0)]
+    for reason, case in (
+        ("response commitment", {"turn": ("m", 1, "s", "tampered", False)}), ("response commitment", {"turn": ("m", 1, "tampered", "r", False)}), ("response commitment", {"turn": ("m", 2, "s", "r", False)}),
+        ("answers do not bind", {"answers": sealed.where("case_id = 'a'")}), ("answers do not bind", {"answers": make("case_id STRING, case_sha256 STRING", ("a", "1"), ("b", "9"))}),
+        ("outside the plan", {"records": make(pair, ("m", "z"))}), ("there twice", {"records": make(pair, ("m", "a"), ("m", "a"))}),
+    ):
+        for read in (lambda d: d.count(), lambda d: d.select("score").collect()):
+            with pytest.raises(Exception, match=reason):
+                read(audit(**case))
+
+
+def test_a_patch_that_passes_turns_the_first_hypothesis(make):
+    run = "is_baseline BOOLEAN, completion_rate DOUBLE, forbidden_output_keys INT, canary_echoes INT, unauthorized_rejections INT, schema_or_malformed_rejections INT, state_changes_outside_contract INT"
+    runs = make(run, (True, 1.0, 0, 0, 0, 0, 0), (False, 0.5, 0, 0, 3, 1, None))
+    good, bad = make("as_expected BOOLEAN", (True,), (True,)), make("as_expected BOOLEAN", (True,), (False,))
+    one, none = make("check STRING", ("chronology",)), make("check STRING")
+    verdict = lambda patches, found: dict(rows(St.verdicts(runs, patches, found)))
+    assert verdict(good, none) == {"H0": "SUPPORTED", "H1": "SUPPORTED", "H2": "SUPPORTED", "H3": "FALSIFIED"}
+    assert verdict(bad, none)["H1"] == verdict(good, one)["H1"] == verdict(good.limit(0), none)["H1"] == "FALSIFIED"
+
+
+def test_readiness_counts_jobs_by_what_is_known(make):
+    ddl = "job_id STRING, arm_id STRING, evaluation_seed INT, episode_id STRING, checkpoint_sha256 STRING"
+    jobs = make(ddl, *[(f"j{i}", "a", i, "e", "c") for i in range(6)])
+    started = make("job_id STRING", ("j0",), ("j1",), ("j4",), ("j4",), ("jx",))
+    records = make(ddl, ("j0", "a", 0, "e", "c"), ("j1", "a", 1, "e", "other"), ("j2", "a", 2, "e", "c"), ("j2", "a", 2, "e", None), ("j3", "a", 3, "e", "c"), ("j3", "a", 3, "e", "c"), ("jx", "a", 9, "e", "c"))
+    assert rows(A.readiness(jobs, started, records)) == [(6, 2, 2, 1, 2, "BLOCKED_MISSING_OR_INVALID_INPUTS")]
+    good = records.where("job_id in ('j0', 'j3')")
+    assert rows(A.readiness(jobs, started.where("job_id = 'j0'"), good), "verified", "pending", "status") == [(2, 4, "READY_TO_EXECUTE")]

@@ -242,10 +242,12 @@ def test_an_event_of_more_than_a_million_mutations_keeps_its_place(spark):
     data["events"], data["ledger"], data["challenges"] = data["events"][:2], [], []
     data["states"] = [dict(episode_id="e", which="initial", object_id="o", state="s0", version=0), dict(episode_id="e", which="final", object_id="o", state="end", version=n + 1)]
     t = tables(spark, data)
-    t["mutations"] = first.unionByName(after)
-    assert rows(A.audit(t)) == []
-    t["mutations"] = first.unionByName(after.withColumn("from_version", F.lit(n - 1)))
-    assert rows(A.audit(t), "event_id", "check") == [("v2", "version_chain")]
+    wrong = after.withColumns({"object_id": F.lit("p"), "from_version": F.lit(n - 1)})
+    data_p = [("e", which, "p", "s0" if which == "initial" else "end", 0 if which == "initial" else n + 1) for which in ("initial", "final")]
+    t["states"] = t["states"].unionByName(spark.createDataFrame(data_p, DDL["states"]))
+    # Object o goes on where its millionth step left it; object p, beside it, does not fit.
+    t["mutations"] = first.unionByName(after).unionByName(wrong.withColumn("pos", F.lit(1)))
+    assert rows(A.audit(t), "event_id", "check", "detail") == [("v2", "version_chain", "p")]
 
 
 def test_audit_of_empty_tables(spark):

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import json
+import os
 import tempfile
 
 import pytest
@@ -20,10 +21,11 @@ def folder():
 
 def test_case_packages_read_one_object_per_file(spark, folder):
     for i in (1, 2):
-        with open(f"{folder}/c{i}.json", "w") as f:
+        os.makedirs(f"{folder}/batch{i}")
+        with open(f"{folder}/batch{i}/case.json", "w") as f:  # equal names in two folders
             json.dump({"case_id": i, "documents": [{"id": f"d{i}{j}", "status": "CURRENT"} for j in range(2)]}, f, indent=2)
     cases = S.case_packages(spark, folder, "case_id INT, documents ARRAY<STRUCT<id: STRING, status: STRING>>")
-    assert rows(cases, "case_id", "file") == [(1, "c1.json"), (2, "c2.json")]
+    assert [(i, f.removeprefix("file:")) for i, f in rows(cases, "case_id", "file")] == [(i, f"{folder}/batch{i}/case.json") for i in (1, 2)]
     assert rows(S.documents_of(cases), "case_id", "pos", "id") == [(1, 0, "d10"), (1, 1, "d11"), (2, 0, "d20"), (2, 1, "d21")]
 
 
@@ -61,7 +63,6 @@ def test_run_directories_tolerate_missing_files(spark, folder, make):
 
 def test_raw_files_checksums_and_manifest(spark, folder, make):
     import hashlib
-    import os
 
     os.makedirs(f"{folder}/sub")
     for name, text in (("a.txt", b"one"), ("sub/b.txt", b"two")):
@@ -95,41 +96,63 @@ def test_progress_arrives_in_several_batches(spark, folder, make):
         assert rows(out) == want
 
 
-def test_version_checks_keep_state_between_batches(spark, folder, make):
-    ddl = "case_id BIGINT, object_id STRING, pos BIGINT, asserted_version BIGINT"
-    batches = [[(1, "o", 1, 0), (1, "o", 2, 0), (1, "p", 3, 0)], [(1, "o", 4, 1), (1, "o", 5, 9)]]
-    want = {1: (True, 1), 2: (False, 1), 3: (True, 1), 4: (True, 2), 5: (False, 2)}
+@pytest.mark.parametrize("kind", ["BIGINT", "STRING"])
+def test_version_checks_keep_state_between_batches(spark, folder, make, kind):
+    ddl = f"case_id {kind}, object_id STRING, pos BIGINT, asserted_version BIGINT"
+    one = 1 if kind == "BIGINT" else "one"
+    batches = [[(one, "o", 2, 0), (one, "o", 1, 0), (one, "p", 3, 0)], [(one, "o", 5, 9), (one, "o", 4, 1), (one, "o", 6, None)]]
+    want = {1: (True, 1), 2: (False, 1), 3: (True, 1), 4: (True, 2), 5: (False, 2), 6: (False, 2)}
     for n, batch in enumerate(batches):
         make(ddl, *batch).write.parquet(f"{folder}/in/{n}")
         stream = J.read_stream(spark, f"{folder}/in/*", make(ddl, *batch).schema)
-        out = J.run_available(J.version_checks(stream), "append", f"{folder}/out")
+        out = J.version_checks(stream, f"{folder}/out")
     assert {r.pos: (r.accepted, r.version) for r in out.collect()} == want
 
 
-def test_version_checks_hold_a_bounded_part_of_a_hot_object(monkeypatch):
+def test_versions_of_a_long_object_in_any_order_of_arrival(spark, folder, make):
     import random
 
-    import pandas as pd
-
-    monkeypatch.setattr(J, "HELD", 64)
-    monkeypatch.setattr(J, "PIECE", 16)
-
-    class State:
-        exists, get, new = True, (3,), None
-
-        def update(self, value):
-            self.new = value
-
-    versions, want, version = [], [], 3
-    for pos in range(1000):
+    rows_, want, version = [], {}, 0
+    for pos in range(3000):
         asserted = version if pos % 3 else None if pos % 2 else version + 1
         version += asserted == version
-        versions.append((pos, asserted))
-        want.append((pos, bool(pos % 3), version))
-    random.Random(1).shuffle(versions)
-    batches = (pd.DataFrame(versions[at : at + 10], columns=["pos", "asserted_version"]) for at in range(0, 1000, 10))
-    state = State()
-    pieces = list(J._check((1, "o"), batches, state))
-    assert max(map(len, pieces)) <= 16 and state.new == (version,)
-    out = pd.concat(pieces)
-    assert list(zip(out["pos"], out["accepted"], out["version"])) == want
+        rows_.append(("c", "o", pos, asserted))
+        want[pos] = (bool(pos % 3), version)
+    random.Random(1).shuffle(rows_)
+    df = make("case_id STRING, object_id STRING, pos BIGINT, asserted_version BIGINT", *rows_)
+    df.repartition(6).write.parquet(f"{folder}/in/0")
+    out = J.version_checks(J.read_stream(spark, f"{folder}/in/*", df.schema), f"{folder}/out")
+    assert {r.pos: (r.accepted, r.version) for r in out.collect()} == want
+
+
+def test_a_folder_without_files_gives_an_empty_frame(spark, folder, make):
+    os.makedirs(f"{folder}/in")
+    schema = make("model STRING, complete BOOLEAN, output_tokens INT", ("a", True, 1)).schema
+    stream = J.read_stream(spark, f"{folder}/in", schema)
+    assert rows(J.run_available(J.progress(stream), "complete", f"{folder}/out")) == []
+    requests = make("case_id STRING, object_id STRING, pos BIGINT, asserted_version BIGINT", ("a", "b", 1, 0)).schema
+    assert rows(J.version_checks(J.read_stream(spark, f"{folder}/in", requests), f"{folder}/versions")) == []
+
+
+def test_request_sessions_of_files_out_of_order(spark, folder, make):
+    """Runs across batches and out of order equal the batch answer; a run is given out once, when time has passed it; what comes later is left out."""
+    import datetime as dt
+
+    ddl = "case_id STRING, request_id STRING, pos BIGINT, payload STRING, at TIMESTAMP"
+    day = dt.datetime(2024, 1, 1)
+    at = lambda hours: day + dt.timedelta(hours=hours)
+    files = [
+        [("c", "q", 2, "b", at(3)), ("c", "r", 3, "x", at(3)), ("c", "s", 4, None, at(2))],
+        [("c", "q", 1, "a", at(1)), ("c", "r", 9, "x", at(5)), ("c", "s", 5, "y", at(4))],  # earlier than the first file, within the delay
+        [("c", "q", 7, "a", at(40))],  # time passes the runs before
+        [("c", "q", 8, "z", at(2)), ("d", "q", 1, "a", at(90))],  # too late; and time passes the rest
+        [("d", "q", 1, "a", at(200))],
+    ]
+    schema, found = make(ddl, *files[0]).schema, []
+    for n, part in enumerate(files):
+        make(ddl, *part).write.parquet(f"{folder}/in/{n}")
+        out = J.run_available(J.request_sessions(J.read_stream(spark, f"{folder}/in/*", schema), "4 hours"), "append", f"{folder}/out")
+        found.append(rows(out, "case_id", "request_id", "first_at", "payload", "uses", "conflict"))
+    done = [("c", "q", at(1), "a", 2, True), ("c", "r", at(3), "x", 2, False), ("c", "s", at(2), None, 2, True)]
+    assert found[0] == found[1] == [] and found[2] == done
+    assert found[4] == sorted([*done, ("c", "q", at(40), "a", 1, False), ("d", "q", at(90), "a", 1, False)], key=repr)
