@@ -56,8 +56,8 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
-def map_texts(docs: DataFrame, id_column: str, text_column: str, columns: dict[str, tuple[str, pa.DataType]], make: Callable) -> DataFrame:
-    """doc_id and ``columns`` (name: Spark type, Arrow type) made from texts in Arrow batches.
+def map_texts(docs: DataFrame, id_column: str, text_column: str, columns: dict[str, tuple[str, pa.DataType]], make: Callable, rows: int | None = None) -> DataFrame:
+    """doc_id and ``columns`` (name: Spark type, Arrow type) made from texts in Arrow batches, ``rows`` texts at a time if given.
 
     ``make()`` is called once per task and gives a function from a list of texts (NULL is None) to a DataFrame with a
     row per text, or with a column ``at`` that names the text of each row. Ids pass as they are, NULLs included.
@@ -67,12 +67,13 @@ def map_texts(docs: DataFrame, id_column: str, text_column: str, columns: dict[s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
-        for batch in batches:
-            ids, made = batch.column(0), work(batch.column(1).to_pylist())
-            if "at" in made:
-                ids = ids.take(pa.array(made["at"], pa.int64()))
-            arrays = [pa.array(made[name], type=arrow, from_pandas=True) for name, (_, arrow) in columns.items()]
-            yield pa.RecordBatch.from_arrays([ids, *arrays], ["doc_id", *columns])
+        for whole in batches:
+            for batch in [whole] if rows is None else (whole.slice(k, rows) for k in range(0, len(whole), rows)):
+                ids, made = batch.column(0), work(batch.column(1).to_pylist())
+                if "at" in made:
+                    ids = ids.take(pa.array(made["at"], pa.int64()))
+                arrays = [pa.array(made[name], type=arrow, from_pandas=True) for name, (_, arrow) in columns.items()]
+                yield pa.RecordBatch.from_arrays([ids, *arrays], ["doc_id", *columns])
 
     picked = docs.select(F.col(f"`{id_column}`").alias("doc_id"), F.col(f"`{text_column}`").cast("string").alias("text"))
     return picked.mapInArrow(run, schema)

@@ -34,8 +34,8 @@ from auditframe.llm.registry import query
 #: take some 550 MB; where an executor has less to spare, a share of them is enough (smaller tables are made anew more often).
 STATES, PIECES, PAIRS = 1 << 18, 1 << 20, 1 << 20
 BYTES = [bytes((b,)) for b in range(256)]
-#: Tokens decoded at a time.
-BLOCK = 4096
+#: Tokens decoded at a time, and texts held as strings at a time.
+BLOCK, TEXTS = 4096, 512
 
 
 def read_ranks(raw: bytes) -> dict[bytes, int]:
@@ -281,7 +281,7 @@ def digest_rows(docs: DataFrame, raw: bytes, pattern: str = public_tokenizers.PA
 
         return work
 
-    return map_texts(docs, "doc_id", "text", columns, make)
+    return map_texts(docs, "doc_id", "text", columns, make, rows=TEXTS)
 
 
 @query("op6_byte_bpe")

@@ -26,6 +26,7 @@ the component's smallest id, or NULL. An empty table gives an empty result; othe
 """
 from __future__ import annotations
 
+import random
 from collections.abc import Iterator
 
 import numpy as np
@@ -57,6 +58,8 @@ LEAF = 16
 PIECE = 1 << 22
 #: A shingle is common from so many documents on.
 COMMON = 8
+#: Counters of shingles, as a power of two, and packed counts that are added up at a time.
+BUCKETS, FAN_IN = 26, 64
 SALT = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -115,17 +118,25 @@ def counts_of(shingles: np.ndarray) -> np.ndarray:
 
 
 def common_shingles(docs: DataFrame, text_column: str) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes in order, how often each stands): shingles of COMMON documents or more, counted over all documents.
+    """(buckets in order, how often each is met): buckets of shingle hashes that stand in COMMON documents or more, over all documents.
 
-    Tasks send what stands twice or more among the documents that they hold at a time. These counts decide the
-    order of work, never the result. At most 2^19 hashes (8 MB with their counts), the commonest, come to the driver.
+    Every shingle of every document is counted, in one of 2^BUCKETS counters: tasks send packed counts, which are added up
+    in rounds of at most FAN_IN rows a group, so no group grows with the corpus. Shingles that share a counter count together, so a
+    counter is common only beyond four times the mean. These counts decide the order of work, never the result. At most
+    2^19 buckets (8 MB with their counts), the commonest, come to the driver.
     """
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held, size = [], 0
 
         def send() -> pd.DataFrame:
-            values, n = np.unique(np.concatenate(held), return_counts=True)
-            return pd.DataFrame({"h": values[n > 1].view(np.int64), "n": n[n > 1].astype(np.int64)})
+            values, n = np.unique(np.concatenate(held) >> np.uint64(64 - BUCKETS), return_counts=True)
+            block = (values >> np.uint64(16)).astype(np.int64)
+            cuts = np.concatenate([[0], np.flatnonzero(np.diff(block)) + 1, [len(block)]])
+            parts = [slice(a, b) for a, b in zip(cuts[:-1], cuts[1:])]
+            return pd.DataFrame({
+                "block": [int(block[p.start]) for p in parts], "places": [(values[p] & np.uint64(0xFFFF)).astype(np.uint16).tobytes() for p in parts],
+                "counts": [n[p].astype(np.int64).tobytes() for p in parts], "lane": [random.getrandbits(31)] * len(parts),
+            })
 
         for batch in batches:
             for one in shingle_sets(batch[text_column].tolist()):
@@ -134,10 +145,37 @@ def common_shingles(docs: DataFrame, text_column: str) -> tuple[np.ndarray, np.n
                 if size > 1 << 22:
                     yield send()
                     held, size = [], 0
-        if held:
+        if size:
             yield send()
 
-    seen = stored(docs.select(text_column).mapInPandas(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= COMMON))
+    def add(group: pa.Table) -> pa.Table:
+        total = np.zeros(1 << 16, np.int64)
+        for places, counts in zip(group["places"].to_pylist(), group["counts"].to_pylist()):
+            np.add.at(total, np.frombuffer(places, np.uint16), np.frombuffer(counts, np.int64))
+        at = np.flatnonzero(total)
+        return pa.table({
+            "block": group["block"].slice(0, 1), "places": pa.array([at.astype(np.uint16).tobytes()], pa.binary()),
+            "counts": pa.array([total[at].tobytes()], pa.binary()), "lane": pa.array([random.getrandbits(31)], pa.int64()),
+        })
+
+    schema = "block long, places binary, counts binary, lane long"
+    packed = stored(docs.select(text_column).mapInPandas(run, schema))
+    while True:
+        most = packed.groupBy("block").count().agg(F.max("count")).first()[0] or 0  # one number
+        lanes = -(-most // FAN_IN)
+        packed = stored(packed.groupBy("block", F.pmod("lane", F.lit(max(lanes, 1))).alias("_lane")).applyInArrow(add, schema))
+        if lanes <= 1:
+            break
+
+    def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, places, counts in zip(*(batch.column(c).to_pylist() for c in range(3))):
+                bucket = (block << 16) + np.frombuffer(places, np.uint16).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(np.frombuffer(counts, np.int64))], ["h", "n"])
+
+    counted = packed.mapInArrow(opened, "h long, n long")
+    mean = (counted.agg(F.sum("n")).first()[0] or 0) / (1 << BUCKETS)  # one number
+    seen = stored(counted.where(F.col("n") >= max(COMMON, 4 * mean)))
     # The least count of the 2^19 commonest, found from a table of counts; ties may add or leave out some.
     wanted, total, least = 1 << 19, 0, COMMON
     if seen.count() > wanted:
@@ -171,8 +209,9 @@ def features(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
                     out.append((0, None, None, None, None))
                     continue
                 if len(hot):
-                    at = np.minimum(np.searchsorted(hot, one), len(hot) - 1)
-                    ordered = one[np.argsort(np.where(hot[at] == one, often[at], 0), kind="stable")]
+                    bucket = one >> np.uint64(64 - BUCKETS)
+                    at = np.minimum(np.searchsorted(hot, bucket), len(hot) - 1)
+                    ordered = one[np.argsort(np.where(hot[at] == bucket, often[at], 0), kind="stable")]
                 else:
                     ordered = one
                 least = [mix(one ^ seed).min() for seed in seeds]

@@ -37,8 +37,8 @@ def clean_of_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id and the digests of the token ids and of the text decoded from them."""
     raw = bpe.rank_file(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
-    # The executors' heaps have grown in the stages before, so the workers' tables stay at a fifth.
-    return bpe.digest_rows(docs, raw, share=0.2)
+    # The executors' heaps have grown in the stages before, so the workers' tables stay at a twentieth.
+    return bpe.digest_rows(docs, raw, share=0.05)
 
 
 STAGES = [

@@ -184,3 +184,13 @@ def test_rows_go_by_id_and_text(make):
     assert sorted(r.text for r in decontaminate.drop_contaminated(docs, bench).collect()) == ["clean words", "other clean words"]
     near = make("doc_id long, text string", (None, f"{passage} end"), (3, f"{passage} fin"), (3, "quite another text of words"), (None, "no copy of anything here at all"))
     assert sorted(r.text for r in ngram_join.drop_near_duplicates(near).collect()) == ["no copy of anything here at all", "quite another text of words", f"{passage} fin"]
+
+
+def test_common_shingles_do_not_depend_on_partitions(documents, monkeypatch):
+    """Counts over all documents, however these are dealt out and in how many rounds their packed counts are added up."""
+    monkeypatch.setattr(ngram_join, "FAN_IN", 4)
+    one, many = (ngram_join.common_shingles(documents.repartition(n), "text") for n in (1, 23))
+    assert len(one[0]) > 10 and all(np.array_equal(a, b) for a, b in zip(one, many))
+    sets = list(ngram_join.shingle_sets([r.text for r in documents.select("text").collect()]))
+    values, n = np.unique(np.concatenate(sets) >> np.uint64(64 - ngram_join.BUCKETS), return_counts=True)
+    assert np.array_equal(one[0], values[n >= ngram_join.COMMON]) and np.array_equal(one[1], n[n >= ngram_join.COMMON])
