@@ -129,53 +129,56 @@ def common_shingles(docs: DataFrame, text_column: str) -> tuple[np.ndarray, np.n
         held, size = [], 0
 
         def send() -> pd.DataFrame:
-            values, n = np.unique(np.concatenate(held) >> np.uint64(64 - BUCKETS), return_counts=True)
-            block = (values >> np.uint64(16)).astype(np.int64)
-            cuts = np.concatenate([[0], np.flatnonzero(np.diff(block)) + 1, [len(block)]])
-            parts = [slice(a, b) for a, b in zip(cuts[:-1], cuts[1:])]
+            buckets = np.sort((np.concatenate(held) >> np.uint64(64 - BUCKETS)).astype(np.uint32))
+            cuts = np.searchsorted(buckets, np.arange(0, (1 << BUCKETS) + 1, 1 << 16))
+            parts = [(block, buckets[a:b].astype(np.uint16).tobytes()) for block, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])) if b > a]
             return pd.DataFrame({
-                "block": [int(block[p.start]) for p in parts], "places": [(values[p] & np.uint64(0xFFFF)).astype(np.uint16).tobytes() for p in parts],
-                "counts": [n[p].astype(np.int64).tobytes() for p in parts], "lane": [random.getrandbits(31)] * len(parts),
+                "block": [block for block, _ in parts], "places": [places for _, places in parts], "counts": [None] * len(parts),
+                "size": [len(places) // 2 for _, places in parts], "lane": [random.getrandbits(31)] * len(parts),
             })
 
         for batch in batches:
             for one in shingle_sets(batch[text_column].tolist()):
                 held.append(one)
                 size += len(one)
-                if size > 1 << 22:
+                if size > 1 << 21:
                     yield send()
                     held, size = [], 0
         if size:
             yield send()
 
-    def add(group: pa.Table) -> pa.Table:
+    def summed(rows: Iterator[tuple[bytes, bytes | None]]) -> np.ndarray:
+        """Counts by place: a row has a place per shingle, or places and their counts."""
         total = np.zeros(1 << 16, np.int64)
-        for places, counts in zip(group["places"].to_pylist(), group["counts"].to_pylist()):
-            np.add.at(total, np.frombuffer(places, np.uint16), np.frombuffer(counts, np.int64))
+        for places, counts in rows:
+            at = np.frombuffer(places, np.uint16)
+            if counts is None:
+                total += np.bincount(at, minlength=1 << 16)
+            else:
+                total[at] += np.frombuffer(counts, np.int64)
+        return total
+
+    def add(group: pa.Table) -> pa.Table:
+        total = summed(zip(group["places"].to_pylist(), group["counts"].to_pylist()))
         at = np.flatnonzero(total)
         return pa.table({
-            "block": group["block"].slice(0, 1), "places": pa.array([at.astype(np.uint16).tobytes()], pa.binary()),
-            "counts": pa.array([total[at].tobytes()], pa.binary()), "lane": pa.array([random.getrandbits(31)], pa.int64()),
+            "block": group["block"].slice(0, 1), "places": pa.array([at.astype(np.uint16).tobytes()], pa.binary()), "counts": pa.array([total[at].tobytes()], pa.binary()),
+            "size": pa.array([int(total.sum())], pa.int64()), "lane": pa.array([random.getrandbits(31)], pa.int64()),
         })
 
-    schema = "block long, places binary, counts binary, lane long"
+    schema = "block long, places binary, counts binary, size long, lane long"
     packed = stored(docs.select(text_column).mapInPandas(run, schema))
-    while True:
-        most = packed.groupBy("block").count().agg(F.max("count")).first()[0] or 0  # one number
-        lanes = -(-most // FAN_IN)
-        packed = stored(packed.groupBy("block", F.pmod("lane", F.lit(max(lanes, 1))).alias("_lane")).applyInArrow(add, schema))
-        if lanes <= 1:
-            break
-
-    def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for block, places, counts in zip(*(batch.column(c).to_pylist() for c in range(3))):
-                bucket = (block << 16) + np.frombuffer(places, np.uint16).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(np.frombuffer(counts, np.int64))], ["h", "n"])
+    mean = (packed.agg(F.sum("size")).first()[0] or 0) / (1 << BUCKETS)  # one number
+    while (most := packed.groupBy("block").count().agg(F.max("count")).first()[0] or 0) > FAN_IN:  # one number
+        packed = stored(packed.groupBy("block", F.pmod("lane", F.lit(-(-most // FAN_IN)))).applyInArrow(add, schema))
+    limit = max(COMMON, 4 * mean)
+
+    def common(group: pa.Table) -> pa.Table:
+        total = summed(zip(group["places"].to_pylist(), group["counts"].to_pylist()))
+        at = np.flatnonzero(total >= limit)
+        return pa.table({"h": pa.array((group["block"][0].as_py() << 16) + at, pa.int64()), "n": pa.array(total[at], pa.int64())})
 
-    counted = packed.mapInArrow(opened, "h long, n long")
-    mean = (counted.agg(F.sum("n")).first()[0] or 0) / (1 << BUCKETS)  # one number
-    seen = stored(counted.where(F.col("n") >= max(COMMON, 4 * mean)))
+    seen = stored(packed.groupBy("block").applyInArrow(common, "h long, n long"))
     # The least count of the 2^19 commonest, found from a table of counts; ties may add or leave out some.
     wanted, total, least = 1 << 19, 0, COMMON
     if seen.count() > wanted:
