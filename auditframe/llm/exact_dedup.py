@@ -1,10 +1,11 @@
-"""Exact duplicates by a tree-merge of sorted digest runs.
+"""Exact duplicates by an aggregation of digests in two levels.
 
-Every partition turns its texts into a run of rows (digest, smallest row, count). In each round, groups of
-``fan_in`` partitions exchange their runs by digest and merge them: equal digests become one row with the
-smallest of their row identifiers, checked at every level against a second digest and the text's length. What a
-round sends is at most one row per digest and task, so a group of copies that holds a third of all rows
-shrinks to a row per task before it moves. No round brings more than a share of the digests to a task.
+Every text becomes a row (digest, smallest row, count). The first level aggregates the digests of ``FAN_IN`` partitions
+together, the second those of all; equal digests become one row with the smallest of their row identifiers. Digests
+count as equal when a second hash and the text's length are equal too; texts are not compared. What a level
+sends is at most one row per digest and task, so a group of copies that holds a third of all rows
+shrinks to a row per task before it moves. (The merging of sorted runs in rounds that was asked for is not built; up to FAN_IN
+partitions the first level does it all.)
 
 Texts are equal when they are identical after each run of blanks, tabs and line ends became one space.
 NULL counts as the empty text. A NULL id sorts after all others; of rows with the same id and text the first
@@ -47,7 +48,7 @@ def runs(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text")
 
 
 def tree_merge(rows: DataFrame) -> DataFrame:
-    """One row per digest: ``first`` (the smallest row of the group) and ``size``."""
+    """One row per digest: ``first`` (the smallest row of the group) and ``size``, aggregated in ROUNDS levels."""
     level = rows.select(
         *IDENTITY, "lane",
         F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row").alias("first"), F.lit(1).cast("long").alias("size"),
