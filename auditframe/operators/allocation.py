@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from auditframe.functions.canon import digest
+from auditframe.functions.canon import digest, packed, unpacked
 from auditframe.functions.ordered import union_all
 
 
@@ -14,23 +14,33 @@ def job_table(arms: DataFrame, seeds: DataFrame, episodes: DataFrame) -> DataFra
     The product is what the plan asks for.  Arms, seeds and episodes are ordinary rows of any
     number; nothing is gathered, and Spark decides which sides travel.
     """
-    jobs = episodes.crossJoin(arms.crossJoin(seeds)).select(*arms.columns, *seeds.columns, "episode_id")
+    # A file of episodes has few splits, and each of its rows becomes many: spread over as many tasks as a shuffle has.
+    spread = episodes.repartition(int(episodes.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    jobs = spread.crossJoin(arms.crossJoin(seeds)).select(*arms.columns, *seeds.columns, "episode_id")
     return jobs.withColumn(
         "job_id", digest({"arm_id": F.col("arm_id"), "episode_id": F.col("episode_id"), "evaluation_seed": F.col("evaluation_seed")})
     )
 
 
+def by_digest(df: DataFrame) -> DataFrame:
+    """The rows with ``job_id`` as packed bytes, which is what travels."""
+    return df.withColumn("job_id", packed(F.col("job_id")))
+
+
 def in_digest_order(jobs: DataFrame) -> DataFrame:
-    return jobs.orderBy("job_id")
+    ordered = by_digest(jobs).orderBy(unpacked(F.col("job_id")))
+    return ordered.withColumn("job_id", unpacked(F.col("job_id")))
 
 
 def pending(jobs: DataFrame, recorded: DataFrame) -> DataFrame:
-    return jobs.join(recorded.select("job_id"), "job_id", "left_anti")
+    left = by_digest(jobs).join(by_digest(recorded.select("job_id")), "job_id", "left_anti")
+    return left.select(*jobs.columns).withColumn("job_id", unpacked(F.col("job_id")))
 
 
 def indeterminate(started: DataFrame, recorded: DataFrame) -> DataFrame:
     """Jobs that were started and left no record; they must not be run again blindly."""
-    return started.select("job_id").distinct().join(recorded.select("job_id"), "job_id", "left_anti")
+    left = by_digest(started.select("job_id")).join(by_digest(recorded.select("job_id")), "job_id", "left_anti")
+    return left.distinct().select(unpacked(F.col("job_id")).alias("job_id"))
 
 
 # States of a plan.
@@ -43,32 +53,33 @@ BOUND = ("arm_id", "evaluation_seed", "episode_id", "checkpoint_sha256")
 
 def binding_violations(records: DataFrame, jobs: DataFrame) -> DataFrame:
     """Records whose fields differ from the plan's row, or that the plan never allocated."""
-    planned = jobs.select("job_id", F.struct(*BOUND).alias("_plan"))
-    d = records.join(planned, "job_id", "left")
+    planned = by_digest(jobs.select("job_id", F.struct(*BOUND).alias("_plan")))
+    d = by_digest(records.select("job_id", *BOUND)).join(planned, "job_id", "left")
     wrong = F.array_compact(F.array(*[
         F.when(~F.col(c).eqNullSafe(F.col("_plan")[c]), F.lit(c)) for c in BOUND
     ]))
     fields = F.when(F.col("_plan").isNull(), F.array(F.lit("unallocated"))).otherwise(wrong)
-    return d.select("job_id", F.explode(fields).alias("field"))
+    return d.select("job_id", F.explode(fields).alias("field")).withColumn("job_id", unpacked(F.col("job_id")))
 
 
 def readiness(jobs: DataFrame, started: DataFrame, records: DataFrame) -> DataFrame:
     """One row of job counts and the status they give; pending means without a record.
 
-    Plan, starts and records become rows of one key, and one aggregation per job, combined before the shuffle, says what
-    is known of it. ``jobs`` is read once: a record's fields are compared with its plan inside the group.
+    Plan, starts and records become rows of one key, and one aggregation per job says what is known of it: a record's fields are
+    compared with its plan inside the group. A row carries 128 bits of hashes for its job and 64 for its fields (two different
+    rows pass for equal with a chance of 2^-64). Nearly every job has its own key, so rows are dealt out first; counting
+    before the shuffle would only fill memory and spill.
     """
-    none = {c: F.lit(None).cast(jobs.schema[c].dataType) for c in BOUND}
-
-    def rows(df: DataFrame, kind: int, plan: bool = False, told: bool = False) -> DataFrame:
-        fields = F.struct(*[(F.col(c) if plan or told else none[c]).alias(c) for c in BOUND])
-        return df.select("job_id", F.lit(kind).alias("kind"), fields.alias("fields"))
-
-    both = union_all([rows(jobs, 0, plan=True), rows(started, 1), rows(records, 2, told=True)])
-    fields = lambda kind: F.when(F.col("kind") == kind, F.col("fields"))
-    per_job = both.groupBy("job_id").agg(
-        F.bool_or(F.col("kind") == 0).alias("planned"), F.bool_or(F.col("kind") == 1).alias("run"), F.bool_or(F.col("kind") == 2).alias("rec"),
-        F.max(fields(0)).alias("_plan"), F.min(fields(2)).alias("_low"), F.max(fields(2)).alias("_high"),
+    def rows(df: DataFrame, kind: int, told: bool = True) -> DataFrame:
+        fields = [x for c in BOUND for x in (F.col(c).isNull(), F.col(c).cast(jobs.schema[c].dataType))] if told else []
+        said = F.xxhash64(*fields) if told else F.lit(None).cast("bigint")
+        return df.select(F.xxhash64("job_id").alias("k"), F.xxhash64(F.lit("job"), "job_id").alias("l"), F.lit(kind).cast("byte").alias("kind"), said.alias("said"))
+
+    both = union_all([rows(jobs, 0), rows(started, 1, told=False), rows(records, 2)]).repartition("k", "l")
+    is_, said = lambda kind: F.col("kind") == kind, lambda kind: F.when(F.col("kind") == kind, F.col("said"))
+    per_job = both.groupBy("k", "l").agg(
+        F.bool_or(is_(0)).alias("planned"), F.bool_or(is_(1)).alias("run"), F.bool_or(is_(2)).alias("rec"),
+        F.max(said(0)).alias("_plan"), F.min(said(2)).alias("_low"), F.max(said(2)).alias("_high"),
     ).where("planned")
     # All records of a job agree with its plan when the least and the greatest of them do.
     bad = ~(F.col("_low").eqNullSafe(F.col("_plan")) & F.col("_high").eqNullSafe(F.col("_plan")))
