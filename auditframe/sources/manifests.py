@@ -5,6 +5,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from auditframe.functions import digest_tree
+from auditframe.session import materialise
 
 
 def asset_value() -> Column:
@@ -26,9 +27,9 @@ def manifest_summary(assets: DataFrame, levels: int = digest_tree.LEVELS) -> Dat
 
 def listed_assets(claims: DataFrame, assets: DataFrame, levels: int = digest_tree.LEVELS) -> DataFrame:
     """Claimed assets (path, bytes, sha256) with whether the manifest's tree proves them."""
-    nodes = manifest_tree(assets, levels)
+    nodes = manifest_tree(materialise(assets.select("path", "bytes", "sha256")), levels)
     wanted = claims.select(F.col("path").alias("name"), asset_value().alias("value"))
-    checked = digest_tree.verify(digest_tree.proofs(nodes, wanted), levels)
+    checked = digest_tree.verify_many(nodes, wanted)
     published = nodes[0].select(F.col("digest").alias("_published"))
     fits = checked.crossJoin(F.broadcast(published)).select(F.col("name").alias("path"), F.col("value").alias("_value"), (F.col("holds") & (F.col("root") == F.col("_published"))).alias("_ok"))
     known = claims.withColumn("_value", asset_value()).join(fits, ["path", "_value"], "left")
