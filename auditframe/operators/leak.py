@@ -263,24 +263,23 @@ def contamination(
 
     Shingles are distinct within a text before the shuffle, and one aggregation over
     both sides gives all counts, so boilerplate repeated everywhere costs one row per
-    map task.  ``sealed_commitment`` is the root of the digest tree over the sealed shingles' hashes.
+    map task.  A shingle travels as 128 bits of hashes (two pass for one with a chance of 2^-128) and the sides it was found on as
+    bits of one number.  ``sealed_commitment`` is the root of the digest tree over the sealed shingles' hashes.
     """
-    def side(df: DataFrame, name: str) -> DataFrame:
+    def side(df: DataFrame, bit: int) -> DataFrame:
         rows = shingle_rows(df, key, text, width, keep_short=True)
-        return rows.select(
-            F.unhex(F.sha2("shingle", 256)).alias("h"), (F.lit(name) == "candidate").alias("c"), (F.lit(name) == "sealed").alias("s"),
-        )
+        return rows.select(F.xxhash64("shingle").alias("h"), F.xxhash64(F.lit("shingle"), "shingle").alias("g"), F.lit(bit).alias("side"))
 
-    both = side(candidates, "candidate").unionByName(side(sealed, "sealed"))
-    merged = both.groupBy("h").agg(F.bool_or("c").alias("c"), F.bool_or("s").alias("s"))
+    both = side(candidates, 1).unionByName(side(sealed, 2))
+    merged = both.groupBy("h", "g").agg(F.bit_or("side").alias("side"))
     counts = merged.agg(
-        F.count_if("s").alias("sealed_shingles"),
-        F.count_if("c").alias("candidate_shingles"),
-        F.count_if(F.col("s") & F.col("c")).alias("overlap_shingles"),
+        F.count_if(F.col("side") >= 2).alias("sealed_shingles"),
+        F.count_if(F.col("side") != 2).alias("candidate_shingles"),
+        F.count_if(F.col("side") == 3).alias("overlap_shingles"),
     )
     # The sealed side alone, once more: the tree is over a set, so its leaves are distinct before they are counted.
-    leaves = side(sealed, "sealed").select("h").distinct()
-    root = digest_tree.roots(leaves, F.lower(F.hex("h")), levels=COMMITMENT_LEVELS).select(F.col("root").alias("sealed_commitment"))
+    leaves = shingle_rows(sealed, key, text, width, keep_short=True).select(F.sha2("shingle", 256).alias("h")).distinct()
+    root = digest_tree.roots(leaves, F.col("h"), levels=COMMITMENT_LEVELS).select(F.col("root").alias("sealed_commitment"))
     counts = counts.crossJoin(F.broadcast(root))  # one row each
     share = F.col("overlap_shingles") / F.greatest(F.lit(1), F.col("sealed_shingles"))
     return counts.withColumns({
