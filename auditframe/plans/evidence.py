@@ -579,10 +579,9 @@ def strict_jsonl(spark, sf):
 @query("file_hash", "SELECT CAST(doc_id AS VARCHAR) AS name, octet_length(encode(text)) + 1 AS bytes, sha256(text || chr(10)) AS sha256 FROM documents")
 def file_hash(spark, sf):
     path = fresh(spark, "files")
-    d = docs(spark, sf, "doc_id", "text")
-    d.select(F.col("text").alias("value"), F.col("doc_id").alias("name")).write.partitionBy("name").text(path)
+    S.write_files(docs(spark, sf, "doc_id", "text"), path, "doc_id", "text")
     found = S.raw_files(spark, path).where(F.col("path").endswith(".txt"))
-    return found.select(F.regexp_extract("path", "name=([0-9]+)/", 1).alias("name"), "bytes", "sha256")
+    return found.select(F.regexp_extract("path", "name=([0-9]+)[/.]", 1).alias("name"), "bytes", "sha256")
 
 
 @query("checksum_scan", "SELECT source || '/' || doc_id AS path, sha256(text) AS sha256 FROM documents")

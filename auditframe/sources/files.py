@@ -1,8 +1,12 @@
 """Readers and writers of the file kinds evaluation records come in."""
 from __future__ import annotations
 
-from collections.abc import Iterable
+import os
+import uuid
+from collections.abc import Iterable, Iterator
 
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -71,6 +75,49 @@ def strict_json_lines(spark: SparkSession, path: str, schema: T.StructType) -> t
     return rows, judged.where("error IS NOT NULL").select("file", "line", "error")
 
 
+#: Folders that the files of ``write_files`` are dealt to, so that Spark lists them as tasks and no folder holds them all.
+SHELVES = 512
+
+
+def write_files(df: DataFrame, path: str, name: str, value: str) -> None:
+    """A text file per name, ``shelf=<n>/name=<name>.<task>.txt``, with the values of the name in a task, each ended by a newline.
+
+    Tasks write the files themselves, without the commands per file that Spark's local writer runs; a file appears whole and a
+    task that is run again writes the same files. Only Spark reaches a folder of another file system than the machines' own: there its writer
+    makes ``shelf=<n>/name=<name>/``.
+    """
+    own = F.coalesce(F.col(name).cast("string"), F.lit("__HIVE_DEFAULT_PARTITION__"))
+    rows = df.select(F.pmod(F.xxhash64(own), F.lit(SHELVES)).alias("shelf"), own.alias("name"), F.col(value).alias("value"))
+    folder = path.removeprefix("file:")
+    if ":" in folder.split("/")[0]:
+        rows.write.partitionBy("shelf", "name").text(path)
+        return
+    folder = "/" + folder.lstrip("/") if folder.startswith("/") else folder
+    os.makedirs(folder)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, part, last, out, n = TaskContext.get().partitionId(), f"{folder}/.{uuid.uuid4().hex}", None, None, 0
+
+        def close() -> None:
+            out.close()
+            os.makedirs(f"{folder}/shelf={last[0]}", exist_ok=True)
+            os.replace(part, f"{folder}/shelf={last[0]}/name={last[1]}.{task:05d}.txt")
+
+        for batch in batches:
+            for shelf, key, text in zip(*(c.to_pylist() for c in batch.columns)):
+                if (shelf, key) != last:
+                    if out:
+                        close()
+                    out, last, n = open(part, "wb"), (shelf, key), n + 1
+                out.write((text or b"") + b"\n")
+        if out:
+            close()
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], ["n"])
+
+    ordered = rows.withColumn("value", F.col("value").cast("binary")).sortWithinPartitions("shelf", "name")
+    ordered.mapInArrow(run, "n long").agg(F.sum("n")).collect()  # one number
+
+
 def raw_files(spark: SparkSession, path: str, root: str | None = None) -> DataFrame:
     """Every file under a directory: relative path, size and SHA-256 (a file must fit in a row)."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
