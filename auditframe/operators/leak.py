@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 
 from auditframe.functions import digest_tree
 from auditframe.functions.ordered import union_all
-from auditframe.functions.text import WORD_OR_APOSTROPHE, shingle_rows
+from auditframe.functions.text import WORD_OR_APOSTROPHE, shingle_rows, tokens
 from auditframe.session import materialise
 
 # Patterns of secrets.
@@ -290,14 +290,32 @@ def contamination(
 def source_overlap(texts: DataFrame, key: str, text: str, corpus: DataFrame, corpus_key: str, width: int = 10) -> DataFrame:
     """Per text: how many distinct shingles also occur in the corpus, and a hash of the smallest."""
     options = {"pattern": WORD_OR_APOSTROPHE, "keep_short": False}
-    known = shingle_rows(corpus, corpus_key, text, width, **options).select("shingle").distinct()
-    hits = shingle_rows(texts, key, text, width, **options).join(known, "shingle", "left_semi")
-    return hits.groupBy(key).agg(
+    known = materialise(shingle_rows(corpus, corpus_key, text, width, **options).select("shingle").distinct())
+    if known.count() <= FEW_KEYS:
+        own = likely_shingles(texts, key, text, known, width, WORD_OR_APOSTROPHE)
+    else:
+        own = shingle_rows(texts, key, text, width, **options)
+    return own.join(known, "shingle", "left_semi").groupBy(key).agg(
         F.count("*").alias("overlapping_shingles"),
         F.substring(F.sha2(F.min("shingle"), 256), 1, 16).alias("example_hash"),
     )
 
 
+def likely_shingles(texts: DataFrame, key: str, text: str, known: DataFrame, width: int, pattern: str) -> DataFrame:
+    """(key, shingle): the shingles of each text, distinct within it, whose first, middle and last word are those of a known one.
+
+    Only these are put together; all others cost a hash of three words. ``known`` is a stored list of at most FEW_KEYS shingles.
+    """
+    looked = sorted({0, width // 2, width - 1})
+    parts = F.split("shingle", " ")
+    marks = known.select(F.xxhash64(*[F.get(parts, F.lit(k)) for k in looked]).alias("_mark")).distinct()
+    words = texts.select(key, F.monotonically_increasing_id().alias("_row"), tokens(F.col(text), pattern).alias("_words"))
+    starts = F.when(F.size("_words") >= width, F.sequence(F.lit(0), F.size("_words") - width))
+    at = words.select("*", F.explode(starts).alias("_at")).withColumn("_mark", F.xxhash64(*[F.get("_words", F.col("_at") + k) for k in looked]))
+    near = at.join(F.broadcast(marks), "_mark", "left_semi")
+    return near.select(key, "_row", F.array_join(F.slice("_words", F.col("_at") + 1, width), " ").alias("shingle")).distinct().select(key, "shingle")
+
+
 # --- release audit ---------------------------------------------------------------------
 def gate(name: str, hits: DataFrame) -> DataFrame:
     return hits.agg(F.count("*").alias("hits")).select(F.lit(name).alias("gate"), "hits")

@@ -1,7 +1,10 @@
 """Forms of operators that grow with their input: equal to the plain ones, and without the steps that did not scale."""
 from __future__ import annotations
 
+import os
+import tempfile
 from collections import Counter
+from hashlib import sha256
 
 from pyspark.sql import functions as F
 
@@ -11,7 +14,8 @@ from auditframe.operators import allocation as Al
 from auditframe.operators import audit as A
 from auditframe.operators import leak as L
 from auditframe.operators import stats as St
-from auditframe.plans import experiment
+from auditframe.plans import experiment, replay
+from auditframe.sources import files as S
 from tests.conftest import rows
 from tests.test_contract import random_episodes, tables
 
@@ -92,3 +96,35 @@ def test_lanes_taken_whole_and_cut_say_the_same(spark):
 
 def test_the_plan_of_jobs_is_not_stored():
     assert "materialise" not in experiment.marked_jobs.__code__.co_names
+
+
+def test_a_file_per_name_in_few_folders(spark, make):
+    path = tempfile.mkdtemp(prefix="run-", dir="/tmp") + "/files"
+    texts = make("id BIGINT, t STRING", *[(i, f"é{i}\n") for i in range(700)], (700, None), (701, ""), (702, "a"), (702, "b"), (None, "x")).coalesce(1)
+    S.write_files(texts, path, "id", "t")
+    folders = os.listdir(path)
+    assert len(folders) <= S.SHELVES and all(f.startswith("shelf=") for f in folders)
+    found = S.raw_files(spark, path).select(F.regexp_extract("path", "name=([0-9]+)[/.]", 1).alias("name"), "bytes", "sha256")
+    want = {str(i): f"é{i}\n\n" for i in range(700)} | {"700": "\n", "701": "\n", "": "x\n"}
+    got = {r.name: (r.bytes, r.sha256) for r in found.collect()}
+    assert found.count() == 704 and got.pop("702") in [(4, sha256(x).hexdigest()) for x in (b"a\nb\n", b"b\na\n")]
+    assert got == {k: (len(v.encode()), sha256(v.encode()).hexdigest()) for k, v in want.items()}
+    empty = path + "-empty"
+    S.write_files(texts.limit(0), empty, "id", "t")
+    assert not os.listdir(empty)
+
+
+def test_answers_are_worked_out_once(spark):
+    plan = plan_of(replay.citation_valid(spark, "/root/testdata/sf0.001"))
+    assert "lineitem" not in plan and "orders" not in plan
+
+
+def test_only_likely_shingles_are_put_together(make, monkeypatch):
+    texts = make("id INT, t STRING", (1, "a b c d e"), (1, "x A b c"), (2, "a q c a q c"), (3, "a b"), (4, None), (5, "a z c"), (None, "q c a"))
+    corpus = make("k INT, t STRING", (1, "A b c. d"), (2, "q c a q"), (3, "c"))
+    few = L.source_overlap(texts, "id", "t", corpus, "k", 3)
+    assert Counter((r.id, r.overlapping_shingles) for r in few.collect()) == Counter([(1, 3), (2, 2), (None, 1)])
+    assert "_mark" in plan_of(few)
+    monkeypatch.setattr(L, "FEW_KEYS", 0)
+    many = L.source_overlap(texts, "id", "t", corpus, "k", 3)
+    assert rows(many) == rows(few) and "_mark" not in plan_of(many)
