@@ -93,22 +93,31 @@ def shares(counts: DataFrame, known: dict[str, int]) -> tuple[DataFrame, np.ndar
     return stored(rare.join(by_place, "place").select("word", F.log((F.col("n") + UNSEEN) / F.col("space")).alias("log_share"))), np.log(UNSEEN / space)
 
 
-class Encoder:
-    """Words to numbers, with a bounded table of tokens met (with the punctuation at their ends)."""
+class Numbers(dict):
+    """Tokens met (with the punctuation at their ends) and the numbers of their words; -1 for a token without a word."""
 
     def __init__(self, known: dict[str, int]):
-        self.known, self.met = known, {}
+        self.known = known
 
-    def number(self, token: str) -> int:
+    def __missing__(self, token: str) -> int:
         w = token.strip(EDGE)
-        value = self.met[token] = -1 if not w else self.known[w] if w in self.known else crc32(w.encode("utf-8", "surrogatepass")) % OTHER
+        value = self[token] = -1 if not w else self.known[w] if w in self.known else crc32(w.encode("utf-8", "surrogatepass")) % OTHER
         return value
 
-    def __call__(self, text: str | None) -> np.ndarray:
+
+class Encoder:
+    """Words to numbers, with a bounded table of tokens met."""
+
+    def __init__(self, known: dict[str, int]):
+        self.met = Numbers(known)
+
+    def numbers(self, tokens: list[str]) -> np.ndarray:
         if len(self.met) > 1 << 18:
-            self.met = {}
-        met, number = self.met, self.number
-        found = np.array([met[w] if w in met else number(w) for w in (text or "").lower().split()], np.int32)
+            self.met.clear()
+        return np.fromiter(map(self.met.__getitem__, tokens), np.int32, len(tokens))
+
+    def __call__(self, text: str | None) -> np.ndarray:
+        found = self.numbers((text or "").lower().split())
         return found[found >= 0]
 
 
@@ -125,62 +134,83 @@ def contexts(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return flat[at], np.stack([flat[at + o] for o in (*range(-SPAN, 0), *range(1, SPAN + 1))], axis=1)
 
 
-def soft(z: np.ndarray) -> np.ndarray:
-    """Shares of exp(z) by row, in place; the hidden layer is bounded, so the ceiling is never met in practice."""
+#: By name, memory that steps use again: fresh pages for every temporary array cost more than the sums made in them.
+SPACE: dict[tuple, np.ndarray] = {}
+
+
+def space(name: str, rows: int, width: int, like: np.ndarray) -> np.ndarray:
+    """An array of ``rows`` by ``width`` that holds anything, and holds it until the name is asked for again."""
+    if rows > STEP:
+        return np.empty((rows, width), like.dtype)
+    if (name, like.dtype) not in SPACE:
+        SPACE[name, like.dtype] = np.empty((STEP, width), like.dtype)
+    return SPACE[name, like.dtype][:rows]
+
+
+def raised(z: np.ndarray) -> np.ndarray:
+    """exp(z) in place, and one by its sum per row; the hidden layer is bounded, so the ceiling is never met in practice."""
     np.exp(np.minimum(z, 60, out=z), out=z)
-    z *= (1 / (z @ np.ones(z.shape[1], z.dtype)))[:, None]
-    return z
+    return 1 / (z @ np.ones(z.shape[1], z.dtype))
 
 
 def forward(m: dict[str, np.ndarray], tokens: np.ndarray, near: np.ndarray):
-    """Rows in order of class, their hidden layer, and the probabilities of classes and of the tokens within."""
-    order = np.argsort(tokens // INSIDE, kind="stable")
+    """Rows in order of class, their hidden layer, and the exponents of classes and of the tokens within, each with one by its sum."""
+    order = np.argsort((tokens // INSIDE).astype(np.uint8), kind="stable")
     tokens, near = tokens[order], near[order]
-    hidden = np.zeros((len(tokens), WIDTH), np.float32)
+    hidden, turned = (space(name, len(tokens), WIDTH, m["E"]) for name in ("hidden", "turned"))
+    hidden[:] = 0
     for k in range(2 * SPAN):
-        hidden += m["E"][near[:, k]] * m["D"][k]
-    hidden = np.tanh(hidden)
-    by_class = soft(hidden @ m["C"] + m["c"])
-    inside = np.empty((len(tokens), INSIDE), np.float32)
+        hidden += np.take(m["E"] * m["D"][k], near[:, k], axis=0, out=turned, mode="clip")
+    np.tanh(hidden, out=hidden)
+    by_class, inside = space("by_class", len(tokens), CLASSES, m["E"]), space("inside", len(tokens), INSIDE, m["E"])
+    np.matmul(hidden, m["C"], out=by_class)
+    by_class += m["c"]
     bounds = np.searchsorted(tokens // INSIDE, np.arange(CLASSES + 1))
     for c in range(CLASSES):
         a, b = bounds[c], bounds[c + 1]
         if a < b:
-            inside[a:b] = soft(hidden[a:b] @ m["W"][c] + m["w"][c])
-    return order, tokens, near, hidden, by_class, inside, bounds
+            np.matmul(hidden[a:b], m["W"][c], out=inside[a:b])
+            inside[a:b] += m["w"][c]
+    return order, tokens, near, hidden, by_class, raised(by_class), inside, raised(inside), bounds
 
 
 def log_probability(m: dict[str, np.ndarray], tokens: np.ndarray, near: np.ndarray) -> np.ndarray:
     out = np.empty(len(tokens))
     for at in range(0, len(tokens), STEP):
         part = slice(at, at + STEP)
-        order, t, _, _, by_class, inside, _ = forward(m, tokens[part], near[part])
+        order, t, _, _, by_class, one, inside, two, _ = forward(m, tokens[part], near[part])
         row = np.arange(len(t))
-        out[at + order] = np.log(np.maximum(by_class[row, t // INSIDE], 1e-12)) + np.log(np.maximum(inside[row, t % INSIDE], 1e-12))
+        # Only the shares of the tokens that stand there are worked out.
+        out[at + order] = np.log(np.maximum(by_class[row, t // INSIDE] * one, 1e-12)) + np.log(np.maximum(inside[row, t % INSIDE] * two, 1e-12))
     return out
 
 
 def learn(m: dict[str, np.ndarray], sums: dict[str, np.ndarray], tokens: np.ndarray, near: np.ndarray) -> None:
     """One Adagrad step on the mean log-likelihood of the tokens."""
-    _, t, near, hidden, by_class, inside, bounds = forward(m, tokens, near)
+    _, t, near, hidden, by_class, one, inside, two, bounds = forward(m, tokens, near)
+    by_class *= one[:, None]
+    inside *= two[:, None]
     n, row = len(t), np.arange(len(t))
     by_class[row, t // INSIDE] -= 1
     inside[row, t % INSIDE] -= 1
     g = {"C": hidden.T @ by_class / n, "c": by_class.mean(axis=0), "W": np.zeros(SHAPES["W"], np.float32), "w": np.zeros(SHAPES["w"], np.float32)}
-    dh = by_class @ m["C"].T
+    dh = np.matmul(by_class, m["C"].T, out=space("dh", n, WIDTH, m["E"]))
     for c in range(CLASSES):
         a, b = bounds[c], bounds[c + 1]
         if a < b:
             g["W"][c], g["w"][c] = hidden[a:b].T @ inside[a:b] / n, inside[a:b].sum(axis=0) / n
             dh[a:b] += inside[a:b] @ m["W"][c].T
-    dh *= (1 - hidden**2) / n
+    np.multiply(hidden, hidden, out=hidden)
+    np.subtract(1, hidden, out=hidden)
+    hidden /= n
+    dh *= hidden
     g["D"], g["E"] = np.empty(SHAPES["D"], np.float32), np.zeros(SHAPES["E"], np.float32)
+    columns, places = np.ascontiguousarray(dh.T, np.float64), np.ascontiguousarray(near.T, np.int64)
     for k in range(2 * SPAN):
-        g["D"][k] = (dh * m["E"][near[:, k]]).sum(axis=0)
-        at = np.argsort(near[:, k], kind="stable")
-        ids = near[at, k]
-        first = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
-        g["E"][ids[first]] += np.add.reduceat((dh * m["D"][k])[at], first, axis=0)
+        # The slopes summed by neighbour serve both parameters: a word's embedding and the turns of its place.
+        by_word = np.stack([np.bincount(places[k], w, VOCABULARY + 1) for w in columns], axis=1)
+        g["D"][k] = (by_word * m["E"]).sum(axis=0)
+        g["E"] += by_word * m["D"][k]
     g["E"][PAD] = 0
     for k, d in g.items():
         sums[k] += d * d
@@ -271,25 +301,27 @@ def score(
         known, m = shared.value
         encode = Encoder(known)
 
-        def rare(text: str | None) -> str | None:
+        def rare(tokens: list[str], found: np.ndarray) -> str | None:
             """The words outside the vocabulary and how often each stands, as lines: one string takes far less memory than lists."""
-            found = Counter()
-            for token, n in Counter((text or "").lower().split()).items():
-                value = encode.met[token] if token in encode.met else encode.number(token)
-                if 0 <= value < OTHER:
-                    found[token.strip(EDGE)] += n
-            return "\n".join(f"{w}\t{n}" for w, n in found.items()) or None
+            words = Counter(tokens[k].strip(EDGE) for k in np.flatnonzero((found >= 0) & (found < OTHER)))
+            return "\n".join(f"{w}\t{n}" for w, n in words.items()) or None
 
         def work(texts: list[str | None]) -> dict[str, list]:
-            out = [(np.zeros(0, np.int64), np.zeros(0))]
+            out, lines = [(np.zeros(0, np.int64), np.zeros(0))], []
             for at in range(0, len(texts), 64):
-                coded = [encode(t) for t in texts[at : at + 64]]
+                coded = []
+                for text in texts[at : at + 64]:
+                    tokens = (text or "").lower().split()
+                    found = encode.numbers(tokens)
+                    if counts_given:
+                        lines.append(rare(tokens, found))
+                    coded.append(found[found >= 0])
                 sizes = np.array([len(t) for t in coded])
                 p = log_probability(m, *contexts(coded))
                 out.append((sizes, np.add.reduceat(np.append(p, 0.0), np.minimum(np.cumsum(sizes) - sizes, len(p))) * (sizes > 0)))
             made = dict(zip(columns, (np.concatenate([o[k] for o in out]) for k in (0, 1))))
             if counts_given:
-                made["rare"] = [rare(t) for t in texts]
+                made["rare"] = lines
             return made
 
         return work

@@ -152,3 +152,16 @@ def test_secrets_behind_names_in_urls_alone_short_and_dotted(make):
     assert {(r.doc_id, texts[r.doc_id][r.start : r.end]) for r in got if r.secret} == want
     unassigned = secrets.findings(make("doc_id long, text string", (1, f"commit {hexed(1)} and that")), known)
     assert unassigned.count() == 1 and secrets.form_labels(unassigned).count() == 0
+
+
+def test_steps_of_training_use_their_memory_again():
+    rng = np.random.default_rng(4)
+    tokens, near = rng.integers(0, lm.VOCABULARY, 500), rng.integers(0, lm.VOCABULARY + 1, (500, 2 * lm.SPAN))
+    m = lm.start()
+    first, again = lm.forward(m, tokens, near), lm.forward(m, tokens[:300], near[:300])
+    assert all(np.shares_memory(first[k], again[k]) for k in (3, 4, 6))
+    # Probabilities of a token are the same alone and among others, and in a step beyond the kept memory.
+    alone = [lm.log_probability(m, tokens[k : k + 1], near[k : k + 1])[0] for k in range(9)]
+    assert np.allclose(alone, lm.log_probability(m, tokens, near)[:9], atol=1e-5)
+    many = lm.forward(m, np.tile(tokens, 40), np.tile(near, (40, 1)))
+    assert many[3].shape == (20_000, lm.WIDTH) and not np.shares_memory(many[3], first[3])
