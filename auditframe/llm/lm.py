@@ -165,13 +165,14 @@ def forward(m: dict[str, np.ndarray], tokens: np.ndarray, near: np.ndarray):
     by_class, inside = space("by_class", len(tokens), CLASSES, m["E"]), space("inside", len(tokens), INSIDE, m["E"])
     np.matmul(hidden, m["C"], out=by_class)
     by_class += m["c"]
-    bounds = np.searchsorted(tokens // INSIDE, np.arange(CLASSES + 1))
+    bounds, within = np.searchsorted(tokens // INSIDE, np.arange(CLASSES + 1)), np.empty(len(tokens), inside.dtype)
     for c in range(CLASSES):
         a, b = bounds[c], bounds[c + 1]
         if a < b:
             np.matmul(hidden[a:b], m["W"][c], out=inside[a:b])
             inside[a:b] += m["w"][c]
-    return order, tokens, near, hidden, by_class, raised(by_class), inside, raised(inside), bounds
+            within[a:b] = raised(inside[a:b])
+    return order, tokens, near, hidden, by_class, raised(by_class), inside, within, bounds
 
 
 def log_probability(m: dict[str, np.ndarray], tokens: np.ndarray, near: np.ndarray) -> np.ndarray:
@@ -205,12 +206,16 @@ def learn(m: dict[str, np.ndarray], sums: dict[str, np.ndarray], tokens: np.ndar
     hidden /= n
     dh *= hidden
     g["D"], g["E"] = np.empty(SHAPES["D"], np.float32), np.zeros(SHAPES["E"], np.float32)
-    columns, places = np.ascontiguousarray(dh.T, np.float64), np.ascontiguousarray(near.T, np.int64)
+    part = space("part", n, WIDTH, m["E"])
     for k in range(2 * SPAN):
-        # The slopes summed by neighbour serve both parameters: a word's embedding and the turns of its place.
-        by_word = np.stack([np.bincount(places[k], w, VOCABULARY + 1) for w in columns], axis=1)
-        g["D"][k] = (by_word * m["E"]).sum(axis=0)
-        g["E"] += by_word * m["D"][k]
+        np.take(m["E"], near[:, k], axis=0, out=part, mode="clip")
+        g["D"][k] = np.multiply(dh, part, out=part).sum(axis=0)
+        at = np.argsort(near[:, k].astype(np.uint16), kind="stable")
+        ids = near[at, k]
+        first = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
+        np.take(dh, at, axis=0, out=part, mode="clip")
+        part *= m["D"][k]
+        g["E"][ids[first]] += np.add.reduceat(part, first, axis=0)
     g["E"][PAD] = 0
     for k, d in g.items():
         sums[k] += d * d
