@@ -14,9 +14,12 @@ changes the result. What is asked for is components, so pairs that are known to
 
 1. Equal sets become one node. Nodes that share the smallest hash of one of SKETCHES orders are compared with the
    first of them only; verified pairs are contracted. This folds large groups of near copies without all their pairs.
-2. The forest compares the nodes of different components. Trees of one component are dropped; a tree of more than
+2. In a crowded tree (CROWD nodes or more) each node is compared with the tree's core: of the nodes of other components
+   the one whose prefix has the fewest shingles that stand in no tree with others. Of copies that drift apart it is the nearest to
+   their common text, so what links at all mostly links with it. A node has one core, that of most of its trees. Verified pairs are contracted.
+3. The forest compares the nodes of different components. Trees of one component are dropped; a tree of more than
    LARGE nodes is split into blocks, and pairs of blocks are separate work.
-3. Verified links of both steps give the components.
+4. Verified links of all steps give the components.
 
 ``near_duplicate_links`` leaves out the contraction and gives all links, also those inside components, and their number per document.
 
@@ -50,6 +53,10 @@ FULL = 65_535
 SKETCHES = 4
 #: Nodes of a tree from which it is split into blocks, and of a block.
 LARGE, BLOCK = 4096, 1024
+#: Nodes of a tree from which they are first compared with its core.
+CROWD = 16
+#: Pairs of one task that are held at a time.
+HELD = 1 << 18
 #: Nodes of a label whose sets meet in one place.
 TEAM = 256
 #: Points of a leaf.
@@ -233,11 +240,12 @@ def bounded(va: np.ndarray, vb: np.ndarray, na: np.ndarray, nb: np.ndarray) -> n
     return (7 * least.sum(axis=1, dtype=np.int64) >= 3 * (na + nb)) | (least.max(axis=1, initial=0) == FULL)
 
 
-def tree_pairs(points: np.ndarray, n: np.ndarray, mine: np.ndarray | None = None) -> np.ndarray:
+def tree_pairs(points: np.ndarray, n: np.ndarray, mine: np.ndarray | None = None, comp: np.ndarray | None = None) -> np.ndarray:
     """Index pairs (i < j) that pass the bounds, by a packed tree of two levels over one group.
 
     Points are packed by size, then by their largest-spread coordinates, into leaves of LEAF; leaves meet when
     their corners and sizes leave room. ``mine`` marks the points of a first block: then pairs are between blocks.
+    With ``comp`` they are between components.
     """
     spread = np.argsort(-points.var(axis=0))[:2]
     n = n.astype(np.int64)
@@ -246,6 +254,8 @@ def tree_pairs(points: np.ndarray, n: np.ndarray, mine: np.ndarray | None = None
     corner = np.maximum.reduceat(points[order], starts, axis=0)
     low, high = n[order][starts], np.maximum.reduceat(n[order], starts)
     found = []
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
     for k in range(len(starts)):
         last = np.searchsorted(3 * low, 4 * high[k], side="right")  # leaves are in order of size
         near = np.arange(k, last)
@@ -255,11 +265,11 @@ def tree_pairs(points: np.ndarray, n: np.ndarray, mine: np.ndarray | None = None
         left = order[starts[k] : starts[k] + LEAF]
         right = np.concatenate([order[starts[m] : starts[m] + LEAF] for m in near])
         a, b = np.repeat(left, len(right)), np.tile(right, len(left))
-        place = np.empty(len(order), np.int64)
-        place[order] = np.arange(len(order))
         ok = place[a] < place[b]
         if mine is not None:
             ok &= mine[a] != mine[b]
+        if comp is not None:
+            ok &= comp[a] != comp[b]
         a, b = a[ok], b[ok]
         ok = (4 * np.minimum(n[a], n[b]) >= 3 * np.maximum(n[a], n[b]))
         a, b = a[ok], b[ok]
@@ -315,10 +325,10 @@ def grouped(batches: Iterator[pd.DataFrame], key: list[str], most: int) -> Itera
 
 
 def cross_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Of rows (token, comp, set_id) sorted by token: those of trees with several components; large ones are marked."""
+    """Of rows (token, comp, set_id) sorted by token: those of trees with several components, and the trees' sizes (LARGE + 1 for all beyond)."""
     for rows, whole in grouped(batches, ["token"], LARGE):
         if not whole:
-            yield rows.assign(large=True)
+            yield rows.assign(size=LARGE + 1)
             continue
         token, comp = rows["token"].to_numpy(), rows["comp"].to_numpy()
         starts = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
@@ -326,7 +336,36 @@ def cross_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         several = np.minimum.reduceat(comp, starts) != np.maximum.reduceat(comp, starts)
         keep = np.repeat(several, sizes)
         if keep.any():
-            yield rows[keep].assign(large=np.repeat(sizes > LARGE, sizes)[keep])
+            yield rows[keep].assign(size=np.repeat(np.minimum(sizes, LARGE + 1), sizes)[keep])
+
+
+def core_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Of rows (token, comp, set_id, n, private) sorted by (token, private): each node b and the core a of its tree, where their sizes allow a link.
+
+    The core is the first node of another component. Of a tree of more than LARGE nodes, nodes that come before a
+    second component is met have none.
+    """
+    columns = ["token", "comp", "set_id", "n", "private"]
+    heads = np.zeros((0, 5), np.int64)  # of a tree that goes on: its first node, and the first of another component
+    for rows, whole in grouped(batches, ["token"], LARGE):
+        values = rows[columns].to_numpy(np.int64)
+        ahead = len(heads) if len(heads) and heads[0, 0] == values[0, 0] else 0
+        if ahead:
+            values = np.concatenate([heads, values])
+        starts = np.flatnonzero(np.concatenate([[True], values[1:, 0] != values[:-1, 0]]))
+        sizes = np.diff(np.concatenate([starts, [len(values)]]))
+        first = np.repeat(starts, sizes)
+        other = values[:, 1] != values[first, 1]
+        second = np.minimum.reduceat(np.where(other, np.arange(len(values)), len(values)), starts)
+        heads = np.zeros((0, 5), np.int64) if whole else values[[k for k in (0, int(second[0])) if k < len(values)]]
+        at = np.where(other, first, np.repeat(second, sizes))
+        ok = at < len(values)
+        ok[:ahead] = False
+        b, a = np.flatnonzero(ok), at[ok]
+        near = 4 * np.minimum(values[a, 3], values[b, 3]) >= 3 * np.maximum(values[a, 3], values[b, 3])
+        a, b = a[near], b[near]
+        if len(a):
+            yield pd.DataFrame({"a": values[a, 2], "b": values[b, 2], "private": values[a, 4]})
 
 
 def tree_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -340,7 +379,18 @@ def tree_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         codes = rows[["token", "i", "j"]].to_numpy()
         starts = np.flatnonzero(np.concatenate([[True], (codes[1:] != codes[:-1]).any(axis=1)]))
         sizes = np.diff(np.concatenate([starts, [len(rows)]]))
-        found = []
+        found, held = [], 0
+
+        def made() -> pd.DataFrame:
+            pairs = np.concatenate(found)
+            one, two = ids[pairs[:, 0]], ids[pairs[:, 1]]
+            swap = one > two
+            rows = pd.DataFrame({
+                "a": np.where(swap, two, one), "b": np.where(swap, one, two),
+                "na": np.where(swap, n[pairs[:, 1]], n[pairs[:, 0]]), "nb": np.where(swap, n[pairs[:, 0]], n[pairs[:, 1]]),
+            })
+            return rows.groupby(["a", "b", "na", "nb"], as_index=False).size().rename(columns={"size": "c"})
+
         small = sizes <= 2 * LEAF
         inside = np.flatnonzero(np.repeat(small, sizes))
         left, right = small_pairs(sizes[small])
@@ -352,19 +402,19 @@ def tree_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             a, b = a[ok], b[ok]
             ok = bounded(points[a], points[b], n[a], n[b])
             found.append(np.stack([a[ok], b[ok]], axis=1))
+            held += len(found[-1])
+            if held > HELD:
+                yield made()
+                found, held = [], 0
         for start, size in zip(starts[~small], sizes[~small]):
             part = slice(start, start + size)
-            pairs = tree_pairs(points[part], n[part], None if within[start] else first[part]) + start
-            found.append(pairs[comp[pairs[:, 0]] != comp[pairs[:, 1]]])
-        pairs = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
-        one, two = ids[pairs[:, 0]], ids[pairs[:, 1]]
-        if len(pairs):
-            swap = one > two
-            made = pd.DataFrame({
-                "a": np.where(swap, two, one), "b": np.where(swap, one, two),
-                "na": np.where(swap, n[pairs[:, 1]], n[pairs[:, 0]]), "nb": np.where(swap, n[pairs[:, 0]], n[pairs[:, 1]]),
-            })
-            yield made.groupby(["a", "b", "na", "nb"], as_index=False).size().rename(columns={"size": "c"})
+            found.append(tree_pairs(points[part], n[part], None if within[start] else first[part], comp[part]) + start)
+            held += len(found[-1])
+            if held > HELD:
+                yield made()
+                found, held = [], 0
+        if held:
+            yield made()
 
 
 def checked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -413,13 +463,28 @@ def verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     return stored(met.mapInPandas(checked, "a long, b long"))
 
 
-def forest_links(docs: DataFrame, nodes: DataFrame, with_comp: DataFrame) -> DataFrame:
-    """Stored: the verified pairs (a, b) of sets of different ``comp``; with_comp has set_id, prefix and comp of every node.
-
-    With every node as its own comp these are all links.
-    """
+def likely_pairs(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Stored: the pairs (a, b) whose sizes and points leave room for a link."""
     points = nodes.select("set_id", "n", "counts")
+    of = lambda c: points.select(F.col("set_id").alias(c), F.col("n").alias(f"n{c}"), F.col("counts").alias(f"v{c}"))
 
+    def bound(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if len(batch):
+                va, vb = (np.frombuffer(b"".join(batch[c]), np.uint16).reshape(len(batch), GROUPS) for c in ("va", "vb"))
+                yield batch.loc[bounded(va, vb, batch["na"].to_numpy(), batch["nb"].to_numpy()), ["a", "b"]]
+
+    return stored(pairs.join(of("a"), "a").join(of("b"), "b").where("4 * least(na, nb) >= 3 * greatest(na, nb)").mapInPandas(bound, "a long, b long"))
+
+
+def cut_trees(entries: DataFrame) -> DataFrame:
+    """Stored: token, comp, set_id of the trees with several components, and the trees' sizes."""
+    ordered = entries.select("token", "comp", "set_id").repartition("token").sortWithinPartitions("token")
+    return stored(ordered.mapInPandas(cross_rows, "token long, comp long, set_id long, size long"))
+
+
+def trees(with_comp: DataFrame) -> DataFrame:
+    """Stored: the entries of the forest that may still make links; with_comp has set_id, prefix and comp of every node."""
     def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for at in range(0, len(batch), 256):
@@ -429,13 +494,30 @@ def forest_links(docs: DataFrame, nodes: DataFrame, with_comp: DataFrame) -> Dat
                     "token": np.frombuffer(b"".join(part["prefix"]), np.int64), "comp": np.repeat(part["comp"].to_numpy(), sizes), "set_id": np.repeat(part["set_id"].to_numpy(), sizes),
                 })
 
-    entries = with_comp.mapInPandas(spread, "token long, comp long, set_id long")
-    sorted_entries = entries.repartition("token").sortWithinPartitions("token")
-    crossing = stored(sorted_entries.mapInPandas(cross_rows, "token long, comp long, set_id long, large boolean"))
-    joined = crossing.join(points, "set_id")
+    return cut_trees(with_comp.mapInPandas(spread, "token long, comp long, set_id long"))
+
+
+def core_pairs(nodes: DataFrame, crossing: DataFrame) -> DataFrame:
+    """(a, b): each node b of crowded trees and the core a of most of them."""
+    held = crossing.groupBy("set_id").agg(F.count("*").alias("held"), F.max("size").alias("most")).where(F.col("most") >= CROWD)
+    # prefix_size(n) less the shingles that stand in a tree with others
+    private = F.col("n") - F.floor((3 * F.col("n") + 3) / 4) + 1 - F.col("held")
+    ranked = nodes.select("set_id", "n").join(small_side(stored(held)), "set_id").select("set_id", "n", private.alias("private"))
+    entries = crossing.where(F.col("size") >= CROWD).join(ranked, "set_id").select("token", "comp", "set_id", "n", "private")
+    ordered = entries.repartition("token").sortWithinPartitions("token", "private", "set_id")
+    tried = ordered.mapInPandas(core_rows, "a long, b long, private long").groupBy("b", "a", "private").count()
+    return tried.groupBy("b").agg(F.max(F.struct("count", -F.col("private"), "a")).alias("best")).select("best.a", "b")
+
+
+def forest_links(docs: DataFrame, nodes: DataFrame, crossing: DataFrame) -> DataFrame:
+    """Stored: the verified pairs (a, b) of sets of different ``comp`` in the trees ``crossing``.
+
+    With every node as its own comp these are all links.
+    """
+    joined = crossing.withColumn("large", F.col("size") > LARGE).drop("size").join(nodes.select("set_id", "n", "counts"), "set_id")
     zero = F.lit(0).cast("long")
     usual = joined.where("not large").select("token", zero.alias("i"), zero.alias("j"), zero.alias("block"), "comp", "set_id", "n", "counts")
-    sizes = crossing.where("large").groupBy("token").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
+    sizes = crossing.where(F.col("size") > LARGE).groupBy("token").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
     split = joined.where("large").join(sizes, "token").withColumn("block", F.pmod(F.xxhash64("set_id"), F.col("blocks"))).withColumn(
         "other", F.explode(F.sequence(zero, F.col("blocks") - 1))
     ).select("token", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "comp", "set_id", "n", "counts")
@@ -464,30 +546,27 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     docs = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).cast("string").alias("text"))
     rows = features(docs, "doc_id", "text")
     nodes, _ = distinct_sets(rows)
-    points = nodes.select("set_id", "n", "counts")
 
     # 1. Stars: each node and the first node that shares a smallest hash.
     keyed = nodes.select("set_id", F.posexplode("sketches").alias("k", "h"))
     centres = stored(keyed.groupBy("k", "h").agg(F.min("set_id").alias("a"), F.count("*").alias("size")).where("size > 1").drop("size"))
     stars = keyed.join(centres, ["k", "h"]).where("set_id <> a").select("a", F.col("set_id").alias("b")).distinct()
-    pa_, pb_ = points.select(F.col("set_id").alias("a"), F.col("n").alias("na"), F.col("counts").alias("va")), points.select(F.col("set_id").alias("b"), F.col("n").alias("nb"), F.col("counts").alias("vb"))
-
-    def bound(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            if len(batch):
-                va, vb = (np.frombuffer(b"".join(batch[c]), np.uint16).reshape(len(batch), GROUPS) for c in ("va", "vb"))
-                yield batch.loc[bounded(va, vb, batch["na"].to_numpy(), batch["nb"].to_numpy()), ["a", "b"]]
-
-    likely = stored(stars.join(pa_, "a").join(pb_, "b").where("4 * least(na, nb) >= 3 * greatest(na, nb)").mapInPandas(bound, "a long, b long"))
-    folded = verified(docs, nodes, likely.withColumn("label", F.col("a")))
-    labels = components(folded)
-
-    # 2. The forest: a tree per shingle of the prefixes, for nodes of different components.
-    known = labels.withColumnRenamed("node", "set_id")
-    with_comp = nodes.select("set_id", "prefix").join(small_side(known), "set_id", "left").select("set_id", "prefix", F.coalesce("label", "set_id").alias("comp"))
-    linked = forest_links(docs, nodes, with_comp)
-
-    # 3. Components of all links, and their smallest ids.
+    stars_folded = verified(docs, nodes, likely_pairs(nodes, stars).withColumn("label", F.col("a")))
+
+    # 2. The cores of crowded trees, for nodes of different components.
+    known = small_side(components(stars_folded).withColumnRenamed("node", "set_id"))
+    own = F.coalesce("label", "set_id").alias("comp")
+    crossing = trees(nodes.select("set_id", "prefix").join(known, "set_id", "left").select("set_id", "prefix", own))
+    cores = verified(docs, nodes, likely_pairs(nodes, core_pairs(nodes, crossing)).withColumn("label", F.col("a")))
+    folded = stars_folded.unionByName(cores)
+    if not cores.isEmpty():
+        known = small_side(components(folded).withColumnRenamed("node", "set_id"))
+        crossing = cut_trees(crossing.select("token", "set_id").join(known, "set_id", "left").select("token", "set_id", own))
+
+    # 3. The forest: a tree per shingle of the prefixes.
+    linked = forest_links(docs, nodes, crossing)
+
+    # 4. Components of all links, and their smallest ids.
     found = components(folded.unionByName(linked))
     labelled = rows.select("doc_id", "n", "set_id").join(small_side(found.withColumnRenamed("node", "set_id")), "set_id", "left").select(
         "doc_id", "n", F.coalesce("label", "set_id").alias("label")
@@ -510,7 +589,7 @@ def near_duplicate_links(docs: DataFrame, id_column: str = "doc_id", text_column
     docs = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).cast("string").alias("text"))
     rows = features(docs, "doc_id", "text")
     nodes, sizes = distinct_sets(rows)
-    pairs = forest_links(docs, nodes, nodes.select("set_id", "prefix", F.col("set_id").alias("comp"))).distinct()
+    pairs = forest_links(docs, nodes, trees(nodes.select("set_id", "prefix", F.col("set_id").alias("comp")))).distinct()
     pairs = stored(pairs)
     both = pairs.union(pairs.select("b", "a"))
     reached = both.join(sizes.withColumnRenamed("set_id", "b"), "b").groupBy(F.col("a").alias("set_id")).agg(F.sum("size").alias("others"))

@@ -5,6 +5,7 @@ import re
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 
 from auditframe.llm import decontaminate, exact_dedup, ngram_join
 from auditframe.llm.components import components
@@ -127,6 +128,50 @@ def test_tree_finds_all_pairs_within_the_bound():
         if 7 * np.minimum(points[a], points[b]).sum() >= 3 * (n[a] + n[b]) and 4 * min(n[a], n[b]) >= 3 * max(n[a], n[b])
     }
     assert {tuple(sorted(map(int, p))) for p in ngram_join.tree_pairs(points, n)} == {tuple(map(int, p)) for p in want}
+    comp = np.arange(300) % 100 // 2
+    assert {tuple(sorted(map(int, p))) for p in ngram_join.tree_pairs(points, n, comp=comp)} == {p for p in want if comp[p[0]] != comp[p[1]]}
+
+
+def test_copies_that_drift_apart_are_contracted_before_they_meet(make, monkeypatch):
+    rng, met = np.random.default_rng(9), []
+    text = [f"w{k}" for k in range(150)]
+    rows = []
+    for k in range(240):
+        one = list(text)
+        for at in rng.choice(150, 1 + k % 3, replace=False):
+            one[at] = f"d{k}n{at}"
+        rows.append((k, " ".join(one)))
+    links = ngram_join.forest_links
+
+    def spy(docs, nodes, crossing):
+        other = crossing.selectExpr("token", "comp AS c", "set_id AS s")
+        met.append(crossing.join(other, "token").where("comp <> c AND set_id < s").select("set_id", "s").distinct().count())
+        return links(docs, nodes, crossing)
+
+    monkeypatch.setattr(ngram_join, "forest_links", spy)
+    sets = {d: shingles(t) for d, t in rows}
+    got = {r.doc_id: r.component_id for r in ngram_join.near_duplicates(make("doc_id long, text string", *rows)).collect()}
+    assert got == brute(sets) and met[0] < 0.02 * 240 * 239 / 2
+
+
+def test_cores_of_trees_in_parts(monkeypatch):
+    monkeypatch.setattr(ngram_join, "LARGE", 8)
+    rng = np.random.default_rng(4)
+    rows = pd.DataFrame({"token": np.repeat([1, 2, 3, 4], [3, 40, 5, 2]), "comp": rng.integers(0, 3, 50), "set_id": np.arange(50), "n": 100, "private": 0})
+    rows.loc[rows.token == 4, "comp"] = 7
+    rows["private"] = rows.groupby("token").cumcount()
+    want = {}
+    for _, tree in rows.groupby("token"):
+        for r in tree.itertuples():
+            if len(other := tree[tree.comp != r.comp]):
+                want[r.set_id] = int(other.set_id.iloc[0])
+    for size in (1, 3, 7, 50):
+        parts = [rows[k : k + size].reset_index(drop=True) for k in range(0, 50, size)]
+        found = pd.concat(ngram_join.core_rows(iter(parts)))
+        got = dict(zip(found["b"], found["a"]))
+        assert len(found) == len(got) and got.items() <= want.items()
+        missed = {b for b in want if b not in got}
+        assert all(rows.token[b] == 2 and b < want[b] for b in missed)
 
 
 def test_components_of_a_chain_and_a_star(make):
