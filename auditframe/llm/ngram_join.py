@@ -62,11 +62,13 @@ TEAM = 256
 #: Points of a leaf.
 LEAF = 16
 #: Characters whose words are handled at a time.
-PIECE = 1 << 22
+PIECE = 1 << 21
+#: Texts that a task takes out of a batch at a time.
+TEXTS = 512
 #: A shingle is common from so many documents on.
 COMMON = 8
 #: Counters of shingles, as a power of two, and packed counts that are added up at a time.
-BUCKETS, FAN_IN = 26, 64
+BUCKETS, FAN_IN = 26, 256
 SALT = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -124,6 +126,26 @@ def counts_of(shingles: np.ndarray) -> np.ndarray:
     return np.bincount((shingles >> np.uint64(20)).astype(np.int64) % GROUPS, minlength=GROUPS).clip(max=FULL).astype(np.uint16)
 
 
+def gaps_of(places: np.ndarray) -> bytes:
+    """Sorted places as their distances, a byte each; distances from 255 on take a byte 255 for each 255."""
+    far, near = np.divmod(np.diff(places.astype(np.int64), prepend=0), 255)
+    ends = np.cumsum(far + 1) - 1
+    out = np.full(int(ends[-1]) + 1 if len(ends) else 0, 255, np.uint8)
+    out[ends] = near
+    return out.tobytes()
+
+
+def places_of(gaps: bytes) -> np.ndarray:
+    steps = np.frombuffer(gaps, np.uint8)
+    return np.cumsum(steps, dtype=np.int64)[steps != 255]
+
+
+def packed_counts(total: np.ndarray) -> tuple[bytes, int]:
+    """The counts of all places in the narrowest width that holds them, and that width in bytes."""
+    kind = np.min_scalar_type(int(total.max(initial=0)))
+    return total.astype(kind).tobytes(), kind.itemsize
+
+
 def common_shingles(docs: DataFrame, text_column: str) -> tuple[np.ndarray, np.ndarray]:
     """(buckets in order, how often each is met): buckets of shingle hashes that stand in COMMON documents or more, over all documents.
 
@@ -132,56 +154,55 @@ def common_shingles(docs: DataFrame, text_column: str) -> tuple[np.ndarray, np.n
     counter is common only beyond four times the mean. These counts decide the order of work, never the result. At most
     2^19 buckets (8 MB with their counts), the commonest, come to the driver.
     """
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
 
-        def send() -> pd.DataFrame:
+        def send() -> pa.RecordBatch:
             buckets = np.sort((np.concatenate(held) >> np.uint64(64 - BUCKETS)).astype(np.uint32))
             cuts = np.searchsorted(buckets, np.arange(0, (1 << BUCKETS) + 1, 1 << 16))
-            parts = [(block, buckets[a:b].astype(np.uint16).tobytes()) for block, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])) if b > a]
-            return pd.DataFrame({
-                "block": [block for block, _ in parts], "places": [places for _, places in parts], "counts": [None] * len(parts),
-                "size": [len(places) // 2 for _, places in parts], "lane": [random.getrandbits(31)] * len(parts),
+            parts = [(block, gaps_of(buckets[a:b] & 0xFFFF), int(b - a)) for block, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])) if b > a]
+            lane = random.getrandbits(31)
+            return pa.RecordBatch.from_pydict({
+                "block": pa.array([p[0] for p in parts], pa.int64()), "places": pa.array([p[1] for p in parts], pa.binary()), "width": pa.array([0] * len(parts), pa.int64()),
+                "size": pa.array([p[2] for p in parts], pa.int64()), "lane": pa.array([lane] * len(parts), pa.int64()),
             })
 
         for batch in batches:
-            for one in shingle_sets(batch[text_column].tolist()):
-                held.append(one)
-                size += len(one)
-                if size > 1 << 21:
-                    yield send()
-                    held, size = [], 0
+            for at in range(0, len(batch), TEXTS):
+                for one in shingle_sets(batch.column(0).slice(at, TEXTS).to_pylist()):
+                    held.append(one)
+                    size += len(one)
+                    if size > 1 << 21:
+                        yield send()
+                        held, size = [], 0
         if size:
             yield send()
 
-    def summed(rows: Iterator[tuple[bytes, bytes | None]]) -> np.ndarray:
-        """Counts by place: a row has a place per shingle, or places and their counts."""
+    def summed(group: pa.Table) -> np.ndarray:
+        """Counts by place: a row has the places of its shingles, or a count of so many bytes for every place."""
         total = np.zeros(1 << 16, np.int64)
-        for places, counts in rows:
-            at = np.frombuffer(places, np.uint16)
-            if counts is None:
-                total += np.bincount(at, minlength=1 << 16)
-            else:
-                total[at] += np.frombuffer(counts, np.int64)
+        for raw, width in zip(group["places"], group["width"].to_pylist()):
+            raw = raw.as_py()
+            total += np.frombuffer(raw, f"u{width}") if width else np.bincount(places_of(raw), minlength=1 << 16)
         return total
 
     def add(group: pa.Table) -> pa.Table:
-        total = summed(zip(group["places"].to_pylist(), group["counts"].to_pylist()))
-        at = np.flatnonzero(total)
+        total = summed(group)
+        raw, width = packed_counts(total)
         return pa.table({
-            "block": group["block"].slice(0, 1), "places": pa.array([at.astype(np.uint16).tobytes()], pa.binary()), "counts": pa.array([total[at].tobytes()], pa.binary()),
+            "block": group["block"].slice(0, 1), "places": pa.array([raw], pa.binary()), "width": pa.array([width], pa.int64()),
             "size": pa.array([int(total.sum())], pa.int64()), "lane": pa.array([random.getrandbits(31)], pa.int64()),
         })
 
-    schema = "block long, places binary, counts binary, size long, lane long"
-    packed = stored(docs.select(text_column).mapInPandas(run, schema))
+    schema = "block long, places binary, width long, size long, lane long"
+    packed = stored(docs.select(F.col(f"`{text_column}`").cast("string")).mapInArrow(run, schema))
     mean = (packed.agg(F.sum("size")).first()[0] or 0) / (1 << BUCKETS)  # one number
     while (most := packed.groupBy("block").count().agg(F.max("count")).first()[0] or 0) > FAN_IN:  # one number
         packed = stored(packed.groupBy("block", F.pmod("lane", F.lit(-(-most // FAN_IN)))).applyInArrow(add, schema))
     limit = max(COMMON, 4 * mean)
 
     def common(group: pa.Table) -> pa.Table:
-        total = summed(zip(group["places"].to_pylist(), group["counts"].to_pylist()))
+        total = summed(group)
         at = np.flatnonzero(total >= limit)
         return pa.table({"h": pa.array((group["block"][0].as_py() << 16) + at, pa.int64()), "n": pa.array(total[at], pa.int64())})
 
@@ -230,7 +251,7 @@ def features(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
 
         return work
 
-    rows = map_texts(docs, id_column, text_column, columns, make)
+    rows = map_texts(docs, id_column, text_column, columns, make, TEXTS)
     return stored(rows.select(F.monotonically_increasing_id().alias("row"), "*"))
 
 
