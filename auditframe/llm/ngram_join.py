@@ -4,7 +4,7 @@ A document's set is its distinct shingles of five words as 64-bit hashes. The ha
 the counts per group are the document's point. The overlap of two sets is at most the sum of the smaller counts of
 their points, and for a node that holds points below a corner the sum of the corner's smaller coordinates: pairs of
 nodes and of points that cannot reach the overlap that the similarity asks for are dropped, all others are
-verified on the sets themselves.
+verified on the sets themselves. Nodes and most pairs are tried on points of COARSE coordinates, those that pass on all GROUPS.
 
 Points of unlike texts of one length lie on top of each other in any count space, so one tree over all points
 cannot prune. The points are therefore kept in a forest: a tree per shingle of the documents' prefixes. In an
@@ -18,7 +18,8 @@ changes the result. What is asked for is components, so pairs that are known to
    the one whose prefix has the fewest shingles that stand in no tree with others. Of copies that drift apart it is the nearest to
    their common text, so what links at all mostly links with it. A node has one core, that of most of its trees. Verified pairs are contracted.
 3. The forest compares the nodes of different components. Trees of one component are dropped; a tree of more than
-   LARGE nodes is split into blocks, and pairs of blocks are separate work.
+   LARGE nodes is split into blocks, and pairs of blocks are separate work. Trees of the same nodes, as a passage that some documents
+   share makes one for each of its shingles, are one tree that counts as many.
 4. Verified links of all steps give the components.
 
 ``near_duplicate_links`` leaves out the contraction and gives all links, also those inside components, and their number per document.
@@ -47,16 +48,17 @@ from auditframe.llm.registry import query
 WIDTH = 5
 #: The similarity is at least SHARE[0] / SHARE[1].
 SHARE = (3, 4)
-GROUPS = 128
+#: Coordinates of a point, a byte each, and of its coarse form, in which pairs are tried first.
+GROUPS, COARSE = 512, 128
 #: The largest count a coordinate can hold; points that reach it are not bounded by it.
-FULL = 65_535
+FULL = 255
 SKETCHES = 4
 #: Nodes of a tree from which it is split into blocks, and of a block.
 LARGE, BLOCK = 4096, 1024
 #: Nodes of a tree from which they are first compared with its core.
 CROWD = 16
-#: Pairs of one task that are held at a time.
-HELD = 1 << 18
+#: Pairs of one task that are held at a time, and whose points are compared at a time.
+HELD, SLICE = 1 << 18, 1 << 14
 #: Nodes of a label whose sets meet in one place.
 TEAM = 256
 #: Points of a leaf.
@@ -123,7 +125,7 @@ def set_id(shingles: np.ndarray) -> int:
 
 def counts_of(shingles: np.ndarray) -> np.ndarray:
     """The point of a set: its hashes counted by group."""
-    return np.bincount((shingles >> np.uint64(20)).astype(np.int64) % GROUPS, minlength=GROUPS).clip(max=FULL).astype(np.uint16)
+    return np.bincount((shingles >> np.uint64(20)).astype(np.int64) % GROUPS, minlength=GROUPS).clip(max=FULL).astype(np.uint8)
 
 
 def gaps_of(places: np.ndarray) -> bytes:
@@ -255,10 +257,33 @@ def features(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
     return stored(rows.select(F.monotonically_increasing_id().alias("row"), "*"))
 
 
-def bounded(va: np.ndarray, vb: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np.ndarray:
+def roomy(least: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np.ndarray:
     """Whether the summed coordinate minima leave room for similarity 3/4: overlap >= 3/7 of both sizes."""
+    return 7 * least.sum(axis=1, dtype=np.int64) >= 3 * (na + nb)
+
+
+def bounded(va: np.ndarray, vb: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np.ndarray:
     least = np.minimum(va, vb)
-    return (7 * least.sum(axis=1, dtype=np.int64) >= 3 * (na + nb)) | (least.max(axis=1, initial=0) == FULL)
+    return roomy(least, na, nb) | (least.max(axis=1, initial=0) == FULL)
+
+
+def coarse_of(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(points of COARSE coordinates, each the sum of those of its groups; whether a coordinate is FULL, so that the sums bound nothing)."""
+    return points.reshape(len(points), GROUPS // COARSE, COARSE).sum(axis=1, dtype=np.uint16), (points == FULL).any(axis=1)
+
+
+def near_pairs(points: np.ndarray, coarse: np.ndarray, full: np.ndarray, n: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The index pairs (a, b) that sizes and points leave room for, coarse points first."""
+    ok = 4 * np.minimum(n[a], n[b]) >= 3 * np.maximum(n[a], n[b])
+    a, b = a[ok], b[ok]
+    found = [np.zeros((0, 2), np.int64)]
+    for at in range(0, len(a), SLICE):
+        x, y = a[at : at + SLICE], b[at : at + SLICE]
+        ok = roomy(np.minimum(coarse[x], coarse[y]), n[x], n[y]) | (full[x] & full[y])
+        x, y = x[ok], y[ok]
+        ok = bounded(points[x], points[y], n[x], n[y])
+        found.append(np.stack([x[ok], y[ok]], axis=1))
+    return np.concatenate(found)
 
 
 def tree_pairs(points: np.ndarray, n: np.ndarray, mine: np.ndarray | None = None, comp: np.ndarray | None = None) -> np.ndarray:
@@ -268,11 +293,12 @@ def tree_pairs(points: np.ndarray, n: np.ndarray, mine: np.ndarray | None = None
     their corners and sizes leave room. ``mine`` marks the points of a first block: then pairs are between blocks.
     With ``comp`` they are between components.
     """
-    spread = np.argsort(-points.var(axis=0))[:2]
+    coarse, full = coarse_of(points)
+    spread = np.argsort(-coarse.var(axis=0))[:2]
     n = n.astype(np.int64)
-    order = np.lexsort((points[:, spread[1]], points[:, spread[0]], n))
+    order = np.lexsort((coarse[:, spread[1]], coarse[:, spread[0]], n))
     starts = np.arange(0, len(order), LEAF)
-    corner = np.maximum.reduceat(points[order], starts, axis=0)
+    corner, brim = np.maximum.reduceat(coarse[order], starts, axis=0), np.logical_or.reduceat(full[order], starts)
     low, high = n[order][starts], np.maximum.reduceat(n[order], starts)
     found = []
     place = np.empty(len(order), np.int64)
@@ -280,7 +306,7 @@ def tree_pairs(points: np.ndarray, n: np.ndarray, mine: np.ndarray | None = None
     for k in range(len(starts)):
         last = np.searchsorted(3 * low, 4 * high[k], side="right")  # leaves are in order of size
         near = np.arange(k, last)
-        near = near[bounded(corner[near], corner[k][None], low[near], low[k])]
+        near = near[roomy(np.minimum(corner[near], corner[k]), low[near], low[k]) | (brim[near] & brim[k])]
         if not len(near):
             continue
         left = order[starts[k] : starts[k] + LEAF]
@@ -291,11 +317,7 @@ def tree_pairs(points: np.ndarray, n: np.ndarray, mine: np.ndarray | None = None
             ok &= mine[a] != mine[b]
         if comp is not None:
             ok &= comp[a] != comp[b]
-        a, b = a[ok], b[ok]
-        ok = (4 * np.minimum(n[a], n[b]) >= 3 * np.maximum(n[a], n[b]))
-        a, b = a[ok], b[ok]
-        ok = bounded(points[a], points[b], n[a], n[b])
-        found.append(np.stack([a[ok], b[ok]], axis=1))
+        found.append(near_pairs(points, coarse, full, n, a[ok], b[ok]))
     return np.concatenate(found) if found else np.zeros((0, 2), np.int64)
 
 
@@ -346,7 +368,7 @@ def grouped(batches: Iterator[pd.DataFrame], key: list[str], most: int) -> Itera
 
 
 def cross_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Of rows (token, comp, set_id) sorted by token: those of trees with several components, and the trees' sizes (LARGE + 1 for all beyond)."""
+    """Of rows (token, comp, set_id and others) sorted by token: those of trees with several components, and the trees' sizes (LARGE + 1 for all beyond)."""
     for rows, whole in grouped(batches, ["token"], LARGE):
         if not whole:
             yield rows.assign(size=LARGE + 1)
@@ -360,6 +382,18 @@ def cross_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield rows[keep].assign(size=np.repeat(np.minimum(sizes, LARGE + 1), sizes)[keep])
 
 
+def named_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """cross_rows, and k1 and k2, two sums of hashes of the nodes that name them; a tree of more than LARGE nodes is named by its token."""
+    seeds = mix(np.arange(1, 3, dtype=np.uint64) * SALT)
+    for rows in cross_rows(batches):
+        token, nodes = rows["token"].to_numpy(), rows["set_id"].to_numpy().astype(np.uint64)
+        starts = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
+        sizes = np.diff(np.concatenate([starts, [len(token)]]))
+        large = rows["size"].to_numpy() > LARGE
+        k1, k2 = (np.where(large, token, np.repeat(np.add.reduceat(mix(nodes ^ seed), starts), sizes).view(np.int64)) for seed in seeds)
+        yield rows.assign(k1=k1, k2=k2)
+
+
 def core_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Of rows (token, comp, set_id, n, private) sorted by (token, private): each node b and the core a of its tree, where their sizes allow a link.
 
@@ -390,13 +424,13 @@ def core_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def tree_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Of rows (token, i, j, comp, set_id, n, counts) sorted by (token, i, j): pairs a < b of different components that pass the bounds.
+    """Of rows (token, i, j, comp, set_id, times, n, counts) sorted by (token, i, j): pairs a < b of different components that pass the bounds.
 
-    na and nb are their sizes, c in how many trees of these rows they met.
+    na and nb are their sizes, c in how many trees of these rows they met, where a row stands for ``times`` trees.
     """
     for rows, _ in grouped(batches, ["token", "i", "j"], 1 << 60):
-        comp, ids, n = rows["comp"].to_numpy(), rows["set_id"].to_numpy(), rows["n"].to_numpy()
-        points = np.frombuffer(b"".join(rows["counts"]), np.uint16).reshape(len(rows), GROUPS)
+        comp, ids, n, times = (rows[name].to_numpy() for name in ("comp", "set_id", "n", "times"))
+        points = np.frombuffer(b"".join(rows["counts"]), np.uint8).reshape(len(rows), GROUPS)
         codes = rows[["token", "i", "j"]].to_numpy()
         starts = np.flatnonzero(np.concatenate([[True], (codes[1:] != codes[:-1]).any(axis=1)]))
         sizes = np.diff(np.concatenate([starts, [len(rows)]]))
@@ -409,20 +443,20 @@ def tree_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             rows = pd.DataFrame({
                 "a": np.where(swap, two, one), "b": np.where(swap, one, two),
                 "na": np.where(swap, n[pairs[:, 1]], n[pairs[:, 0]]), "nb": np.where(swap, n[pairs[:, 0]], n[pairs[:, 1]]),
+                "c": times[pairs[:, 0]],
             })
-            return rows.groupby(["a", "b", "na", "nb"], as_index=False).size().rename(columns={"size": "c"})
+            return rows.groupby(["a", "b", "na", "nb"], as_index=False).sum()
 
         small = sizes <= 2 * LEAF
         inside = np.flatnonzero(np.repeat(small, sizes))
         left, right = small_pairs(sizes[small])
+        coarse, full = coarse_of(points) if len(left) else (None, None)
         first = rows["block"].to_numpy() == rows["i"].to_numpy()
         within = (rows["i"] == rows["j"]).to_numpy()
         for at in range(0, len(left), 1 << 16):
             a, b = inside[left[at : at + (1 << 16)]], inside[right[at : at + (1 << 16)]]
-            ok = (comp[a] != comp[b]) & (4 * np.minimum(n[a], n[b]) >= 3 * np.maximum(n[a], n[b])) & (within[a] | (first[a] != first[b]))
-            a, b = a[ok], b[ok]
-            ok = bounded(points[a], points[b], n[a], n[b])
-            found.append(np.stack([a[ok], b[ok]], axis=1))
+            ok = (comp[a] != comp[b]) & (within[a] | (first[a] != first[b]))
+            found.append(near_pairs(points, coarse, full, n, a[ok], b[ok]))
             held += len(found[-1])
             if held > HELD:
                 yield made()
@@ -492,20 +526,24 @@ def likely_pairs(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     def bound(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             if len(batch):
-                va, vb = (np.frombuffer(b"".join(batch[c]), np.uint16).reshape(len(batch), GROUPS) for c in ("va", "vb"))
+                va, vb = (np.frombuffer(b"".join(batch[c]), np.uint8).reshape(len(batch), GROUPS) for c in ("va", "vb"))
                 yield batch.loc[bounded(va, vb, batch["na"].to_numpy(), batch["nb"].to_numpy()), ["a", "b"]]
 
     return stored(pairs.join(of("a"), "a").join(of("b"), "b").where("4 * least(na, nb) >= 3 * greatest(na, nb)").mapInPandas(bound, "a long, b long"))
 
 
 def cut_trees(entries: DataFrame) -> DataFrame:
-    """Stored: token, comp, set_id of the trees with several components, and the trees' sizes."""
-    ordered = entries.select("token", "comp", "set_id").repartition("token").sortWithinPartitions("token")
-    return stored(ordered.mapInPandas(cross_rows, "token long, comp long, set_id long, size long"))
+    """Stored: token, comp, set_id, times of the trees with several components, and the trees' sizes."""
+    ordered = entries.select("token", "comp", "set_id", "times").repartition("token").sortWithinPartitions("token")
+    return stored(ordered.mapInPandas(cross_rows, "token long, comp long, set_id long, times long, size long"))
 
 
 def trees(with_comp: DataFrame) -> DataFrame:
-    """Stored: the entries of the forest that may still make links; with_comp has set_id, prefix and comp of every node."""
+    """Stored: the entries of the forest that may still make links; with_comp has set_id, prefix and comp of every node.
+
+    A passage that some documents share gives a tree of the same nodes for each of its shingles: one of them stays and
+    stands for them all, ``times`` in number, so its pairs are tried once.
+    """
     def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for at in range(0, len(batch), 256):
@@ -515,12 +553,17 @@ def trees(with_comp: DataFrame) -> DataFrame:
                     "token": np.frombuffer(b"".join(part["prefix"]), np.int64), "comp": np.repeat(part["comp"].to_numpy(), sizes), "set_id": np.repeat(part["set_id"].to_numpy(), sizes),
                 })
 
-    return cut_trees(with_comp.mapInPandas(spread, "token long, comp long, set_id long"))
+    ordered = with_comp.mapInPandas(spread, "token long, comp long, set_id long").repartition("token").sortWithinPartitions("token")
+    every = stored(ordered.mapInPandas(named_rows, "token long, comp long, set_id long, size long, k1 long, k2 long"))
+    # A large tree is alone by its name; all others hold as many rows as their size.
+    times = F.when(F.min("token") == F.max("token"), 1).otherwise((F.count("*") / F.col("size")).cast("long")).alias("times")
+    stay = every.groupBy("k1", "k2", "size").agg(F.min("token").alias("token"), times).select("token", "times")
+    return stored(every.select("token", "comp", "set_id", "size").join(small_side(stored(stay)), "token"))
 
 
 def core_pairs(nodes: DataFrame, crossing: DataFrame) -> DataFrame:
     """(a, b): each node b of crowded trees and the core a of most of them."""
-    held = crossing.groupBy("set_id").agg(F.count("*").alias("held"), F.max("size").alias("most")).where(F.col("most") >= CROWD)
+    held = crossing.groupBy("set_id").agg(F.sum("times").alias("held"), F.max("size").alias("most")).where(F.col("most") >= CROWD)
     # prefix_size(n) less the shingles that stand in a tree with others
     private = F.col("n") - F.floor((3 * F.col("n") + 3) / 4) + 1 - F.col("held")
     ranked = nodes.select("set_id", "n").join(small_side(stored(held)), "set_id").select("set_id", "n", private.alias("private"))
@@ -537,11 +580,11 @@ def forest_links(docs: DataFrame, nodes: DataFrame, crossing: DataFrame) -> Data
     """
     joined = crossing.withColumn("large", F.col("size") > LARGE).drop("size").join(nodes.select("set_id", "n", "counts"), "set_id")
     zero = F.lit(0).cast("long")
-    usual = joined.where("not large").select("token", zero.alias("i"), zero.alias("j"), zero.alias("block"), "comp", "set_id", "n", "counts")
+    usual = joined.where("not large").select("token", zero.alias("i"), zero.alias("j"), zero.alias("block"), "comp", "set_id", "times", "n", "counts")
     sizes = crossing.where(F.col("size") > LARGE).groupBy("token").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
     split = joined.where("large").join(sizes, "token").withColumn("block", F.pmod(F.xxhash64("set_id"), F.col("blocks"))).withColumn(
         "other", F.explode(F.sequence(zero, F.col("blocks") - 1))
-    ).select("token", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "comp", "set_id", "n", "counts")
+    ).select("token", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "comp", "set_id", "times", "n", "counts")
     forest = usual.unionByName(split).repartition("token", "i", "j").sortWithinPartitions("token", "i", "j")
     # Two sets meet in a tree for every shingle that both prefixes hold; all others that they share lie behind the
     # shorter-ending prefix, of whose set ceil(3 n / 4) - 1 are left. Pairs that met too seldom cannot link.
@@ -582,7 +625,7 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     folded = stars_folded.unionByName(cores)
     if not cores.isEmpty():
         known = small_side(components(folded).withColumnRenamed("node", "set_id"))
-        crossing = cut_trees(crossing.select("token", "set_id").join(known, "set_id", "left").select("token", "set_id", own))
+        crossing = cut_trees(crossing.select("token", "set_id", "times").join(known, "set_id", "left").select("token", "set_id", "times", own))
 
     # 3. The forest: a tree per shingle of the prefixes.
     linked = forest_links(docs, nodes, crossing)

@@ -174,6 +174,45 @@ def test_cores_of_trees_in_parts(monkeypatch):
         assert all(rows.token[b] == 2 and b < want[b] for b in missed)
 
 
+def test_trees_of_the_same_nodes_are_one_that_counts_as_many(make, monkeypatch):
+    passages = [(range(0, 3), 7), (range(2, 5), 5), (range(0, 2), 1), (range(20, 40), 4)]
+    held = {k: [] for k in range(40)}
+    for number, (nodes, size) in enumerate(passages):
+        for k in nodes:
+            held[k] += [100 * number + j for j in range(size)]
+    rows = [(k, np.array([*tokens, 1000 + k], np.int64).tobytes(), k) for k, tokens in held.items()]
+    got = ngram_join.trees(make("set_id long, prefix binary, comp long", *rows)).collect()
+    trees = {}
+    for r in got:
+        trees.setdefault(r.token, []).append(r)
+    assert all(len({(r["size"], r.times) for r in tree}) == 1 for tree in trees.values())
+    found = sorted((tuple(sorted(r.set_id for r in tree)), tree[0].times) for tree in trees.values())
+    assert found == sorted([((0, 1, 2), 7), ((2, 3, 4), 5), ((0, 1), 1), (tuple(range(20, 40)), 4)])
+    monkeypatch.setattr(ngram_join, "LARGE", 8)  # large trees keep names of their own
+    rows = pd.DataFrame({"token": np.repeat([5, 6, 7, 8], [20, 20, 3, 3]), "comp": np.arange(46), "set_id": [*range(20), *range(20), *range(3), *range(3)]})
+    named = pd.concat(ngram_join.named_rows(rows[k : k + 6].reset_index(drop=True) for k in range(0, 46, 6)))
+    assert len(named) == 46 and [len(set(named.k1[named.token.isin(two)])) for two in ([5, 6], [7, 8])] == [2, 1]
+
+
+def test_points_tell_drifted_copies_from_links(make):
+    rng, sets = np.random.default_rng(3), []
+    text = [f"w{k}" for k in range(400)]
+    for k in range(120):  # with each other, pairs share about three quarters of their shingles: too few by a tenth
+        one = list(text)
+        for at in rng.choice(400, 10, replace=False):
+            one[at] = f"d{k}n{at}"
+        sets.append(next(ngram_join.shingle_sets([" ".join(one)])))
+    sets += [np.setdiff1d(s, s[:k + 1]) for k, s in enumerate(sets[:20])]  # and these link with the first ones
+    points, n = np.array([ngram_join.counts_of(s) for s in sets]), np.array([len(s) for s in sets])
+    found = {tuple(sorted(map(int, p))) for p in ngram_join.tree_pairs(points, n)}
+    both = {(a, b): len(np.intersect1d(sets[a], sets[b])) for a, b in combinations(range(len(sets)), 2)}
+    links = {(a, b) for (a, b), c in both.items() if 4 * c >= 3 * (n[a] + n[b] - c)}
+    assert len(links) >= 20 and links <= found and len(found) < 0.1 * len(both)
+    full = np.array([np.full(ngram_join.GROUPS, 10), np.full(ngram_join.GROUPS, 10)])
+    full[:, 0] = ngram_join.FULL  # a coordinate that both points fill bounds nothing
+    assert len(ngram_join.tree_pairs(full, np.array([50_000, 50_000]))) == 1
+
+
 def test_components_of_a_chain_and_a_star(make):
     links = [(k, k + 1) for k in range(40)] + [(100, k) for k in range(101, 140)] + [(7, 7)]
     got = {r.node: r.label for r in components(make("a long, b long", *links)).collect()}
