@@ -14,7 +14,9 @@ from auditframe.operators import allocation as Al
 from auditframe.operators import audit as A
 from auditframe.operators import leak as L
 from auditframe.operators import stats as St
+from auditframe.operators.sensitivity import judged, sensitivity
 from auditframe.plans import experiment, replay
+from auditframe.session import in_buckets
 from auditframe.sources import files as S
 from tests.conftest import rows
 from tests.test_contract import random_episodes, tables
@@ -94,6 +96,30 @@ def test_lanes_taken_whole_and_cut_say_the_same(spark):
     assert found[0] and found[0] == found[1] == found[2]
 
 
+def test_episodes_that_lie_together_are_judged_where_they_lie(spark):
+    t = tables(spark, random_episodes(12, 5))
+    want = rows(sensitivity(t, "x"), "patch_id", "found", "as_expected")
+    lying = {name: A.by_episode(df) for name, df in t.items()}
+    moved = "Exchange hashpartitioning"
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = sensitivity(lying, "x")
+        assert moved not in plan_of(A.linked(A.lanes(lying))) and moved not in plan_of(got)
+        assert want and rows(got, "patch_id", "found", "as_expected") == want
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    kept = A.stored(A.lanes(lying), 40)
+    found = [r for linked, keep in kept for r in rows(judged(linked, lying, "x", keep), "patch_id", "found", "as_expected")]
+    assert len(kept) == 2 and sorted(found, key=repr) == want
+
+
+def test_rows_in_buckets_come_back_and_leave_no_table(spark, make):
+    df = make("k STRING, v STRUCT<a: INT, b: STRING>, `x y` INT", *[(None if i % 5 == 0 else f"k{i % 7}", (i, None), i) for i in range(50)])
+    back = in_buckets(df, "k")
+    assert rows(back) == rows(df) and back.columns == df.columns and "Exchange" not in plan_of(back.groupBy("k", "x y").count())
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("auditframe_")]
+
+
 def test_the_plan_of_jobs_is_not_stored():
     assert "materialise" not in experiment.marked_jobs.__code__.co_names
 
