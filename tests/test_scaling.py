@@ -113,6 +113,11 @@ def test_episodes_that_lie_together_are_judged_where_they_lie(spark):
     assert len(kept) == 2 and sorted(found, key=repr) == want
 
 
+def test_verdicts_store_what_they_judge_by_episode():
+    used = experiment.verdicts.__code__.co_names
+    assert "stored" in used and "materialise" not in used
+
+
 def test_rows_in_buckets_come_back_and_leave_no_table(spark, make):
     df = make("k STRING, v STRUCT<a: INT, b: STRING>, `x y` INT", *[(None if i % 5 == 0 else f"k{i % 7}", (i, None), i) for i in range(50)])
     back = in_buckets(df, "k")
