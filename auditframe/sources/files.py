@@ -4,6 +4,8 @@ from __future__ import annotations
 import os
 import uuid
 from collections.abc import Iterable, Iterator
+from hashlib import sha256
+from itertools import islice
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -118,14 +120,76 @@ def write_files(df: DataFrame, path: str, name: str, value: str) -> None:
     ordered.mapInArrow(run, "n long").agg(F.sum("n")).collect()  # one number
 
 
+#: Folders that ``raw_files`` looks for, level by level, before it deals them to tasks, and bytes that a task reads at a time.
+DEALT, BLOCK = 512, 1 << 20
+
+
 def raw_files(spark: SparkSession, path: str, root: str | None = None) -> DataFrame:
-    """Every file under a directory: relative path, size and SHA-256 (a file must fit in a row)."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    """Every file under a directory: relative path, size and SHA-256; empty files are passed over.
+
+    Tasks list the folders, the found names are dealt out anew, and tasks read the files a block at a time, so the driver knows
+    some folders and no file. What is no directory of the machines' own (another file system, a pattern, a single file) is left to
+    Spark's reader, which lists all files on the driver, and then a file must fit in a row.
+    """
     base = (root or path).rstrip("/")
-    bare = F.regexp_replace("path", "^file:/+", "/")
-    return files.select(
-        F.substr(bare, F.lit(len(base) + 2)).alias("path"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256")
-    )
+    folder = path.removeprefix("file:")
+    folder = "/" + folder.strip("/") if folder.startswith("/") else folder.rstrip("/")
+    if ":" in folder.split("/")[0] or any(x in folder for x in "*?[{\\") or not os.path.isdir(folder):
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+        bare = F.regexp_replace("path", "^file:/+", "/")
+        return files.select(F.substr(bare, F.lit(len(base) + 2)).alias("path"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+
+    # Tasks get the functions themselves and need no library of their own.
+    def listed(folder: str) -> Iterator[os.DirEntry]:
+        """What Spark's readers see in a folder: they pass over names with a dot or an underscore in front (not folder `_metadata`), and copies under way."""
+        with os.scandir(folder) as entries:
+            for e in entries:
+                hidden = e.name.startswith(".") or e.name.startswith("_") and "=" not in e.name and not (e.name.startswith(("_metadata", "_common_metadata")) and e.is_dir())
+                if not hidden and not e.name.endswith("._COPYING_"):
+                    yield e
+
+    def below(folder: str, deep: bool) -> Iterator[str]:
+        """The files in a folder, with those of the folders below it if it is to be searched deep."""
+        for e in listed(folder):
+            if e.is_dir():
+                if deep:
+                    yield from below(e.path, deep)
+            else:
+                yield e.path
+
+    # Folders that were looked through are searched for their own files only, the last level found for all below.
+    seen, level = [], [os.path.abspath(folder)]
+    while level and len(level) < DEALT:
+        more = [*islice((e.path for f in level for e in listed(f) if e.is_dir()), 64 * DEALT + 1)]
+        if len(more) > 64 * DEALT:
+            break
+        seen, level = [*seen, *level], more
+    asked = [*((f, False) for f in seen), *((f, True) for f in level)]
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for f, deep in zip(*(c.to_pylist() for c in batch.columns)):
+                names = below(f, deep)
+                while some := [*islice(names, 10_000)]:
+                    yield pa.RecordBatch.from_arrays([pa.array(some, pa.string())], ["path"])
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            paths, sizes, sums = batch.column(0).to_pylist(), [], []
+            for p in paths:
+                with open(p, "rb") as f:
+                    size, sha = 0, sha256()
+                    while block := f.read(BLOCK):
+                        size += len(block)
+                        sha.update(block)
+                sizes.append(size)
+                sums.append(sha.hexdigest())
+            yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(sizes, pa.int64()), pa.array(sums, pa.string())], ["path", "bytes", "sha256"])
+
+    folders = spark.createDataFrame(asked, "folder string, deep boolean").repartition(min(tasks, len(asked)))
+    files = folders.mapInArrow(found, "path string").repartition(tasks).mapInArrow(hashed, "path string, bytes bigint, sha256 string")
+    return files.where("bytes > 0").withColumn("path", F.substr("path", F.lit(len(base) + 2)))
 
 
 def file_contents(spark: SparkSession, path: str) -> DataFrame:

@@ -145,6 +145,24 @@ def test_a_file_per_name_in_few_folders(spark, make):
     assert not os.listdir(empty)
 
 
+def test_raw_files_are_listed_by_tasks_as_spark_lists_them(spark, monkeypatch):
+    folder = tempfile.mkdtemp(prefix="run-", dir="/tmp")
+    names = ["a.txt", "s/b c.txt", "s/t/u/é%20.txt", "s/.h/x", "s/_h/x", "_m/x", "_k=1/y", "_metadata/z", "_metadata2", ".a.txt.crc", "p/q._COPYING_", "p/_q", "e/empty"]
+    for n in names:
+        os.makedirs(os.path.dirname(f"{folder}/{n}"), exist_ok=True)
+        with open(f"{folder}/{n}", "w") as f:
+            f.write("" if n == "e/empty" else n * 9)
+    read = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
+    want = sorted((r.path.removeprefix("file:")[len(folder) + 1:], r.length, sha256(r.content).hexdigest()) for r in read.collect())
+    monkeypatch.setattr(S, "BLOCK", 7)
+    for dealt in (1, 3, 512):
+        monkeypatch.setattr(S, "DEALT", dealt)
+        found = S.raw_files(spark, folder)
+        assert len(want) == 5 and rows(found) == want and "binaryFile" not in plan_of(found)
+    assert rows(S.raw_files(spark, f"{folder}/s*", folder)) == [r for r in want if r[0].startswith("s/")]
+    assert rows(S.raw_files(spark, f"{folder}/a.txt", folder)) == [r for r in want if r[0] == "a.txt"]
+
+
 def test_answers_are_worked_out_once(spark):
     plan = plan_of(replay.citation_valid(spark, "/root/testdata/sf0.001"))
     assert "lineitem" not in plan and "orders" not in plan
