@@ -8,18 +8,26 @@ from auditframe.functions.canon import digest, packed, unpacked
 from auditframe.functions.ordered import union_all
 
 
+#: Pairs of an arm and a seed that are sent to every task.
+PAIRS = 1 << 16
+#: What the id of a job is the digest of.
+NAMED = ("arm_id", "episode_id", "evaluation_seed")
+
+
 def job_table(arms: DataFrame, seeds: DataFrame, episodes: DataFrame) -> DataFrame:
     """Every arm with every seed and episode, each under a digest id.
 
     The product is what the plan asks for.  Arms, seeds and episodes are ordinary rows of any
-    number; nothing is gathered, and Spark decides which sides travel.
+    number. Up to ``PAIRS`` pairs of an arm and a seed go to where the episodes are: were these sent to the pairs, a file of few
+    arms would make the whole product in one task. With more pairs Spark decides which sides travel.
     """
     # A file of episodes has few splits, and each of its rows becomes many: spread over as many tasks as a shuffle has.
     spread = episodes.repartition(int(episodes.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    jobs = spread.crossJoin(arms.crossJoin(seeds)).select(*arms.columns, *seeds.columns, "episode_id")
-    return jobs.withColumn(
-        "job_id", digest({"arm_id": F.col("arm_id"), "episode_id": F.col("episode_id"), "evaluation_seed": F.col("evaluation_seed")})
-    )
+    pairs = arms.crossJoin(seeds)
+    if arms.count() * seeds.count() <= PAIRS:
+        pairs = F.broadcast(pairs)
+    jobs = spread.crossJoin(pairs).select(*arms.columns, *seeds.columns, "episode_id")
+    return jobs.withColumn("job_id", digest({c: F.col(c) for c in NAMED}))
 
 
 def by_digest(df: DataFrame) -> DataFrame:
@@ -28,8 +36,13 @@ def by_digest(df: DataFrame) -> DataFrame:
 
 
 def in_digest_order(jobs: DataFrame) -> DataFrame:
-    ordered = by_digest(jobs).orderBy(unpacked(F.col("job_id")))
-    return ordered.withColumn("job_id", unpacked(F.col("job_id")))
+    """The jobs by id. An id that is the digest of the job's own fields does not travel: it can't be packed any smaller, and
+    is made anew where the job arrives. Any other id travels as it is."""
+    own, columns = digest({c: F.col(c) for c in NAMED}), jobs.columns
+    # An id is looked at once, so that the plan makes it once: an empty array stands for the digest.
+    rows = jobs.withColumn("job_id", F.array_except(F.array("job_id"), F.array(own)))
+    name = F.when(F.size("job_id") == 0, own).otherwise(F.get("job_id", F.lit(0)))
+    return rows.repartitionByRange(name).withColumn("job_id", name).sortWithinPartitions("job_id").select(*columns)
 
 
 def pending(jobs: DataFrame, recorded: DataFrame) -> DataFrame:

@@ -40,6 +40,18 @@ PLAN = "arm_id STRING, evaluation_seed INT, episode_id BIGINT, checkpoint_sha256
 JOBS = [("a", 1, i, "c", f"{i:02x}" * 32) for i in range(9)] + [("a", 1, 9, "c", None), (None, 1, 10, "c", "odd")]
 
 
+def test_digests_of_jobs_do_not_travel(make):
+    made = Al.job_table(make("arm_id STRING, checkpoint_sha256 STRING", ("a", "c"), ("a", "d"), (None, "c")), make("evaluation_seed INT", (1,), (None,)), make("episode_id BIGINT", *[(i,) for i in range(20)], (None,), (3,)))
+    got = Al.in_digest_order(made)
+    below = plan_of(got).split("rangepartitioning")[1]
+    assert "array_except" in below and "BuildRight, Cross" in plan_of(got).split("RoundRobin")[0] and got.columns == made.columns
+    found = got.collect()
+    assert rows(got) == rows(made) and [r.job_id for r in found] == sorted(r.job_id for r in found) and len(found) == 132
+    odd = make(PLAN, *JOBS, *[("a", 1, 1, "c", t) for t in ("", "A", "zz", None)]).unionByName(made.select(*PLAN.replace(",", "").split()[::2]))
+    mixed = Al.in_digest_order(odd).collect()
+    assert rows(odd) == sorted(map(tuple, mixed), key=repr) and [r.job_id for r in mixed] == sorted((r.job_id for r in mixed), key=lambda t: (t is not None, t or ""))
+
+
 def test_jobs_of_any_name_are_told_apart(make):
     records = [JOBS[0], JOBS[0], JOBS[1], ("a", 1, 1, "other", JOBS[1][4]), ("b", 2, 2, "c", JOBS[2][4]), ("a", 1, 3, "c", "x" + JOBS[3][4]), JOBS[9], JOBS[10]]
     plan, said = make(PLAN, *JOBS), make(PLAN, *records)
